@@ -20,11 +20,11 @@ BRANDS = [
 
 # Invisible characters with their Unicode names.
 ZERO_WIDTH = {
-    "​": "ZERO WIDTH SPACE",
-    "‌": "ZERO WIDTH NON-JOINER",
-    "‍": "ZERO WIDTH JOINER",
-    "﻿": "ZERO WIDTH NO-BREAK SPACE",
-    "⁠": "WORD JOINER",
+    "\u200b": "ZERO WIDTH SPACE",
+    "\u200c": "ZERO WIDTH NON-JOINER",
+    "\u200d": "ZERO WIDTH JOINER",
+    "\ufeff": "ZERO WIDTH NO-BREAK SPACE",
+    "\u2060": "WORD JOINER",
 }
 ZERO_WIDTH_TESTED = 3
 ZERO_WIDTH_STEP = 10
