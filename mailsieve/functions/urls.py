@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsieve.functions.text import EMAIL_ADDRESS, HTML_TAG, SPACE, WORD_CHAR, WORD_START, strip
+from mailsieve.functions.text import EMAIL_ADDRESS, HTML_TAG, SPACE, WORD_CHAR, strip
 
 # Characters a URL may go on with, and those cut from its end.
 _TAIL = r"[/\p{L}\p{N}_\-.~:?#\[\]@!$&'()*+,;=%]*"
@@ -15,7 +15,7 @@ HREF = rf"""(?i)<a{SPACE}+[^>]*href{SPACE}*={SPACE}*["']([^"']+)["']"""
 SRC = rf"""(?i)<(?:img|iframe|source){SPACE}+[^>]*src{SPACE}*={SPACE}*["']([^"']+)["']"""
 # The tail takes every character a host may hold, so one host character is enough.
 PLAIN = rf"(?i)https?://(?:[-.]|{WORD_CHAR}|%[\p{{Nd}}a-fA-F]{{2}}){_TAIL}"
-BARE = rf"(?i){WORD_START}www\.[a-zA-Z0-9][-a-zA-Z0-9]*\.[a-zA-Z]{{2,}}{_TAIL}"
+BARE = rf"(?i)w(?<!{WORD_CHAR}w)ww\.[a-zA-Z0-9][-a-zA-Z0-9]*\.[a-zA-Z]{{2,}}{_TAIL}"
 
 # scheme, host part, path
 URL_SHAPE = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -25,11 +25,18 @@ def _is_http(url: Column) -> Column:
     return F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://"))
 
 
+def _all_if(text: Column, mark: str, pattern: str, group: int) -> Column:
+    """All matches of a pattern that cannot match without the mark."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(text, F.lit(mark)), found).otherwise(none)
+
+
 def extract_urls(text: Column) -> Column:
     """Distinct URLs: links, embedded sources, plain URLs and bare www hosts, in that order."""
-    links = F.regexp_extract_all(text, F.lit(HREF), F.lit(1))
-    embedded = F.filter(F.regexp_extract_all(text, F.lit(SRC), F.lit(1)), _is_http)
-    plain = F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0))
+    links = _all_if(text, "<", HREF, 1)
+    embedded = F.filter(_all_if(text, "<", SRC, 1), _is_http)
+    plain = _all_if(text, "://", PLAIN, 0)
     bare = F.transform(
         F.regexp_extract_all(text, F.lit(BARE), F.lit(0)), lambda u: F.concat(F.lit("http://"), u)
     )
@@ -42,7 +49,8 @@ def extract_urls(text: Column) -> Column:
 
 def extract_sender(text: Column) -> Column:
     """First email address in the text, or NULL."""
-    return F.nullif(F.regexp_extract(text, EMAIL_ADDRESS, 0), F.lit(""))
+    first = F.nullif(F.regexp_extract(text, EMAIL_ADDRESS, 0), F.lit(""))
+    return F.when(F.contains(text, F.lit("@")), first)
 
 
 def has_html(text: Column) -> Column:

@@ -56,7 +56,7 @@ def with_word_columns(df: DataFrame) -> DataFrame:
     """Add the token columns the statistics below are made of."""
     base = df.withColumn("_full", full_text(F.col("subject"), F.col("text")))
     base = base.withColumn("_words", words(F.col("_full")))
-    base = base.withColumns({"_n": F.size("_words"), "_sorted": F.array_sort("_words")})
+    base = base.withColumns({"_n": F.size("_words"), "_sorted": F.sort_array("_words")})
     base = base.withColumn(
         "_starts",
         F.when(F.col("_n") > 0, run_starts(F.col("_sorted"))).otherwise(

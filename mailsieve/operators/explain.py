@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import round4, text_array
+from mailsieve.functions.columns import contains_any, round4
 from mailsieve.functions.text import (
     EDGE,
     NOT_SPACE,
     SPACE,
-    WORD_CHAR,
+    WORD_END,
+    WORD_START,
     any_of,
+    by_first_letter,
     full_text,
     java_pattern,
     strip,
@@ -19,16 +21,51 @@ from mailsieve.functions.text import (
 from mailsieve.rules import explain as R
 
 
-def family_hit(text: Column, family: str) -> Column:
-    """True if any pattern of the family occurs in lower-case text."""
-    return F.rlike(text, F.lit(any_of(R.FAMILIES[family])))
+def _word_patterns() -> list[str]:
+    return [p for family in R.WORD_FAMILIES for p in R.FAMILIES[family]]
 
 
-def risk_categories(text: Column) -> Column:
-    """Families found in the text, in fixed order."""
-    lower = F.lower(text)
-    return F.array_compact(
-        F.array(*[F.when(family_hit(lower, f), F.lit(f)) for f in R.FAMILIES])
+def risk_phrases(lower: Column) -> Column:
+    """Every phrase of the word families in lower-case text, one per line, in text order.
+
+    One pass over the text for all families. The match has no width, so phrases that
+    overlap are all found; no two patterns match at the same place.
+    """
+    scan = f"{WORD_START}(?=({by_first_letter(_word_patterns())}){WORD_END})"
+    return F.array_join(F.regexp_extract_all(lower, F.lit(scan), F.lit(1)), "\n")
+
+
+def family_hit(phrases: Column, family: str) -> Column:
+    """True if any pattern of a word family is among the phrases."""
+    return F.rlike(phrases, F.lit(any_of(R.FAMILIES[family])))
+
+
+def url_family_hit(lower: Column) -> Column:
+    """True if a pattern of the URL family is in lower-case text."""
+    worth = contains_any(lower, ["http", "link", "button below"])
+    return F.when(
+        worth, F.rlike(lower, F.lit(any_of(R.FAMILIES["suspicious_url"])))
+    ).otherwise(False)
+
+
+def categories_from(phrases: Column, lower: Column) -> Column:
+    """Families in fixed order, from the phrases and the text they were found in."""
+    hits = {f: family_hit(phrases, f) for f in R.WORD_FAMILIES}
+    hits["suspicious_url"] = url_family_hit(lower)
+    return F.array_compact(F.array(*[F.when(hits[f], F.lit(f)) for f in R.FAMILIES]))
+
+
+def with_risk_phrases(df: DataFrame, text: Column) -> DataFrame:
+    """Add _lower and _phrases, each worked out once per row."""
+    base = df.withColumn("_lower", F.lower(text))
+    return base.withColumn("_phrases", risk_phrases(F.col("_lower")))
+
+
+def with_risk_categories(df: DataFrame, text: Column, out: str = "risk_categories") -> DataFrame:
+    """Add the families found in a text. Narrow."""
+    base = with_risk_phrases(df, text)
+    return base.withColumn(out, categories_from(F.col("_phrases"), F.col("_lower"))).drop(
+        "_lower", "_phrases"
     )
 
 
@@ -37,33 +74,26 @@ def clean_token(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, rf"[^\p{{L}}\p{{N}}_]", ""))
 
 
-def first_matches(lower: Column) -> Column:
-    """First match of each word pattern in the text.
-
-    The patterns of a family are tried one by one only where the family occurs at all.
-    """
+def first_matches(phrases: Column) -> Column:
+    """First match of each word pattern, from the phrases in text order."""
+    each = [
+        F.nullif(F.regexp_extract(phrases, java_pattern(p), 0), F.lit(""))
+        for p in _word_patterns()
+    ]
     none = F.array().cast("array<string>")
-    groups = []
-    for family in R.WORD_FAMILIES:
-        each = [
-            F.nullif(F.regexp_extract(lower, java_pattern(p), 0), F.lit(""))
-            for p in R.FAMILIES[family]
-        ]
-        groups.append(
-            F.when(family_hit(lower, family), F.array_compact(F.array(*each))).otherwise(none)
-        )
-    return F.concat(*groups)
+    return F.when(phrases != "", F.array_compact(F.array(*each))).otherwise(none)
 
 
 def word_pattern() -> str:
-    """One pattern for all word families; a clean token holds word characters only."""
-    return any_of([p for f in R.WORD_FAMILIES for p in R.FAMILIES[f]])
+    """Pattern of a clean token that is itself a risk word; it holds word characters only."""
+    return rf"\A(?:{by_first_letter(_word_patterns())})\z"
 
 
 def with_tokens(df: DataFrame) -> DataFrame:
     """Add _full, and tokens: array of (pos, token, clean, rule) in text order. Narrow."""
     base = df.withColumn("_full", full_text(F.col("subject"), F.col("text")))
-    base = base.withColumn("_matches", first_matches(F.lower("_full")))
+    base = with_risk_phrases(base, F.col("_full"))
+    base = base.withColumn("_matches", first_matches(F.col("_phrases")))
     raw = F.regexp_extract_all("_full", F.lit(f"{NOT_SPACE}+"), F.lit(0))
     base = base.withColumn(
         "_clean",
@@ -90,7 +120,7 @@ def with_tokens(df: DataFrame) -> DataFrame:
                 rule_score(t["clean"]).alias("rule"),
             ),
         ),
-    ).drop("_matches", "_clean")
+    ).drop("_matches", "_clean", "_phrases", "_lower")
 
 
 def weight_key(token: Column) -> Column:
@@ -167,7 +197,7 @@ def top_tokens(df: DataFrame, n: int = R.TOP_TOKENS) -> DataFrame:
     Ordered by score, then position; all inside the row.
     """
     good = F.filter("tokens", lambda t: t["is_highlighted"] & (F.char_length(t["clean"]) > 2))
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             good,
             lambda t: F.struct(
@@ -200,7 +230,7 @@ def merge_wordpieces(pieces: DataFrame) -> DataFrame:
     text = F.when(F.startswith("token", F.lit("##")), F.substring("token", 3, 1 << 30)).otherwise(
         F.col("token")
     )
-    parts = F.array_sort(F.collect_list(F.struct("pos", text.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("pos", text.alias("t"))))
     return (
         numbered.groupBy("email_id", "word_no")
         .agg(

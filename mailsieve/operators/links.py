@@ -21,7 +21,7 @@ def link_chains(hops: DataFrame) -> DataFrame:
     once = hops.groupBy("url", "hop_no").agg(
         F.max(F.struct(F.col("hop_url"), F.col("status"), F.col("timed_out"))).alias("h")
     )
-    in_order = F.array_sort(F.collect_list(F.struct("hop_no", "h.hop_url")))
+    in_order = F.sort_array(F.collect_list(F.struct("hop_no", "h.hop_url")))
     chains = once.groupBy("url").agg(
         F.max("hop_no").alias("redirect_count"),
         F.max(F.struct("hop_no", "h.hop_url", "h.status")).alias("_last"),
@@ -99,7 +99,7 @@ def score_links(chains: DataFrame) -> DataFrame:
 def link_aggregates(checked: Column) -> list[Column]:
     """Aggregates over rows with link facts; checked says which rows count."""
     bad = checked & F.coalesce(F.col("link_suspicious"), F.lit(False))
-    notes = F.array_sort(F.collect_list(F.when(bad, F.struct("pos", "link_flags"))))
+    notes = F.sort_array(F.collect_list(F.when(bad, F.struct("pos", "link_flags"))))
     flags = F.flatten(F.transform(notes, lambda n: n["link_flags"]))
     return [
         F.count_if(checked).alias("checked_links"),

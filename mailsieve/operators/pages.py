@@ -331,7 +331,7 @@ def page_aggregates(crawled: Column) -> list[Column]:
             F.col("has_login_form"), F.lit("Login form detected on crawled page")
         ),
     )
-    notes = F.array_sort(
+    notes = F.sort_array(
         F.collect_list(
             F.when(
                 crawled,

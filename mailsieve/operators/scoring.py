@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.text import NOT_SPACE, clean_inference, combine_subject_body, full_text
-from mailsieve.operators.explain import risk_categories
+from mailsieve.operators.explain import with_risk_categories
 from mailsieve.rules import verdicts as R
 
 
@@ -38,8 +38,10 @@ class RuleScorer:
         self, df: DataFrame, text: str = "text", subject: str | None = "subject",
         out: str = "p_phishing",
     ) -> DataFrame:
-        found = F.size(risk_categories(full_text(_subject(subject), F.col(text))))
-        return df.withColumn(out, F.least(F.lit(100), F.lit(10) + found * 15) / F.lit(100.0))
+        whole = full_text(_subject(subject), F.col(text))
+        found = with_risk_categories(df, whole, "_families")
+        points = F.least(F.lit(100), F.lit(10) + F.size("_families") * 15)
+        return found.withColumn(out, points / F.lit(100.0)).drop("_families")
 
 
 def model_tokens(text: Column, subject: Column, max_tokens: int | None = None) -> Column:

@@ -247,7 +247,7 @@ def rollup_urls(findings: DataFrame, top_flags: int = 2) -> DataFrame:
     An email holds the URLs of one message only, so its collected list is small.
     """
     factor = F.when(F.col("is_suspicious"), F.slice("flags", 1, top_flags))
-    in_order = F.array_sort(F.collect_list(F.struct("pos", factor.alias("f"))))
+    in_order = F.sort_array(F.collect_list(F.struct("pos", factor.alias("f"))))
     return findings.groupBy("email_id").agg(
         F.count(F.lit(1)).alias("total_urls"),
         F.count_if("is_suspicious").alias("suspicious_count"),

@@ -113,7 +113,7 @@ def url_layers(emails: DataFrame, evidence: Evidence, as_of: str, strict_brands:
         rows = rows.join(facts, "url", "left")
     scored = score_urls(rows, strict_brands)
     factor = F.when(F.col("is_suspicious"), F.struct("pos", F.slice("flags", 1, 2).alias("f")))
-    in_order = F.array_sort(F.collect_list(factor))
+    in_order = F.sort_array(F.collect_list(factor))
     aggregates: list[Column] = [
         F.count(F.lit(1)).alias("total_urls"),
         F.count_if("is_suspicious").alias("suspicious_count"),
@@ -250,11 +250,11 @@ def explained(emails: DataFrame, scorer=None, weights: DataFrame | None = None)
         ablate_top_token,
         attribute_tokens,
         explain,
-        risk_categories,
         top_tokens,
+        with_risk_categories,
     )
 
     scorer = scorer or RuleScorer()
     base = classify(scorer.score(with_optional(emails)))
-    base = base.withColumn("risk_categories", risk_categories(full_text(F.col("subject"), F.col("text"))))
+    base = with_risk_categories(base, full_text(F.col("subject"), F.col("text")))
     return explain(ablate_top_token(top_tokens(attribute_tokens(base, weights)), scorer))
