@@ -285,20 +285,19 @@ def _dedup(spark, sf):
 
 
 SHINGLES = f"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{S}+'), lambda x: x <> '') AS w FROM documents),
-  s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS run
-    FROM t WHERE len(w) > 0),
+  x AS (SELECT doc_id, len(w) AS n, unnest(w) AS w0, unnest(range(len(w))) AS pos FROM t),
+  y AS (SELECT doc_id, n, pos, concat_ws(' ', w0, lead(w0, 1) OVER p, lead(w0, 2) OVER p, lead(w0, 3) OVER p, lead(w0, 4) OVER p) AS run
+    FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+  s AS (SELECT DISTINCT doc_id, run FROM y WHERE pos = 0 OR pos <= n - 5),
   o AS (SELECT doc_id, run, min(doc_id) OVER (PARTITION BY run) AS owner FROM s),
   ov AS (SELECT doc_id, count(*) AS runs, count(*) FILTER (WHERE owner = doc_id) AS new_runs FROM o GROUP BY doc_id),
-  r AS (SELECT *, 1.0::DOUBLE - new_runs::DOUBLE / runs::DOUBLE AS overlap FROM ov)"""
+  r AS (SELECT doc_id, coalesce(new_runs, 0) AS new_runs, coalesce(1.0::DOUBLE - new_runs::DOUBLE / runs::DOUBLE, 0.0::DOUBLE) AS overlap
+    FROM documents LEFT JOIN ov USING (doc_id))"""
 
 
-@query(
-    "shingle_overlap",
-    f"WITH {SHINGLES} SELECT doc_id, runs::BIGINT AS runs, new_runs, overlap FROM r",
-)
+@query("shingle_overlap", f"WITH {SHINGLES} SELECT doc_id, new_runs, overlap FROM r")
 def _overlap(spark, sf):
-    out = C.shingle_overlap(load_table(spark, sf, "documents"), "doc_id")
-    return out.withColumn("runs", F.col("runs").cast("bigint"))
+    return C.shingle_overlap(load_table(spark, sf, "documents"), "doc_id")
 
 
 @query(

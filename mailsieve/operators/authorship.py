@@ -189,8 +189,9 @@ def entropy_by_group(df: DataFrame) -> DataFrame:
     counted per email before the shuffle.
     """
     tokens = df.select(
-        "email_id", F.explode(words(full_text(F.col("subject"), F.col("text")))).alias("word")
-    )
+        "email_id",
+        F.explode_outer(words(full_text(F.col("subject"), F.col("text")))).alias("word"),
+    ).filter(F.col("word").isNotNull())
     counts = tokens.groupBy("email_id", "word").agg(F.count(F.lit(1)).alias("c"))
     # H = log2(n) - sum(c log2 c) / n
     return counts.groupBy("email_id").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailsieve.functions.text import SPACE, clean_corpus, concat_text, strip
+from mailsieve.functions.text import NOT_SPACE, SPACE, clean_corpus, concat_text, strip
 from mailsieve.rules.verdicts import MIN_TEXT_LENGTH, QUOTAS
 from mailsieve.session import small_side, written
 
@@ -206,11 +206,13 @@ def dedup_exact(df: DataFrame, order: list[str], text: str = "text") -> DataFram
 
 
 def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
-    """Share of each row's word runs that occur in an earlier row: key, runs, new_runs, overlap.
+    """Share of each row's word runs that occur in an earlier row: key, new_runs, overlap.
 
-    Each run is credited to its first row; a row's overlap is what it was not credited
-    with. Runs are counted before the shuffle and never joined with each other, so a run
-    found in every third row is one row per task, and no pairs are built.
+    A run is n blank-separated words, lower case; shorter texts are one run, texts without
+    words have none and overlap 0. Each run is credited to its first row; a row's overlap
+    is what it was not credited with. Runs are combined before the shuffle and never
+    joined with each other, so a run found in every third row is one row per task, and no
+    pairs are built.
     """
     tokens = df.select(
         F.col(key),
@@ -220,21 +222,26 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
         F.sequence(F.lit(1), F.greatest(F.size("_tokens") - (n - 1), F.lit(1))),
         lambda i: F.unhex(F.md5(F.array_join(F.slice("_tokens", i, n), " "))),
     )
-    hashed = tokens.filter(F.size("_tokens") > 0).select(
-        key, F.array_distinct(runs).alias("_runs")
+    hashed = tokens.select(
+        key, F.when(F.size("_tokens") > 0, F.array_distinct(runs)).alias("_runs")
     )
+    # The outer form keeps the tokens from being worked out again for a size filter.
     exploded = hashed.select(
         F.struct(F.col(key), F.size("_runs").alias("runs")).alias("_row"),
-        F.explode("_runs").alias("_run"),
-    )
+        F.explode_outer("_runs").alias("_run"),
+    ).filter(F.col("_run").isNotNull())
     owners = exploded.groupBy("_run").agg(F.min("_row").alias("_owner"))
     credited = owners.groupBy("_owner").agg(F.count(F.lit(1)).alias("new_runs"))
-    totals = hashed.select(key, F.size("_runs").alias("runs"))
-    counts = credited.select(F.col(f"_owner.{key}").alias(key), "new_runs")
-    out = totals.join(counts, key, "left").withColumn(
-        "new_runs", F.coalesce("new_runs", F.lit(0).cast("bigint"))
+    counts = credited.select(F.col(f"_owner.{key}").alias(key), "new_runs", "_owner.runs")
+    out = df.select(key, F.rlike(text, F.lit(NOT_SPACE)).alias("_has_words")).join(
+        counts, key, "left"
+    )
+    missing = F.when(F.col("_has_words"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return out.select(
+        key,
+        F.coalesce("new_runs", F.lit(0).cast("bigint")).alias("new_runs"),
+        F.coalesce(F.lit(1.0) - F.col("new_runs") / F.col("runs"), missing).alias("overlap"),
     )
-    return out.withColumn("overlap", F.lit(1.0) - F.col("new_runs") / F.col("runs"))
 
 
 def dedup_near(

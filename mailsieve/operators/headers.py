@@ -29,7 +29,7 @@ def header_value(block: Column, name: str) -> Column:
 def parse_headers(df: DataFrame, col: str = "raw_headers") -> DataFrame:
     """One row per header field: email_id, pos, name (lower case), value."""
     lines = F.split(header_block(F.col(col)), "\n")
-    rows = df.filter(F.col(col).isNotNull()).select("email_id", F.posexplode(lines))
+    rows = df.filter(F.col(col).isNotNull()).select("email_id", F.posexplode_outer(lines))
     return rows.filter(F.rlike("col", F.lit(r"^[!-9;-~]+:"))).select(
         "email_id",
         "pos",

@@ -173,7 +173,7 @@ def variants(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     made = [v for kind in (kinds or R.ATTACKS) for v in GENERATORS[kind]()]
     keep = df.filter(F.char_length("text") >= R.MIN_TEXT)
     others = [c for c in df.columns if c != "text"]
-    return keep.select(*others, F.inline(F.array_compact(F.array(*made))))
+    return keep.select(*others, F.inline_outer(F.array_compact(F.array(*made))))
 
 
 def detector_notes() -> Column:

@@ -44,7 +44,8 @@ def explode_urls(df: DataFrame, first: int | None = None) -> DataFrame:
             (F.array_position(F.col("urls"), u) == i + 1).alias("first_seen"),
         ),
     )
-    return df.select("email_id", F.inline(placed))
+    # The outer form keeps the URLs from being extracted again for a size filter.
+    return df.select("email_id", F.inline_outer(placed)).filter(F.col("url").isNotNull())
 
 
 def days_between(later: Column, earlier: Column) -> Column:
