@@ -1,9 +1,9 @@
 """All queries and their check SQL by name."""
 
-from checks import curation
+from checks import curation, urls
 
 QUERIES = {}
 ORACLE = {}
-for part in (curation,):
+for part in (curation, urls):
     QUERIES.update(part.QUERIES)
     ORACLE.update(part.ORACLE)
