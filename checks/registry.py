@@ -1,9 +1,9 @@
 """All queries and their check SQL by name."""
 
-from checks import curation, urls
+from checks import curation, mail, urls, verdicts
 
 QUERIES = {}
 ORACLE = {}
-for part in (curation, urls):
+for part in (curation, urls, mail, verdicts):
     QUERIES.update(part.QUERIES)
     ORACLE.update(part.ORACLE)

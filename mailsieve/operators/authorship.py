@@ -16,7 +16,8 @@ def sentence_lengths(text: Column) -> Column:
 
 
 def mean_length(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / F.size(lengths)
+    total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+    return F.try_divide(total, F.size(lengths))
 
 
 def burstiness_score(lengths: Column, mean: Column) -> Column:
@@ -27,7 +28,10 @@ def burstiness_score(lengths: Column, mean: Column) -> Column:
     n = F.size(lengths)
     spread = F.sqrt(
         F.aggregate(
-            lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean), lambda a: a / n
+            lengths,
+            F.lit(0.0),
+            lambda a, x: a + (x - mean) * (x - mean),
+            lambda a: F.try_divide(a, n),
         )
     )
     burst = F.try_divide(spread - mean, spread + mean)
@@ -91,14 +95,14 @@ def perplexity_score() -> Column:
 
 
 def vocabulary_score() -> Column:
-    ttr = F.size("_starts") / F.sqrt(F.col("_n"))
+    ttr = F.try_divide(F.size("_starts"), F.sqrt(F.col("_n")))
     return F.when(F.col("_n") < 5, F.lit(0.5)).otherwise(
         round4(clamp01((F.lit(7.0) - ttr) / F.lit(5.0)))
     )
 
 
 def repetition_score() -> Column:
-    share = F.lit(1.0) - F.col("_pairs") / (F.col("_n") - 1)
+    share = F.lit(1.0) - F.try_divide(F.col("_pairs"), F.col("_n") - 1)
     return F.when(F.col("_n") < 4, F.lit(0.0)).otherwise(round4(clamp01(share / F.lit(0.4))))
 
 
@@ -108,7 +112,7 @@ def formality_hits() -> Column:
 
 
 def formality_score() -> Column:
-    per_hundred = F.col("_hits") / F.col("_n") * F.lit(100.0)
+    per_hundred = F.try_divide(F.col("_hits"), F.col("_n")) * F.lit(100.0)
     return F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(
         round4(clamp01(per_hundred / F.lit(8.0)))
     )
