@@ -174,3 +174,13 @@ def latest(table: str, key: str) -> str:
         f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} "
         f"ORDER BY observed_epoch DESC, page_id DESC) AS rn FROM {table}) WHERE rn = 1)"
     )
+
+
+def round_even(x: str, digits: int = 4) -> str:
+    """Ties to the even digit, judged on the shortest decimal form of the double."""
+    scale = 10**digits
+    e = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 20)) * {scale})"
+    return (
+        f"CAST(CASE WHEN {e} - floor({e}) = 0.5 THEN floor({e}) + abs(floor({e}) % 2) "
+        f"ELSE round({e}, 0) END AS DOUBLE) / {scale}::DOUBLE"
+    )

@@ -20,6 +20,7 @@ from checks.duck import (
     lst,
     points,
     q,
+    round_even,
     rx,
     score,
     sentences,
@@ -247,11 +248,8 @@ def documents(spark, sf):
     return docs.select(F.col("doc_id").alias("email_id"), F.lit(None).cast("string").alias("subject"), "text")
 
 
-R4 = "round_even(%s, 4)"
-
-
 def _clamp(x: str) -> str:
-    return f"round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x})), 4)"
+    return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
 
 
 def authored(source: str) -> str:
@@ -264,12 +262,13 @@ def authored(source: str) -> str:
   st AS (SELECT email_id, avg(x) AS mu, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) AS sd, count(*) AS k FROM (SELECT email_id, unnest(sl)::DOUBLE AS x FROM a1) GROUP BY email_id),
   a2 AS (SELECT a1.email_id, ft, len(w) AS n, coalesce(u, 0) AS u, coalesce(h, 0) AS h, coalesce(ub, 0) AS ub, mu, sd, coalesce(k, 0) AS k, len({hits("lt", AR.CONNECTORS + AR.URGENCY)}) AS hit
     FROM a1 LEFT JOIN en USING (email_id) LEFT JOIN bi USING (email_id) LEFT JOIN st USING (email_id)),
-  a3 AS (SELECT *, CASE WHEN k < 3 OR sd + mu = 0 THEN 0.5::DOUBLE ELSE {_clamp("0.3::DOUBLE - (sd - mu) / (sd + mu)")} END AS b,
+  a3x AS (SELECT *, CASE WHEN k < 3 OR sd + mu = 0 THEN 0.5::DOUBLE ELSE {_clamp("0.3::DOUBLE - (sd - mu) / (sd + mu)")} END AS b,
     CASE WHEN n < 10 THEN 0.5::DOUBLE ELSE {_clamp("(9.0::DOUBLE - h) / 5.0::DOUBLE")} END AS p,
     CASE WHEN n < 5 THEN 0.5::DOUBLE ELSE {_clamp("(7.0::DOUBLE - u / sqrt(n)) / 5.0::DOUBLE")} END AS v,
     CASE WHEN n < 4 THEN 0.0::DOUBLE ELSE {_clamp("(1.0::DOUBLE - ub / (n - 1)) / 0.4::DOUBLE")} END AS r,
     CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE {_clamp("hit / n * 100.0::DOUBLE / 8.0::DOUBLE")} END AS f FROM a2),
-  a4 AS (SELECT *, round_even(least(1.0::DOUBLE, b * 0.30::DOUBLE + p * 0.25::DOUBLE + v * 0.15::DOUBLE + r * 0.15::DOUBLE + f * 0.15::DOUBLE), 4) AS s FROM a3),
+  a3 AS (SELECT * REPLACE ({", ".join(f"{round_even(c)} AS {c}" for c in "bpvrf")}) FROM a3x),
+  a4 AS (SELECT * REPLACE ({round_even("s")} AS s) FROM (SELECT *, least(1.0::DOUBLE, b * 0.30::DOUBLE + p * 0.25::DOUBLE + v * 0.15::DOUBLE + r * 0.15::DOUBLE + f * 0.15::DOUBLE) AS s FROM a3)),
   authorship AS (SELECT email_id, n >= 10 AND s >= 0.55::DOUBLE AS is_ai_generated, CASE WHEN n < 10 THEN 0.0::DOUBLE ELSE s END AS ai_authorship_score,
     CASE WHEN n < 10 THEN 0.0::DOUBLE ELSE b END AS burstiness_score, CASE WHEN n < 10 THEN 0.0::DOUBLE ELSE p END AS perplexity_proxy,
     CASE WHEN n < 10 THEN 0.0::DOUBLE ELSE v END AS vocabulary_richness, CASE WHEN n < 10 THEN 0.0::DOUBLE ELSE r END AS repetition_score,
@@ -383,8 +382,8 @@ TOKENS = f"""t0 AS (SELECT email_id, {full_text()} AS ft, lower({full_text()}) A
 
 
 def scored_tokens(source: str) -> str:
-    return f"""tokens AS (SELECT *, round_even(raw_score / CASE WHEN max(raw_score) OVER (PARTITION BY email_id) = 0 THEN 1.0::DOUBLE
-    ELSE max(raw_score) OVER (PARTITION BY email_id) END, 4) AS score FROM {source}),
+    return f"""tokens AS (SELECT * REPLACE ({round_even('score')} AS score) FROM (SELECT *, raw_score / CASE WHEN max(raw_score) OVER (PARTITION BY email_id) = 0 THEN 1.0::DOUBLE
+    ELSE max(raw_score) OVER (PARTITION BY email_id) END AS score FROM {source})),
   top0 AS (SELECT *, row_number() OVER (PARTITION BY email_id, clean ORDER BY score DESC, pos) AS first FROM tokens WHERE score >= 0.55::DOUBLE AND length(clean) > 2),
   top1 AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY score DESC, pos) AS rank FROM top0 WHERE first = 1),
   top_tokens AS (SELECT e.email_id, coalesce(array_to_string(list(t.token ORDER BY t.rank) FILTER (WHERE t.rank IS NOT NULL), '|'), '') AS top_tokens
@@ -443,7 +442,7 @@ def _pieces(spark, sf):
 
 BLEND = f"""wk AS (SELECT email_id, ltrim(lower(token), '#') AS k, arg_max(score, pos) AS w FROM merged WHERE token <> '' GROUP BY email_id, k),
   has AS (SELECT DISTINCT email_id FROM wk),
-  blended AS (SELECT r.email_id, pos, token, clean, CASE WHEN h.email_id IS NULL THEN raw_score ELSE round_even(coalesce(w, raw_score * 0.5::DOUBLE) * 0.6::DOUBLE + raw_score * 0.4::DOUBLE, 4) END AS raw_score
+  blended AS (SELECT r.email_id, pos, token, clean, CASE WHEN h.email_id IS NULL THEN raw_score ELSE {round_even('coalesce(w, raw_score * 0.5::DOUBLE) * 0.6::DOUBLE + raw_score * 0.4::DOUBLE')} END AS raw_score
     FROM rules r LEFT JOIN wk ON r.email_id = wk.email_id AND wk.k = ltrim(lower(r.token), '#') LEFT JOIN has h ON r.email_id = h.email_id)"""
 
 

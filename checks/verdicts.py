@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.curation import CORPUS, corpus, emails
-from checks.duck import EMAIL_URLS, PARSED, compact, ctes, first_in, hits, joined, lst, q, rx
+from checks.duck import EMAIL_URLS, PARSED, compact, ctes, first_in, hits, joined, lst, q, round_even, rx
 from checks.mail import CATS, SCORED_HEADERS, SCORED_SENDERS, authored
 from checks.urls import (
     CHAINS,
@@ -241,7 +241,7 @@ LAYER_CTES = f"""{ALL}, {PARSED}, {EMAIL_URLS}, {SCORES}, {SCORED_HEADERS}, {SCO
   pg AS (SELECT email_id, {PAGE_AGG} FROM seen GROUP BY email_id),
   {CHAINS}, {SCORED_LINKS}, la AS (SELECT email_id, {LINK_AGG} FROM email_urls e LEFT JOIN links l ON e.url = l.url WHERE first_seen AND pos < 20 GROUP BY email_id),
   lay AS (SELECT c.email_id, c.is_phishing, c.confidence, CASE WHEN c.is_phishing THEN c.confidence ELSE 1.0::DOUBLE - c.confidence END AS text_risk,
-    u.url_risk, h.risk_score AS headers_risk, {LINK_SCORE} AS links_risk, g.visual_risk, g.crawl_risk, s.risk_score AS sender_risk,
+    u.url_risk, h.risk_score AS headers_risk, CASE WHEN checked_links IS NOT NULL THEN {LINK_SCORE} END AS links_risk, g.visual_risk, g.crawl_risk, s.risk_score AS sender_risk,
     a.is_ai_generated, a.ai_authorship_score, u.total_urls, u.url_factors, g.visual_factors, g.crawl_factors, l.suspicious_links, l.link_flags,
     s.flags AS sender_flags, s.is_suspicious AS sender_suspicious, h.flags AS header_flags, h.is_suspicious AS header_suspicious
     FROM cl c LEFT JOIN ur u USING (email_id) LEFT JOIN headers h USING (email_id) LEFT JOIN la l USING (email_id) LEFT JOIN pg g USING (email_id)
@@ -275,7 +275,7 @@ def _layer_risks(spark, sf):
 
 @query(
     "deep_analyze",
-    f"""{LAYER_CTES} SELECT email_id, round_even(combined, 4) AS overall_risk_score, verdict AS overall_verdict, flagging AS flagging_layers,
+    f"""{LAYER_CTES} SELECT email_id, {round_even('combined')} AS overall_risk_score, verdict AS overall_verdict, flagging AS flagging_layers,
     coalesce(array_to_string(list_distinct_keep, '|'), '') AS risk_factors FROM (SELECT *, list_transform(list_filter(list_transform(fs, lambda x, i: {{'x': x, 'i': i, 'p': list_position(fs, x)}}), lambda s: s.i = s.p), lambda s: s.x) AS list_distinct_keep
     FROM (SELECT *, list_filter(list_concat(list_concat(list_concat(
       CASE WHEN is_phishing THEN ['Email text classified as phishing (' || printf('%.1f', confidence * 100) || '% confidence)'] ELSE [] END,
@@ -323,7 +323,7 @@ def mixed_layers(spark, sf):
 
 @query(
     "weights_redistribution",
-    f"WITH {MIX} SELECT email_id, round_even(weighted, 9) AS weighted_risk, flagging AS flagging_layers, round_even(combined, 4) AS overall_risk_score, verdict AS overall_verdict FROM {verdict_sql()}",
+    f"WITH {MIX} SELECT email_id, {round_even('weighted', 9)} AS weighted_risk, flagging AS flagging_layers, {round_even('combined')} AS overall_risk_score, verdict AS overall_verdict FROM {verdict_sql()}",
 )
 def _redistribution(spark, sf):
     out = V.aggregate_risk(mixed_layers(spark, sf))
@@ -339,7 +339,7 @@ def _redistribution(spark, sf):
     email_urls AS (SELECT email_id, pos, url FROM (SELECT email_id, unnest(range(len(body_urls))) AS pos, unnest(body_urls) AS url FROM parsed)), {SCORES}, {FACTS}, {ENRICHED},
     uf AS (SELECT email_id, max(risk_score) AS url_risk FROM {scored_urls("SELECT * FROM enriched")} GROUP BY email_id),
     c AS (SELECT email_id, CASE WHEN is_phishing THEN confidence ELSE 1.0::DOUBLE - confidence END * 0.6::DOUBLE + coalesce(url_risk, 0.0::DOUBLE) * 0.4::DOUBLE AS r FROM cl LEFT JOIN uf USING (email_id))
-    SELECT email_id, round_even(r, 4) AS overall_risk_score, CASE WHEN r >= 0.70::DOUBLE THEN 'PHISHING' WHEN r >= 0.35::DOUBLE THEN 'SUSPICIOUS' ELSE 'SAFE' END AS overall_verdict FROM c""",
+    SELECT email_id, {round_even('r')} AS overall_risk_score, CASE WHEN r >= 0.70::DOUBLE THEN 'PHISHING' WHEN r >= 0.35::DOUBLE THEN 'SUSPICIOUS' ELSE 'SAFE' END AS overall_verdict FROM c""",
 )
 def _two_layer(spark, sf):
     out = full_analyze(emails(spark, sf), evidence(spark, sf), as_of=AS_OF)
@@ -490,7 +490,7 @@ ROBUST = f"""{MAILS}, {SCORES}, {VARIANTS}, vin AS (SELECT v.email_id * 100 + ro
   out AS (SELECT *, adversarial_score < 0.5::DOUBLE AS classifier_fooled, adversarial_score < 0.5::DOUBLE AND NOT heuristic_caught AS evasion_success FROM res)"""
 
 
-@query("robustness", f"{ROBUST} SELECT email_id, attack_type, variant_name, original_score, adversarial_score, round_even(adversarial_score - original_score, 4) AS score_delta, heuristic_caught, classifier_fooled, evasion_success FROM out")
+@query("robustness", f"{ROBUST} SELECT email_id, attack_type, variant_name, original_score, adversarial_score, {round_even('adversarial_score - original_score')} AS score_delta, heuristic_caught, classifier_fooled, evasion_success FROM out")
 def _robustness(spark, sf):
     out = RO.robustness(emails(spark, sf), SC.RuleScorer())
     return out.drop("adversarial_text", "fooled_by_confidence", "detection_notes")
@@ -505,7 +505,7 @@ def _breakdown(spark, sf):
     return RO.attack_breakdown(RO.robustness(emails(spark, sf), SC.RuleScorer()))
 
 
-_RATE = "round_even(evasion_successes / total_tests, 4)"
+_RATE = round_even("evasion_successes / total_tests")
 _SUMMARY = """CASE WHEN resilience_score >= 0.9::DOUBLE THEN 'Strong adversarial resilience (' || pct || '%) — ' || ev || ' attack variants evaded detection.'
   WHEN resilience_score >= 0.7::DOUBLE THEN 'Moderate resilience (' || pct || '%) — ' || ev || ' variants evaded. Heuristic hardening recommended.'
   ELSE 'Low resilience (' || pct || '%) — ' || ev || ' variants evaded. Significant hardening required.' END"""
@@ -514,7 +514,8 @@ _SUMMARY = """CASE WHEN resilience_score >= 0.9::DOUBLE THEN 'Strong adversarial
 @query(
     "robustness_report",
     f"""{ROBUST}, t AS (SELECT email_id, count(*) AS total_tests, count(*) FILTER (WHERE evasion_success) AS evasion_successes FROM out GROUP BY email_id),
-    r AS (SELECT *, {_RATE} AS evasion_rate, round_even(1.0::DOUBLE - {_RATE}, 4) AS resilience_score, evasion_successes || '/' || total_tests AS ev FROM t),
+    r0 AS (SELECT *, {_RATE} AS evasion_rate, evasion_successes || '/' || total_tests AS ev FROM t),
+    r AS (SELECT *, {round_even('1.0::DOUBLE - evasion_rate')} AS resilience_score FROM r0),
     p AS (SELECT *, CAST(round_even(resilience_score * 100, 0) AS INTEGER) AS pct FROM r)
     SELECT email_id, total_tests, evasion_successes, evasion_rate, resilience_score, {_SUMMARY} AS summary FROM p""",
 )
@@ -537,7 +538,7 @@ def _history(spark, sf):
 
 @query(
     "verdict_log",
-    f"""{LAYER_CTES} SELECT email_id, CASE WHEN coalesce(subject, '') <> '' THEN subject || ' — ' ELSE '' END || left(text, 120) AS preview, verdict, round_even(combined, 4) AS risk_score,
+    f"""{LAYER_CTES} SELECT email_id, CASE WHEN coalesce(subject, '') <> '' THEN subject || ' — ' ELSE '' END || left(text, 120) AS preview, verdict, {round_even('combined')} AS risk_score,
     3 + (sender_risk IS NOT NULL)::INTEGER + (url_risk IS NOT NULL)::INTEGER + (crawl_risk IS NOT NULL)::INTEGER + (visual_risk IS NOT NULL)::INTEGER + (links_risk IS NOT NULL)::INTEGER + (headers_risk IS NOT NULL)::INTEGER AS layers
     FROM {verdict_sql()} JOIN emails USING (email_id)""",
 )

@@ -18,9 +18,23 @@ class Rule(NamedTuple):
     points: Column | int = 0
 
 
+def sql_text(value: str) -> str:
+    """String literal of Spark SQL."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sql_array(values: Iterable[str]) -> str:
+    return f"array({', '.join(sql_text(v) for v in values)})"
+
+
 def text_array(values: Iterable[str]) -> Column:
     """Constant array of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(sql_array(values))
+
+
+def in_set(text: Column, values: Iterable[str]) -> Column:
+    return F.array_contains(text_array(values), text)
 
 
 def as_column(value: Column | str) -> Column:
@@ -34,14 +48,11 @@ def contained(text: Column, phrases: Sequence[str]) -> Column:
 
 def first_contained(text: Column, phrases: Sequence[str]) -> Column:
     """First phrase of the list found in the text, or NULL."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases])
+    return F.get(contained(text, phrases), F.lit(0))
 
 
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
-    found = F.contains(text, F.lit(phrases[0]))
-    for phrase in phrases[1:]:
-        found = found | F.contains(text, F.lit(phrase))
-    return found
+    return F.rlike(text, F.lit("|".join(re.escape(p) for p in phrases)))
 
 
 def ending(text: Column, endings: Sequence[str]) -> Column:
@@ -52,10 +63,8 @@ def ending(text: Column, endings: Sequence[str]) -> Column:
 
 def in_domains(domain: Column, domains: Sequence[str]) -> Column:
     """True if the domain is one of the list or below one of them."""
-    below = domain.isin(list(domains))
-    for d in domains:
-        below = below | F.endswith(domain, F.lit("." + d))
-    return below
+    choices = "|".join(re.escape(d) for d in domains)
+    return F.rlike(domain, F.lit(rf"(?:^|\.)(?:{choices})\z"))
 
 
 def flags_of(rules: Sequence[Rule]) -> Column:

@@ -76,12 +76,9 @@ def clean_token(token: Column) -> Column:
 
 def first_matches(phrases: Column) -> Column:
     """First match of each word pattern, from the phrases in text order."""
-    each = [
-        F.nullif(F.regexp_extract(phrases, java_pattern(p), 0), F.lit(""))
-        for p in _word_patterns()
-    ]
+    each = F.array(*[F.regexp_extract(phrases, java_pattern(p), 0) for p in _word_patterns()])
     none = F.array().cast("array<string>")
-    return F.when(phrases != "", F.array_compact(F.array(*each))).otherwise(none)
+    return F.when(phrases != "", F.array_remove(each, "")).otherwise(none)
 
 
 def word_pattern() -> str:

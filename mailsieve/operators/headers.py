@@ -7,7 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import Rule, as_column, flags_of, points_of, score_of, title_case
+from mailsieve.functions.columns import (
+    Rule,
+    as_column,
+    flags_of,
+    in_set,
+    points_of,
+    score_of,
+    sql_array,
+    sql_text,
+    title_case,
+)
 from mailsieve.functions.text import SPACE, WORD_CHAR, WORD_START, strip
 from mailsieve.rules import headers as R
 
@@ -73,13 +83,17 @@ def spoofed_brand(from_header: Column, from_domain: Column) -> Column:
     """First brand (list order) named by the sender whose domains it does not use, or ''."""
     shown = F.regexp_extract(strip(from_header), rf'^"?([^<"]+)"?{SPACE}*<', 1)
     name = F.lower(F.when(shown != "", shown).otherwise(from_header))
-    hits = []
-    for brand, domains in R.BRAND_DOMAINS.items():
-        own = F.lit(False)
-        for domain in domains:
-            own = own | F.endswith(from_domain, F.lit(domain))
-        hits.append(F.when(F.contains(name, F.lit(brand)) & ~own, F.lit(brand)))
-    return F.when(from_domain != "", F.coalesce(*hits, F.lit(""))).otherwise("")
+    rows = [
+        f"named_struct('brand', {sql_text(brand)}, 'domains', {sql_array(domains)})"
+        for brand, domains in R.BRAND_DOMAINS.items()
+    ]
+    claimed = F.filter(
+        F.expr(f"array({', '.join(rows)})"),
+        lambda b: F.contains(name, b["brand"])
+        & ~F.exists(b["domains"], lambda d: F.endswith(from_domain, d)),
+    )
+    first = F.coalesce(F.get(claimed, F.lit(0))["brand"], F.lit(""))
+    return F.when(from_domain != "", first).otherwise("")
 
 
 def header_fields(df: DataFrame, as_of: str, col: str = "raw_headers") -> DataFrame:
@@ -216,7 +230,7 @@ def header_rules() -> list[Rule]:
             points["date"],
         ),
         Rule(
-            sender.isin(R.FREE_DOMAINS),
+            in_set(sender, R.FREE_DOMAINS),
             F.concat(F.lit("From address uses free/throwaway domain ("), sender, F.lit(")")),
             points["free_domain"],
         ),

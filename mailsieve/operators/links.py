@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import Rule, ending, flags_of
+from mailsieve.functions.columns import Rule, ending, flags_of, in_set
 from mailsieve.functions.urls import url_host, url_scheme
 from mailsieve.rules import links as R
 
@@ -69,7 +69,7 @@ def score_links(chains: DataFrame) -> DataFrame:
             1,
         ),
         Rule(
-            reached & F.col("_from").isin(R.SHORTENERS),
+            reached & in_set(F.col("_from"), R.SHORTENERS),
             F.concat(F.lit("URL shortener used: "), "_from"),
             1,
         ),

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import Rule, flags_of, points_of, score_of, text_array, title_case
-from mailsieve.functions.columns import contained, contains_any
+from mailsieve.functions.columns import (
+    Rule,
+    contained,
+    contains_any,
+    flags_of,
+    points_of,
+    score_of,
+    sql_array,
+    sql_text,
+    title_case,
+)
 from mailsieve.functions.text import squeeze
 from mailsieve.functions.urls import url_host
+from mailsieve.operators.urls import latest
 from mailsieve.rules import pages as R
 
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
@@ -101,17 +111,12 @@ def _opening(form: Column) -> Column:
 
 
 def _signatures() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(brand).alias("brand"),
-                text_array(titles).alias("titles"),
-                text_array(words).alias("words"),
-                text_array(domains).alias("domains"),
-            )
-            for brand, (titles, words, domains) in R.BRAND_PAGES.items()
-        ]
-    )
+    rows = [
+        f"named_struct('brand', {sql_text(brand)}, 'titles', {sql_array(titles)}, "
+        f"'words', {sql_array(words)}, 'domains', {sql_array(domains)})"
+        for brand, (titles, words, domains) in R.BRAND_PAGES.items()
+    ]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def _is_own_domain(signature: Column, domain: Column) -> Column:
@@ -288,8 +293,6 @@ def page_facts(pages: DataFrame, as_of: str) -> DataFrame:
 
     The HTML is reduced to features before the shuffle by URL.
     """
-    from mailsieve.operators.urls import latest
-
     scored = score_pages(page_features(pages)).withColumn("crawl_points", crawl_points())
     compact = scored.select(
         "url", "observed_at", *(["page_id"] if "page_id" in pages.columns else []),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import as_column, contains_any, round4
+from mailsieve.functions.columns import as_column, contains_any, round4, sql_text
 from mailsieve.functions.text import java_pattern
 from mailsieve.rules import robustness as R
 
@@ -39,12 +39,11 @@ def detect_zero_width(text: Column) -> Column:
 def detect_homoglyph_brands(text: Column) -> Column:
     """Notes on brands spelled with look-alike characters."""
     lower = F.lower(text)
-    spellings = F.array(
-        *[
-            F.struct(F.lit(s).alias("spelling"), F.lit(b).alias("brand"))
-            for s, b in spoofed_spellings()
-        ]
-    )
+    rows = [
+        f"named_struct('spelling', {sql_text(s)}, 'brand', {sql_text(b)})"
+        for s, b in spoofed_spellings()
+    ]
+    spellings = F.expr(f"array({', '.join(rows)})")
     return F.transform(
         F.filter(spellings, lambda x: F.contains(lower, x["spelling"])),
         lambda x: F.concat(
@@ -173,7 +172,8 @@ def variants(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     made = [v for kind in (kinds or R.ATTACKS) for v in GENERATORS[kind]()]
     keep = df.filter(F.char_length("text") >= R.MIN_TEXT)
     others = [c for c in df.columns if c != "text"]
-    return keep.select(*others, F.inline_outer(F.array_compact(F.array(*made))))
+    rows = keep.select(*others, F.inline_outer(F.array_compact(F.array(*made))))
+    return rows.filter(F.col("attack_type").isNotNull())
 
 
 def detector_notes() -> Column:

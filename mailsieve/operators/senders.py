@@ -9,6 +9,7 @@ from mailsieve.functions.columns import (
     Rule,
     first_contained,
     flags_of,
+    in_set,
     points_of,
     score_of,
     text_array,
@@ -71,7 +72,7 @@ def score_senders(df: DataFrame) -> DataFrame:
     )
     found = base.withColumns(
         {
-            "_free": F.col("_domain").isin(R.FREE_PROVIDERS),
+            "_free": in_set(F.col("_domain"), R.FREE_PROVIDERS),
             "_brand": first_contained(
                 F.replace(F.lower("_name"), F.lit(" "), F.lit("")), sorted(R.BRANDS)
             ),

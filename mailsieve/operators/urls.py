@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions import urls as U
 from mailsieve.functions.columns import (
     Rule,
+    contained,
     contains_any,
     ending,
     first_contained,
@@ -121,15 +122,12 @@ def brand_in_domain(domain: Column, strict: bool = False) -> Column:
     brands = sorted(R.IMPERSONATED_BRANDS)
     if not strict:
         return first_contained(domain, brands)
-    return F.coalesce(
-        *[
-            F.when(
-                F.contains(domain, F.lit(b)) & ~in_domains(domain, R.LEGITIMATE_DOMAINS.get(b, [""])),
-                F.lit(b),
-            )
-            for b in brands
-        ]
-    )
+    spared = [
+        F.when(in_domains(domain, own), F.lit(brand))
+        for brand, own in R.LEGITIMATE_DOMAINS.items()
+    ]
+    found = F.array_except(contained(domain, brands), F.array_compact(F.array(*spared)))
+    return F.get(found, F.lit(0))
 
 
 def url_rules(strict_brands: bool = False) -> list[Rule]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # 2026-01-01T00:00:00Z, the moment all age rules are measured against.
 AS_OF_EPOCH = 1767225600
-AS_OF = "2026-01-01 00:00:00"
+AS_OF = "2026-01-01T00:00:00Z"
 
 BASE_TABLES = {
     "emails": ["documents", "pages"],
