@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -41,9 +41,16 @@ def as_column(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, also where a lambda uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contained(text: Column, phrases: Sequence[str]) -> Column:
     """The phrases found in the text, in the order of the list."""
-    return F.filter(text_array(phrases), lambda p: F.contains(text, p))
+    return with_value(
+        text, lambda t: F.filter(text_array(phrases), lambda p: F.contains(t, p))
+    )
 
 
 def first_contained(text: Column, phrases: Sequence[str]) -> Column:

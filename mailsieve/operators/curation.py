@@ -227,12 +227,13 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
     )
     # The outer form keeps the tokens from being worked out again for a size filter.
     exploded = hashed.select(
-        F.struct(F.col(key), F.size("_runs").alias("runs")).alias("_row"),
-        F.explode_outer("_runs").alias("_run"),
+        key, F.size("_runs").alias("runs"), F.explode_outer("_runs").alias("_run")
     ).filter(F.col("_run").isNotNull())
-    owners = exploded.groupBy("_run").agg(F.min("_row").alias("_owner"))
-    credited = owners.groupBy("_owner").agg(F.count(F.lit(1)).alias("new_runs"))
-    counts = credited.select(F.col(f"_owner.{key}").alias(key), "new_runs", "_owner.runs")
+    # Two numbers per run, so the combining stays a hash aggregation.
+    owners = exploded.groupBy("_run").agg(
+        F.min(key).alias(key), F.min_by("runs", key).alias("runs")
+    )
+    counts = owners.groupBy(key, "runs").agg(F.count(F.lit(1)).alias("new_runs"))
     out = df.select(key, F.rlike(text, F.lit(NOT_SPACE)).alias("_has_words")).join(
         counts, key, "left"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import contains_any, round4
+from mailsieve.functions.columns import round4
 from mailsieve.functions.text import (
     EDGE,
     NOT_SPACE,
@@ -31,7 +31,8 @@ def risk_phrases(lower: Column) -> Column:
     One pass over the text for all families. The match has no width, so phrases that
     overlap are all found; no two patterns match at the same place.
     """
-    scan = f"{WORD_START}(?=({by_first_letter(_word_patterns())}){WORD_END})"
+    # The plain look-behind settles most places; the full one is left to the matches.
+    scan = f"(?<![a-z])(?=({by_first_letter(_word_patterns())}){WORD_END}){WORD_START}"
     return F.array_join(F.regexp_extract_all(lower, F.lit(scan), F.lit(1)), "\n")
 
 
@@ -41,11 +42,24 @@ def family_hit(phrases: Column, family: str) -> Column:
 
 
 def url_family_hit(lower: Column) -> Column:
-    """True if a pattern of the URL family is in lower-case text."""
-    worth = contains_any(lower, ["http", "link", "button below"])
-    return F.when(
-        worth, F.rlike(lower, F.lit(any_of(R.FAMILIES["suspicious_url"])))
-    ).otherwise(False)
+    """True if a pattern of the URL family is in lower-case text.
+
+    A cheap look for the fixed part of each pattern goes before the pattern itself.
+    """
+    link, click, below, following, button = (
+        F.lit(x) for x in ("link", "click", "below", "following link", "button below")
+    )
+    url, clicks, belows, followings, buttons = (
+        F.rlike(lower, F.lit(java_pattern(p))) for p in R.FAMILIES["suspicious_url"]
+    )
+    linked = F.contains(lower, link) & (
+        (F.contains(lower, click) & clicks)
+        | (F.contains(lower, below) & belows)
+        | (F.contains(lower, following) & followings)
+    )
+    return (
+        (F.contains(lower, F.lit("http")) & url) | linked | (F.contains(lower, button) & buttons)
+    )
 
 
 def categories_from(phrases: Column, lower: Column) -> Column:

@@ -17,6 +17,7 @@ from mailsieve.functions.columns import (
     sql_array,
     sql_text,
     title_case,
+    with_value,
 )
 from mailsieve.functions.text import SPACE, WORD_CHAR, WORD_START, strip
 from mailsieve.rules import headers as R
@@ -87,10 +88,14 @@ def spoofed_brand(from_header: Column, from_domain: Column) -> Column:
         f"named_struct('brand', {sql_text(brand)}, 'domains', {sql_array(domains)})"
         for brand, domains in R.BRAND_DOMAINS.items()
     ]
-    claimed = F.filter(
-        F.expr(f"array({', '.join(rows)})"),
-        lambda b: F.contains(name, b["brand"])
-        & ~F.exists(b["domains"], lambda d: F.endswith(from_domain, d)),
+    brands = F.expr(f"array({', '.join(rows)})")
+    claimed = with_value(
+        F.struct(name.alias("name"), from_domain.alias("domain")),
+        lambda f: F.filter(
+            brands,
+            lambda b: F.contains(f["name"], b["brand"])
+            & ~F.exists(b["domains"], lambda d: F.endswith(f["domain"], d)),
+        ),
     )
     first = F.coalesce(F.get(claimed, F.lit(0))["brand"], F.lit(""))
     return F.when(from_domain != "", first).otherwise("")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import as_column, contains_any, round4, sql_text
+from mailsieve.functions.columns import as_column, contains_any, round4, sql_text, with_value
 from mailsieve.functions.text import java_pattern
 from mailsieve.rules import robustness as R
 
@@ -38,14 +38,17 @@ def detect_zero_width(text: Column) -> Column:
 
 def detect_homoglyph_brands(text: Column) -> Column:
     """Notes on brands spelled with look-alike characters."""
-    lower = F.lower(text)
     rows = [
         f"named_struct('spelling', {sql_text(s)}, 'brand', {sql_text(b)})"
         for s, b in spoofed_spellings()
     ]
     spellings = F.expr(f"array({', '.join(rows)})")
+    found = with_value(
+        F.lower(text),
+        lambda lower: F.filter(spellings, lambda x: F.contains(lower, x["spelling"])),
+    )
     return F.transform(
-        F.filter(spellings, lambda x: F.contains(lower, x["spelling"])),
+        found,
         lambda x: F.concat(
             F.lit("Homoglyph brand spoof detected: '"), x["spelling"], F.lit("' (mimics '"),
             x["brand"], F.lit("')"),
@@ -53,17 +56,27 @@ def detect_homoglyph_brands(text: Column) -> Column:
     )
 
 
+# A text without the word cannot match the prompt pattern at the same place of the list.
+PROMPT_MARKS = ["instructions", " as ", "trust score", ":", "verified", "no ", "begin safe email"]
+
+
 def detect_prompt_phrases(text: Column) -> Column:
     """Notes on prompt-style phrases."""
-    lower = F.lower(text)
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(F.rlike(lower, F.lit(java_pattern(p))), F.lit(note))
-                for p, note in R.PROMPT_PATTERNS
-            ]
+
+    def notes(lower: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        F.contains(lower, F.lit(mark)) & F.rlike(lower, F.lit(java_pattern(p))),
+                        F.lit(note),
+                    )
+                    for (p, note), mark in zip(R.PROMPT_PATTERNS, PROMPT_MARKS, strict=True)
+                ]
+            )
         )
-    )
+
+    return with_value(F.lower(text), notes)
 
 
 def detect_url_obfuscation(url: Column) -> Column:

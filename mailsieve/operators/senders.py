@@ -13,6 +13,7 @@ from mailsieve.functions.columns import (
     points_of,
     score_of,
     text_array,
+    with_value,
 )
 from mailsieve.functions.text import strip
 from mailsieve.rules import senders as R
@@ -40,19 +41,24 @@ def lookalike_brand(base: Column) -> Column:
     for fake, real in R.LOOKALIKE_STEPS:
         plain = F.replace(plain, F.lit(fake), F.lit(real))
 
-    def differing(brand: Column) -> Column:
+    def differing(label: Column, brand: Column) -> Column:
         places = F.sequence(F.lit(1), F.char_length(brand))
         return F.size(
-            F.filter(places, lambda i: F.substr(base, i, F.lit(1)) != F.substr(brand, i, F.lit(1)))
+            F.filter(places, lambda i: F.substr(label, i, F.lit(1)) != F.substr(brand, i, F.lit(1)))
         )
 
-    def resembles(brand: Column) -> Column:
+    def resembles(label: Column, swapped: Column, brand: Column) -> Column:
         close = F.when(
-            F.char_length(brand) == F.char_length(base), differing(brand).between(1, 2)
+            F.char_length(brand) == F.char_length(label), differing(label, brand).between(1, 2)
         ).otherwise(False)
-        return (brand != base) & (close | ((plain == brand) & (plain != base)))
+        return (brand != label) & (close | ((swapped == brand) & (swapped != label)))
 
-    return F.get(F.filter(text_array(sorted(R.BRANDS)), resembles), F.lit(0))
+    brands = text_array(sorted(R.BRANDS))
+    alike = with_value(
+        F.struct(base.alias("label"), plain.alias("swapped")),
+        lambda x: F.filter(brands, lambda b: resembles(x["label"], x["swapped"], b)),
+    )
+    return F.get(alike, F.lit(0))
 
 
 def score_senders(df: DataFrame) -> DataFrame:
