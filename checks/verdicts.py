@@ -123,10 +123,10 @@ def _model(spark, sf):
 
 @query("batch_scorer")
 def _udf(spark, sf):
-    """An outside model behind an Arrow batch function: here the share of capital digits."""
+    """An outside model behind an Arrow batch function: here the presence of a masked link."""
 
     def load():
-        return lambda texts: texts.str.count(r"\[url\]|\[URL\]").clip(upper=1) * 0.9
+        return lambda texts: texts.str.contains("[URL]", regex=False).astype("float64") * 0.9
 
     scored = SC.classify(SC.BatchScorer(load).score(emails(spark, sf)))
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("emails"))

@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Lookups keep all mail rows on the left, so a hot URL or domain is split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call sites per column expression cost more round trips than the plans themselves.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

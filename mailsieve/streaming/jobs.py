@@ -81,16 +81,30 @@ def windowed_verdicts(
     )
 
 
-def first_seen(stream: DataFrame, watermark: str = "1 hour", at: str = "received_at") -> DataFrame:
-    """First arrival of each text within the watermark."""
-    hashed = stream.withColumn("text_hash", F.sha2("text", 256))
-    return hashed.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["text_hash"])
+def first_seen(
+    stream: DataFrame, watermark: str = "1 hour", at: str = "received_at", key: str = "email_id",
+    salts: int = 64,
+) -> DataFrame:
+    """First arrival of each text within the watermark.
+
+    Copies are dropped per salt before they are dropped per text, so a text sent to
+    everyone is spread over many tasks and reaches the last one at most once per salt.
+    """
+    hashed = stream.withColumns(
+        {"text_hash": F.sha2("text", 256), "_salt": F.pmod(F.xxhash64(key), F.lit(salts))}
+    ).withWatermark(at, watermark)
+    spread = hashed.dropDuplicatesWithinWatermark(["text_hash", "_salt"])
+    return spread.dropDuplicatesWithinWatermark(["text_hash"]).drop("_salt")
 
 
 def sender_sessions(
     events: DataFrame, sender: str, gap: str, watermark: str = "10 minutes", at: str = "received_at"
 ) -> DataFrame:
-    """Bursts of activity per sender, closed after a gap."""
+    """Bursts of activity per sender, closed after a gap.
+
+    The session settings merge the sessions of a task before the shuffle, so a busy
+    sender sends sessions, not single rows.
+    """
     return (
         events.withWatermark(at, watermark)
         .groupBy(F.session_window(at, gap).alias("s"), F.col(sender))
