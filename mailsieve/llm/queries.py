@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import quality_rules
+from mailsieve.llm import quality_rules, secrets
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
@@ -64,3 +64,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.failed(quality_rules.PRODUCTION)).alias("kept"),
         "fail_bits",
     )
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
