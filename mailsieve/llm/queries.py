@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import quality_rules, secrets
+from mailsieve.llm import language_id, mixing, quality_rules, secrets
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
@@ -69,3 +69,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), model, keep=("doc_id", "held_out"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 1) / CAST(4503599627370496 AS DOUBLE))
+      / greatest(CAST(0.05 AS DOUBLE), length(regexp_replace(coalesce(text, ''), '[^\pL]', '', 'g')) / CAST(greatest(length(coalesce(text, '')), 1) AS DOUBLE)) AS key
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+c AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (
+  SELECT *, CASE WHEN cap > level * w THEN max(CASE WHEN cap > level * w THEN level END) OVER () * w ELSE cap END AS target FROM l),
+e AS (SELECT *, least(floor(target / greatest(source_size, 1)), 3) AS epochs FROM t),
+p AS (
+  SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  CAST(least(epochs + CASE WHEN 2 * before + size <= 2 * rest THEN 1 ELSE 0 END, 3) * size AS BIGINT) AS taken FROM p
+"""
+
+
+@query("op3_source_mix", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, mixing.letter_share(docs["text"]))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
