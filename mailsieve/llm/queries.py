@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import language_id, mixing, quality_rules, secrets
+from mailsieve.llm import language_id, minhash, mixing, quality_rules, secrets
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
@@ -109,3 +109,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, mixing.letter_share(docs["text"]))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
