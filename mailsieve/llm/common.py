@@ -22,3 +22,51 @@ def words_of(text: Column) -> Column:
 def under_names(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, under the operator's own names: others cannot clash."""
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
+
+
+BLOCK = 1000
+
+
+def running_sums(lengths: Column) -> Column:
+    """0, first, first + second, ... of a short array."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+
+def with_starts(df: DataFrame, lengths: str, starts: str) -> DataFrame:
+    """Adds the running sums before each element of an array of int, block by block."""
+    blocks, totals = f"{starts}_blocks", f"{starts}_totals"
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK)),
+        lambda b: running_sums(F.slice(F.col(lengths), b + 1, F.lit(BLOCK))),
+    )
+    df = df.withColumn(blocks, cut)
+    df = df.withColumn(totals, running_sums(F.transform(blocks, lambda x: F.element_at(x, -1))))
+    whole = F.transform(
+        blocks, lambda x, i: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + F.get(F.col(totals), i))
+    )
+    return df.withColumn(starts, F.flatten(whole)).drop(blocks, totals)
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def without_lines(docs: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs less some lines: all columns, text cut, with lines and gone added.
+
+    removed has id, digest (xxhash64 of the text) and gone: an array of structs that
+    begin with line_no, in order. lines holds the lines of the full text.
+    """
+    row, no = "_cut_row", "line_no"
+    packed = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[doc_id].alias("_cut_id"),
+        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_cut_digest"),
+    )
+    same = F.col("_cut_id").eqNullSafe(F.col("id")) & (F.col("_cut_digest") == F.col("digest"))
+    df = packed.join(removed.select("id", "digest", "gone"), same, "left")
+    df = df.select(row, "gone", F.when(F.col("gone").isNotNull(), lines_of(F.col(f"{row}.{text}"))).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda x: x[no]))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    full = F.col(f"{row}.{text}")
+    columns = [F.col(f"{row}.{c}").alias(c) if c != text else F.when(F.col("gone").isNull(), full).otherwise(kept).alias(c) for c in docs.columns]
+    return df.select(*columns, F.col("lines").alias("_lines"), F.col("gone").alias("_gone"))
