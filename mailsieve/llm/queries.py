@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import language_id, minhash, mixing, quality_rules, secrets, substring_dedup
+from mailsieve.llm import language_id, line_dedup, minhash, mixing, quality_rules, secrets, substring_dedup
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
@@ -139,3 +139,8 @@ FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id
 @query("op4_substring_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
