@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import language_id, line_dedup, minhash, mixing, quality_rules, secrets, substring_dedup
+from mailsieve.llm import language_id, line_dedup, minhash, mixing, quality_rules, secrets, substring_dedup, warc
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
@@ -144,3 +144,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS holder FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND holder <> page_id THEN holder END AS refers_to FROM g
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
