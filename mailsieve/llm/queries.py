@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import language_id, line_dedup, minhash, mixing, quality_rules, secrets, substring_dedup, warc
+from mailsieve.llm import fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, secrets, substring_dedup, warc
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
@@ -159,3 +159,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), warc.new_folder(spark))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.fingerprints(docs).withColumnRenamed("id", "doc_id")
