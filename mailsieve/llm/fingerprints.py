@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from mailsieve.llm.common import words_of
 
 BINS, BIN_BITS = 128, 7
-PIECE = 4
+PIECE = 1
 SAMPLE_BITS = 28
 BUCKET_BYTES = 32 << 20
 WORK = "_fp_"
