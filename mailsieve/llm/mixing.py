@@ -100,3 +100,28 @@ def mix(
     return rows.select(
         "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def repeat(
+    docs: DataFrame,
+    weight: Column | None = None,
+    seed: int = 0,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The rows of docs as often as mix() takes them, all columns unchanged.
+
+    Rows equal in id, source and text are taken equally often as a group: copies go by
+    the largest number of any of them.
+    """
+    taken = mix(docs.withColumn("_mix_weight", F.lit(1.0) if weight is None else weight), F.col("_mix_weight"), seed, doc_id, text, source)
+    taken = taken.filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    taken = taken.toDF("m_id", "m_source", "m_size", "copies")
+    packed = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row"), docs[doc_id].alias("_mix_id"),
+        docs[source].alias("_mix_source"), F.size(words_of(docs[text])).cast("long").alias("_mix_size"),
+    )
+    same = F.col("_mix_id").eqNullSafe(F.col("m_id")) & F.col("_mix_source").eqNullSafe(F.col("m_source")) & (F.col("_mix_size") == F.col("m_size"))
+    rows = packed.join(taken, same).select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
+    return rows.select("_mix_row.*")

@@ -165,6 +165,5 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, all columns unchanged."""
-    mark = "_rules_text"
-    rows = ledger(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_rules_row"), docs[text].alias(mark)), mark)
-    return rows.filter(~failed(policy)).select("_rules_row.*")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("content"))
+    return ledger(packed, "content").filter(~failed(policy)).select("row.*")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, secrets, substring_dedup, warc
+from mailsieve.llm import fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, secrets, sentencepiece, substring_dedup, warc
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
 ORACLE = {}
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -165,3 +166,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints.fingerprints(docs).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece.load(PIECE_MODEL)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    return rows.select(
+        "doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), "decoded", (F.col("decoded") == F.col("text")).alias("same")
+    )
