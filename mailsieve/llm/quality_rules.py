@@ -166,4 +166,7 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, all columns unchanged."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("content"))
-    return ledger(packed, "content").filter(~failed(policy)).select("row.*")
+    # A generated column keeps the optimizer from moving the filter into the measurements,
+    # where it would repeat each of them for every use.
+    bits = ledger(packed, "content").select("row", F.explode(F.array("fail_bits")).alias("fail_bits"))
+    return bits.filter(~failed(policy)).select("row.*")
