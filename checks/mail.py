@@ -428,7 +428,7 @@ def pieces(spark, sf):
     no, word = F.col("no").cast("bigint"), F.col("word")
     head = F.struct((no * 2).alias("pos"), F.substring(word, 1, 4).alias("token"), ((no * 7 % 100) / 100.0).alias("score"))
     tail = F.struct(
-        (no * 2 + 1).alias("pos"), F.concat(F.lit("##"), F.substring(word, 5, 1000)).alias("token"),
+        (no * 2 + 1).alias("pos"), F.concat(F.lit("##"), F.substring(word, F.lit(5), F.char_length(word))).alias("token"),
         ((no * 13 % 100) / 100.0).alias("score"),
     )
     both = F.array_compact(F.array(head, F.when(F.char_length(word) > 4, tail)))

@@ -91,10 +91,10 @@ def _merge(spark, sf):
 
 @query(
     "explode_urls",
-    f"{ctes('emails')}, {PARSED}, {EMAIL_URLS} SELECT email_id, pos, url, first_seen FROM email_urls WHERE pos < 5",
+    f"{ctes('emails')}, {PARSED}, {EMAIL_URLS} SELECT email_id, pos, url, first_seen FROM email_urls",
 )
 def _explode(spark, sf):
-    rows = O.explode_urls(parsed(spark, sf), 5)
+    rows = O.explode_urls(parsed(spark, sf))
     return rows.select("email_id", big("pos"), "url", "first_seen")
 
 
@@ -249,20 +249,20 @@ def _scored(spark, sf):
     return result(O.score_urls(enriched(spark, sf)), "email_id", big("pos"))
 
 
-def rollup_sql(top: int) -> str:
+def rollup_sql(cut: str = "") -> str:
     return f"""{DERIVED}, {PARSED}, {EMAIL_URLS}, {FACTS}, {ENRICHED}, sc AS (SELECT * FROM {scored_urls("SELECT * FROM enriched")})
     SELECT email_id, count(*) AS total_urls, count(*) FILTER (WHERE is_suspicious) AS suspicious_count, max(risk_score) AS highest_risk,
-    coalesce(array_to_string(flatten(list(flags[1:{top}] ORDER BY pos) FILTER (WHERE is_suspicious)), '|'), '') AS risk_factors
+    coalesce(array_to_string(flatten(list(flags{cut} ORDER BY pos) FILTER (WHERE is_suspicious)), '|'), '') AS risk_factors
     FROM sc GROUP BY email_id"""
 
 
-@query("url_rollup", rollup_sql(2))
+@query("url_rollup", rollup_sql())
 def _rollup(spark, sf):
-    out = O.rollup_urls(O.score_urls(enriched(spark, sf)), 2)
+    out = O.rollup_urls(O.score_urls(enriched(spark, sf)))
     return out.withColumn("risk_factors", bar("risk_factors"))
 
 
-@query("url_rollup_top3", rollup_sql(3))
+@query("url_rollup_top3", rollup_sql("[1:3]"))
 def _rollup3(spark, sf):
     out = O.rollup_urls(O.score_urls(enriched(spark, sf)), 3)
     return out.withColumn("risk_factors", bar("risk_factors"))
@@ -293,7 +293,7 @@ FEATURES = rf"""loaded AS (SELECT * REPLACE (CASE WHEN final_url <> '' AND final
     coalesce(final_url <> '' AND final_url <> 'about:blank' AND status_code IS NOT NULL, FALSE) AS ok FROM crawled_pages),
   tags AS (SELECT *, regexp_extract_all(html, '(?is)<form(?:\s[^>]*)?>.*?(?:</form\s*>|\z)') AS forms,
     regexp_extract_all(html, '{_INPUT}') AS inputs,
-    list_filter(regexp_extract_all(html, '(?is)<a\s[^>]*>'), lambda a: regexp_matches(a, '(?is)\shref\s*='))[1:50] AS anchors FROM loaded),
+    list_filter(regexp_extract_all(html, '(?is)<a\s[^>]*>'), lambda a: regexp_matches(a, '(?is)\shref\s*=')) AS anchors FROM loaded),
   f1 AS (SELECT *, {squeeze(unescape("regexp_extract(html, '(?is)<title(?:" + chr(92) + "s[^>]*)?>(.*?)</title', 1)"))} AS page_title,
     {squeeze(unescape("regexp_replace(html, '" + P.NOT_SHOWN + "', ' ', 'g')"))} AS page_text,
     list_transform(forms, lambda f: {attr("regexp_extract(f, '(?s)^<[^>]*>')", "action")}) AS form_actions,
@@ -409,10 +409,10 @@ def _crawl(spark, sf):
 PAGE_FACTS = f"""page_facts AS (SELECT * FROM {latest("scored_pages", "url")})"""
 MAIL_PAGES = f"""{ctes("emails", "crawled_pages")}, {PARSED}, {EMAIL_URLS}, {FEATURES}, {SCORED_PAGES}, {PAGE_FACTS},
   seen AS (SELECT e.email_id, e.pos, e.take_screenshots, e.take_screenshots AND f.error IS NULL AS shown, f.* EXCLUDE (url, page_id)
-    FROM email_urls e JOIN page_facts f ON e.url = f.url WHERE e.pos < 5)"""
+    FROM email_urls e JOIN page_facts f ON e.url = f.url)"""
 PAGE_AGG = """count(*) AS pages_crawled, count(*) FILTER (WHERE error IS NULL) AS pages_loaded, max(crawl_points)::DOUBLE / 100.0::DOUBLE AS crawl_risk,
     count(*) FILTER (WHERE shown) AS pages_shown, max(risk_score) FILTER (WHERE shown) AS visual_risk,
-    coalesce(array_to_string(flatten(list(list_concat(['Fake login page detected (impersonating ' || coalesce(impersonated_brand, 'unknown') || ')'], flags[1:2]) ORDER BY pos)
+    coalesce(array_to_string(flatten(list(list_concat(['Fake login page detected (impersonating ' || coalesce(impersonated_brand, 'unknown') || ')'], flags) ORDER BY pos)
       FILTER (WHERE shown AND is_fake_login)), '|'), '') AS visual_factors,
     coalesce(array_to_string(list(CASE WHEN has_password_field THEN 'Password field detected on crawled page' ELSE 'Login form detected on crawled page' END ORDER BY pos)
       FILTER (WHERE error IS NULL AND (has_password_field OR has_login_form)), '|'), '') AS crawl_factors"""
@@ -473,7 +473,7 @@ LINK_SCORE = "least(1.0::DOUBLE, suspicious_links::DOUBLE / checked_links::DOUBL
 @query(
     "link_score",
     f"""{ctes("emails", "link_hops")}, {PARSED}, {EMAIL_URLS}, {CHAINS}, {SCORED_LINKS}, a AS (SELECT email_id, {LINK_AGG}
-      FROM email_urls e LEFT JOIN links l ON e.url = l.url WHERE first_seen AND pos < 20 GROUP BY email_id)
+      FROM email_urls e LEFT JOIN links l ON e.url = l.url WHERE first_seen GROUP BY email_id)
     SELECT email_id, checked_links, suspicious_links, {joined("link_flags")} AS link_flags, {LINK_SCORE} AS risk_score FROM a""",
 )
 def _link_score(spark, sf):

@@ -234,12 +234,12 @@ ALL = ctes("emails", "crawled_pages", "domain_registry", "tls_observations", "ur
 LAYER_CTES = f"""{ALL}, {PARSED}, {EMAIL_URLS}, {SCORES}, {SCORED_HEADERS}, {SCORED_SENDERS}, {authored("emails")},
   {FACTS}, {ENRICHED}, uf AS (SELECT * FROM {scored_urls("SELECT * FROM enriched")}),
   ur AS (SELECT email_id, count(*) AS total_urls, count(*) FILTER (WHERE is_suspicious) AS suspicious_count, max(risk_score) AS url_risk,
-    coalesce(flatten(list(flags[1:2] ORDER BY pos) FILTER (WHERE is_suspicious)), []::VARCHAR[]) AS url_factors FROM uf GROUP BY email_id),
+    coalesce(flatten(list(flags ORDER BY pos) FILTER (WHERE is_suspicious)), []::VARCHAR[]) AS url_factors FROM uf GROUP BY email_id),
   {FEATURES}, {SCORED_PAGES}, {PAGE_FACTS},
   seen AS (SELECT e.email_id, e.pos, e.take_screenshots, e.take_screenshots AND f.error IS NULL AS shown, f.* EXCLUDE (url, page_id)
-    FROM email_urls e JOIN page_facts f ON e.url = f.url WHERE e.pos < 5 AND e.crawl_urls),
+    FROM email_urls e JOIN page_facts f ON e.url = f.url WHERE e.crawl_urls),
   pg AS (SELECT email_id, {PAGE_AGG} FROM seen GROUP BY email_id),
-  {CHAINS}, {SCORED_LINKS}, la AS (SELECT email_id, {LINK_AGG} FROM email_urls e LEFT JOIN links l ON e.url = l.url WHERE first_seen AND pos < 20 GROUP BY email_id),
+  {CHAINS}, {SCORED_LINKS}, la AS (SELECT email_id, {LINK_AGG} FROM email_urls e LEFT JOIN links l ON e.url = l.url WHERE first_seen GROUP BY email_id),
   lay AS (SELECT c.email_id, c.is_phishing, c.confidence, CASE WHEN c.is_phishing THEN c.confidence ELSE 1.0::DOUBLE - c.confidence END AS text_risk,
     u.url_risk, h.risk_score AS headers_risk, CASE WHEN checked_links IS NOT NULL THEN {LINK_SCORE} END AS links_risk, g.visual_risk, g.crawl_risk, s.risk_score AS sender_risk,
     a.is_ai_generated, a.ai_authorship_score, u.total_urls, u.url_factors, g.visual_factors, g.crawl_factors, l.suspicious_links, l.link_flags,
@@ -279,10 +279,10 @@ def _layer_risks(spark, sf):
     coalesce(array_to_string(list_distinct_keep, '|'), '') AS risk_factors FROM (SELECT *, list_transform(list_filter(list_transform(fs, lambda x, i: {{'x': x, 'i': i, 'p': list_position(fs, x)}}), lambda s: s.i = s.p), lambda s: s.x) AS list_distinct_keep
     FROM (SELECT *, list_filter(list_concat(list_concat(list_concat(
       CASE WHEN is_phishing THEN ['Email text classified as phishing (' || printf('%.1f', confidence * 100) || '% confidence)'] ELSE [] END,
-      CASE WHEN sender_suspicious THEN sender_flags[1:3] ELSE [] END), list_concat(coalesce(url_factors, []), string_split(coalesce(visual_factors, ''), '|'))),
+      CASE WHEN sender_suspicious THEN sender_flags ELSE [] END), list_concat(coalesce(url_factors, []), string_split(coalesce(visual_factors, ''), '|'))),
       list_concat(list_concat(string_split(coalesce(crawl_factors, ''), '|'),
       CASE WHEN is_ai_generated THEN ['Email text likely AI-generated (score: ' || CAST(round_even(ai_authorship_score * 100, 0) AS INTEGER) || '%)'] ELSE [] END),
-      list_concat(CASE WHEN suspicious_links > 0 THEN link_flags[1:3] ELSE [] END, CASE WHEN header_suspicious THEN header_flags[1:3] ELSE [] END))), lambda z: z <> '') AS fs
+      list_concat(CASE WHEN suspicious_links > 0 THEN link_flags ELSE [] END, CASE WHEN header_suspicious THEN header_flags ELSE [] END))), lambda z: z <> '') AS fs
     FROM {verdict_sql()}))""",
 )
 def _deep(spark, sf):
@@ -388,7 +388,7 @@ def _variant_sql() -> str:
         v = RO.brand_variant(brand)
         t = f"replace(text, {q(brand)}, {q(v)})"
         parts.append(cols.format(kind="'homoglyph'", name=q(f"{brand} → {v}"), text=t, probe=t) + f" AND contains(lower(text), {q(brand)})")
-    for char, name in list(RR.ZERO_WIDTH.items())[: RR.ZERO_WIDTH_TESTED]:
+    for char, name in RR.ZERO_WIDTH.items():
         t = f"regexp_replace(text, '(?s)(.{{10}})', '\\1' || chr({ord(char)}), 'g')".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}")
         parts.append(cols.format(kind="'zero_width'", name=q(f"Injected {name} every 10 chars"), text=t, probe=t))
     for plain, disguised in RR.DISGUISED_URLS:

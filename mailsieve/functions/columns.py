@@ -100,10 +100,15 @@ def round4(value: Column) -> Column:
     return F.bround(value, 4)
 
 
+def leading(values: Column, n: int | None) -> Column:
+    """First n elements; all of them without n."""
+    return values if n is None else F.slice(values, 1, n)
+
+
 def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
 def title_case(text: Column) -> Column:
     """First letter upper case (for one-word brand names)."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))

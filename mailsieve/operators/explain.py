@@ -285,12 +285,12 @@ def ablate_top_token(df: DataFrame, scorer) -> DataFrame:
     ).drop("_full", "_ablated", "_p_full", "_p_ablated")
 
 
-def explain(df: DataFrame) -> DataFrame:
+def explain(df: DataFrame, named_tokens: int = 5) -> DataFrame:
     """Add explanation and summary to rows with risk_categories, top_tokens, is_phishing
-    and confidence. Narrow."""
+    and confidence. The texts name the first named_tokens words. Narrow."""
     labels = F.create_map(*[F.lit(x) for pair in R.LABELS.items() for x in pair])
     quoted = F.array_join(
-        F.transform(F.slice("top_tokens", 1, 5), lambda t: F.concat(F.lit('"'), t, F.lit('"'))),
+        F.transform(F.slice("top_tokens", 1, named_tokens), lambda t: F.concat(F.lit('"'), t, F.lit('"'))),
         ", ",
     )
     percent = F.concat(F.bround(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("%"))

@@ -159,7 +159,7 @@ def header_fields(df: DataFrame, as_of: str, col: str = "raw_headers") -> DataFr
     ).drop("_block", *names, "_sent")
 
 
-def header_rules() -> list[Rule]:
+def header_rules(mailer_chars: int = 80) -> list[Rule]:
     spf, dkim, dmarc = F.col("spf_result"), F.col("dkim_result"), F.col("dmarc_result")
     sender = F.col("from_domain")
     hops, days = F.col("received_hops"), F.col("date_days_diff")
@@ -224,7 +224,7 @@ def header_rules() -> list[Rule]:
         ),
         Rule(
             F.col("suspicious_mailer"),
-            F.concat(F.lit("Suspicious mailer detected: "), F.substring("mailer", 1, 80)),
+            F.concat(F.lit("Suspicious mailer detected: "), F.substring("mailer", 1, mailer_chars)),
             points["mailer"],
         ),
         Rule(

@@ -115,9 +115,9 @@ def link_score() -> Column:
 
 
 def rollup_links(
-    email_urls: DataFrame, scored: DataFrame, max_links: int = R.MAX_LINKS_PER_EMAIL
+    email_urls: DataFrame, scored: DataFrame, max_links: int | None = None
 ) -> DataFrame:
-    """Link findings per email over its leading URLs, each URL counted once.
+    """Link findings per email over all its URLs or its first max_links, each URL counted once.
 
     email_urls: email_id, pos, url, first_seen. A URL without a chain is checked without
     finding (the connection failed).
@@ -125,7 +125,9 @@ def rollup_links(
     facts = scored.select(
         "url", F.col("flags").alias("link_flags"), F.col("is_suspicious").alias("link_suspicious")
     )
-    rows = email_urls.filter((F.col("pos") < max_links) & F.col("first_seen"))
+    rows = email_urls.filter("first_seen")
+    if max_links is not None:
+        rows = rows.filter(F.col("pos") < max_links)
     joined = rows.join(facts, "url", "left")
     return (
         joined.groupBy("email_id")

@@ -10,6 +10,7 @@ from mailsieve.functions.columns import (
     contained,
     contains_any,
     flags_of,
+    leading,
     points_of,
     score_of,
     sql_array,
@@ -46,11 +47,13 @@ def attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
 
 
-def page_features(df: DataFrame, max_text: int | None = None) -> DataFrame:
+def page_features(
+    df: DataFrame, max_text: int | None = None, max_anchors: int | None = None
+) -> DataFrame:
     """Features of stored pages: url, final_url, status_code, html, redirect_chain, error.
 
-    The whole visible text is kept unless max_text asks for its head. Pages that did not
-    load have empty features.
+    The whole visible text and all anchors are kept unless max_text or max_anchors ask for
+    the head of them. Pages that did not load have empty features.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     final = F.coalesce(F.col("final_url"), F.lit(""))
@@ -75,12 +78,8 @@ def page_features(df: DataFrame, max_text: int | None = None) -> DataFrame:
         return F.concat(kind, F.lit(":"), attribute(tag, "name"))
 
     text = squeeze(unescape(F.regexp_replace("_html", NOT_SHOWN, " ")))
-    hrefs = F.transform(
-        F.slice(
-            F.filter("_anchors", lambda a: F.rlike(a, F.lit(r"(?is)\shref\s*="))), 1, R.MAX_ANCHORS
-        ),
-        lambda a: attribute(a, "href"),
-    )
+    links = F.filter("_anchors", lambda a: F.rlike(a, F.lit(r"(?is)\shref\s*=")))
+    hrefs = F.transform(leading(links, max_anchors), lambda a: attribute(a, "href"))
     features = tags.withColumns(
         {
             "page_title": squeeze(unescape(F.regexp_extract("_html", TITLE, 1))),
@@ -154,7 +153,7 @@ def title_brands(domain: Column, title: Column) -> Column:
     )
 
 
-def score_pages(df: DataFrame) -> DataFrame:
+def score_pages(df: DataFrame, named_fields: int = 5, named_phrases: int = 3) -> DataFrame:
     """Add flags, risk_score, is_fake_login, impersonated_brand, brand_matches and
     suspicious_elements to page features. Narrow: no shuffle."""
     shown = F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url"))
@@ -194,14 +193,15 @@ def score_pages(df: DataFrame) -> DataFrame:
             many_fields,
             F.concat(
                 F.lit("Multiple credential input fields: "),
-                F.array_join(F.slice("_credentials", 1, 5), ", "),
+                F.array_join(F.slice("_credentials", 1, named_fields), ", "),
             ),
             points["credential_fields"],
         ),
         Rule(
             F.size("_urgent") > 0,
             F.concat(
-                F.lit("Urgency language detected: "), F.array_join(F.slice("_urgent", 1, 3), ", ")
+                F.lit("Urgency language detected: "),
+                F.array_join(F.slice("_urgent", 1, named_phrases), ", "),
             ),
             points["urgency"],
         ),
@@ -209,7 +209,7 @@ def score_pages(df: DataFrame) -> DataFrame:
             F.size("_sensitive") > 0,
             F.concat(
                 F.lit("Requests sensitive data: "),
-                F.array_join(F.slice("_sensitive", 1, 3), ", "),
+                F.array_join(F.slice("_sensitive", 1, named_phrases), ", "),
             ),
             points["sensitive"],
         ),
@@ -288,9 +288,11 @@ def crawl_points() -> Column:
     return F.when(F.col("error").isNull(), risk).otherwise(0)
 
 
-def page_facts(pages: DataFrame, as_of: str) -> DataFrame:
+def page_facts(pages: DataFrame, as_of: str, max_flags: int | None = None) -> DataFrame:
     """One scored row per URL from stored page observations, newest first.
 
+    visual_flags holds all flags of the page, or the first max_flags.
+
     The HTML is reduced to features before the shuffle by URL.
     """
     scored = score_pages(page_features(pages)).withColumn("crawl_points", crawl_points())
@@ -298,20 +300,21 @@ def page_facts(pages: DataFrame, as_of: str) -> DataFrame:
         "url", "observed_at", *(["page_id"] if "page_id" in pages.columns else []),
         "error", "has_password_field", "has_login_form", "crawl_points",
         F.col("risk_score").alias("visual_risk"), "is_fake_login", "impersonated_brand",
-        F.slice("flags", 1, 2).alias("visual_flags"),
+        leading(F.col("flags"), max_flags).alias("visual_flags"),
     )
     return latest(compact, "url", as_of)
 
 
 def rollup_pages(
-    email_urls: DataFrame, facts: DataFrame, max_urls: int = R.MAX_PAGES_PER_EMAIL
+    email_urls: DataFrame, facts: DataFrame, max_urls: int | None = None
 ) -> DataFrame:
-    """Crawl and visual findings per email.
+    """Crawl and visual findings per email, over all its URLs or its first max_urls.
 
     email_urls: email_id, pos, url, take_screenshots. A URL without a stored page is not
     counted as crawled; failed pages count as crawled without risk.
     """
-    seen = email_urls.filter(F.col("pos") < max_urls).join(facts, "url", "inner")
+    wanted = email_urls if max_urls is None else email_urls.filter(F.col("pos") < max_urls)
+    seen = wanted.join(facts, "url", "inner")
     return page_rollup(seen.groupBy("email_id"), F.lit(True))
 
 

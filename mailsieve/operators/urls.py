@@ -14,6 +14,7 @@ from mailsieve.functions.columns import (
     first_contained,
     flags_of,
     in_domains,
+    leading,
     points_of,
     score_of,
 )
@@ -240,12 +241,14 @@ def score_urls(df: DataFrame, strict_brands: bool = False) -> DataFrame:
     ).drop("_path", "_scheme", "_malformed", "_domain", "_flags", "_points")
 
 
-def rollup_urls(findings: DataFrame, top_flags: int = 2) -> DataFrame:
-    """One row per email: URL count, suspicious count, highest risk, leading flags.
+def rollup_urls(findings: DataFrame, top_flags: int | None = None) -> DataFrame:
+    """One row per email: URL count, suspicious count, highest risk, flags.
+
+    All flags of each suspicious URL are given, or its first top_flags.
 
     An email holds the URLs of one message only, so its collected list is small.
     """
-    factor = F.when(F.col("is_suspicious"), F.slice("flags", 1, top_flags))
+    factor = F.when(F.col("is_suspicious"), leading(F.col("flags"), top_flags))
     in_order = F.sort_array(F.collect_list(F.struct("pos", factor.alias("f"))))
     return findings.groupBy("email_id").agg(
         F.count(F.lit(1)).alias("total_urls"),

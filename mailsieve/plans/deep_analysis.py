@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.functions.columns import leading
 from mailsieve.operators.authorship import authorship
 from mailsieve.operators.headers import score_headers
 from mailsieve.operators.links import link_aggregates, link_chains, link_score, score_links
@@ -25,8 +26,6 @@ from mailsieve.operators.senders import score_senders
 from mailsieve.operators.urls import domain_facts, explode_urls, reputation_facts, score_urls
 from mailsieve.functions.urls import url_domain
 from mailsieve.operators.verdicts import aggregate_risk, ai_factor, phishing_factor, two_layer_risk
-from mailsieve.rules.links import MAX_LINKS_PER_EMAIL
-from mailsieve.rules.pages import MAX_PAGES_PER_EMAIL
 
 
 @dataclass
@@ -40,6 +39,25 @@ class Evidence:
     hops: DataFrame | None = None
 
 
+@dataclass
+class Limits:
+    """Optional cuts of the analysis; None, the default, looks at everything.
+
+    pages and links: first URLs of an email that get page and redirect checks.
+    page_flags, url_flags and layer_flags: first flags of each that become risk factors.
+    """
+
+    pages: int | None = None
+    links: int | None = None
+    page_flags: int | None = None
+    url_flags: int | None = None
+    layer_flags: int | None = None
+
+
+def _first(n: int | None) -> Column:
+    return F.lit(True) if n is None else F.col("pos") < n
+
+
 OPTIONAL = {
     "subject": "string", "email_html": "string", "raw_headers": "string",
     "crawl_urls": "boolean", "take_screenshots": "boolean",
@@ -79,13 +97,13 @@ def url_rows(emails: DataFrame) -> DataFrame:
     return explode_urls(keyed).select("email_id.email_id", "email_id.s.*", "pos", "url", "first_seen")
 
 
-def url_facts(evidence: Evidence, as_of: str) -> DataFrame | None:
+def url_facts(evidence: Evidence, as_of: str, limits: Limits) -> DataFrame | None:
     """Everything known per URL: reputation, newest page, redirect chain. One row per URL."""
     parts = []
     if evidence.reputation is not None:
         parts.append(reputation_facts(evidence.reputation, as_of))
     if evidence.pages is not None:
-        parts.append(page_facts(evidence.pages, as_of).withColumn("has_page", F.lit(True)))
+        parts.append(page_facts(evidence.pages, as_of, limits.page_flags).withColumn("has_page", F.lit(True)))
     if evidence.hops is not None:
         scored = score_links(link_chains(evidence.hops))
         parts.append(
@@ -101,18 +119,20 @@ def url_facts(evidence: Evidence, as_of: str) -> DataFrame | None:
     return facts
 
 
-def url_layers(emails: DataFrame, evidence: Evidence, as_of: str, strict_brands: bool) -> DataFrame:
+def url_layers(
+    emails: DataFrame, evidence: Evidence, as_of: str, strict_brands: bool, limits: Limits
+) -> DataFrame:
     """URL, page and link findings per email, in one aggregation."""
     rows = url_rows(emails)
     domains = domain_facts(evidence.registry, evidence.tls, as_of)
     if domains is not None:
         keyed = rows.withColumn("domain", url_domain(F.col("url")))
         rows = keyed.join(domains, "domain", "left").drop("domain")
-    facts = url_facts(evidence, as_of)
+    facts = url_facts(evidence, as_of, limits)
     if facts is not None:
         rows = rows.join(facts, "url", "left")
     scored = score_urls(rows, strict_brands)
-    factor = F.when(F.col("is_suspicious"), F.struct("pos", F.slice("flags", 1, 2).alias("f")))
+    factor = F.when(F.col("is_suspicious"), F.struct("pos", leading(F.col("flags"), limits.url_flags).alias("f")))
     in_order = F.sort_array(F.collect_list(factor))
     aggregates: list[Column] = [
         F.count(F.lit(1)).alias("total_urls"),
@@ -121,14 +141,10 @@ def url_layers(emails: DataFrame, evidence: Evidence, as_of: str, strict_brands:
         F.flatten(F.transform(in_order, lambda x: x["f"])).alias("url_factors"),
     ]
     if evidence.pages is not None:
-        crawled = (
-            F.col("crawl_urls")
-            & (F.col("pos") < MAX_PAGES_PER_EMAIL)
-            & F.coalesce("has_page", F.lit(False))
-        )
+        crawled = F.col("crawl_urls") & _first(limits.pages) & F.coalesce("has_page", F.lit(False))
         aggregates += page_aggregates(crawled)
     if evidence.hops is not None:
-        checked = F.col("first_seen") & (F.col("pos") < MAX_LINKS_PER_EMAIL)
+        checked = F.col("first_seen") & _first(limits.links)
         aggregates += link_aggregates(checked)
     return scored.groupBy("email_id").agg(*aggregates)
 
@@ -151,24 +167,24 @@ def _layer_risks(df: DataFrame, evidence: Evidence, drop_failed: bool) -> DataFr
     )
 
 
-def _factors(evidence: Evidence) -> Column:
+def _factors(evidence: Evidence, limits: Limits) -> Column:
     """Reasons in layer order, each once."""
     none = F.array().cast("array<string>")
 
-    def leading(flags: str, suspicious: Column) -> Column:
-        return F.when(suspicious, F.slice(flags, 1, 3)).otherwise(none)
+    def of_layer(flags: str, suspicious: Column) -> Column:
+        return F.when(suspicious, leading(F.col(flags), limits.layer_flags)).otherwise(none)
 
     parts = [
         F.array_compact(F.array(F.when(F.col("is_phishing"), phishing_factor()))),
-        leading("sender_check.flags", F.col("sender_check.is_suspicious")),
+        of_layer("sender_check.flags", F.col("sender_check.is_suspicious")),
         F.coalesce("url_factors", none),
     ]
     if evidence.pages is not None:
         parts += [F.coalesce("visual_factors", none), F.coalesce("crawl_factors", none)]
     parts.append(F.array_compact(F.array(F.when(F.col("is_ai_generated"), ai_factor()))))
     if evidence.hops is not None:
-        parts.append(leading("link_flags", F.col("suspicious_links") > 0))
-    parts.append(leading("headers.flags", F.col("headers.is_suspicious")))
+        parts.append(of_layer("link_flags", F.col("suspicious_links") > 0))
+    parts.append(of_layer("headers.flags", F.col("headers.is_suspicious")))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -195,11 +211,12 @@ def analyzed_layers(
     as_of: str = "",
     strict_brands: bool = False,
     drop_failed_layers: bool = False,
+    limits: Limits | None = None,
 ) -> DataFrame:
     """Layer results and layer risks per email, before they are combined."""
     evidence = evidence or Evidence()
     mails = mail_layers(emails, scorer or RuleScorer(), as_of)
-    urls = url_layers(emails, evidence, as_of, strict_brands)
+    urls = url_layers(emails, evidence, as_of, strict_brands, limits or Limits())
     joined = mails.join(urls, "email_id", "left")
     return _layer_risks(joined, evidence, drop_failed_layers)
 
@@ -211,6 +228,7 @@ def deep_analyze(
     as_of: str = "",
     strict_brands: bool = False,
     drop_failed_layers: bool = False,
+    limits: Limits | None = None,
 ) -> DataFrame:
     """Verdict, score, reasons and layer results for each email.
 
@@ -219,14 +237,20 @@ def deep_analyze(
     """
     evidence = evidence or Evidence()
     layers = analyzed_layers(
-        emails, evidence, scorer, as_of, strict_brands, drop_failed_layers
+        emails, evidence, scorer, as_of, strict_brands, drop_failed_layers, limits
     )
     return aggregate_risk(layers).withColumns(
-        {"risk_factors": _factors(evidence), "analysis_layers": _layers()}
+        {"risk_factors": _factors(evidence, limits or Limits()), "analysis_layers": _layers()}
     )
 
 
-def full_analyze(emails: DataFrame, evidence: Evidence | None = None, scorer=None, as_of: str = "") -> DataFrame:
+def full_analyze(
+    emails: DataFrame,
+    evidence: Evidence | None = None,
+    scorer=None,
+    as_of: str = "",
+    limits: Limits | None = None,
+) -> DataFrame:
     """Two-layer verdict from text and URLs."""
     evidence = evidence or Evidence()
     base = parse_emails(with_optional(emails))
@@ -239,6 +263,7 @@ def full_analyze(emails: DataFrame, evidence: Evidence | None = None, scorer=Non
         Evidence(evidence.registry, evidence.tls, evidence.reputation),
         as_of,
         False,
+        limits or Limits(),
     )
     return two_layer_risk(mails.join(urls, "email_id", "left"))
 

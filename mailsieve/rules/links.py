@@ -6,4 +6,3 @@ SHORTENERS = [
 ]
 FINAL_TLDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz", ".top", ".buzz"]
 MAX_REDIRECTS = 3
-MAX_LINKS_PER_EMAIL = 20

@@ -41,7 +41,6 @@ CREDENTIAL_FIELD_WORDS = [
 ]
 LOGIN_FIELD_WORDS = ["email", "username", "user", "login", "signin"]
 
-MAX_ANCHORS = 50
 MAX_HOPS = 3
 
 # Points are hundredths of the risk score.
@@ -52,4 +51,3 @@ POINTS = {
 }
 FAKE_LOGIN_AT = 40
 CRAWL_POINTS = {"password": 70, "login": 50, "redirect": 30}
-MAX_PAGES_PER_EMAIL = 5

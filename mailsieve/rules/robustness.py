@@ -26,7 +26,6 @@ ZERO_WIDTH = {
     "\ufeff": "ZERO WIDTH NO-BREAK SPACE",
     "\u2060": "WORD JOINER",
 }
-ZERO_WIDTH_TESTED = 3
 ZERO_WIDTH_STEP = 10
 
 EVASION_PHRASES = [

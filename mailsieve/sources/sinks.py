@@ -19,14 +19,17 @@ def to_json_export(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def log_entries(df: DataFrame) -> DataFrame:
-    """Rows of the verdict log: email_id, at, preview, verdict, risk_score, layers."""
+def log_entries(df: DataFrame, preview_chars: int = 120) -> DataFrame:
+    """Rows of the verdict log: email_id, at, preview, verdict, risk_score, layers.
+
+    The preview is the subject and the first preview_chars characters of the text.
+    """
     subject = F.coalesce("subject", F.lit(""))
     prefix = F.when(subject != "", F.concat(subject, F.lit(" — "))).otherwise("")
     return df.select(
         "email_id",
         F.col("received_at").alias("at"),
-        F.concat(prefix, F.substring("text", 1, 120)).alias("preview"),
+        F.concat(prefix, F.substring("text", 1, preview_chars)).alias("preview"),
         F.col("overall_verdict").alias("verdict"),
         F.col("overall_risk_score").alias("risk_score"),
         F.size("analysis_layers").alias("layers"),
