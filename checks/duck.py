@@ -177,10 +177,14 @@ def latest(table: str, key: str) -> str:
 
 
 def round_even(x: str, digits: int = 4) -> str:
-    """Ties to the even digit, judged on the shortest decimal form of the double."""
-    scale = 10**digits
-    e = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 20)) * {scale})"
+    """Nearest decimal, ties to the even digit, read off the exact digits of the double."""
+    point = "strpos(t, '.')"
+    kept = f"CAST(replace(left(t, {point} + {digits}), '.', '') AS BIGINT)"
+    rest = f"substr(t, {point} + {digits + 1})"
+    half = "5" + "0" * (69 - digits)
+    up = f"CASE WHEN {rest} > '{half}' THEN 1 WHEN {rest} = '{half}' THEN {kept} % 2 ELSE 0 END"
     return (
-        f"CAST(CASE WHEN {e} - floor({e}) = 0.5 THEN floor({e}) + abs(floor({e}) % 2) "
-        f"ELSE round({e}, 0) END AS DOUBLE) / {scale}::DOUBLE"
+        f"(CASE WHEN {x} < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * "
+        f"list_transform([printf('%.70f', abs(CAST({x} AS DOUBLE)))], lambda t: "
+        f"CAST({kept} + {up} AS DOUBLE))[1] / {10**digits}::DOUBLE)"
     )

@@ -23,6 +23,7 @@ from checks.urls import (
     bar,
     scored_urls,
 )
+from mailsieve.functions.columns import round_to
 from mailsieve.operators import evaluation as E
 from mailsieve.operators import robustness as RO
 from mailsieve.operators import scoring as SC
@@ -323,12 +324,12 @@ def mixed_layers(spark, sf):
 
 @query(
     "weights_redistribution",
-    f"WITH {MIX} SELECT email_id, {round_even('weighted', 9)} AS weighted_risk, flagging AS flagging_layers, {round_even('combined')} AS overall_risk_score, verdict AS overall_verdict FROM {verdict_sql()}",
+    f"WITH {MIX} SELECT email_id, {round_even('weighted', 6)} AS weighted_risk, flagging AS flagging_layers, {round_even('combined')} AS overall_risk_score, verdict AS overall_verdict FROM {verdict_sql()}",
 )
 def _redistribution(spark, sf):
     out = V.aggregate_risk(mixed_layers(spark, sf))
     return out.select(
-        "email_id", F.bround("weighted_risk", 9).alias("weighted_risk"), "flagging_layers",
+        "email_id", round_to(F.col("weighted_risk"), 6).alias("weighted_risk"), "flagging_layers",
         "overall_risk_score", "overall_verdict",
     )
 

@@ -95,9 +95,34 @@ def score_of(points: Column) -> Column:
     return F.least(points, F.lit(100)).cast("double") / F.lit(100.0)
 
 
+def round_to(value: Column, digits: int) -> Column:
+    """Nearest multiple of 10**-digits to the exact binary value, ties to the even digit.
+
+    digits is at most 7. value * 10**digits is rounded once by the machine; its error is
+    worked out exactly from the two halves of value (Veltkamp, Dekker) and settles the
+    cases that look like ties.
+    """
+    scale = F.lit(10.0**digits)
+    x = F.abs(value)
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    low = x - high
+    product = x * scale
+    error = (high * scale - product) + low * scale
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    tie = (error > 0) | ((error == 0) & (whole % F.lit(2.0) == 1))
+    up = (part > 0.5) | ((part == 0.5) & tie)
+    return F.signum(value) * ((whole + up.cast("double")) / scale)
+
+
 def round4(value: Column) -> Column:
-    """Four decimals, ties to the even digit."""
-    return F.bround(value, 4)
+    return round_to(value, 4)
+
+
+def fixed_text(value: Column, digits: int) -> Column:
+    """The value with so many decimals, rounded as round_to does."""
+    return F.format_string(f"%.{digits}f", round_to(value, digits))
 
 
 def leading(values: Column, n: int | None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import clamp01, contained, round4
+from mailsieve.functions.columns import clamp01, contained, fixed_text, round4
 from mailsieve.functions.text import full_text, sentences, words
 from mailsieve.rules import authorship as R
 
@@ -169,7 +169,10 @@ def _signals() -> Column:
     """Readable signals of the parts above their lines."""
 
     def strong(column: str, line: float, message: str) -> Column:
-        return F.when(F.col(column) >= line, F.format_string(message, F.col(column)))
+        before, after = message.split("%.2f")
+        return F.when(
+            F.col(column) >= line, F.concat(F.lit(before), fixed_text(F.col(column), 2), F.lit(after))
+        )
 
     found = F.array_compact(
         F.array(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import as_column, contains_any, round4, sql_text, with_value
+from mailsieve.functions.columns import as_column, contains_any, fixed_text, round4, sql_text, with_value
 from mailsieve.functions.text import java_pattern
 from mailsieve.rules import robustness as R
 
@@ -234,7 +234,7 @@ def robustness(df: DataFrame, scorer, kinds: list[str] | None = None) -> DataFra
         "Classifier resilient: "
     )
     fooled = F.col("_p_variant") < 0.5
-    percent = F.concat(F.format_string("%.1f", confidence("_p_variant") * 100), F.lit("%"))
+    percent = F.concat(fixed_text(confidence("_p_variant") * 100, 1), F.lit("%"))
     notes = F.concat(
         F.when(caught, F.col("_notes")).otherwise(F.array(missed)),
         F.array_compact(F.array(F.when(~fooled, F.concat(resilient, percent)))),

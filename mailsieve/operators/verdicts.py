@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.functions.columns import round4
+from mailsieve.functions.columns import fixed_text, round4
 from mailsieve.rules import verdicts as R
 
 # Score column per layer; NULL means the layer did not run.
@@ -110,7 +110,7 @@ def two_layer_risk(df: DataFrame) -> DataFrame:
 def phishing_factor() -> Column:
     return F.concat(
         F.lit("Email text classified as phishing ("),
-        F.format_string("%.1f", F.col("confidence") * 100),
+        fixed_text(F.col("confidence") * 100, 1),
         F.lit("% confidence)"),
     )
 
