@@ -11,10 +11,13 @@ weighted Jaccard similarity is at least the threshold, and linked documents form
    threshold's share of a text's weight, which most texts lack: these end here. The
    shingles that only this text holds can match nothing, so one term with all their
    weight stands for them.
-3. Weighted samples of the others are banded. In each bucket the texts are compared with
-   the smallest one, those that are not linked with the smallest one of the rest, and so
-   on: never all pairs of a group.
-4. Candidate pairs are verified by exact weighted Jaccard similarity.
+3. Weighted samples of the others are banded. In each bucket every text is a candidate with
+   the smallest one. Buckets that still hold several classes are looked at twice more: first
+   each text outside the smallest one's class is a candidate with the one text of another
+   class that agrees with it in most samples, and then with all texts of the classes that
+   are still others, if enough samples agree.
+4. Candidates with too few equal samples are dropped, the others verified by exact weighted
+   Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -29,10 +32,14 @@ from pyspark.sql import functions as F
 
 from mailsieve.llm import tokens
 from mailsieve.llm.graph import components
-from mailsieve.session import written
+from mailsieve.session import small_side, written
 
 SIZE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 3
+BANDS, ROWS = 24, 4
+# Least share of equal samples of a candidate, of the threshold: three standard deviations
+# of 96 samples below it.
+AGREE = 0.85
+CHUNK = 4096
 GROUP_BYTES = 128 << 20
 SAMPLES = 1 << 16
 TINY = 1e-9
@@ -203,7 +210,7 @@ def _sketch(n_docs: int, threshold: float, bands: int, rows: int):
         at, found = [], []
         for home, blob in zip(group["home"], group.pop("blob")):
             (at if home < 0 else found).append(unpack(blob, *(TOTAL if home < 0 else FOUND)))
-        empty = pd.DataFrame({"node": [], "weight": [], "hashes": [], "weights": [], "bands": []})
+        empty = pd.DataFrame([], columns=["node", "weight", "hashes", "weights", "bands", "code"])
         if not found:
             return empty
         texts, n, copies = (np.concatenate(x) for x in zip(*at))
@@ -234,12 +241,14 @@ def _sketch(n_docs: int, threshold: float, bands: int, rows: int):
             terms = [x[: len(y)] for x, y in zip(terms, loads)]
             where = np.concatenate([[0], np.cumsum([len(x) for x in terms])[:-1]]).astype(np.int64)
             samples = icws(np.concatenate(terms), np.concatenate(loads), where, bands * rows).reshape(len(block), bands, rows)
+            # One byte per sample is enough to compare two texts roughly.
+            code = samples.astype(np.uint8)
             band = np.zeros((len(block), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for r in range(rows):
                 band = tokens.mix(band * np.uint64(tokens.BASE) + samples[:, :, r])
             for x, j in enumerate(block):
                 own = slice(starts[j], starts[j] + size[j])
-                out.append((int(node[starts[j]]), float(shared[j] + rest[j]), hashes[own].tobytes(), weights[own].tobytes(), band[x].view(np.int64)))
+                out.append((int(node[starts[j]]), float(shared[j] + rest[j]), hashes[own].tobytes(), weights[own].tobytes(), band[x].view(np.int64), code[x].tobytes()))
         return pd.DataFrame(out, columns=list(empty))
 
     return run
@@ -257,16 +266,89 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, similarity) of each pair."""
-    own = sketches.select("node", "hashes", "weights", "weight")
+def _agreement(least: float):
+    """Rows whose codes agree in at least so many samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                codes = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("code", "other")]
+                yield batch.select(["a", "b"]).filter(pa.array((codes[0] == codes[1]).sum(axis=1) >= least))
+
+    return run
+
+
+def _across(least: float, best: bool, rows: int):
+    """Candidates (a, b) of different classes in buckets, a among the outsiders.
+
+    best: for each outsider the one that agrees with it in most samples. A pair is given
+    by the first band only in which it shares a bucket."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["band", "salt", "outside"], ignore_index=True)
+        node, part, outside = group["node"].to_numpy(), group["component"].to_numpy(), group["outside"].to_numpy()
+        codes = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(group), -1)
+        place = group[["band", "salt"]].to_numpy()
+        number = group["no"].to_numpy()
+        by_band = codes.reshape(len(codes), -1, rows)
+        starts = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(group)]])
+        a, b = [], []
+        for start, end in zip(starts, starts[1:]):
+            first = start + int((~outside[start:end]).sum())
+            for i in range(first, end):
+                agree = (codes[start:first] == codes[i]).sum(axis=1)
+                agree[part[start:first] == part[i]] = 0
+                found = np.flatnonzero(agree >= least)
+                if best and len(found):
+                    found = np.array([agree.argmax()])
+                elif len(found):
+                    shared = (by_band[start:first][found] == by_band[i]).all(axis=2)
+                    found = found[shared.argmax(axis=1) == number[i]]
+                a.append(np.repeat(node[i], len(found)))
+                b.append(node[start:first][found])
+        return pd.DataFrame({"a": np.concatenate(a or [node[:0]]), "b": np.concatenate(b or [node[:0]])}).drop_duplicates()
+
+    return run
+
+
+def _cross_pairs(members: DataFrame, labels: DataFrame, least: float, best: bool, rows: int) -> DataFrame:
+    """Candidates of different classes. A bucket's members are dealt to chunks, each of
+    which meets all members outside the class of the bucket's smallest text."""
+    all_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    buckets = all_.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main"),
+        F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"),
+    )
+    several = all_.join(buckets.filter("low <> high").drop("low", "high"), "band")
+    inside = several.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("outside", F.lit(False))
+    outside = several.filter("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("outside", F.lit(True))
+    both = inside.unionByName(outside).select("band", "no", "salt", "node", "component", "code", "outside")
+    both = written(both, "buckets")
+    groups = both.count() // (4 * CHUNK) + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.withColumn("to", F.pmod(F.xxhash64("band", "salt"), F.lit(groups)))
+    pairs = both.groupBy("to").applyInPandas(_across(least, best, rows), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, sketches: DataFrame, least: float, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are similar, written."""
+    codes = sketches.select("node", "code", F.col("weight").alias("w"))
+    rough = pairs.join(codes.toDF("a", "code", "w"), "a").join(codes.toDF("b", "other", "v"), "b")
+    # Similar texts have similar weights.
+    rough = rough.filter(F.least("w", "v") >= (threshold - TINY) * F.greatest("w", "v"))
+    rough = written(rough.mapInArrow(_agreement(least), "a long, b long"), "pairs")
+    # The terms of texts without a candidate stay where they are.
+    needed = small_side(rough.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = sketches.select("node", "hashes", "weights", "weight").join(needed, "node", "left_semi")
     other = own.toDF("b", "other_hashes", "other_weights", "other_weight")
-    both = pairs.join(own.withColumnRenamed("node", "a"), "a").join(other, "b")
-    return both.mapInArrow(_similar, "a long, b long, similarity double")
+    both = rough.join(own.withColumnRenamed("node", "a"), "a").join(other, "b")
+    checked = both.mapInArrow(_similar, "a long, b long, similarity double")
+    return written(checked.filter(F.col("similarity") >= threshold - TINY).select("a", "b"), "links")
 
 
 def similar_texts(docs: DataFrame, text: str, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
-    """Links (a, b) between digests of different texts; text must not be NULL."""
+    """(node, component) of the texts (by digest) that have a similar one; text must not
+    be NULL."""
     spark = docs.sparkSession
     narrow = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
     n_docs, n_bytes = docs.select(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
@@ -275,22 +357,25 @@ def similar_texts(docs: DataFrame, text: str, threshold: float, size: int, bands
     counted = entries.groupBy("part").applyInPandas(_count(parts), "home int, blob binary")
     home = F.when(F.col("home") < 0, -1 - F.col("home")).otherwise(F.col("home"))
     found = counted.groupBy(home.alias("to")).applyInPandas(
-        _sketch(n_docs, threshold, bands, rows), "node long, weight double, hashes binary, weights binary, bands array<long>"
+        _sketch(n_docs, threshold, bands, rows),
+        "node long, weight double, hashes binary, weights binary, bands array<long>, code binary",
     )
     sketches = written(found, "sketches")
-    rest = written(sketches.select("node", F.explode("bands").alias("band")), "bands")
-    links = None
-    while True:
-        leaders = rest.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = written(rest.join(leaders.drop("n"), "band").filter("node <> leader"), "members")
-        pairs = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        checked = written(_verified(pairs, sketches).filter(F.col("similarity") >= threshold - TINY), "links")
-        if members.limit(1).count() == 0:
-            break
-        links = checked if links is None else links.union(checked)
-        done = checked.select(F.col("a").alias("node"), F.col("b").alias("leader"))
-        rest = written(members.join(done, ["node", "leader"], "left_anti").select("node", "band"), "bands")
-    return (checked if links is None else links).select("a", "b")
+    members = written(sketches.select("node", "code", F.posexplode("bands").alias("no", "band")), "members")
+    least = AGREE * threshold * bands * rows
+    leaders = members.groupBy("band").agg(F.min("node").alias("b"))
+    pairs = members.join(leaders, "band").filter("node <> b").select(F.col("b").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    links = _links(pairs, sketches, least, threshold)
+    labels, tried = components(links), pairs
+    for best in (True, False):
+        across = written(_cross_pairs(members, labels, least, best, rows), "pairs")
+        more = _links(across.join(tried, ["a", "b"], "left_anti"), sketches, least, threshold)
+        tried = tried.union(across)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = components(links)
+    return labels
 
 
 def classes(
@@ -307,9 +392,9 @@ def classes(
     digest is the MD5 of the text and lead that of the leading row.
     """
     own = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    links = components(similar_texts(own, "text", threshold, size, bands, rows))
+    linked = similar_texts(own, "text", threshold, size, bands, rows)
     nodes = own.select("doc_id", F.xxhash64("text").alias("node"), F.md5("text").alias("digest"))
-    labelled = nodes.join(links, "node", "left").select(
+    labelled = nodes.join(linked, "node", "left").select(
         "doc_id", "digest", F.coalesce(F.col("component").cast("string"), F.col("digest")).alias("label")
     )
     labelled = written(labelled, "classes")
