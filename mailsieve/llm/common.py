@@ -51,16 +51,17 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of docs less some lines: all columns, text cut, with lines and gone added.
+def without_lines(docs: DataFrame, removed: DataFrame, doc_id: str, text: str, digest_bits: int = 64) -> DataFrame:
+    """The rows of docs less some lines: all columns, text cut, with _lines and _gone added.
 
-    removed has id, digest (xxhash64 of the text) and gone: an array of structs that
-    begin with line_no, in order. lines holds the lines of the full text.
+    removed has id, digest (the low digest_bits of the text's xxhash64) and gone: an array
+    of structs that begin with line_no, in order. _lines holds the lines of the full text.
     """
     row, no = "_cut_row", "line_no"
+    digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     packed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[doc_id].alias("_cut_id"),
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_cut_digest"),
+        (digest if digest_bits == 64 else F.pmod(digest, F.lit(1 << digest_bits))).alias("_cut_digest"),
     )
     same = F.col("_cut_id").eqNullSafe(F.col("id")) & (F.col("_cut_digest") == F.col("digest"))
     df = packed.join(removed.select("id", "digest", "gone"), same, "left")

@@ -9,17 +9,19 @@ or not.
 2. Each distinct line of a piece of input sends its prefix, the rarest words of which any
    similar line must hold one, to the range of each word's hash; equal lines meet in the
    range of their set's hash, which needs no join.
-3. In a word's range every line is held against the lines before it, earliest first,
-   until one passes the length, position and bitmap filters: one candidate per line and
-   word at most, however many lines share the word.
-4. Candidates are verified on the words themselves. Lines whose candidate fails while
-   others were left untried are joined with all lines that share a prefix word.
+3. In a word's range every line is held against the lines of like length that share the
+   word, until one is all but certain to be similar; the closest of the earlier ones that
+   pass the length, position and bitmap filters are its candidates.
+4. Candidates are verified on the words themselves, the closest of each line first and the
+   others only if it fails. Lines whose candidates all fail although others were left
+   untried are joined with all lines that share a prefix word.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,13 +41,19 @@ NO_ID = np.iinfo(np.int64).max
 BROADCAST_LINES = 500_000
 BROADCAST_WORDS = 500_000
 TINY = 1e-9
-
-ENTRY = (np.uint64, np.uint16, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint64)
-LINE = (np.uint64, np.uint64, np.int64, np.int64, np.uint32)
-GONE = (np.int64, np.int64, np.uint32)
+# Words of 64 bits per line; every word of the line flips one bit, so lines differ in at
+# least as many words as bits. A candidate with so few differing bits, of the most allowed,
+# is all but certain, and the search for others ends.
+BITMAP, STRONG, SLACK = 4, 0.4, 1.5
+# Candidates of a line that one word range sends on at first; step 4 has the way for the rest.
+TRIED, LIKELY = 4, 0.8
+
+ENTRY = (np.uint64, np.uint16, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64)
+LINE = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32)
+GONE = (np.int64, np.uint32, np.uint32)
 PLACE = ["id", "digest", "line_no"]
 OTHER = ["other_id", "other_digest", "other_line_no"]
-FOUND = "id long, digest long, line_no long, other_id long, other_digest long, other_line_no long, more boolean"
+FOUND = "id long, digest long, line_no long, other_id long, other_digest long, other_line_no long, differ long, more boolean"
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +90,10 @@ class Lines:
 
     def __init__(self, column: pa.Array, ranks: np.ndarray, threshold: float):
         w = tokens.words(column)
-        breaks = np.flatnonzero(w.data == 0x0A)
+        # Lines before each byte, over all texts: line feeds, and the ends of texts.
+        feeds = np.concatenate([[0], np.cumsum(w.data == 0x0A, dtype=np.int64)])
         text = w.text
-        line = np.searchsorted(breaks, w.starts) + text
+        line = feeds[w.starts] + text
         rank = ranks[(w.hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         order = self._order(line, rank, w.hashes)
         line, words, text = line[order], w.hashes[order], text[order]
@@ -93,12 +102,13 @@ class Lines:
         self.starts = runs(line)
         self.n = np.diff(np.append(self.starts, len(line)))
         self.text = text[self.starts]
-        self.line_no = line[self.starts] - np.searchsorted(breaks, w.offsets[self.text]) - self.text
-        self.a = np.add.reduceat(tokens.mix(self.words), self.starts) if len(line) else words
+        self.line_no = line[self.starts] - feeds[w.offsets[self.text]] - self.text
+        self.a = np.add.reduceat(self.words, self.starts) if len(line) else words
         self.b = np.add.reduceat(tokens.mix(self.words ^ np.uint64(tokens.BASE)), self.starts) if len(line) else words
-        bit = np.uint64(1) << (self.words & np.uint64(63))
-        high = (self.words & np.uint64(64)) > 0
-        self.low, self.high = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), self.starts) if len(line) else words for x in (~high, high))
+        self.bits = np.zeros((len(self.starts), BITMAP), np.uint64)
+        bit, place = np.uint64(1) << (self.words & np.uint64(63)), (self.words >> np.uint64(6)) & np.uint64(BITMAP - 1)
+        for k in range(BITMAP if len(line) else 0):
+            self.bits[:, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), self.starts)
         self.prefix = self.n - np.ceil(threshold * self.n - TINY).astype(np.int64) + 1
 
     @staticmethod
@@ -121,7 +131,7 @@ def _send(parts: int, ranks, threshold: float):
             for piece in tokens.pieces(batch, "text"):
                 x = Lines(piece.column("text"), ranks.value, threshold)
                 ids = piece.column("id").fill_null(NO_ID).to_numpy()[x.text]
-                digest = piece.column("digest").to_numpy()[x.text]
+                digest = piece.column("digest").to_numpy().astype(np.uint32)[x.text]
                 order = np.lexsort((x.line_no, digest, ids, x.b, x.a))
                 first = np.zeros(len(order), bool)
                 first[order[np.concatenate([[True], (x.a[order][1:] != x.a[order][:-1]) | (x.b[order][1:] != x.b[order][:-1])])[: len(order)]]] = True
@@ -165,17 +175,18 @@ def _entry_rows(x: Lines, ids, digest, sent, parts):
             pack(
                 word[rows], np.minimum(pos[rows], 65535).astype(np.uint16), at.astype(np.uint32), ids[lines], digest[lines],
                 x.line_no[lines].astype(np.uint32), x.n[lines].astype(np.uint32), (x.a[lines] >> np.uint64(32)).astype(np.uint32),
-                x.low[lines], x.high[lines],
+                x.bits[lines].ravel(),
             ),
         )
 
 
-def _found(place: list[np.ndarray], other: list[np.ndarray] | None = None, more: np.ndarray | None = None) -> pd.DataFrame:
+def _found(place: list[np.ndarray], other: list[np.ndarray] | None = None, differ=None, more=None) -> pd.DataFrame:
     """Rows of FOUND; without other the place is removed for sure."""
     n = len(place[0])
     columns = dict(zip(PLACE, [x.astype(np.int64) for x in place]))
     for i, name in enumerate(OTHER):
         columns[name] = pd.array(other[i].astype(np.int64) if other else [None] * n, dtype="Int64")
+    columns["differ"] = differ if differ is not None else np.zeros(n, np.int64)
     columns["more"] = pd.array(more if more is not None else [False] * n, dtype="boolean")
     return pd.DataFrame(columns)
 
@@ -203,43 +214,76 @@ def _meet(threshold: float):
     return run
 
 
-def passes(n, m, i, j, differ, threshold: float) -> np.ndarray:
-    """Length, position and bitmap filters of lines with n and m words that share the
-    words at i and j of their orders and differ in so many bits."""
-    both = (n + m) / (1 + threshold)
-    fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - TINY
-    shared = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1
-    return fits & (shared >= threshold * both - TINY) & (differ <= (1 - threshold) * both + TINY)
+def most_bits(n, m, threshold: float):
+    """Bits that similar lines of n and m words differ in at most."""
+    return (1 - threshold) / (1 + threshold) * (n + m) + TINY
+
+
+def shared_words(n, m, i, j):
+    """Most words that lines can share which hold a word at i and j of their orders."""
+    return np.minimum(i, j) + np.minimum(n - i, m - j)
 
 
 def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
-    ids, digest, line_no, n, kind, low, high = lines
+    """Earlier lines that pass the filters, for every line of a word's range.
+
+    Lines of one word go by length, so each is held against its neighbours within the
+    length filter only; a line with an all but certain candidate is done.
+    """
+    ids, digest, line_no, n, kind, bits = lines
+    bits = bits.reshape(-1, BITMAP)
+    # Earlier lines have smaller numbers.
+    number = np.empty(len(ids), np.int64)
+    number[np.lexsort((line_no, digest, ids))] = np.arange(len(ids))
     order = np.argsort(word, kind="stable")
     starts = runs(word[order])
     size = np.diff(np.append(starts, len(order)))
     order = order[np.repeat(size > 1, size)]
-    order = order[np.lexsort((line_no[at[order]], digest[at[order]], ids[at[order]], word[order]))]
+    order = order[np.lexsort((n[at[order]], word[order]))]
     starts = runs(word[order])
-    size = np.diff(np.append(starts, len(order)))
-    begin = np.repeat(starts, size)
-    rank = np.arange(len(order)) - begin
+    begin = np.repeat(starts, np.diff(np.append(starts, len(order))))
     line, pos = at[order], pos[order]
-    n = n.astype(np.int64)
-    active, found = np.flatnonzero(rank > 0), []
-    j = 0
+    length = n[line].astype(np.int64)
+    done = np.zeros(len(ids), bool)
+    active, found, step = np.flatnonzero(np.arange(len(order)) > begin), [], 1
     while len(active):
-        lead = begin[active] + j
-        x, y = line[active], line[lead]
-        same = (kind[x] == kind[y]) & (n[x] == n[y]) & (low[x] == low[y]) & (high[x] == high[y])
-        differ = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y])
-        good = passes(n[x], n[y], pos[active], pos[lead], differ.astype(np.int64), threshold) & ~same
-        found.append(np.stack([x[good], y[good], rank[active][good] > j + 1]))
+        near = length[active - step] >= threshold * length[active] - TINY
+        active = active[near]
+        i, j = active, active - step
+        late = number[line[i]] > number[line[j]]
+        i, j = np.where(late, i, j), np.where(late, j, i)
+        left = ~done[line[i]]
+        i, j = i[left], j[left]
+        x, y = line[i], line[j]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        most = most_bits(length[i], length[j], threshold)
+        hit = differ <= most
+        i, j, x, y, differ, most = i[hit], j[hit], x[hit], y[hit], differ[hit], most[hit]
         # Equal lines were decided by their set.
-        active = active[~(good | same)]
-        j += 1
-        active = active[rank[active] > j]
-    x, y, more = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-    return _found([ids[x], digest[x], line_no[x]], [ids[y], digest[y], line_no[y]], more.astype(bool))
+        same = (differ == 0) & (kind[x] == kind[y]) & (length[i] == length[j])
+        enough = threshold / (1 + threshold) * (length[i] + length[j]) - TINY
+        good = (shared_words(length[i], length[j], pos[i], pos[j]) >= enough) & ~same
+        strong = good & (differ <= STRONG * most - SLACK)
+        done[x[same | strong]] = True
+        share = (differ * 1_000_000 / (length[i] + length[j])).astype(np.int64)
+        found.append(np.stack([x[good], y[good], share[good], strong[good]]))
+        step += 1
+        active = active[active - step >= begin[active]]
+    x, y, differ, more = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+    _, first = np.unique(x * len(ids) + y, return_index=True)
+    x, y, differ, more = x[first], y[first], differ[first], more[first].astype(bool)
+    # Where the closest is likely to be similar, only the closest ones go on; that others
+    # were left out is noted.
+    order = np.lexsort((number[y], differ, x))
+    x, y, differ, more = x[order], y[order], differ[order], more[order]
+    starts = runs(x)
+    size = np.diff(np.append(starts, len(x)))
+    place = np.arange(len(x)) - np.repeat(starts, size)
+    likely = np.repeat(differ[starts] <= LIKELY * 1_000_000 * (1 - threshold) / (1 + threshold), size)
+    more |= likely & np.repeat(size > TRIED, size)
+    kept = ~likely | (place < TRIED)
+    x, y, differ, more = x[kept], y[kept], differ[kept], more[kept]
+    return _found([ids[x], digest[x], line_no[x]], [ids[y], digest[y], line_no[y]], differ, more)
 
 
 def _rows_of_words(ranks, threshold: float, wanted):
@@ -260,15 +304,16 @@ def _rows_of_words(ranks, threshold: float, wanted):
                     [
                         pa.array(word.view(np.int64)), pa.array(pos), piece.column("id").fill_null(NO_ID).take(pa.array(text)),
                         piece.column("digest").take(pa.array(text)), pa.array(x.line_no[line]), pa.array(x.n[line]),
-                        pa.array(x.low[line].view(np.int64)), pa.array(x.high[line].view(np.int64)),
+                        *[pa.array(x.bits[line, k].view(np.int64)) for k in range(BITMAP)],
                     ],
-                    names=["word", "pos", *PLACE, "n", "low", "high"],
+                    names=["word", "pos", *PLACE, "n", *OWN_BITS],
                 )
 
     return run
 
 
-WORD_ROWS = "word long, pos long, id long, digest long, line_no long, n long, low long, high long"
+OWN_BITS, OTHER_BITS = ([f"{x}{k}" for k in range(BITMAP)] for x in ("bits", "other_bits"))
+WORD_ROWS = ", ".join(f"{c} long" for c in ["word", "pos", *PLACE, "n", *OWN_BITS])
 
 
 def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -289,32 +334,40 @@ def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The lines with an earlier similar line: id, digest (of the text), line_no (from 0).
+    """The lines with an earlier similar line: id, digest (32 bits of the text's), line_no
+    (from 0).
 
-    doc_id is an integer; NULL comes last and is given as the largest long. Rows with
-    equal id and text count as one document; lines without a word are never found.
+    doc_id is an integer; NULL comes last and is given as the largest long. The digest
+    only tells texts of the same id apart. Rows with equal id and text count as one
+    document; lines without a word are never found.
     """
     spark = docs.sparkSession
     own = docs.select(
         F.coalesce(docs[doc_id].cast("long"), F.lit(int(NO_ID))).alias("id"),
         F.coalesce(docs[text], F.lit("")).alias("text"),
-    ).withColumn("digest", F.xxhash64("text"))
+    ).withColumn("digest", F.pmod(F.xxhash64("text"), F.lit(1 << 32)))
     n_bytes = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
     ranks = spark.sparkContext.broadcast(word_ranks(own.select("text")))
     sent = own.mapInArrow(_send(parts, ranks, threshold), "part int, blob binary")
     found = written(sent.groupBy("part").applyInPandas(_meet(threshold), FOUND), "met-lines")
     gone = found.filter("other_id IS NULL").select(*PLACE).distinct()
-    pairs = found.filter("other_id IS NOT NULL").groupBy(*PLACE, *OTHER).agg(F.max("more").alias("more"))
+    pairs = found.filter("other_id IS NOT NULL").groupBy(*PLACE, *OTHER).agg(F.min("differ").alias("differ"), F.max("more").alias("more"))
     # Documents that are the same row twice hold the same line, not an earlier one.
     pairs = pairs.filter("id <> other_id OR digest <> other_digest OR line_no <> other_line_no")
     pairs = written(pairs.join(gone, PLACE, "left_anti"), "line-pairs")
-    checked = written(_verified(own, pairs, threshold), "line-checks")
-    similar = checked.filter("similar").select(*PLACE).distinct()
-    open_ = written(checked.groupBy(*PLACE).agg(F.max("similar").alias("s"), F.max("more").alias("m")).filter("m AND NOT s").select(*PLACE), "open-lines")
+    closest = pairs.groupBy(*PLACE).agg(F.min(F.struct("differ", *OTHER)).alias("y"), F.max("more").alias("more"), F.count(F.lit(1)).alias("n"))
+    closest = closest.select(*PLACE, *[F.col(f"y.{c}").alias(c) for c in OTHER], "more", "n")
+    first = written(_verified(own, closest, threshold), "line-checks")
+    similar = [gone, first.filter("similar").select(*PLACE)]
+    rest = pairs.join(first.filter("NOT similar AND n > 1").select(*PLACE), PLACE, "left_semi")
+    rest = rest.join(first.select(*PLACE, *OTHER), PLACE + OTHER, "left_anti").select(*PLACE, *OTHER)
+    second = written(_verified(own, written(rest, "line-pairs"), threshold).filter("similar").select(*PLACE).distinct(), "line-checks")
+    similar.append(second)
+    open_ = written(first.filter("more AND NOT similar").select(*PLACE).join(second, PLACE, "left_anti"), "open-lines")
     if open_.limit(1).count():
-        similar = similar.union(_untried(own, open_, ranks, threshold))
-    return gone.union(similar).distinct()
+        similar.append(_untried(own, open_, ranks, threshold))
+    return reduce(DataFrame.union, similar).distinct()
 
 
 def _untried(own: DataFrame, open_: DataFrame, ranks, threshold: float) -> DataFrame:
@@ -329,9 +382,9 @@ def _untried(own: DataFrame, open_: DataFrame, ranks, threshold: float) -> DataF
     few = words.select("word").distinct().limit(BROADCAST_WORDS + 1).toPandas()["word"].to_numpy()
     if len(few) <= BROADCAST_WORDS:
         wanted = spark.sparkContext.broadcast(np.unique(few.view(np.uint64)))
-    every = own.mapInArrow(_rows_of_words(ranks, threshold, wanted), WORD_ROWS).toDF("word", "j", *OTHER, "m", "other_low", "other_high")
+    every = own.mapInArrow(_rows_of_words(ranks, threshold, wanted), WORD_ROWS).toDF("word", "j", *OTHER, "m", *OTHER_BITS)
     both = words.join(every, "word")
-    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("other_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("other_high")))
+    differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(OWN_BITS, OTHER_BITS)), F.lit(0))
     total = (F.col("n") + F.col("m")) / (1 + threshold)
     shared = F.least("pos", "j") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("j"))
     earlier = F.struct(*OTHER) < F.struct(*[F.col(c).alias(o) for c, o in zip(PLACE, OTHER)])
@@ -351,5 +404,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     each = gone.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("line_no"))).alias("gone"))
     each = each.withColumn("id", F.when(F.col("id") != int(NO_ID), F.col("id")))
     each = each.withColumn("gone", F.transform("gone", lambda x: F.struct(x["line_no"].cast("int").alias("line_no"))))
-    df = without_lines(docs, each, doc_id, text)
+    df = without_lines(docs, each, doc_id, text, digest_bits=32)
     return df.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_lines", "_gone")
