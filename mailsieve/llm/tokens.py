@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 8 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -43,7 +43,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            n = max(n, 2 * BLOCK)
+            n = max(n, 4 * BLOCK)
             cls.up, cls.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
         return cls.up, cls.down
 
@@ -58,14 +58,14 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
 
-    @property
-    def text(self) -> np.ndarray:
-        return np.searchsorted(self.offsets, self.starts, "right") - 1
-
     @property
     def counts(self) -> np.ndarray:
         return np.diff(np.searchsorted(self.starts, self.offsets))
 
+    @property
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
+
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most so many bytes of text, one row at least."""
