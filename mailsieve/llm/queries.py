@@ -172,7 +172,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentencepiece.load(PIECE_MODEL)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    rows = sentencepiece.encode(docs, pieces, decoded="decoded")
     return rows.select(
         "doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), "decoded", (F.col("decoded") == F.col("text")).alias("same")
     )

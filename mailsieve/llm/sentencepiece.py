@@ -33,7 +33,7 @@ from mailsieve.llm.minhash import runs
 SPACE = 0x2581
 NORMAL, BYTE = 1, 6
 BPE = 2
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 BIGRAM_BITS = 22
 LONG = 256
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -46,12 +46,12 @@ def _bigram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """Piece table. keys hashes every prefix of a piece (open addressing, 0 is empty);
-    rank (NONE for a mere prefix) and piece_id stand at the same slots."""
+    """Piece table. keys hashes every prefix of a piece (open addressing, 0 is empty); its
+    rank, NONE for a mere prefix, stands at the same slot."""
 
     keys: np.ndarray
     rank: np.ndarray
-    piece_id: np.ndarray
+    id_of_rank: np.ndarray
     shift: int
     joined: np.ndarray
     longest: int
@@ -90,14 +90,14 @@ def make_pieces(entries: list[tuple[str, float, int, int]]) -> Pieces:
                     hashes[p[:n]] = int(_step(np.array([hashes[p[: n - 1]]], np.uint64), np.array([ord(p[n - 1])], np.uint64))[0])
     del hashes[""]
     bits = max(4, int(np.ceil(np.log2(4 * len(hashes) + 1))))
-    keys, ranks, piece_ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, NONE, np.int32), np.full(1 << bits, -1, np.int32)
+    keys, ranks = np.zeros(1 << bits, np.uint64), np.full(1 << bits, NONE, np.int32)
     for p, h in hashes.items():
         slot = h >> (64 - bits)
         while keys[slot]:
             slot = (slot + 1) & ((1 << bits) - 1)
         keys[slot] = h
         if p in ids:
-            ranks[slot], piece_ids[slot] = rank[p], ids[p]
+            ranks[slot] = rank[p]
     pairs = np.array([(ord(a), ord(b)) for p in ids for a, b in zip(p, p[1:])] or [(0, 0)], np.uint32)
     joined = np.zeros(1 << BIGRAM_BITS, bool)
     joined[_bigram(pairs[:, 0], pairs[:, 1])] = True
@@ -111,7 +111,8 @@ def make_pieces(entries: list[tuple[str, float, int, int]]) -> Pieces:
             surface[i] = p.replace(chr(SPACE), " ").encode()
     if (of_byte < 0).any():
         raise ValueError("the piece table has no bytes to fall back on")
-    return Pieces(keys, ranks, piece_ids, 64 - bits, joined, max(map(len, ids)), of_byte, surface)
+    id_of_rank = np.array([i for _, _, i in normal], np.int32)
+    return Pieces(keys, ranks, id_of_rank, 64 - bits, joined, max(map(len, ids)), of_byte, surface)
 
 
 def load(path: str) -> Pieces:
@@ -134,21 +135,20 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Edges of many words: rank and id of the piece of each length at each character."""
+    """Edges of many words: rank of the piece of each length at each character."""
 
     def __init__(self, chars: np.ndarray, starts: np.ndarray, n: np.ndarray, pieces: Pieces):
         self.chars, self.starts, self.n = chars, starts, n
         left = np.repeat(starts + n, n) - np.arange(len(chars))
         longest = min(pieces.longest, int(n.max(initial=1)))
         self.rank = np.full((longest + 1, len(chars)), NONE, np.int32)
-        self.id = np.full((longest + 1, len(chars)), -1, np.int32)
         at, prefix = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
         for size in range(1, longest + 1):
             prefix = _step(prefix, chars[at + size - 1])
             slot = pieces.find(prefix)
             known = slot >= 0
             at, prefix, slot = at[known], prefix[known], slot[known]
-            self.rank[size, at], self.id[size, at] = pieces.rank[slot], pieces.piece_id[slot]
+            self.rank[size, at] = pieces.rank[slot]
             more = left[at] > size
             at, prefix = at[more], prefix[more]
 
@@ -248,7 +248,8 @@ def _solve(chars: np.ndarray, starts: np.ndarray, n: np.ndarray, pieces: Pieces)
     lattice = Lattice(chars, starts, n, pieces)
     length = lattice.merge()
     at = np.flatnonzero(length)
-    ids = lattice.id[length[at], at]
+    rank = lattice.rank[length[at], at]
+    ids = np.where(rank < NONE, pieces.id_of_rank[np.where(rank < NONE, rank, 0)], -1)
     word = np.searchsorted(starts, at, "right") - 1
     unknown = np.flatnonzero(ids < 0)
     if len(unknown):
@@ -287,24 +288,33 @@ def surfaces(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces.surface), np.uint8), np.cumsum([len(s) for s in pieces.surface])
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", name: str = "piece_ids") -> DataFrame:
+def encode(
+    docs: DataFrame, pieces: Pieces, text: str = "text", name: str = "piece_ids", decoded: str | None = None
+) -> DataFrame:
     """docs with an array of piece ids added (or replaced) under name.
 
     A NULL text gives NULL, an empty one no ids. A text is taken as it is, with a space
-    put before it; U+2581, which stands for the space, is read as one.
+    put before it; U+2581, which stands for the space, is read as one. With decoded, the
+    text that the ids decode to is added under that name in the same pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in docs.columns if c not in (name, decoded) or c == text]
     packed = docs.select(*kept)
     place = kept.index(text)
+    own = [c for c in kept if c != decoded]
+    fields = [f for f in packed.schema.fields if f.name != decoded] + [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField(decoded, T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, ends = surfaces(shared.value)
         for batch in batches:
             for part in tokens.pieces(batch, text, PIECE_BYTES):
-                found = encode_texts(part.column(place).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*kept, name])
+                new = [encode_texts(part.column(place).to_pylist(), shared.value)]
+                if decoded:
+                    new.append(decode_ids(new[0], shared.value, joined, ends))
+                yield pa.RecordBatch.from_arrays([*[part.column(kept.index(c)) for c in own], *new], names=[f.name for f in fields])
 
-    return packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    return packed.mapInArrow(run, T.StructType(fields))
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
