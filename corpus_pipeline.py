@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document; text is what they decode to."""
     table = sentencepiece.load(PIECE_MODEL)
-    rows = sentencepiece.decode(sentencepiece.encode(docs, table), table, name="text")
+    rows = sentencepiece.encode(docs, table, decoded="text")
     return rows.withColumn("n_pieces", F.size("piece_ids")).select(*docs.columns, "piece_ids", "n_pieces")
 
 
