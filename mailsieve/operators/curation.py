@@ -195,14 +195,22 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
 
 
 def dedup_exact(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """First row of each text in the given total order.
+    """First row of each text in the given total order; rows equal in text and order stay.
 
-    An aggregation on a digest: copies are dropped before the shuffle, so a text that
-    makes up a third of the corpus costs one row per task.
+    Only digests and order columns are grouped, and copies combine before the shuffle, so
+    a text that makes up a third of the corpus costs one row per task. The rows are kept
+    by a semi join on their digest and place.
     """
-    first = F.min_by(F.struct(*df.columns), F.struct(*order))
-    grouped = df.groupBy(F.sha2(F.col(text), 256).alias("_digest")).agg(first.alias("_first"))
-    return grouped.select("_first.*")
+    digest = F.unhex(F.sha2(F.col(text), 256))
+    place = F.struct(*order)
+    firsts = df.groupBy(digest.alias("_digest")).agg(F.min(place).alias("_place"))
+    firsts = firsts.select("_digest", *[F.col(f"_place.{c}").alias(f"_first_{c}") for c in order])
+    firsts = small_side(written(firsts, "firsts"))
+    keyed = df.withColumn("_digest", digest)
+    same = keyed["_digest"].eqNullSafe(firsts["_digest"])
+    for c in order:
+        same = same & keyed[c].eqNullSafe(firsts[f"_first_{c}"])
+    return keyed.join(firsts, same, "left_semi").drop("_digest")
 
 
 def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:

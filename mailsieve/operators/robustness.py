@@ -214,7 +214,8 @@ MISSED = {
 def robustness(df: DataFrame, scorer, kinds: list[str] | None = None) -> DataFrame:
     """One row per email and variant with scores before and after and the outcome.
 
-    A variant evades if the scorer no longer calls it phishing and the detector sees
+    The scores are phishing probabilities, the confidences those of the winning class. A
+    variant evades if the scorer no longer calls it phishing and the detector sees
     nothing. fooled_by_confidence is the same test on the winning-class confidence, which
     a two-class scorer can never fail. Narrow: base and variant are scored in the row.
     """
@@ -247,6 +248,8 @@ def robustness(df: DataFrame, scorer, kinds: list[str] | None = None) -> DataFra
         round4(F.col("_p_original")).alias("original_score"),
         round4(F.col("_p_variant")).alias("adversarial_score"),
         round4(F.col("_p_variant") - F.col("_p_original")).alias("score_delta"),
+        round4(confidence("_p_original")).alias("original_confidence"),
+        round4(confidence("_p_variant")).alias("adversarial_confidence"),
         caught.alias("heuristic_caught"),
         fooled.alias("classifier_fooled"),
         (confidence("_p_variant") < 0.5).alias("fooled_by_confidence"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -119,6 +120,56 @@ class BatchScorer:
         return df.withColumn(out, predict(clean_inference(combined)))
 
 
+def term_hash(term: str, seed: int = 42) -> int:
+    """MurmurHash3 (32 bits) of a term, as the hashed term weights are numbered by."""
+    data, h, low = term.encode(), seed, 0xFFFFFFFF
+
+    def scramble(k: int) -> int:
+        k = (k * 0xCC9E2D51) & low
+        return (((k << 15) | (k >> 17)) * 0x1B873593) & low
+
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h ^= scramble(int.from_bytes(data[i : i + 4], "little"))
+        h = (((h << 13) | (h >> 19)) * 5 + 0xE6546B64) & low
+    if whole < len(data):
+        h ^= scramble(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = ((h ^ (h >> 16)) * 0x85EBCA6B) & low
+    h = ((h ^ (h >> 13)) * 0xC2B2AE35) & low
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def portable(model: PipelineModel) -> Callable[[], Callable[[pd.Series], pd.Series]]:
+    """A fitted text model as a BatchScorer load function, without Spark in the tasks.
+
+    One weight per hashed term (frequency scale times coefficient) is all it holds, so its
+    size is that of the model whatever the texts are.
+    """
+    hashing, idf, regression = model.stages
+    weights = idf.idf.toArray() * regression.coefficients.toArray()
+    intercept, size = float(regression.intercept), hashing.getNumFeatures()
+
+    def load() -> Callable[[pd.Series], pd.Series]:
+        known: dict[str, float] = {}
+
+        def weight(term: str) -> float:
+            if len(known) > 1_000_000:
+                known.clear()
+            if term not in known:
+                known[term] = float(weights[term_hash(term) % size])
+            return known[term]
+
+        def predict(texts: pd.Series) -> pd.Series:
+            sums = [intercept + sum(weight(t) for t in text.split(" ") if t) for text in texts]
+            return pd.Series([1 / (1 + math.exp(-x)) if x > -700 else 0.0 for x in sums], dtype="float64")
+
+        return predict
+
+    return load
+
+
 def classify(df: DataFrame, p: str = "p_phishing") -> DataFrame:
     """Add is_phishing, confidence, label and risk_level from a phishing probability."""
     score = F.col(p)

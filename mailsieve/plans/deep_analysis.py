@@ -15,7 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.columns import leading
+from mailsieve.functions.text import full_text
 from mailsieve.operators.authorship import authorship
+from mailsieve.operators.explain import (
+    ablate_top_token,
+    attribute_tokens,
+    explain,
+    top_tokens,
+    with_risk_categories,
+)
 from mailsieve.operators.headers import score_headers
 from mailsieve.operators.links import link_aggregates, link_chains, link_score, score_links
 from mailsieve.operators.pages import page_aggregates, page_facts
@@ -75,17 +83,31 @@ def with_optional(emails: DataFrame) -> DataFrame:
     return emails.withColumns(missing) if missing else emails
 
 
-def mail_layers(emails: DataFrame, scorer, as_of: str) -> DataFrame:
-    """Layers that need the email alone, as compact columns. Narrow."""
+EXPLANATION = ["risk_categories", "top_tokens", "top_token_confidence_delta", "explanation", "summary"]
+
+
+def mail_layers(emails: DataFrame, scorer, as_of: str, explaining: bool = False) -> DataFrame:
+    """Layers that need the email alone, as compact columns. Narrow.
+
+    explaining adds a struct xai: categories, top words, the effect of the first of them
+    and the readable texts.
+    """
     base = merge_html_urls(parse_emails(with_optional(emails)))
     base = classify(scorer.score(base))
     base = authorship(score_headers(score_senders(base), as_of))
+    if explaining:
+        base = _explained(base, scorer).withColumn("xai", F.struct(*EXPLANATION))
     return base.select(
         "email_id", "is_phishing", "confidence", "label", "risk_level", "urls", "sender_check",
-        "headers", "authorship",
+        "headers", "authorship", *(["xai"] if explaining else []),
     )
 
 
+def _explained(classified: DataFrame, scorer, weights: DataFrame | None = None) -> DataFrame:
+    base = with_risk_categories(classified, full_text(F.col("subject"), F.col("text")))
+    return explain(ablate_top_token(top_tokens(attribute_tokens(base, weights)), scorer))
+
+
 def url_rows(emails: DataFrame) -> DataFrame:
     """email_id, pos, url, first_seen and the crawl switches, one row per URL. Narrow."""
     parsed = merge_html_urls(parse_emails(with_optional(emails)))
@@ -120,8 +142,9 @@ def url_facts(evidence: Evidence, as_of: str, limits: Limits) -> DataFrame | Non
 
 
 def url_layers(
-    emails: DataFrame, evidence: Evidence, as_of: str, strict_brands: bool, limits: Limits
-) -> DataFrame:
+    emails: DataFrame, evidence: Evidence, as_of: str, strict_brands: bool, limits: Limits,
+    details: bool = False,
+) -> DataFrame:
     """URL, page and link findings per email, in one aggregation."""
     rows = url_rows(emails)
     domains = domain_facts(evidence.registry, evidence.tls, as_of)
@@ -146,9 +169,33 @@ def url_layers(
     if evidence.hops is not None:
         checked = F.col("first_seen") & _first(limits.links)
         aggregates += link_aggregates(checked)
+    if details:
+        aggregates += _details(scored, evidence, limits)
     return scored.groupBy("email_id").agg(*aggregates)
 
 
+URL_RESULT = [
+    "pos", "url", "domain", "is_suspicious", "risk_score", "flags", "domain_age_days",
+    "registrar", "ssl_valid", "ssl_issuer", "vt_malicious",
+]
+CRAWL_RESULT = ["pos", "url", "error", "has_password_field", "has_login_form"]
+VISUAL_RESULT = ["pos", "url", "visual_risk", "is_fake_login", "impersonated_brand", "visual_flags"]
+
+
+def _details(scored: DataFrame, evidence: Evidence, limits: Limits) -> list[Column]:
+    """Results per URL, crawled page and page shown; as long as the email's own URL list."""
+
+    def listed(names: list[str], which: Column, out: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(which, F.struct(*names)))).alias(out)
+
+    parts = [listed(URL_RESULT, F.lit(True), "url_results")]
+    if evidence.pages is not None:
+        crawled = F.col("crawl_urls") & _first(limits.pages) & F.coalesce("has_page", F.lit(False))
+        shown = crawled & F.col("take_screenshots") & F.col("error").isNull()
+        parts += [listed(CRAWL_RESULT, crawled, "crawl_results"), listed(VISUAL_RESULT, shown, "visual_results")]
+    return parts
+
+
 def _layer_risks(df: DataFrame, evidence: Evidence, drop_failed: bool) -> DataFrame:
     """One <layer>_risk column per layer, NULL where the layer did not run."""
     none = F.lit(None).cast("double")
@@ -188,7 +235,7 @@ def _factors(evidence: Evidence, limits: Limits) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def _layers() -> Column:
+def _layers(explaining: bool) -> Column:
     """Names of the layers that ran, in running order."""
     ran = [
         ("text_classification", F.lit(True)),
@@ -197,7 +244,7 @@ def _layers() -> Column:
         ("web_crawling", F.col("crawl_risk").isNotNull()),
         ("visual_analysis", F.col("visual_risk").isNotNull()),
         ("ai_authorship_detection", F.lit(True)),
-        ("xai_explanation", F.lit(True)),
+        ("xai_explanation", F.lit(explaining)),
         ("link_checking", F.col("links_risk").isNotNull()),
         ("header_forensics", F.col("headers_risk").isNotNull()),
     ]
@@ -212,11 +259,13 @@ def analyzed_layers(
     strict_brands: bool = False,
     drop_failed_layers: bool = False,
     limits: Limits | None = None,
+    explaining: bool = False,
+    details: bool = False,
 ) -> DataFrame:
     """Layer results and layer risks per email, before they are combined."""
     evidence = evidence or Evidence()
-    mails = mail_layers(emails, scorer or RuleScorer(), as_of)
-    urls = url_layers(emails, evidence, as_of, strict_brands, limits or Limits())
+    mails = mail_layers(emails, scorer or RuleScorer(), as_of, explaining)
+    urls = url_layers(emails, evidence, as_of, strict_brands, limits or Limits(), details)
     joined = mails.join(urls, "email_id", "left")
     return _layer_risks(joined, evidence, drop_failed_layers)
 
@@ -229,18 +278,25 @@ def deep_analyze(
     strict_brands: bool = False,
     drop_failed_layers: bool = False,
     limits: Limits | None = None,
+    explaining: bool = True,
+    details: bool = False,
 ) -> DataFrame:
-    """Verdict, score, reasons and layer results for each email.
+    """Verdict, score, reasons, explanation and layer results for each email.
 
     emails: email_id, text and any of subject, email_html, raw_headers, the sender fields,
     crawl_urls and take_screenshots. as_of is the moment ages are measured against.
+    explaining adds the struct xai; details adds url_results, crawl_results and
+    visual_results, one struct per URL in order of place.
     """
     evidence = evidence or Evidence()
     layers = analyzed_layers(
-        emails, evidence, scorer, as_of, strict_brands, drop_failed_layers, limits
+        emails, evidence, scorer, as_of, strict_brands, drop_failed_layers, limits, explaining, details
     )
     return aggregate_risk(layers).withColumns(
-        {"risk_factors": _factors(evidence, limits or Limits()), "analysis_layers": _layers()}
+        {
+            "risk_factors": _factors(evidence, limits or Limits()),
+            "analysis_layers": _layers(explaining),
+        }
     )
 
 
@@ -265,21 +321,13 @@ def full_analyze(
         False,
         limits or Limits(),
     )
-    return two_layer_risk(mails.join(urls, "email_id", "left"))
+    both = two_layer_risk(mails.join(urls, "email_id", "left"))
+    text = F.array_compact(F.array(F.when(F.col("is_phishing"), phishing_factor())))
+    found = F.coalesce("url_factors", F.array().cast("array<string>"))
+    return both.withColumn("risk_factors", F.concat(text, found))
 
 
 def explained(emails: DataFrame, scorer=None, weights: DataFrame | None = None) -> DataFrame:
     """Classifier result with categories, top words, delta and readable explanation."""
-    from mailsieve.functions.text import full_text
-    from mailsieve.operators.explain import (
-        ablate_top_token,
-        attribute_tokens,
-        explain,
-        top_tokens,
-        with_risk_categories,
-    )
-
     scorer = scorer or RuleScorer()
-    base = classify(scorer.score(with_optional(emails)))
-    base = with_risk_categories(base, full_text(F.col("subject"), F.col("text")))
-    return explain(ablate_top_token(top_tokens(attribute_tokens(base, weights)), scorer))
+    return _explained(classify(scorer.score(with_optional(emails))), scorer, weights)
