@@ -11,7 +11,7 @@ from checks.duck import NS, NW, S, SP, ctes, q
 from mailsieve.functions import text as T
 from mailsieve.operators import curation as C
 from mailsieve.operators.verdicts import composition
-from mailsieve.session import shared_dir
+from mailsieve.session import shared_dir, written
 from mailsieve.sources import corpora, sinks
 from mailsieve.sources.derived import load_derived, load_table
 
@@ -103,10 +103,10 @@ def _resolve(spark, sf):
 
 @query(
     "tag_provenance",
-    "SELECT doc_id, 0 AS label, 'enron' AS source, 'legit' AS email_type FROM documents",
+    "SELECT doc_id, md5(text) AS text_md5, 0 AS label, 'enron' AS source, 'legit' AS email_type FROM documents",
 )
 def _tag(spark, sf):
-    docs = load_table(spark, sf, "documents").select("doc_id")
+    docs = load_table(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_md5"), "source")
     return C.tag(docs, 0, "enron", "legit")
 
 
@@ -193,10 +193,16 @@ def _read_corpus(spark, sf):
     return corpora.read_corpus(spark, path, "enron")
 
 
-@query("read_missing_corpus", "SELECT source, count(*) AS emails FROM documents WHERE 1 = 0 GROUP BY source")
+@query(
+    "read_missing_corpus",
+    "SELECT 'documents' AS source, count(*) AS emails, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents",
+)
 def _read_missing(spark, sf):
-    frame = corpora.read_corpus(spark, f"{sf}/no-such-corpus.csv", "nazario")
-    return frame.groupBy("source").agg(F.count(F.lit(1)).alias("emails"))
+    """A union of the given documents with a corpus whose file is not there."""
+    there = C.tag(load_table(spark, sf, "documents").select("text"), 0, "documents", "legit")
+    missing = corpora.read_corpus(spark, f"{sf}/no-such-corpus.csv", "nazario")
+    both = C.union_sources([there, missing])
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("emails"), F.sum(F.char_length("text")).alias("characters"))
 
 
 @query("cap_rows", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 500")
@@ -327,12 +333,21 @@ def _balance(spark, sf):
     return C.split_balance(_split(spark, sf))
 
 
-@query("write_splits", f"WITH {SPLIT} SELECT doc_id, label FROM sp WHERE split = 'test'")
+@query(
+    "write_splits",
+    f"WITH {SPLIT} SELECT f AS format, doc_id, label, split, md5(text) AS text_md5 FROM sp, (VALUES ('parquet'), ('csv')) v(f)",
+)
 def _write_splits(spark, sf):
-    path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
-    sinks.write_splits(_split(spark, sf), path)
-    back = spark.read.parquet(path).filter(F.col("split") == "test")
-    return back.select("doc_id", "label")
+    """All partitions, in both formats, read back."""
+    rows = written(_split(spark, sf).select("doc_id", "label", "text", "split"), "split")
+    frames = []
+    for fmt in ("parquet", "csv"):
+        path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+        sinks.write_splits(rows, path, fmt)
+        reader = spark.read.schema(rows.schema).option("header", True).option("escape", '"').option("multiLine", True)
+        back = reader.format(fmt).load(path)
+        frames.append(back.select(F.lit(fmt).alias("format"), "doc_id", "label", "split", F.md5("text").alias("text_md5")))
+    return frames[0].union(frames[1])
 
 
 @query(

@@ -325,7 +325,22 @@ def _authorship_mails(spark, sf):
     return out.select("email_id", "is_ai_generated", "ai_authorship_score")
 
 
-@query("authorship_signals")
+_LOUD = [
+    ("b", 0.6, "Low sentence-length burstiness (%.2f) — uniform structure typical of LLMs"),
+    ("p", 0.6, "Low lexical entropy (%.2f) — predictable word choices typical of AI"),
+    ("v", 0.6, "Low vocabulary richness (%.2f) — limited lexical diversity"),
+    ("r", 0.5, "High bigram repetition (%.2f) — repeated phrase patterns"),
+    ("f", 0.5, "High formal/AI discourse marker density (%.2f)"),
+]
+_SHOWN = compact("[" + ", ".join(f"CASE WHEN {c} >= {line}::DOUBLE THEN printf({q(text)}, {c}) END" for c, line, text in _LOUD) + "]")
+_QUIET = """CASE WHEN s >= 0.55::DOUBLE THEN 'Multiple weak AI-authorship signals detected' ELSE 'No strong AI-authorship signals detected' END"""
+
+
+@query(
+    "authorship_signals",
+    f"""{MAILS}, {authored('emails')} SELECT email_id, CASE WHEN n < 10 THEN 'Text too short for reliable AI authorship analysis'
+    WHEN len({_SHOWN}) > 0 THEN array_to_string({_SHOWN}, '|') ELSE {_QUIET} END AS signals FROM a4""",
+)
 def _signals(spark, sf):
     out = A.authorship(emails(spark, sf))
     return out.select("email_id", bar("authorship.signals").alias("signals"))
@@ -390,23 +405,15 @@ def scored_tokens(source: str) -> str:
     FROM emails e LEFT JOIN top1 t ON e.email_id = t.email_id AND t.rank <= 10 GROUP BY e.email_id)"""
 
 
-def per_word(df):
-    rows = df.select("email_id", F.inline_outer("tokens")).filter(F.col("pos").isNotNull())
-    return rows.groupBy("email_id").agg(
-        F.count(F.lit(1)).alias("words"),
-        F.count_if("is_highlighted").alias("highlighted"),
-        F.count_if(F.col("raw_score") == XR.WORD_SCORE).alias("risk_words"),
-        F.count_if(F.col("raw_score") == XR.PHRASE_SCORE).alias("phrase_words"),
-    )
-
-
 @query(
     "attribute_tokens",
-    f"""{MAILS}, {TOKENS}, {scored_tokens("rules")} SELECT email_id, count(*) AS words, count(*) FILTER (WHERE score >= 0.55::DOUBLE) AS highlighted,
-    count(*) FILTER (WHERE raw_score = 0.85::DOUBLE) AS risk_words, count(*) FILTER (WHERE raw_score = 0.75::DOUBLE) AS phrase_words FROM tokens GROUP BY email_id""",
+    f"""{MAILS}, {TOKENS}, {scored_tokens("rules")} SELECT email_id, pos AS pos, token, score, score >= 0.55::DOUBLE AS is_highlighted FROM tokens""",
 )
 def _attribute(spark, sf):
-    return per_word(X.attribute_tokens(emails(spark, sf)))
+    rows = X.attribute_tokens(emails(spark, sf)).select("email_id", F.inline_outer("tokens"))
+    return rows.filter(F.col("pos").isNotNull()).select(
+        "email_id", F.col("pos").cast("bigint").alias("pos"), "token", "score", "is_highlighted"
+    )
 
 
 @query("top_tokens", f"{MAILS}, {TOKENS}, {scored_tokens('rules')} SELECT email_id, top_tokens FROM top_tokens")

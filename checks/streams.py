@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.curation import emails
-from checks.duck import ctes
+from checks.duck import ctes, round_even
 from checks.mail import SCORED_HEADERS, SCORED_SENDERS, authored
-from checks.verdicts import SCORES, evidence, verdict_sql
+from checks.verdicts import LAYER_CTES, SCORES, evidence, verdict_sql
 from mailsieve.plans.deep_analysis import deep_analyze
 from mailsieve.session import shared_dir
 from mailsieve.sources.derived import AS_OF, load_table
@@ -86,7 +86,10 @@ def _score_stream(spark, sf):
     return drained(scored.select("email_id", "overall_verdict"), "scored")
 
 
-@query("deep_score_batches")
+@query(
+    "deep_score_batches",
+    f"{LAYER_CTES} SELECT email_id, verdict AS overall_verdict, {round_even('combined')} AS overall_risk_score FROM {verdict_sql()}",
+)
 def _deep_batches(spark, sf):
     """All layers per micro-batch; equal to the batch plan row by row."""
     out = folder(spark, "deep-out")
@@ -138,10 +141,11 @@ def _window_stream(spark, sf):
     return closed.select(F.unix_seconds("window_start").alias("window_start"), "verdict", "emails")
 
 
-@query("first_seen", f"{ctes('emails')} SELECT count(DISTINCT text) AS texts FROM emails")
+@query("first_seen", f"{ctes('emails')} SELECT DISTINCT sha256(text) AS text_hash FROM emails")
 def _first(spark, sf):
+    """Which row of a text comes first depends on arrival; that one of each comes does not."""
     unique = first_seen(as_stream(emails(spark, sf), "first"), "1000 days")
-    return drained(unique.select("email_id", "text_hash"), "seen").agg(F.count(F.lit(1)).alias("texts"))
+    return drained(unique.select("text_hash"), "seen")
 
 
 @query(

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.curation import CORPUS, corpus, emails
-from checks.duck import EMAIL_URLS, PARSED, compact, ctes, first_in, hits, joined, lst, q, round_even, rx
-from checks.mail import CATS, SCORED_HEADERS, SCORED_SENDERS, authored
+from checks.curation import CORPUS, INFER, corpus, emails
+from checks.duck import EMAIL_URLS, NS, NW, PARSED, S, compact, ctes, first_in, hits, joined, lst, q, round_even, rx, strip
+from checks.mail import CATS, SCORED_HEADERS, SCORED_SENDERS, TOKENS, authored, scored_tokens
 from checks.urls import (
     CHAINS,
     ENRICHED,
@@ -29,10 +29,12 @@ from mailsieve.operators import robustness as RO
 from mailsieve.operators import scoring as SC
 from mailsieve.operators import verdicts as V
 from mailsieve.operators.authorship import authorship
+from mailsieve.operators.curation import stratified_split
 from mailsieve.plans.deep_analysis import Evidence, analyzed_layers, deep_analyze, explained, full_analyze
 from mailsieve.rules import robustness as RR
 from mailsieve.rules import verdicts as VR
-from mailsieve.session import shared_dir
+from mailsieve.rules import explain as XR
+from mailsieve.session import shared_dir, written
 from mailsieve.sources import sinks
 from mailsieve.sources.derived import AS_OF, load_derived, load_table
 
@@ -72,21 +74,31 @@ def _classify(spark, sf):
     )
 
 
-_FOUR = "[(vec_id * 7 % 10), (vec_id * 3 % 10), (vec_id * 9 % 10), (vec_id % 10)]"
+# Class probabilities made from the vectors: the share of every fourth component's squares.
+_SQUARES = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))"
+_SUMS = ", ".join(
+    f"list_reduce(list_filter({_SQUARES}, lambda x, i: i % 4 = {(k + 1) % 4}), lambda a, x: a + x, 0.0::DOUBLE)" for k in range(4)
+)
 
 
 @query(
     "classify_four",
-    f"""WITH p AS (SELECT vec_id, list_transform({_FOUR}, lambda x: (x + 1) / 50.0::DOUBLE) AS pr FROM embeddings),
+    f"""WITH e AS (SELECT vec_id, [{_SUMS}] AS s FROM embeddings),
+    p AS (SELECT vec_id, list_transform(s, lambda x: x / (s[1] + s[2] + s[3] + s[4])) AS pr FROM e),
     b AS (SELECT vec_id, list_position(pr, list_max(pr)) - 1 AS k, list_max(pr) AS confidence FROM p), c AS (SELECT *, k IN (1, 3) AS is_phishing FROM b)
     SELECT vec_id, {lst(VR.CLASS_NAMES)}[k + 1] AS predicted_class, is_phishing, confidence, {_RISK} AS risk_level FROM c""",
 )
 def _classify_four(spark, sf):
-    v = F.col("vec_id")
-    raw = F.array(v * 7 % 10, v * 3 % 10, v * 9 % 10, v % 10)
-    rows = load_table(spark, sf, "embeddings").select(
-        "vec_id", F.transform(raw, lambda x: (x + 1) / F.lit(50.0)).alias("probabilities")
-    )
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+
+    def every_fourth(k: int) -> F.Column:
+        return F.aggregate(F.filter(squares, lambda x, i: i % 4 == k), F.lit(0.0), lambda a, x: a + x)
+
+    sums = [every_fourth(k) for k in range(4)]
+    rows = load_table(spark, sf, "embeddings").select("vec_id", F.array(*sums).alias("s"))
+    s = F.col("s")
+    total = s[0] + s[1] + s[2] + s[3]
+    rows = rows.select("vec_id", F.transform(s, lambda x: x / total).alias("probabilities"))
     out = SC.classify_four(rows)
     return out.select("vec_id", "predicted_class", "is_phishing", "confidence", "risk_level")
 
@@ -99,38 +111,60 @@ def _batch(spark, sf):
     return SC.batch_summary(classified(spark, sf))
 
 
+_COMBINED = "CASE WHEN coalesce(subject, '') <> '' THEN 'Subject: ' || subject || chr(10) || chr(10) || text ELSE text END"
+
+
 @query(
     "model_tokens",
-    None,
+    f"""{MAILS}, t AS (SELECT email_id, regexp_extract_all({INFER % _COMBINED}, '{NS}+') AS w FROM emails)
+    SELECT email_id, CAST(len(w) AS INTEGER) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM t""",
 )
 def _tokens(spark, sf):
-    tokens = SC.model_tokens(F.col("text"), F.col("subject"), 512)
-    return emails(spark, sf).select("email_id", F.size(tokens).alias("n_tokens"))
+    rows = emails(spark, sf).select("email_id", SC.model_tokens(F.col("text"), F.col("subject")).alias("w"))
+    return rows.select("email_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
-@query("fit_and_score_model")
-def _model(spark, sf):
-    """Confusion of a model fitted on the training split and scored on the rest."""
-    from mailsieve.operators.curation import stratified_split
+LABELLED_SPLIT = f"""{MAILS}, lm AS (SELECT e.email_id, CAST(l.toxic AS INTEGER) AS label FROM emails e JOIN labels l ON l.doc_id = e.email_id),
+  n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || email_id)) AS rn, count(*) OVER (PARTITION BY label) AS n FROM lm),
+  sp AS (SELECT *, CASE WHEN rn <= floor(0.8::DOUBLE * n) THEN 'train' WHEN rn <= floor(0.9::DOUBLE * n) THEN 'validation' ELSE 'test' END AS split FROM n)"""
+
 
+def labelled_split(spark, sf):
+    """Labelled emails with their split, written once: fitting reads them again and again."""
     mails = emails(spark, sf).select("email_id", "subject", "text")
-    labelled = SC.classify(SC.RuleScorer().score(mails)).withColumn("label", F.col("is_phishing").cast("int"))
-    split = stratified_split(labelled.select("email_id", "subject", "text", "label"), 42, "email_id")
-    model = SC.fit_text_model(split.filter(F.col("split") == "train"), features=1 << 12, max_iter=5)
-    rest = split.filter(F.col("split") != "train").withColumnRenamed("label", "truth")
-    scored = SC.classify(SC.ModelScorer(model).score(rest)).withColumn("pred", F.col("is_phishing").cast("int"))
-    return E.confusion(scored, "truth", "pred")
+    labels = load_table(spark, sf, "labels").select(F.col("doc_id").alias("email_id"), F.col("toxic").cast("int").alias("label"))
+    return written(stratified_split(E.join_labels(mails, labels, "email_id"), 42, "email_id"), "labelled")
 
 
-@query("batch_scorer")
-def _udf(spark, sf):
-    """An outside model behind an Arrow batch function: here the presence of a masked link."""
+def fitted(spark, sf):
+    rows = labelled_split(spark, sf)
+    return SC.fit_text_model(rows.filter(F.col("split") == "train")), rows
 
-    def load():
-        return lambda texts: texts.str.contains("[URL]", regex=False).astype("float64") * 0.9
 
-    scored = SC.classify(SC.BatchScorer(load).score(emails(spark, sf)))
-    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("emails"))
+@query(
+    "fit_and_score_model",
+    f"""{LABELLED_SPLIT} SELECT split, label, count(*) AS emails, count(*) AS scored, TRUE AS beats_chance FROM sp GROUP BY split, label""",
+)
+def _model(spark, sf):
+    """A model fitted on the training split: rows per split and label, how many it scores
+    between 0 and 1, and whether it ranks its training rows better than chance."""
+    model, rows = fitted(spark, sf)
+    scored = written(SC.ModelScorer(model).score(rows.withColumnRenamed("label", "truth")), "scored")
+    train = scored.filter(F.col("split") == "train").groupBy("truth").agg(F.avg("p_phishing").alias("p"))
+    order = train.agg((F.max(F.when(F.col("truth") == 1, F.col("p"))) > F.max(F.when(F.col("truth") == 0, F.col("p")))).alias("beats_chance"))
+    counted = scored.groupBy("split", F.col("truth").alias("label")).agg(
+        F.count(F.lit(1)).alias("emails"), F.count_if(F.col("p_phishing").between(0, 1)).alias("scored")
+    )
+    return counted.join(F.broadcast(order))
+
+
+@query("batch_scorer", f"{MAILS} SELECT email_id, TRUE AS agrees FROM emails")
+def _udf(spark, sf):
+    """The fitted weights behind an Arrow batch function, held against the pipeline row by row."""
+    model, _ = fitted(spark, sf)
+    mails = emails(spark, sf).select("email_id", "subject", "text")
+    both = SC.BatchScorer(SC.portable(model)).score(SC.ModelScorer(model).score(mails), out="p_batch")
+    return both.select("email_id", (F.abs(F.col("p_batch") - F.col("p_phishing")) < 1e-9).alias("agrees"))
 
 
 # Evaluation: rule prediction on emails against the labels of their documents.
@@ -199,12 +233,15 @@ def _cube(spark, sf):
 @query(
     "authorship_metrics",
     f"""WITH docs AS (SELECT doc_id AS email_id, NULL::VARCHAR AS subject, text FROM documents), {authored("docs")},
-    o AS (SELECT CAST(email_id % 3 = 0 AS INTEGER) AS label, CAST(is_ai_generated AS INTEGER) AS pred FROM authorship) {_metrics_sql("o")}""",
+    o AS (SELECT CAST(l.quality = 0 AS INTEGER) AS label, CAST(is_ai_generated AS INTEGER) AS pred FROM authorship a JOIN labels l ON l.doc_id = a.email_id) {_metrics_sql("o")}""",
 )
 def _authorship_metrics(spark, sf):
-    docs = load_table(spark, sf, "documents").select(
+    """Documents labelled as of low quality stand for the machine-written ones."""
+    origin = F.when(F.col("quality") == 0, "llm").otherwise("human")
+    labels = load_table(spark, sf, "labels").select("doc_id", origin.alias("origin"))
+    docs = load_table(spark, sf, "documents").join(labels, "doc_id").select(
         F.col("doc_id").alias("email_id"), F.lit(None).cast("string").alias("subject"), "text",
-        F.when(F.col("doc_id") % 3 == 0, "llm").otherwise("human").alias("source"),
+        F.col("origin").alias("source"),
     )
     out = authorship(docs).select("source", "authorship.is_ai_generated")
     return E.authorship_metrics(out)
@@ -294,6 +331,34 @@ def _deep(spark, sf):
     )
 
 
+@query(
+    "deep_details",
+    f"""{LAYER_CTES} SELECT 'url' AS kind, email_id, pos AS pos, url, is_suspicious AS hit, risk_score AS risk, {joined("flags")} AS flags FROM uf
+    UNION ALL SELECT 'crawl', email_id, pos, (SELECT any_value(u.url) FROM email_urls u WHERE u.email_id = seen.email_id AND u.pos = seen.pos), has_password_field, NULL, coalesce(error, '') FROM seen
+    UNION ALL SELECT 'visual', email_id, pos, (SELECT any_value(u.url) FROM email_urls u WHERE u.email_id = seen.email_id AND u.pos = seen.pos), is_fake_login, risk_score, {joined("flags")} FROM seen WHERE shown""",
+)
+def _details(spark, sf):
+    """Results per URL, crawled page and page shown, one row each."""
+    out = deep_analyze(emails(spark, sf), evidence(spark, sf), as_of=AS_OF, explaining=False, details=True)
+    out = written(out.select("email_id", "url_results", "crawl_results", "visual_results"), "details")
+    none = F.lit(None).cast("double")
+    kinds = [
+        ("url", "url_results", F.col("is_suspicious"), F.col("risk_score"), bar("flags")),
+        ("crawl", "crawl_results", F.col("has_password_field"), none, F.coalesce("error", F.lit(""))),
+        ("visual", "visual_results", F.col("is_fake_login"), F.col("visual_risk"), bar("visual_flags")),
+    ]
+    frames = []
+    for kind, column, hit, risk, flags in kinds:
+        rows = out.select("email_id", F.inline(column))
+        frames.append(
+            rows.select(
+                F.lit(kind).alias("kind"), "email_id", F.col("pos").cast("bigint").alias("pos"), "url",
+                hit.alias("hit"), risk.alias("risk"), flags.alias("flags"),
+            )
+        )
+    return frames[0].union(frames[1]).union(frames[2])
+
+
 @query(
     "analysis_layers",
     f"""{LAYER_CTES} SELECT email_id, array_to_string({compact("['text_classification', CASE WHEN sender_risk IS NOT NULL THEN 'sender_analysis' END, CASE WHEN url_risk IS NOT NULL THEN 'url_analysis' END, CASE WHEN crawl_risk IS NOT NULL THEN 'web_crawling' END, CASE WHEN visual_risk IS NOT NULL THEN 'visual_analysis' END, 'ai_authorship_detection', 'xai_explanation', CASE WHEN links_risk IS NOT NULL THEN 'link_checking' END, CASE WHEN headers_risk IS NOT NULL THEN 'header_forensics' END]")}, '|') AS analysis_layers FROM lay""",
@@ -338,13 +403,15 @@ def _redistribution(spark, sf):
     "two_layer_verdicts",
     f"""{ctes("emails", "domain_registry", "tls_observations", "url_reputation")}, {PARSED},
     email_urls AS (SELECT email_id, pos, url FROM (SELECT email_id, unnest(range(len(body_urls))) AS pos, unnest(body_urls) AS url FROM parsed)), {SCORES}, {FACTS}, {ENRICHED},
-    uf AS (SELECT email_id, max(risk_score) AS url_risk FROM {scored_urls("SELECT * FROM enriched")} GROUP BY email_id),
-    c AS (SELECT email_id, CASE WHEN is_phishing THEN confidence ELSE 1.0::DOUBLE - confidence END * 0.6::DOUBLE + coalesce(url_risk, 0.0::DOUBLE) * 0.4::DOUBLE AS r FROM cl LEFT JOIN uf USING (email_id))
-    SELECT email_id, {round_even('r')} AS overall_risk_score, CASE WHEN r >= 0.70::DOUBLE THEN 'PHISHING' WHEN r >= 0.35::DOUBLE THEN 'SUSPICIOUS' ELSE 'SAFE' END AS overall_verdict FROM c""",
+    uf AS (SELECT email_id, max(risk_score) AS url_risk, coalesce(flatten(list(flags ORDER BY pos) FILTER (WHERE is_suspicious)), []::VARCHAR[]) AS uff
+      FROM {scored_urls("SELECT * FROM enriched")} GROUP BY email_id),
+    c AS (SELECT email_id, list_concat(CASE WHEN is_phishing THEN ['Email text classified as phishing (' || printf('%.1f', confidence * 100) || '% confidence)'] ELSE []::VARCHAR[] END,
+      coalesce(uff, []::VARCHAR[])) AS fs, CASE WHEN is_phishing THEN confidence ELSE 1.0::DOUBLE - confidence END * 0.6::DOUBLE + coalesce(url_risk, 0.0::DOUBLE) * 0.4::DOUBLE AS r FROM cl LEFT JOIN uf USING (email_id))
+    SELECT email_id, {round_even('r')} AS overall_risk_score, CASE WHEN r >= 0.70::DOUBLE THEN 'PHISHING' WHEN r >= 0.35::DOUBLE THEN 'SUSPICIOUS' ELSE 'SAFE' END AS overall_verdict, {joined("fs")} AS risk_factors FROM c""",
 )
 def _two_layer(spark, sf):
     out = full_analyze(emails(spark, sf), evidence(spark, sf), as_of=AS_OF)
-    return out.select("email_id", "overall_risk_score", "overall_verdict")
+    return out.select("email_id", "overall_risk_score", "overall_verdict", bar("risk_factors").alias("risk_factors"))
 
 
 def ablation_sql(source: str) -> str:
@@ -374,7 +441,31 @@ def _ablation_mixed(spark, sf):
     return V.ablate_layers(rows)
 
 
-@query("explanations")
+# The text without its top word, scored again.
+_ABLATED = CATS.replace("FROM emails", "FROM abl").replace("c0 AS", "xc0 AS").replace("FROM c0", "FROM xc0").replace("cats AS", "xcats AS")
+_NAMED = "array_to_string(list_transform(tops[1:5], lambda t: '\"' || t || '\"'), ', ')"
+_LABELLED = "[" + ", ".join(f"CASE WHEN list_contains(risk_categories, {q(f)}) THEN {q(XR.LABELS[f])} END" for f in XR.FAMILIES) + "]"
+_LINES = "[" + ", ".join(f"CASE WHEN list_contains(risk_categories, {q(f)}) THEN {q(XR.EXPLANATIONS[f])} END" for f in XR.FAMILIES) + "]"
+EXPLAINED = f"""{SCORES}, {TOKENS}, {scored_tokens('rules')},
+  tl AS (SELECT e.email_id, coalesce(list(t.token ORDER BY t.rank) FILTER (WHERE t.rank IS NOT NULL), []::VARCHAR[]) AS tops
+    FROM emails e LEFT JOIN top1 t ON e.email_id = t.email_id AND t.rank <= 10 GROUP BY e.email_id),
+  abl AS (SELECT c.email_id, NULL::VARCHAR AS subject, CASE WHEN len(tops) = 0 THEN '' ELSE {strip("regexp_replace(regexp_replace(ft, '(?i)" + chr(92) + "b' || regexp_escape(tops[1]) || '" + chr(92) + "b', '', 'g'), '" + S + "{2,}', ' ', 'g')")} END AS text
+    FROM cats c JOIN tl USING (email_id)),
+  {_ABLATED}, xp AS (SELECT email_id, least(100, 10 + 15 * len(risk_categories))::DOUBLE / 100.0::DOUBLE AS p2 FROM xcats),
+  xa AS (SELECT cl.email_id, is_phishing, confidence, p, p2, tops, risk_categories, CAST({round_even('confidence * 100', 0)} AS INTEGER) || '%' AS pct
+    FROM cl JOIN cats USING (email_id) JOIN tl USING (email_id) JOIN xp USING (email_id)),
+  explained AS (SELECT email_id, risk_categories, tops,
+    CASE WHEN is_phishing AND len(tops) > 0 THEN {round_even("greatest(p, 1.0::DOUBLE - p) - greatest(p2, 1.0::DOUBLE - p2)")} ELSE 0.0::DOUBLE END AS top_token_confidence_delta,
+    CASE WHEN is_phishing THEN array_to_string(list_filter(list_concat(list_concat(['The model classified this email as PHISHING with ' || pct || ' confidence.'], {_LINES}),
+      [CASE WHEN len(tops) > 0 THEN '• Highest-attribution tokens: ' || {_NAMED} || '.' END]), lambda x: x IS NOT NULL), chr(10))
+      ELSE 'The model classified this email as LEGITIMATE with ' || pct || ' confidence. No significant urgency language, credential requests, or suspicious patterns were found.' END AS explanation,
+    CASE WHEN is_phishing THEN 'Flagged: ' || CASE WHEN len(risk_categories) = 0 AND len(tops) = 0 THEN 'high phishing signal' ELSE
+      array_to_string(list_filter([CASE WHEN len(risk_categories) > 0 THEN 'flagged because: ' || array_to_string({compact(_LABELLED)}, ' + ') END,
+        CASE WHEN len(tops) > 0 THEN 'key trigger words: ' || {_NAMED} END], lambda x: x IS NOT NULL), '; ') END
+      ELSE 'Email appears legitimate — no strong phishing signals detected.' END AS summary FROM xa)"""
+
+
+@query("explanations", f"{MAILS}, {EXPLAINED} SELECT email_id, explanation, summary, top_token_confidence_delta FROM explained")
 def _explanations(spark, sf):
     return explained(emails(spark, sf)).select(
         "email_id", "explanation", "summary", "top_token_confidence_delta"
@@ -485,16 +576,30 @@ _VCATS = CATS.replace("FROM emails", "FROM vin").replace("c0 AS", "vc0 AS").repl
 ROBUST = f"""{MAILS}, {SCORES}, {VARIANTS}, vin AS (SELECT v.email_id * 100 + row_number() OVER (PARTITION BY v.email_id ORDER BY variant_name) AS email_id, e.subject, adversarial_text AS text, v.email_id AS orig, attack_type, variant_name, probe
     FROM variants v JOIN emails e USING (email_id)), {_VCATS},
   res AS (SELECT vin.orig AS email_id, vin.attack_type, vin.variant_name, p AS original_score, least(100, 10 + 15 * len(vcats.risk_categories))::DOUBLE / 100.0::DOUBLE AS adversarial_score,
-    len(CASE attack_type WHEN 'homoglyph' THEN {on(HOMO, "probe")} WHEN 'zero_width' THEN CASE WHEN regexp_matches(probe, '{ZW}') THEN ['x'] ELSE [] END
-      WHEN 'url_obfuscation' THEN {on(OBFUSCATED, "probe")} ELSE {on(PROMPT, "probe")} END) > 0 AS heuristic_caught
+    CASE attack_type WHEN 'homoglyph' THEN {on(HOMO, "probe")} WHEN 'zero_width' THEN CASE WHEN regexp_matches(probe, '{ZW}') THEN ['Zero-width character detected by heuristic layer'] ELSE []::VARCHAR[] END
+      WHEN 'url_obfuscation' THEN {on(OBFUSCATED, "probe")} ELSE {on(PROMPT, "probe")} END AS notes
     FROM vin JOIN vcats USING (email_id) JOIN cl ON cl.email_id = vin.orig),
-  out AS (SELECT *, adversarial_score < 0.5::DOUBLE AS classifier_fooled, adversarial_score < 0.5::DOUBLE AND NOT heuristic_caught AS evasion_success FROM res)"""
+  out AS (SELECT *, len(notes) > 0 AS heuristic_caught, adversarial_score < 0.5::DOUBLE AS classifier_fooled, adversarial_score < 0.5::DOUBLE AND NOT len(notes) > 0 AS evasion_success FROM res)"""
 
 
-@query("robustness", f"{ROBUST} SELECT email_id, attack_type, variant_name, original_score, adversarial_score, {round_even('adversarial_score - original_score')} AS score_delta, heuristic_caught, classifier_fooled, evasion_success FROM out")
+_CONF = "greatest({x}, 1.0::DOUBLE - {x})"
+_AFTER = _CONF.format(x="adversarial_score")
+
+
+@query(
+    "robustness",
+    f"""{ROBUST} SELECT email_id, attack_type, variant_name, original_score, adversarial_score, {round_even('adversarial_score - original_score')} AS score_delta,
+    {round_even(_CONF.format(x="original_score"))} AS original_confidence, {round_even(_AFTER)} AS adversarial_confidence, heuristic_caught, classifier_fooled,
+    {_AFTER} < 0.5::DOUBLE AS fooled_by_confidence, evasion_success,
+    array_to_string(list_concat(CASE WHEN heuristic_caught THEN notes ELSE [CASE attack_type WHEN 'homoglyph' THEN 'Homoglyph not caught by heuristic layer'
+        WHEN 'zero_width' THEN 'Zero-width character NOT detected by heuristic layer' WHEN 'url_obfuscation' THEN 'URL obfuscation not caught by heuristic layer'
+        ELSE 'Evasion phrase not caught by heuristic layer' END] END,
+      CASE WHEN classifier_fooled THEN []::VARCHAR[] ELSE [CASE WHEN attack_type = 'homoglyph' THEN 'Classifier still confident: ' ELSE 'Classifier resilient: ' END
+        || printf('%.1f', {_AFTER} * 100) || '%'] END), '|') AS detection_notes FROM out""",
+)
 def _robustness(spark, sf):
-    out = RO.robustness(emails(spark, sf), SC.RuleScorer())
-    return out.drop("adversarial_text", "fooled_by_confidence", "detection_notes")
+    out = RO.robustness(emails(spark, sf), SC.RuleScorer()).drop("adversarial_text")
+    return out.withColumn("detection_notes", bar("detection_notes"))
 
 
 @query(
@@ -551,7 +656,19 @@ def _log(spark, sf):
     return spark.read.parquet(path).drop("at")
 
 
-@query("json_export")
+@query(
+    "json_export",
+    f"""{LAYER_CTES} SELECT email_id, verdict AS overall_verdict, {round_even('combined')} AS overall_risk_score,
+    headers_risk, coalesce(array_to_string(header_flags, '|'), '') AS header_flags, sender_risk FROM {verdict_sql()}""",
+)
 def _json(spark, sf):
-    out = deep(spark, sf).select("email_id", "overall_verdict", "overall_risk_score", "risk_factors", "headers", "sender_check")
-    return sinks.to_json_export(out)
+    """The exported documents, read back."""
+    names = ["email_id", "overall_verdict", "overall_risk_score", "headers", "sender_check"]
+    out = deep(spark, sf).select(*names)
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.to_json_export(out).write.text(path)
+    back = spark.read.schema(out.schema).json(path)
+    return back.select(
+        "email_id", "overall_verdict", "overall_risk_score", F.col("headers.risk_score").alias("headers_risk"),
+        F.coalesce(bar("headers.flags"), F.lit("")).alias("header_flags"), F.col("sender_check.risk_score").alias("sender_risk"),
+    )
