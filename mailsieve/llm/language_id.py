@@ -82,6 +82,12 @@ def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, in
     return {r[0]: i for i, r in enumerate(rows)}, scores
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The n-grams of a string in order; none of a shorter one."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def fit(
     labelled: DataFrame,
     text: str = "text",
@@ -113,8 +119,7 @@ def fit(
     tables[0], scores[0] = _table(counted, langs, max_words)
     padded = F.concat(F.lit(EDGE), "gram", F.lit(EDGE))
     for n in range(1, longest + 1):
-        starts = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - (n - 1)))
-        grams = counted.select("lang", "n", F.explode(F.transform(starts, lambda i, n=n: F.substring(padded, i, F.lit(n)))).alias("gram"))
+        grams = counted.select("lang", "n", F.explode(_grams(padded, n)).alias("gram"))
         tables[n], scores[n] = _table(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), langs, max_grams)
     counted.unpersist()
     return Model(langs, tables, scores)

@@ -164,8 +164,9 @@ def _line_rows(x: Lines, ids, digest, first, parts):
 
 
 def _entry_rows(x: Lines, ids, digest, sent, parts):
-    line = np.repeat(np.arange(len(x.n)), np.where(sent, x.prefix, 0))
-    pos = np.arange(len(line)) - np.repeat(np.concatenate([[0], np.cumsum(np.where(sent, x.prefix, 0))[:-1]]).astype(np.int64), np.where(sent, x.prefix, 0))
+    prefix = np.where(sent, x.prefix, 0)
+    line = np.repeat(np.arange(len(x.n)), prefix)
+    pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = x.words[x.starts[line] + pos] if len(line) else np.zeros(0, np.uint64)
     part = ((word >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     for p, rows in _split(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)):
@@ -214,9 +215,9 @@ def _meet(threshold: float):
     return run
 
 
-def most_bits(n, m, threshold: float):
-    """Bits that similar lines of n and m words differ in at most."""
-    return (1 - threshold) / (1 + threshold) * (n + m) + TINY
+def most_bits(both, threshold: float):
+    """Bits that similar lines of so many words together differ in at most."""
+    return (1 - threshold) / (1 + threshold) * both + TINY
 
 
 def shared_words(n, m, i, j):
@@ -243,7 +244,9 @@ def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
     starts = runs(word[order])
     begin = np.repeat(starts, np.diff(np.append(starts, len(order))))
     line, pos = at[order], pos[order]
-    length = n[line].astype(np.int64)
+    length = n[line].astype(np.int32)
+    pos = pos.astype(np.int32)
+    enough_of = np.float32(threshold / (1 + threshold))
     done = np.zeros(len(ids), bool)
     active, found, step = np.flatnonzero(np.arange(len(order)) > begin), [], 1
     while len(active):
@@ -254,18 +257,20 @@ def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
         i, j = np.where(late, i, j), np.where(late, j, i)
         left = ~done[line[i]]
         i, j = i[left], j[left]
+        both = length[i] + length[j]
+        left = shared_words(length[i], length[j], pos[i], pos[j]) >= enough_of * both - np.float32(1e-3)
+        i, j, both = i[left], j[left], both[left]
         x, y = line[i], line[j]
         differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        most = most_bits(length[i], length[j], threshold)
+        most = most_bits(both, threshold)
         hit = differ <= most
-        i, j, x, y, differ, most = i[hit], j[hit], x[hit], y[hit], differ[hit], most[hit]
+        i, j, x, y, differ, most, both = i[hit], j[hit], x[hit], y[hit], differ[hit], most[hit], both[hit]
         # Equal lines were decided by their set.
         same = (differ == 0) & (kind[x] == kind[y]) & (length[i] == length[j])
-        enough = threshold / (1 + threshold) * (length[i] + length[j]) - TINY
-        good = (shared_words(length[i], length[j], pos[i], pos[j]) >= enough) & ~same
+        good = ~same
         strong = good & (differ <= STRONG * most - SLACK)
         done[x[same | strong]] = True
-        share = (differ * 1_000_000 / (length[i] + length[j])).astype(np.int64)
+        share = (differ * 1_000_000 / both).astype(np.int64)
         found.append(np.stack([x[good], y[good], share[good], strong[good]]))
         step += 1
         active = active[active - step >= begin[active]]
@@ -286,18 +291,36 @@ def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
     return _found([ids[x], digest[x], line_no[x]], [ids[y], digest[y], line_no[y]], differ, more)
 
 
+class WordSet:
+    """A set of word hashes; a table of their first bits settles most words at once."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.unique(words)
+        self.first = np.zeros(1 << 20, bool)
+        self.first[(self.words >> np.uint64(44)).astype(np.int64)] = True
+
+    def holds(self, words: np.ndarray) -> np.ndarray:
+        out = self.first[(words >> np.uint64(44)).astype(np.int64)]
+        out[out] = np.isin(words[out], self.words)
+        return out
+
+
 def _rows_of_words(ranks, threshold: float, wanted):
     """Prefix entries as plain rows, of the wanted words only if those are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tokens.pieces(batch, "text"):
+                if wanted is not None:
+                    w = tokens.words(piece.column("text"))
+                    piece = piece.take(pa.array(np.unique(w.text[wanted.value.holds(w.hashes)])))
+                    del w
                 x = Lines(piece.column("text"), ranks.value, threshold)
                 line = np.repeat(np.arange(len(x.n)), x.prefix)
-                pos = np.arange(len(line)) - np.repeat(np.concatenate([[0], np.cumsum(x.prefix)[:-1]]).astype(np.int64), x.prefix)
+                pos = np.arange(len(line)) - np.repeat(np.cumsum(x.prefix) - x.prefix, x.prefix)
                 word = x.words[x.starts[line] + pos] if len(line) else np.zeros(0, np.uint64)
                 if wanted is not None:
-                    held = np.isin(word, wanted.value)
+                    held = wanted.value.holds(word)
                     line, pos, word = line[held], pos[held], word[held]
                 text = x.text[line]
                 yield pa.RecordBatch.from_arrays(
@@ -381,7 +404,7 @@ def _untried(own: DataFrame, open_: DataFrame, ranks, threshold: float) -> DataF
     wanted = None
     few = words.select("word").distinct().limit(BROADCAST_WORDS + 1).toPandas()["word"].to_numpy()
     if len(few) <= BROADCAST_WORDS:
-        wanted = spark.sparkContext.broadcast(np.unique(few.view(np.uint64)))
+        wanted = spark.sparkContext.broadcast(WordSet(few.view(np.uint64)))
     every = own.mapInArrow(_rows_of_words(ranks, threshold, wanted), WORD_ROWS).toDF("word", "j", *OTHER, "m", *OTHER_BITS)
     both = words.join(every, "word")
     differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(OWN_BITS, OTHER_BITS)), F.lit(0))

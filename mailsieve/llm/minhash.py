@@ -36,13 +36,14 @@ from mailsieve.session import small_side, written
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-# Least share of equal samples of a candidate, of the threshold: three standard deviations
+# Least share of equal samples of a candidate, of the threshold: five standard deviations
 # of 96 samples below it.
-AGREE = 0.85
+AGREE = 0.75
 CHUNK = 4096
 GROUP_BYTES = 128 << 20
 SAMPLES = 1 << 16
-TINY = 1e-9
+# Weights are kept in single precision.
+TINY = 1e-6
 
 
 # Blobs: a few arrays behind their lengths, in one binary value.

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 8 << 20
+PIECE = 4 << 20
 BLOCK = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 IS_WORD = np.ones(256, bool)
