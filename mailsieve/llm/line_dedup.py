@@ -132,10 +132,8 @@ def _send(parts: int, ranks, threshold: float):
                 x = Lines(piece.column("text"), ranks.value, threshold)
                 ids = piece.column("id").fill_null(NO_ID).to_numpy()[x.text]
                 digest = piece.column("digest").to_numpy().astype(np.uint32)[x.text]
-                order = np.lexsort((x.line_no, digest, ids, x.b, x.a))
-                first = np.zeros(len(order), bool)
-                first[order[np.concatenate([[True], (x.a[order][1:] != x.a[order][:-1]) | (x.b[order][1:] != x.b[order][:-1])])[: len(order)]]] = True
-                out = list(_line_rows(x, ids, digest, first, parts))
+                first, again = _repeats(x.a, x.b, ids, digest, x.line_no)
+                out = list(_line_rows(x, ids, digest, first, again, parts))
                 out += _entry_rows(x, ids, digest, first & (x.n >= least), parts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "blob"]
@@ -151,9 +149,21 @@ def _split(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(values[rows[0]]), rows
 
 
-def _line_rows(x: Lines, ids, digest, first, parts):
+def _repeats(a, b, ids, digest, line_no) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is the first of its set, and whether it repeats the first; the
+    same line of an equal row is neither."""
+    order = np.lexsort((line_no, digest, ids, b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    first, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order[new]] = True
+    again[order] = (ids[order] != ids[lead]) | (digest[order] != digest[lead]) | (line_no[order] != line_no[lead])
+    return first, again
+
+
+def _line_rows(x: Lines, ids, digest, first, again, parts):
     # A line that repeats an earlier one of its piece is decided already.
-    again = np.flatnonzero(~first)
+    again = np.flatnonzero(again)
     home = (x.a % np.uint64(parts)).astype(np.int64)
     for part, rows in _split(home[first]):
         rows = np.flatnonzero(first)[rows]
@@ -201,8 +211,7 @@ def _meet(threshold: float):
             gone = [unpack(x[1:], *GONE) for x in blobs if x[:1] == b"G"]
             lines = [unpack(x[1:], *LINE) for x in blobs if x[:1] == b"L"]
             a, b, ids, digest, line_no = (np.concatenate(x) for x in zip(*lines))
-            order = np.lexsort((line_no, digest, ids, b, a))
-            later = order[1:][(a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]
+            later = _repeats(a, b, ids, digest, line_no)[1]
             gone.append([ids[later], digest[later], line_no[later]])
             return _found([np.concatenate(x) for x in zip(*gone)])
         parts = [unpack(x, *ENTRY) for x in blobs]
