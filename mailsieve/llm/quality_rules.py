@@ -130,7 +130,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_capitals": count(F.regexp_replace(c("joined"), r"[^\p{Lu}]+", "")),
         }
     )
-    return df.select(*[F.col(x.name) for x in df.schema if not x.name.startswith(work)])
+    # A generated column keeps the optimizer from moving a filter on a measurement in here,
+    # where it would repeat each step for every use.
+    others = [F.col(x.name) for x in df.schema if not x.name.startswith(work) and x.name not in MEASURES]
+    found = F.explode(F.array(F.struct(*MEASURES))).alias(work + "found")
+    return df.select(*others, found).select(*others, work + "found.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -166,7 +170,4 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, all columns unchanged."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("content"))
-    # A generated column keeps the optimizer from moving the filter into the measurements,
-    # where it would repeat each of them for every use.
-    bits = ledger(packed, "content").select("row", F.explode(F.array("fail_bits")).alias("fail_bits"))
-    return bits.filter(~failed(policy)).select("row.*")
+    return ledger(packed, "content").filter(~failed(policy)).select("row.*")
