@@ -97,11 +97,11 @@ def _deep_batches(spark, sf):
 
     def sink(batch: DataFrame, number: int) -> None:
         columns = ["email_id", "overall_verdict", "overall_risk_score"]
-        batch.select(*columns, F.lit(number).alias("batch")).write.mode("append").parquet(out)
+        batch.select(*columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = as_stream(emails(spark, sf), "deep")
     deep_score_batches(
-        stream, sink, tables, as_of=AS_OF, checkpoint=folder(spark, "deep-state")
+        stream, sink, folder(spark, "deep-state"), tables, as_of=AS_OF
     ).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 

@@ -10,6 +10,7 @@ CONNECTORS = [
     "we wish to bring", "your immediate attention", "dear valued", "sincerely yours",
 ]
 
+# Urgency phrases.
 URGENCY = [
     "act now", "immediately", "within 24 hours", "within 48 hours",
     "account will be suspended", "account has been compromised", "verify your account",

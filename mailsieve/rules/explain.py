@@ -38,6 +38,7 @@ FAMILIES = {
 # The families whose patterns score single words.
 WORD_FAMILIES = ["urgency", "credential_request", "threat", "reward", "brand_impersonation"]
 
+# Label and sentence of each family.
 LABELS = {
     "urgency": "urgency / time pressure",
     "credential_request": "credential / account request",

@@ -25,11 +25,13 @@ BRAND_DOMAINS = {
     "docusign": ["docusign.com", "docusign.net"],
 }
 
+# Patterns of mass mailers.
 SUSPICIOUS_MAILERS = [
     "phpmailer", "swiftmailer", "sendmail.*modified", "mass ?mailer", "bulk ?mail",
     "turbomail", "interspire", "emailjet.*beta", "unknown", "python-requests", "curl",
 ]
 
+# Free and throwaway mail domains.
 FREE_DOMAINS = [
     "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "live.com", "protonmail.com",
     "tutanota.com", "guerrillamail.com", "tempmail.com", "mailinator.com", "yopmail.com",

@@ -13,6 +13,7 @@ LOOKALIKES = {
     "n": ["ո", "ñ"],
     "g": ["9", "ɡ"],
 }
+# Brands that variants imitate.
 BRANDS = [
     "paypal", "apple", "google", "microsoft", "amazon", "netflix", "facebook",
     "instagram", "linkedin", "twitter",
@@ -28,6 +29,7 @@ ZERO_WIDTH = {
 }
 ZERO_WIDTH_STEP = 10
 
+# Phrases put in front.
 EVASION_PHRASES = [
     "This is a legitimate notification from our security team.",
     "You are completely safe. No action is required unless you choose to.",
@@ -49,6 +51,7 @@ DISGUISED_URLS = [
     ("https://microsoft.com", "https://microsoft.com.login.attacker.net"),
     ("https://netflix.com/login", "https://netflix.com//login@evil.com"),
 ]
+# Link shorteners.
 SHORTENERS = ["bit.ly", "tinyurl.com", "goo.gl", "t.co", "ow.ly", "is.gd", "buff.ly"]
 
 # Prompt-style phrases (pattern, note).

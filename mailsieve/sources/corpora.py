@@ -80,6 +80,13 @@ def repair_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repair_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """repair_lines for a file whose first line is the header 'text,label'."""
-    lines = spark.read.text(path).filter(F.lower(strip(F.col("value"))) != "text,label")
-    return repair_lines(lines)
+    """repair_lines for files whose first line is the header 'text,label'.
+
+    The first line is the one at the start of the file's first block; the same words further
+    down are a rejected line.
+    """
+    numbered = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("file"))
+    first = numbered.filter("block = 0").groupBy("file").agg(F.min("n").alias("n"))
+    header = numbered.join(first, ["file", "n"], "left_semi").filter(F.lower(strip(F.col("value"))) == "text,label")
+    lines = numbered.join(F.broadcast(header.select("file", "n")), ["file", "n"], "left_anti")
+    return repair_lines(lines.select("value"))

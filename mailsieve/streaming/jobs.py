@@ -45,17 +45,23 @@ def mail_layers_with_time(stream: DataFrame, scorer, as_of: str) -> DataFrame:
 def deep_score_batches(
     stream: DataFrame,
     sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
     evidence: Evidence | None = None,
     scorer=None,
     as_of: str = "",
-    checkpoint: str = "",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """All layers per micro-batch, for the layers that join and group."""
+    """All layers per micro-batch, for the layers that join and group.
+
+    sink gets the rows and the number of the batch; a batch that is tried again has the
+    same number, so a sink that writes under it never doubles rows. trigger holds the
+    arguments of DataStreamWriter.trigger; by default what is there is read once.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         sink(deep_analyze(batch, evidence, scorer, as_of), number)
 
-    writer = stream.writeStream.foreachBatch(run).trigger(availableNow=True)
+    writer = stream.writeStream.foreachBatch(run).trigger(**(trigger or {"availableNow": True}))
     return writer.option("checkpointLocation", checkpoint).start()
 
 

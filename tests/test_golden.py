@@ -350,3 +350,37 @@ def test_text_columns_and_validation(spark):
     assert ok.count() == 1 and rejected.count() == 2
     cleaned = min_length(clean(spark.createDataFrame([("<b>" + "x" * 51,), ("x" * 50,)], "text string")))
     assert [len(r.text) for r in cleaned.collect()] == [51]
+
+
+def test_only_the_first_line_is_the_header(spark, tmp_path):
+    from mailsieve.sources.corpora import repair_csv
+
+    (tmp_path / "a.csv").write_text("text,label\nhello, you,1\ntext,label\nx,0\n")
+    (tmp_path / "b.csv").write_text("Text,Label\n b,1\n")
+    rows, rejects = repair_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("b", 1), ("hello, you", 1), ("x", 0)]
+    assert [r.line for r in rejects.collect()] == ["text,label"]
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    import random
+
+    from mailsieve.functions.columns import fixed_text, round_to
+
+    rng = random.Random(3)
+    values = [i / 100000 for i in range(0, 100001, 5)] + [rng.random() * 3 - 1 for _ in range(20000)]
+    values += [k / 2 ** rng.randint(1, 40) for k in range(-2000, 2000)] + [0.605, 0.625, 0.12345, 0.58125, -0.00001]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    x = F.col("x")
+    for r in df.select(x, round_to(x, 4).alias("a"), fixed_text(x, 2).alias("b"), fixed_text(x * 100, 1).alias("c")).collect():
+        assert repr(round(r.x, 4)) == repr(r.a) and f"{r.x:.2f}" == r.b and f"{r.x:.1%}" == r.c + "%"
+
+
+def test_term_hash_is_the_one_the_model_uses(spark):
+    from pyspark.ml.feature import HashingTF
+
+    from mailsieve.operators.scoring import term_hash
+
+    hashing = HashingTF(numFeatures=1 << 16)
+    for term in ("", "a", "ab", "abc", "abcd", "hello-world", "été", "🎉x", "x" * 97):
+        assert hashing.indexOf(term) == term_hash(term) % (1 << 16)
