@@ -36,9 +36,9 @@ from mailsieve.session import small_side, written
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-# Least share of equal samples of a candidate, of the threshold: five standard deviations
+# Least share of equal samples of a candidate, of the threshold: four standard deviations
 # of 96 samples below it.
-AGREE = 0.75
+AGREE = 0.8
 CHUNK = 4096
 GROUP_BYTES = 128 << 20
 SAMPLES = 1 << 16
