@@ -306,6 +306,18 @@ def _overlap(spark, sf):
     return C.shingle_overlap(load_table(spark, sf, "documents"), "doc_id")
 
 
+@query(
+    "nearest_copy",
+    f"""WITH {SHINGLES}, c AS (SELECT doc_id, owner, count(*) AS n FROM o WHERE owner < doc_id GROUP BY doc_id, owner),
+    b AS (SELECT doc_id, owner FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, owner) AS k FROM c) WHERE k = 1),
+    k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT b.doc_id, b.owner, count(*) AS n FROM b JOIN s x ON x.doc_id = b.doc_id JOIN s y ON y.doc_id = b.owner AND y.run = x.run GROUP BY ALL)
+    SELECT i.doc_id, i.owner AS other, i.n / (p.n + q.n - i.n) AS similarity FROM i JOIN k p ON p.doc_id = i.doc_id JOIN k q ON q.doc_id = i.owner""",
+)
+def _nearest(spark, sf):
+    return C.nearest_copy(load_table(spark, sf, "documents"), "doc_id")
+
+
 @query(
     "dedup_near",
     f"WITH {SHINGLES} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r WHERE overlap >= 0.8::DOUBLE)",

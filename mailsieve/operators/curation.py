@@ -213,15 +213,8 @@ def dedup_exact(df: DataFrame, order: list[str], text: str = "text") -> DataFram
     return keyed.join(firsts, same, "left_semi").drop("_digest")
 
 
-def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
-    """Share of each row's word runs that occur in an earlier row: key, new_runs, overlap.
-
-    A run is n blank-separated words, lower case; shorter texts are one run, texts without
-    words have none and overlap 0. Each run is credited to its first row; a row's overlap
-    is what it was not credited with. Runs are combined before the shuffle and never
-    joined with each other, so a run found in every third row is one row per task, and no
-    pairs are built.
-    """
+def word_runs(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
+    """key and _runs, the digests of the distinct runs of n words; NULL without words."""
     tokens = df.select(
         F.col(key),
         F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "").alias("_tokens"),
@@ -230,9 +223,21 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
         F.sequence(F.lit(1), F.greatest(F.size("_tokens") - (n - 1), F.lit(1))),
         lambda i: F.unhex(F.md5(F.array_join(F.slice("_tokens", i, n), " "))),
     )
-    hashed = tokens.select(
+    return tokens.select(
         key, F.when(F.size("_tokens") > 0, F.array_distinct(runs)).alias("_runs")
     )
+
+
+def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
+    """Share of each row's word runs that occur in an earlier row: key, new_runs, overlap.
+
+    A run is n blank-separated words, lower case; shorter texts are one run, texts without
+    words have none and overlap 0. Each run is credited to its first row; a row's overlap
+    is what it was not credited with. Runs are combined before the shuffle and never
+    joined with each other, so a run found in every third row is one row per task, and no
+    pairs are built.
+    """
+    hashed = word_runs(df, key, text, n)
     # The outer form keeps the tokens from being worked out again for a size filter.
     exploded = hashed.select(
         key, F.size("_runs").alias("runs"), F.explode_outer("_runs").alias("_run")
@@ -253,12 +258,37 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
     )
 
 
+def nearest_copy(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
+    """Per row the earlier row most like it: key, other, similarity.
+
+    Every run is credited to its first row; the earlier row credited with most runs of a
+    row (the first of several) is compared with it, and the similarity is the exact
+    Jaccard of their runs. One pair per row at most, so a group of copies gives no pairs
+    of pairs. Rows that share no run with an earlier one are left out.
+    """
+    hashed = written(word_runs(df, key, text, n).filter(F.col("_runs").isNotNull()), "runs")
+    each = hashed.select(key, F.explode("_runs").alias("_run"))
+    owners = each.groupBy("_run").agg(F.min(key).alias("other"))
+    shared = each.join(owners, "_run").filter(F.col("other") < F.col(key))
+    counted = shared.groupBy(key, "other").agg(F.count(F.lit(1)).alias("_n"))
+    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), "other")).alias("_best"))
+    pairs = best.select(key, F.col("_best.other").alias("other"))
+    theirs = hashed.select(F.col(key).alias("other"), F.col("_runs").alias("_others"))
+    both = pairs.join(hashed, key).join(theirs, "other")
+    common = F.size(F.array_intersect("_runs", "_others"))
+    return both.select(
+        key, "other", (common / (F.size("_runs") + F.size("_others") - common)).alias("similarity")
+    )
+
+
 def dedup_near(
     df: DataFrame, key: str, threshold: float = 0.8, text: str = "text", n: int = 5
 ) -> DataFrame:
     """Drop rows of whose word n-grams a share >= threshold occurs in earlier rows.
 
-    key is unique and gives the order; the first of several copies is kept.
+    This is coverage by all earlier rows together, so a row quoted in a longer one goes
+    too; nearest_copy compares two rows. key is unique and gives the order; the first of
+    several copies is kept.
     """
     copies = shingle_overlap(df, key, text, n).filter(F.col("overlap") >= threshold)
     return df.join(copies.select(key), key, "left_anti")
