@@ -367,29 +367,23 @@ def _analysis_layers(spark, sf):
     return deep(spark, sf).select("email_id", bar("analysis_layers").alias("analysis_layers"))
 
 
-# Weight redistribution over every mix of layers, from the events table.
-MIX = """lay AS (SELECT event_id AS email_id, event_id % 3 = 0 AS is_phishing, (50 + event_id % 50) / 100.0::DOUBLE AS confidence, event_id % 5 = 0 AS is_ai_generated,
-    CASE WHEN event_id % 3 = 0 THEN (50 + event_id % 50) / 100.0::DOUBLE ELSE 1.0::DOUBLE - (50 + event_id % 50) / 100.0::DOUBLE END AS text_risk,
-    CASE WHEN event_id & 1 > 0 THEN (event_id * 3 % 101) / 100.0::DOUBLE END AS url_risk, CASE WHEN event_id & 2 > 0 THEN (event_id * 7 % 101) / 100.0::DOUBLE END AS headers_risk,
-    CASE WHEN event_id & 4 > 0 THEN (event_id * 11 % 101) / 100.0::DOUBLE END AS links_risk, CASE WHEN event_id & 8 > 0 THEN (event_id * 13 % 101) / 100.0::DOUBLE END AS visual_risk,
-    CASE WHEN event_id & 16 > 0 THEN (event_id * 17 % 101) / 100.0::DOUBLE END AS crawl_risk, CASE WHEN event_id & 32 > 0 THEN (event_id * 19 % 101) / 100.0::DOUBLE END AS sender_risk FROM events)"""
+# Weight redistribution over every mix of layers: scored emails, layers left out by the bits of their id.
+_BITS = {"url": 1, "headers": 2, "links": 4, "visual": 8, "crawl": 16, "sender": 32}
+_MASKED = ", ".join(f"CASE WHEN email_id & {bit} > 0 THEN {x}_risk END AS {x}_risk" for x, bit in _BITS.items())
+MIX = f"{LAYER_CTES}, mx AS (SELECT * REPLACE ({_MASKED}) FROM lay)"
 
 
 def mixed_layers(spark, sf):
-    e = F.col("event_id")
-    steps = {"url": (1, 3), "headers": (2, 7), "links": (4, 11), "visual": (8, 13), "crawl": (16, 17), "sender": (32, 19)}
-    risks = {
-        f"{layer}_risk": F.when(e.bitwiseAND(bit) > 0, (e * m % 101) / F.lit(100.0))
-        for layer, (bit, m) in steps.items()
+    layers = analyzed_layers(emails(spark, sf), evidence(spark, sf), as_of=AS_OF)
+    masked = {
+        f"{x}_risk": F.when(F.col("email_id").bitwiseAND(bit) > 0, F.col(f"{x}_risk")) for x, bit in _BITS.items()
     }
-    return load_table(spark, sf, "events").select(e.alias("email_id"), "event_id").withColumns(
-        {"is_phishing": e % 3 == 0, "confidence": (F.lit(50) + e % 50) / F.lit(100.0), "is_ai_generated": e % 5 == 0, **risks}
-    )
+    return layers.withColumns(masked)
 
 
 @query(
     "weights_redistribution",
-    f"WITH {MIX} SELECT email_id, {round_even('weighted', 6)} AS weighted_risk, flagging AS flagging_layers, {round_even('combined')} AS overall_risk_score, verdict AS overall_verdict FROM {verdict_sql()}",
+    f"{MIX} SELECT email_id, {round_even('weighted', 6)} AS weighted_risk, flagging AS flagging_layers, {round_even('combined')} AS overall_risk_score, verdict AS overall_verdict FROM {verdict_sql(source='mx')}",
 )
 def _redistribution(spark, sf):
     out = V.aggregate_risk(mixed_layers(spark, sf))
@@ -435,10 +429,13 @@ def _ablation(spark, sf):
     return V.ablate_layers(layers.join(labels, "email_id"), "truth")
 
 
-@query("ablation_mixed", f"WITH {MIX}, lb AS (SELECT *, email_id % 2 AS label FROM lay) {ablation_sql('lb')}")
+@query(
+    "ablation_mixed",
+    f"{MIX}, lb AS (SELECT mx.*, l.quality AS label FROM mx JOIN labels l ON l.doc_id = mx.email_id) {ablation_sql('lb')}",
+)
 def _ablation_mixed(spark, sf):
-    rows = mixed_layers(spark, sf).withColumn("label", F.col("event_id") % 2)
-    return V.ablate_layers(rows)
+    labels = load_table(spark, sf, "labels").select(F.col("doc_id").alias("email_id"), F.col("quality").alias("truth"))
+    return V.ablate_layers(mixed_layers(spark, sf).join(labels, "email_id"), "truth")
 
 
 # The text without its top word, scored again.
