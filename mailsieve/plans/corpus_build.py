@@ -38,7 +38,9 @@ def build_corpus(
     """
     frames = [read_corpus(spark, paths[kind], kind) for kind in CORPORA if kind in paths]
     master = min_length(clean(union_sources(frames)))
-    master = written(with_row_id(dedup_exact(master, ["source_rank", "text"])), "corpus")
+    # Copies inside a source are equal in all that orders them; then the first source keeps a text.
+    once = master.dropDuplicates(["source_rank", "text"])
+    master = written(with_row_id(dedup_exact(once, ["source_rank", "text"])), "corpus")
     if quotas is None:
         quotas = quota_table(spark)
     sampled = sample_quota(master, quotas, seed, "row_id")

@@ -384,3 +384,14 @@ def test_term_hash_is_the_one_the_model_uses(spark):
     hashing = HashingTF(numFeatures=1 << 16)
     for term in ("", "a", "ab", "abc", "abcd", "hello-world", "été", "🎉x", "x" * 97):
         assert hashing.indexOf(term) == term_hash(term) % (1 << 16)
+
+
+def test_corpus_keeps_one_of_each_text(spark, tmp_path):
+    from mailsieve.plans.corpus_build import build_corpus
+
+    long = "some words that make a text long enough to stay in the corpus number "
+    (tmp_path / "n.csv").write_text("subject,body\n" + "".join(f"s,{long}{i % 5}\n" for i in range(20)))
+    (tmp_path / "f.csv").write_text("subject,body\n" + "".join(f"s,{long}{i % 9}\n" for i in range(20)))
+    paths = {"nazario": str(tmp_path / "n.csv"), "nigerian_fraud": str(tmp_path / "f.csv")}
+    rows = build_corpus(spark, paths).collect()
+    assert sorted((r.source, r.text[-1]) for r in rows) == [("nazario", str(i)) for i in range(5)] + [("nigerian_fraud", str(i)) for i in range(5, 9)]
