@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def under_names(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns alone, under the operator's own names: others cannot clash."""
-    return df.select(*[df[old].alias(new) for new, old in columns.items()])
+def shipped(spark: SparkSession, value):
+    """Function that gives the value in any task; it goes to each executor once.
+
+    The value's class goes with it, so executors need no copy of the package.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        if not hasattr(shared, "held"):
+            shared.held = pickle.loads(shared.value)
+        return shared.held
+
+    return get
 
 
 BLOCK = 1000

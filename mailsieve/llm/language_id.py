@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.common import shipped
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 EDGE = "\x02"
@@ -131,13 +133,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     A text that is NULL or has no letter gives 'und' with score 0; so does every text if
     nothing was learned. Only the text is looked at.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
     named = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("_text").to_pylist()]
+            found = [held().predict(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*keep, "lang_pred", "score"],

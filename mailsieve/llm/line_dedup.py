@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm import tokens
-from mailsieve.llm.common import lines_of, without_lines, words_of
+from mailsieve.llm.common import lines_of, shipped, without_lines, words_of
 from mailsieve.llm.minhash import pack, runs, unpack
 from mailsieve.session import written
 
@@ -322,14 +322,14 @@ def _rows_of_words(ranks, threshold: float, wanted):
             for piece in tokens.pieces(batch, "text"):
                 if wanted is not None:
                     w = tokens.words(piece.column("text"))
-                    piece = piece.take(pa.array(np.unique(w.text[wanted.value.holds(w.hashes)])))
+                    piece = piece.take(pa.array(np.unique(w.text[wanted().holds(w.hashes)])))
                     del w
                 x = Lines(piece.column("text"), ranks.value, threshold)
                 line = np.repeat(np.arange(len(x.n)), x.prefix)
                 pos = np.arange(len(line)) - np.repeat(np.cumsum(x.prefix) - x.prefix, x.prefix)
                 word = x.words[x.starts[line] + pos] if len(line) else np.zeros(0, np.uint64)
                 if wanted is not None:
-                    held = wanted.value.holds(word)
+                    held = wanted().holds(word)
                     line, pos, word = line[held], pos[held], word[held]
                 text = x.text[line]
                 yield pa.RecordBatch.from_arrays(
@@ -413,7 +413,7 @@ def _untried(own: DataFrame, open_: DataFrame, ranks, threshold: float) -> DataF
     wanted = None
     few = words.select("word").distinct().limit(BROADCAST_WORDS + 1).toPandas()["word"].to_numpy()
     if len(few) <= BROADCAST_WORDS:
-        wanted = spark.sparkContext.broadcast(WordSet(few.view(np.uint64)))
+        wanted = shipped(spark, WordSet(few.view(np.uint64)))
     every = own.mapInArrow(_rows_of_words(ranks, threshold, wanted), WORD_ROWS).toDF("word", "j", *OTHER, "m", *OTHER_BITS)
     both = words.join(every, "word")
     differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(OWN_BITS, OTHER_BITS)), F.lit(0))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from mailsieve.llm import tokens
+from mailsieve.llm.common import shipped
 from mailsieve.llm.minhash import runs
 
 SPACE = 0x2581
@@ -297,7 +298,7 @@ def encode(
     put before it; U+2581, which stands for the space, is read as one. With decoded, the
     text that the ids decode to is added under that name in the same pass.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    table = shipped(docs.sparkSession, pieces)
     kept = [c for c in docs.columns if c not in (name, decoded) or c == text]
     packed = docs.select(*kept)
     place = kept.index(text)
@@ -306,12 +307,12 @@ def encode(
     fields += [T.StructField(decoded, T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, ends = surfaces(shared.value)
+        joined, ends = surfaces(table())
         for batch in batches:
             for part in tokens.pieces(batch, text, PIECE_BYTES):
-                new = [encode_texts(part.column(place).to_pylist(), shared.value)]
+                new = [encode_texts(part.column(place).to_pylist(), table())]
                 if decoded:
-                    new.append(decode_ids(new[0], shared.value, joined, ends))
+                    new.append(decode_ids(new[0], table(), joined, ends))
                 yield pa.RecordBatch.from_arrays([*[part.column(kept.index(c)) for c in own], *new], names=[f.name for f in fields])
 
     return packed.mapInArrow(run, T.StructType(fields))
@@ -322,17 +323,17 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "piece_ids", name: str =
 
     Bytes that form no character become U+FFFD; control ids have no text.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(pieces)
+    table = shipped(rows.sparkSession, pieces)
     kept = [c for c in rows.columns if c != name]
     packed = rows.select(*kept)
     place = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, ends = surfaces(shared.value)
+        joined, ends = surfaces(table())
         for batch in batches:
             for first in range(0, len(batch), 500):
                 part = batch.slice(first, 500)
-                texts = decode_ids(part.column(place), shared.value, joined, ends)
+                texts = decode_ids(part.column(place), table(), joined, ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*kept, name])
 
     return packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField(name, T.StringType())]))
