@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.common import BLOCK, running_sums
 from mailsieve.session import written
 
 VALUE = r"""["']?\x20*[:=]\x20*["']?"""
@@ -40,12 +41,6 @@ ROLE = {
 # A weak part counts beside a part of one of these roles.
 COMPLEMENTS = {"identifier": ["secret"], "secret": ["identifier", "endpoint"], "endpoint": ["secret"]}
 SCOPE = 200
-BLOCK = 1000
-
-
-def _running(lengths: Column) -> Column:
-    """0, first, first + second, ..."""
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
 def find_spans(df: DataFrame, text: str, kinds: dict, prefix: str) -> DataFrame:
@@ -70,8 +65,8 @@ def find_spans(df: DataFrame, text: str, kinds: dict, prefix: str) -> DataFrame:
         F.sequence(F.lit(0), F.size(c("m", k)) - 1, F.lit(BLOCK)),
         lambda b: F.transform(F.slice(c("m", k), b + 1, F.lit(BLOCK)), lambda x: x["gap"] + x["len"]),
     )
-    df = df.withColumns(each(b=lambda k: F.when(c("m", k).isNotNull(), F.transform(cut(k), _running))))
-    df = df.withColumns(each(o=lambda k: _running(F.transform(c("b", k), lambda x: F.element_at(x, -1)))))
+    df = df.withColumns(each(b=lambda k: F.when(c("m", k).isNotNull(), F.transform(cut(k), running_sums))))
+    df = df.withColumns(each(o=lambda k: running_sums(F.transform(c("b", k), lambda x: F.element_at(x, -1)))))
 
     def spans(k: str) -> Column:
         before = F.flatten(F.transform(c("b", k), lambda x, i: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + F.get(c("o", k), i))))
