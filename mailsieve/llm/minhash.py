@@ -339,7 +339,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, least: float, threshold: float
     rough = rough.filter(F.least("w", "v") >= (threshold - TINY) * F.greatest("w", "v"))
     rough = written(rough.mapInArrow(_agreement(least), "a long, b long"), "pairs")
     # The terms of texts without a candidate stay where they are.
-    needed = small_side(rough.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    needed = small_side(rough.select(F.col("a").alias("node")).union(rough.select("b")).distinct())
     own = sketches.select("node", "hashes", "weights", "weight").join(needed, "node", "left_semi")
     other = own.toDF("b", "other_hashes", "other_weights", "other_weight")
     both = rough.join(own.withColumnRenamed("node", "a"), "a").join(other, "b")
