@@ -1,53 +1,136 @@
-"""Repeated passages removed by hashing lines or paragraphs.
+"""Repeated passages removed by hashing lines and runs of lines.
 
 Every unit of at least min_words words is normalised (lower case, white space collapsed)
 and its digest grouped over all documents; the earliest occurrence by (doc_id, place in
 the text) stays and the others go, each with its place in the original text. Only digests
 move until the removals return to their documents, and the earliest place of a digest is
 an aggregate that combines before the shuffle, so a very common line is no hot group.
+
+A unit is a line or, with runs, the shortest run of whole lines that reaches min_words
+forward or backward from a line. Runs depend on nothing outside them, and those that
+start at a passage's first line or end at its last cover every passage of whole lines
+that is long enough, however short its lines are and whatever stands around it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.common import SPACES, lines_of, with_starts, without_lines
 from mailsieve.session import written
 
 MIN_WORDS = 20
+# Where words are not parted by spaces (Thai to Myanmar, Khmer, kana, Han) each character
+# counts as one.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+COUNTED = re.compile(f"[{UNSPACED}]|[^ {UNSPACED}]+")
+
+
+def _plain(text: Column) -> Column:
+    return F.transform(lines_of(text), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACES, " ")))
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, digest of the text, line_no (from 0) and unit (MD5 of the normalised line)."""
     df = docs.select(docs[doc_id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("content"))
-    plain = F.transform(lines_of(F.col("content")), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACES, " ")))
-    df = df.select("id", F.xxhash64("content").alias("digest"), F.posexplode(plain).alias("line_no", "line"))
+    df = df.select("id", F.xxhash64("content").alias("digest"), F.posexplode(_plain(F.col("content"))).alias("line_no", "line"))
     n_words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
     return df.filter((F.col("line") != "") & (n_words >= min_words)).select(
         "id", "digest", "line_no", F.unhex(F.md5("line")).alias("unit")
     )
 
 
+def spans(sizes: list[int], least: int) -> set[tuple[int, int]]:
+    """First and last of the shortest runs of sizes that sum up to least, forward and
+    backward from each place; empty places neither begin nor end a run."""
+    out, first, last, total, filled = set(), 0, -1, 0, [i for i, n in enumerate(sizes) if n]
+    for i in filled:
+        # Forward: the shortest run from i.
+        while total < least and last + 1 < len(filled):
+            last += 1
+            total += sizes[filled[last]]
+        if total < least:
+            break
+        out.add((i, filled[last]))
+        total -= sizes[i]
+    total = 0
+    for i in filled:
+        # Backward: the shortest run up to i.
+        total += sizes[i]
+        while total - sizes[filled[first]] >= least:
+            total -= sizes[filled[first]]
+            first += 1
+        if total >= least:
+            out.add((filled[first], i))
+    return out
+
+
+def _runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                lines = batch.column("lines")[row].as_py()
+                found = sorted(spans([len(COUNTED.findall(x)) for x in lines], least))
+                one = pa.array([row] * len(found), pa.int32())
+                keys = [hashlib.md5(" ".join(x for x in lines[i : j + 1] if x).encode()).digest() for i, j in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(one), batch.column("digest").take(one), pa.array([i for i, _ in found], pa.int32()),
+                        pa.array([j for _, j in found], pa.int32()), pa.array(keys, pa.binary()),
+                    ],
+                    names=["id", "digest", "line_no", "last", "unit"],
+                )
+
+    return run
+
+
+def runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """id, digest of the text, line_no and last (first and last line of a run), unit."""
+    content = F.coalesce(docs[text], F.lit(""))
+    df = docs.select(docs[doc_id].alias("id"), F.xxhash64(content).alias("digest"), _plain(content).alias("lines"))
+    kind = df.schema["id"].dataType.simpleString()
+    return df.mapInArrow(_runs(min_words), f"id {kind}, digest long, line_no int, last int, unit binary")
+
+
 def repeats(found: DataFrame) -> DataFrame:
-    """The units that are not the first of their kind: id, digest, line_no, kept_in.
+    """The lines of units that are not the first of their kind: id, digest, line_no, kept_in.
 
-    NULL ids come last. Rows with equal id and text count as one document.
+    NULL ids come last. Rows with equal id and text count as one document. A run that
+    overlaps the first of its kind is no repeat; of several first places the earliest
+    is named.
     """
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "line_no")
-    first = found.groupBy("unit").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = found.join(first.drop("n"), "unit").filter(place != F.col("first"))
-    return rows.select("id", "digest", "line_no", F.col("first.id").alias("kept_in")).distinct()
+    whole = "last" in found.columns
+    kept = F.struct(place.alias("at"), "last") if whole else F.struct(place.alias("at"))
+    first = found.groupBy("unit").agg(F.min(kept).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = found.join(first.drop("n"), "unit").filter(place != F.col("first.at"))
+    if not whole:
+        return rows.select("id", "digest", "line_no", F.col("first.at.id").alias("kept_in")).distinct()
+    same = F.col("id").eqNullSafe(F.col("first.at.id")) & (F.col("digest") == F.col("first.at.digest"))
+    rows = rows.filter(~same | (F.col("line_no") > F.col("first.last")))
+    lines = rows.select("id", "digest", F.explode(F.sequence("line_no", "last")).alias("line_no"), F.col("first.at").alias("at"))
+    least = lines.groupBy("id", "digest", "line_no").agg(F.min("at").alias("at"))
+    return least.select("id", "digest", "line_no", F.col("at.id").alias("kept_in"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, by_runs: bool = True
+) -> DataFrame:
     """All rows and columns of docs with repeated lines cut out of text, and added:
 
     n_removed, and removed: start:end:kept_in of every line cut, in code points of the
     original text, end exclusive, comma-joined in order. Lines are parted by a line feed;
-    a document whose lines all go keeps an empty text, a NULL text stays NULL.
+    a document whose lines all go keeps an empty text, a NULL text stays NULL. by_runs=False
+    takes single lines only.
     """
-    gone = repeats(written(units(docs, doc_id, text, min_words), "units"))
+    found = (runs if by_runs else units)(docs, doc_id, text, min_words)
+    gone = repeats(written(found, "units"))
     each = F.sort_array(F.collect_list(F.struct("line_no", "kept_in"))).alias("gone")
     df = without_lines(docs, gone.groupBy("id", "digest").agg(each), doc_id, text)
     # A line's start counts the line feeds before it.

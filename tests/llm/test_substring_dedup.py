@@ -50,3 +50,42 @@ def test_edges(spark):
         key=str,
     )
     assert D.dedup(df.limit(0)).count() == 0
+
+
+def test_passage_of_short_lines(spark):
+    lines = [" ".join(f"w{i}" for i in range(k, k + 7)) for k in range(0, 56, 7)]
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    rows = [(i, "\n".join([f"own words of {i}", *lines, "", f"more own words {i}", han])) for i in range(8)]
+    rows.append((8, "\n".join(["one word"] * 100)))
+    out = {r.doc_id: r for r in D.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1] and out[0].n_removed == 0
+    for i in range(1, 8):
+        assert out[i].text == f"own words of {i}\n\nmore own words {i}" and out[i].n_removed == 9
+        at = len(f"own words of {i}\n")
+        assert out[i].removed.split(",")[0] == f"{at}:{at + len(lines[0])}:0"
+    # Runs of a text that overlap the first of their kind are no repeats.
+    assert out[8].text == "\n".join(["one word"] * 10) and out[8].n_removed == 90
+
+
+def test_runs_against_plain_code(spark):
+    import random
+
+    rng = random.Random(5)
+    blocks = [[" ".join(rng.choices("abcdefghijkl", k=rng.randint(0, 6))) for _ in range(6)] for _ in range(5)]
+    rows = [(i, "\n".join(x for _ in range(4) for x in rng.choice(blocks) + [f"own {rng.random()}"])) for i in range(25)]
+    first, gone = {}, {i: set() for i, _ in rows}
+    for doc_id, text in rows:
+        lines = [" ".join(x.split()) for x in text.split("\n")]
+        n = [len(x.split()) for x in lines]
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if n[i] and n[j] and sum(n[i : j + 1]) >= 9 and (sum(n[i:j]) < 9 or sum(n[i + 1 : j + 1]) < 9):
+                    key = " ".join(x for x in lines[i : j + 1] if x)
+                    d, _, last = first.setdefault(key, (doc_id, i, j))
+                    if d != doc_id or i > last:
+                        gone[doc_id] |= set(range(i, j + 1))
+    out = D.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=9).collect()
+    texts = dict(rows)
+    for r in out:
+        assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in gone[r.doc_id])
+    assert sum(map(len, gone.values())) > 100
