@@ -9,9 +9,13 @@ or not.
 2. Each distinct line of a piece of input sends its prefix, the rarest words of which any
    similar line must hold one, to the range of each word's hash; equal lines meet in the
    range of their set's hash, which needs no join.
-3. In a word's range every line is held against the lines of like length that share the
-   word, until one is all but certain to be similar; the closest of the earlier ones that
-   pass the length, position and bitmap filters are its candidates.
+3. In a word's range every line is held against the earlier lines of like length that share
+   the word, nearest lengths first, until one is all but certain to be similar or enough
+   pass the length, position and bitmap filters; the closest of these are its candidates.
+   Of two lines the shorter one must hold the word among still fewer of its rarest, so a
+   word that many lines share behind rarer ones of their own joins none of them. The lines
+   of a word that very many hold in their prefix (estimated from a sample, which decides
+   the layout only) are dealt to chunks, and every two chunks meet in a range of their own.
 4. Candidates are verified on the words themselves, the closest of each line first and the
    others only if it fails. Lines whose candidates all fail although others were left
    untried are joined with all lines that share a prefix word.
@@ -47,6 +51,11 @@ TINY = 1e-9
 BITMAP, STRONG, SLACK = 4, 0.4, 1.5
 # Candidates of a line that one word range sends on at first; step 4 has the way for the rest.
 TRIED, LIKELY = 4, 0.8
+# Where the closest is not likely, more of them go on; and so many candidates by one word,
+# likely ones or any, end the search.
+OTHERS, ENOUGH, MOST = 16, 16, 64
+# Entries of one word that may meet in one group, and the part of the rows that is sampled.
+HOT, SAMPLED = 1 << 21, 1 / 32
 
 ENTRY = (np.uint64, np.uint16, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64)
 LINE = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32)
@@ -122,9 +131,45 @@ class Lines:
         return np.lexsort((hashes, rank, line))
 
 
-def _send(parts: int, ranks, threshold: float):
+def least_words(threshold: float) -> int:
+    """Shorter lines are similar to equal ones only."""
+    return math.ceil(threshold / (1 - threshold) - TINY) if threshold < 1 else np.iinfo(np.int64).max
+
+
+def hot_words(own: DataFrame, ranks, threshold: float, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that more than HOT lines seem to have in their prefix, in order, and the
+    number of chunks of each."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # No word has more entries than occurrences.
+    if n_bytes < 2 * HOT or 2 ** (float(ranks.value.max()) / 100 + 0.01) <= HOT:
+        return none
+    rows = own.sample(SAMPLED, seed=1).mapInArrow(_rows_of_words(ranks, threshold, None), WORD_ROWS)
+    counts = rows.filter(F.col("n") >= least_words(threshold)).groupBy("word").agg((F.count(F.lit(1)) / SAMPLED).alias("n"))
+    found = sorted((r["word"] % (1 << 64), math.ceil(2 * r["n"] / HOT)) for r in counts.filter(F.col("n") > HOT).collect())
+    return (np.array([w for w, _ in found], np.uint64), np.array([c for _, c in found], np.int64)) if found else none
+
+
+def _dealt(word, line, pos, ids, digest, line_no, hot):
+    """The entries, those of hot words once for every two chunks that hold theirs, under a
+    word of their own."""
+    words, chunks = hot
+    if not len(words) or not len(word):
+        return word, line, pos
+    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+    is_hot = words[at] == word
+    n = np.where(is_hot, chunks[at] - 1, 1)
+    key = tokens.mix(ids.view(np.uint64) ^ tokens.mix(digest.astype(np.uint64) ^ tokens.mix(line_no.astype(np.uint64))))[line]
+    own = (key % chunks[at].astype(np.uint64)).astype(np.int64)
+    rows = np.repeat(np.arange(len(word)), n)
+    step = 1 + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = own[rows], (own[rows] + step) % chunks[at][rows]
+    pair = (np.minimum(a, b).astype(np.uint64) << np.uint64(32)) + np.maximum(a, b).astype(np.uint64)
+    return np.where(is_hot[rows], tokens.mix(word[rows] ^ tokens.mix(pair + np.uint64(1))), word[rows]), line[rows], pos[rows]
+
+
+def _send(parts: int, ranks, threshold: float, hot):
     """Map side. part >= 0: prefix entries of a word range; < 0: lines of a set range."""
-    least = math.ceil(threshold / (1 - threshold) - TINY) if threshold < 1 else np.iinfo(np.int64).max
+    least = least_words(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +179,7 @@ def _send(parts: int, ranks, threshold: float):
                 digest = piece.column("digest").to_numpy().astype(np.uint32)[x.text]
                 first, again = _repeats(x.a, x.b, ids, digest, x.line_no)
                 out = list(_line_rows(x, ids, digest, first, again, parts))
-                out += _entry_rows(x, ids, digest, first & (x.n >= least), parts)
+                out += _entry_rows(x, ids, digest, first & (x.n >= least), parts, hot.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "blob"]
                 )
@@ -173,11 +218,12 @@ def _line_rows(x: Lines, ids, digest, first, again, parts):
         yield -1 - part, b"G" + pack(ids[rows], digest[rows], x.line_no[rows].astype(np.uint32))
 
 
-def _entry_rows(x: Lines, ids, digest, sent, parts):
+def _entry_rows(x: Lines, ids, digest, sent, parts, hot):
     prefix = np.where(sent, x.prefix, 0)
     line = np.repeat(np.arange(len(x.n)), prefix)
     pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = x.words[x.starts[line] + pos] if len(line) else np.zeros(0, np.uint64)
+    word, line, pos = _dealt(word, line, pos, ids, digest, x.line_no, hot)
     part = ((word >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     for p, rows in _split(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)):
         lines, at = np.unique(line[rows], return_inverse=True)
@@ -234,11 +280,18 @@ def shared_words(n, m, i, j):
     return np.minimum(i, j) + np.minimum(n - i, m - j)
 
 
+def inner_prefix(n, threshold: float):
+    """Of so many rarest words of the shorter line a similar one holds one in its prefix."""
+    return n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-6).astype(np.int64) + 1
+
+
 def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
     """Earlier lines that pass the filters, for every line of a word's range.
 
-    Lines of one word go by length, so each is held against its neighbours within the
-    length filter only; a line with an all but certain candidate is done.
+    Lines of one word go by length and place, and each is held against the shorter ones
+    and then the longer ones within the length filter, nearest first. A line with an all
+    but certain candidate, or with enough of them, is done. The shorter line of a pair has
+    the word in its inner prefix.
     """
     ids, digest, line_no, n, kind, bits = lines
     bits = bits.reshape(-1, BITMAP)
@@ -249,22 +302,23 @@ def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
     starts = runs(word[order])
     size = np.diff(np.append(starts, len(order)))
     order = order[np.repeat(size > 1, size)]
-    order = order[np.lexsort((n[at[order]], word[order]))]
+    order = order[np.lexsort((number[at[order]], n[at[order]], word[order]))]
     starts = runs(word[order])
-    begin = np.repeat(starts, np.diff(np.append(starts, len(order))))
+    size = np.diff(np.append(starts, len(order)))
+    begin, end = np.repeat(starts, size), np.repeat(starts + size, size)
     line, pos = at[order], pos[order]
     length = n[line].astype(np.int32)
     pos = pos.astype(np.int32)
+    inner = pos < inner_prefix(length, threshold)
     enough_of = np.float32(threshold / (1 + threshold))
-    done = np.zeros(len(ids), bool)
-    active, found, step = np.flatnonzero(np.arange(len(order)) > begin), [], 1
-    while len(active):
-        near = length[active - step] >= threshold * length[active] - TINY
-        active = active[near]
-        i, j = active, active - step
-        late = number[line[i]] > number[line[j]]
-        i, j = np.where(late, i, j), np.where(late, j, i)
-        left = ~done[line[i]]
+    likely_share = LIKELY * 1_000_000 * (1 - threshold) / (1 + threshold)
+    done, cut = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    passed, likely = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+    found = []
+
+    def hold(i, j):
+        """Lines at i, each once, against those at j if earlier."""
+        left = number[line[i]] > number[line[j]]
         i, j = i[left], j[left]
         both = length[i] + length[j]
         left = shared_words(length[i], length[j], pos[i], pos[j]) >= enough_of * both - np.float32(1e-3)
@@ -278,24 +332,51 @@ def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
         same = (differ == 0) & (kind[x] == kind[y]) & (length[i] == length[j])
         good = ~same
         strong = good & (differ <= STRONG * most - SLACK)
-        done[x[same | strong]] = True
         share = (differ * 1_000_000 / both).astype(np.int64)
-        found.append(np.stack([x[good], y[good], share[good], strong[good]]))
+        passed[i] += good
+        likely[i] += good & (share <= likely_share)
+        full = (likely[i] >= ENOUGH) | (passed[i] >= MOST)
+        cut[x[full]] = True
+        done[x[same | strong | full]] = True
+        if good.any():
+            found.append(np.stack([x[good], y[good], share[good], strong[good]]))
+
+    shorter = np.flatnonzero(inner)
+    before = np.cumsum(inner) - inner
+    lowest = before[begin]
+    active, step = np.flatnonzero(before > lowest), 1
+    while len(active):
+        active = active[~done[line[active]]]
+        other = shorter[before[active] - step]
+        near = length[other] >= threshold * length[active] - TINY
+        active = active[near]
+        hold(active, other[near])
+        step += 1
+        active = active[before[active] - step >= lowest[active]]
+    alike = np.flatnonzero(np.concatenate([[True], (begin[1:] != begin[:-1]) | (length[1:] != length[:-1])])) if len(order) else starts
+    longer = np.repeat(np.append(alike, len(order))[1:], np.diff(np.append(alike, len(order))))
+    active, step = np.flatnonzero(inner & (longer < end)), 0
+    while len(active):
+        active = active[~done[line[active]]]
+        other = longer[active] + step
+        near = length[active] >= threshold * length[other] - TINY
+        active = active[near]
+        hold(active, other[near])
         step += 1
-        active = active[active - step >= begin[active]]
+        active = active[longer[active] + step < end[active]]
     x, y, differ, more = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
     _, first = np.unique(x * len(ids) + y, return_index=True)
     x, y, differ, more = x[first], y[first], differ[first], more[first].astype(bool)
-    # Where the closest is likely to be similar, only the closest ones go on; that others
-    # were left out is noted.
+    # Only the closest ones go on, fewer where the closest is likely to be similar; that
+    # others were left out is noted.
     order = np.lexsort((number[y], differ, x))
     x, y, differ, more = x[order], y[order], differ[order], more[order]
     starts = runs(x)
     size = np.diff(np.append(starts, len(x)))
     place = np.arange(len(x)) - np.repeat(starts, size)
-    likely = np.repeat(differ[starts] <= LIKELY * 1_000_000 * (1 - threshold) / (1 + threshold), size)
-    more |= likely & np.repeat(size > TRIED, size)
-    kept = ~likely | (place < TRIED)
+    most = np.repeat(np.where(differ[starts] <= likely_share, TRIED, OTHERS), size)
+    more |= cut[x] | (np.repeat(size, size) > most)
+    kept = place < most
     x, y, differ, more = x[kept], y[kept], differ[kept], more[kept]
     return _found([ids[x], digest[x], line_no[x]], [ids[y], digest[y], line_no[y]], differ, more)
 
@@ -381,7 +462,8 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     n_bytes = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
     ranks = spark.sparkContext.broadcast(word_ranks(own.select("text")))
-    sent = own.mapInArrow(_send(parts, ranks, threshold), "part int, blob binary")
+    hot = spark.sparkContext.broadcast(hot_words(own, ranks, threshold, n_bytes))
+    sent = own.mapInArrow(_send(parts, ranks, threshold, hot), "part int, blob binary")
     found = written(sent.groupBy("part").applyInPandas(_meet(threshold), FOUND), "met-lines")
     gone = found.filter("other_id IS NULL").select(*PLACE).distinct()
     pairs = found.filter("other_id IS NOT NULL").groupBy(*PLACE, *OTHER).agg(F.min("differ").alias("differ"), F.max("more").alias("more"))
@@ -420,7 +502,10 @@ def _untried(own: DataFrame, open_: DataFrame, ranks, threshold: float) -> DataF
     total = (F.col("n") + F.col("m")) / (1 + threshold)
     shared = F.least("pos", "j") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("j"))
     earlier = F.struct(*OTHER) < F.struct(*[F.col(c).alias(o) for c, o in zip(PLACE, OTHER)])
-    fits = (F.least("n", "m") >= threshold * F.greatest("n", "m") - TINY) & (shared >= threshold * total - TINY) & (differ <= (1 - threshold) * total + TINY)
+    inner = lambda n: n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-6) + 1
+    n, m = F.col("n"), F.col("m")
+    held = ((n >= m) & (F.col("j") < inner(m))) | ((n <= m) & (F.col("pos") < inner(n)))
+    fits = held & (F.least("n", "m") >= threshold * F.greatest("n", "m") - TINY) & (shared >= threshold * total - TINY) & (differ <= (1 - threshold) * total + TINY)
     pairs = written(both.filter(earlier & fits).select(*PLACE, *OTHER).distinct(), "open-pairs")
     return _verified(own, pairs, threshold).filter("similar").select(*PLACE).distinct()
 

@@ -69,3 +69,31 @@ def test_edges(spark):
     assert got[1] == (None, "", 1) and got[2] == (2, line, 0) and got[3] == (3, None, 0) and got[4] == (4, "\n\n", 0)
     assert got[5] == (5, "own words", 1) and got[6][2] == 0 and got[7] == (7, "only", 1)
     assert D.dedup(df).count() == 8 and D.dedup(df.limit(0)).count() == 0
+
+
+def test_hot_words_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(D, "HOT", 8)
+    monkeypatch.setattr(D, "SAMPLED", 1.0)
+    rows = corpus(4) + [(1000 + i, f"t1 t2 t3 t4 t5 t6 t7 t8 t9 own{i}\nt1 t2 t3 t4 mine{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {(r.id, r.line_no) for r in D.similar_lines(df).collect()} == near_lines(rows)
+
+
+def test_template_lines_give_few_candidates():
+    import numpy as np
+    import pyarrow as pa
+
+    for words in (5, 10, 12, 30):
+        template = " ".join(f"t{i}" for i in range(words - 1))
+        texts = pa.array([f"own{i} {template}" for i in range(1500)])
+        ranks = np.zeros(1 << D.SKETCH_BITS, np.uint16)
+        for w in template.split():
+            ranks[D.tokens.words(pa.array([w])).hashes >> np.uint64(64 - D.SKETCH_BITS)] = 1000
+        x = D.Lines(texts, ranks, D.THRESHOLD)
+        line = np.repeat(np.arange(len(x.n)), x.prefix)
+        pos = np.arange(len(line)) - np.repeat(np.cumsum(x.prefix) - x.prefix, x.prefix)
+        lines = [x.text.astype(np.int64), np.zeros(len(x.n), np.uint32), x.line_no.astype(np.uint32), x.n.astype(np.uint32), (x.a >> np.uint64(32)).astype(np.uint32), x.bits.ravel()]
+        found = D._candidates(x.words[x.starts[line] + pos], pos, line, lines, D.THRESHOLD)
+        assert len(found) <= D.OTHERS * 1500
+        # J is below the threshold for 5 words; otherwise every line but the first has one.
+        assert found["id"].nunique() == (0 if words == 5 else 1499)
