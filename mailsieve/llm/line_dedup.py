@@ -57,9 +57,9 @@ OTHERS, ENOUGH, MOST = 16, 16, 64
 # Entries of one word that may meet in one group, and the part of the rows that is sampled.
 HOT, SAMPLED = 1 << 21, 1 / 32
 
-ENTRY = (np.uint64, np.uint16, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64)
-LINE = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32)
-GONE = (np.int64, np.uint32, np.uint32)
+ENTRY = (np.uint64, np.uint16, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64)
+LINE = (np.uint64, np.uint64, np.int64, np.int64, np.uint32)
+GONE = (np.int64, np.int64, np.uint32)
 PLACE = ["id", "digest", "line_no"]
 OTHER = ["other_id", "other_digest", "other_line_no"]
 FOUND = "id long, digest long, line_no long, other_id long, other_digest long, other_line_no long, differ long, more boolean"
@@ -176,7 +176,7 @@ def _send(parts: int, ranks, threshold: float, hot):
             for piece in tokens.pieces(batch, "text"):
                 x = Lines(piece.column("text"), ranks.value, threshold)
                 ids = piece.column("id").fill_null(NO_ID).to_numpy()[x.text]
-                digest = piece.column("digest").to_numpy().astype(np.uint32)[x.text]
+                digest = piece.column("digest").to_numpy()[x.text]
                 first, again = _repeats(x.a, x.b, ids, digest, x.line_no)
                 out = list(_line_rows(x, ids, digest, first, again, parts))
                 out += _entry_rows(x, ids, digest, first & (x.n >= least), parts, hot.value)
@@ -447,7 +447,7 @@ def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The lines with an earlier similar line: id, digest (32 bits of the text's), line_no
+    """The lines with an earlier similar line: id, digest (of the text), line_no
     (from 0).
 
     doc_id is an integer; NULL comes last and is given as the largest long. The digest
@@ -458,7 +458,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     own = docs.select(
         F.coalesce(docs[doc_id].cast("long"), F.lit(int(NO_ID))).alias("id"),
         F.coalesce(docs[text], F.lit("")).alias("text"),
-    ).withColumn("digest", F.pmod(F.xxhash64("text"), F.lit(1 << 32)))
+    ).withColumn("digest", F.xxhash64("text"))
     n_bytes = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
     ranks = spark.sparkContext.broadcast(word_ranks(own.select("text")))
@@ -521,5 +521,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     each = gone.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("line_no"))).alias("gone"))
     each = each.withColumn("id", F.when(F.col("id") != int(NO_ID), F.col("id")))
     each = each.withColumn("gone", F.transform("gone", lambda x: F.struct(x["line_no"].cast("int").alias("line_no"))))
-    df = without_lines(docs, each, doc_id, text, digest_bits=32)
+    df = without_lines(docs, each, doc_id, text)
     return df.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_lines", "_gone")

@@ -97,3 +97,12 @@ def test_template_lines_give_few_candidates():
         assert len(found) <= D.OTHERS * 1500
         # J is below the threshold for 5 words; otherwise every line but the first has one.
         assert found["id"].nunique() == (0 if words == 5 else 1499)
+
+
+def test_texts_without_id_are_told_apart_by_the_whole_digest(spark):
+    # The digests of these two have their lower 32 bits in common.
+    a = "first10109 of its own words\nthe line that an earlier text holds too"
+    b = "second345358 of other words\nnothing like it is anywhere else345358"
+    df = spark.createDataFrame([(1, "the line that an earlier text holds too"), (None, a), (None, b)], "doc_id long, text string")
+    out = {r.text for r in D.dedup(df).filter("doc_id IS NULL").collect()}
+    assert out == {a.split("\n")[0], b}
