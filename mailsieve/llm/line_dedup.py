@@ -136,33 +136,55 @@ def least_words(threshold: float) -> int:
     return math.ceil(threshold / (1 - threshold) - TINY) if threshold < 1 else np.iinfo(np.int64).max
 
 
-def hot_words(own: DataFrame, ranks, threshold: float, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that more than HOT lines seem to have in their prefix, in order, and the
-    number of chunks of each."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _tally_prefixes(ranks, threshold: float):
+    """Prefix entries per slot of the word hash, as _tally counts words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            for piece in tokens.pieces(batch, "text"):
+                x = Lines(piece.column("text"), ranks.value, threshold)
+                prefix = np.where(x.n >= least_words(threshold), x.prefix, 0)
+                line = np.repeat(np.arange(len(x.n)), prefix)
+                pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                slots = x.words[x.starts[line] + pos] >> np.uint64(64 - SKETCH_BITS)
+                table += np.bincount(slots.astype(np.int64), minlength=len(table)).astype(np.uint32)
+        if table.any():
+            parts = np.split(table, len(table) // SLICE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"]
+            )
+
+    return run
+
+
+def hot_chunks(own: DataFrame, ranks, threshold: float) -> np.ndarray | None:
+    """Chunks per slot of the word hash: 1, or more where over HOT lines seem to have a
+    word of the slot in their prefix; None if no slot has."""
     # No word has more entries than occurrences.
-    if n_bytes < 2 * HOT or 2 ** (float(ranks.value.max()) / 100 + 0.01) <= HOT:
-        return none
-    rows = own.sample(SAMPLED, seed=1).mapInArrow(_rows_of_words(ranks, threshold, None), WORD_ROWS)
-    counts = rows.filter(F.col("n") >= least_words(threshold)).groupBy("word").agg((F.count(F.lit(1)) / SAMPLED).alias("n"))
-    found = sorted((r["word"] % (1 << 64), math.ceil(2 * r["n"] / HOT)) for r in counts.filter(F.col("n") > HOT).collect())
-    return (np.array([w for w, _ in found], np.uint64), np.array([c for _, c in found], np.int64)) if found else none
+    if 2 ** (float(ranks.value.max()) / 100 + 0.01) <= HOT:
+        return None
+    rows = own.select("text").sample(SAMPLED, seed=1).mapInArrow(_tally_prefixes(ranks, threshold), "slice int, counts binary")
+    counts = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE).reshape(-1, SLICE)
+    for row in rows.groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect():
+        counts[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
+    counts = counts.ravel() / SAMPLED
+    return np.where(counts > HOT, np.ceil(2 * counts / HOT), 1).astype(np.int64) if (counts > HOT).any() else None
 
 
 def _dealt(word, line, pos, ids, digest, line_no, hot):
     """The entries, those of hot words once for every two chunks that hold theirs, under a
     word of their own."""
-    words, chunks = hot
-    if not len(words) or not len(word):
+    if hot is None or not len(word):
         return word, line, pos
-    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-    is_hot = words[at] == word
-    n = np.where(is_hot, chunks[at] - 1, 1)
+    chunks = hot[(word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    is_hot = chunks > 1
+    n = np.where(is_hot, chunks - 1, 1)
     key = tokens.mix(ids.view(np.uint64) ^ tokens.mix(digest.astype(np.uint64) ^ tokens.mix(line_no.astype(np.uint64))))[line]
-    own = (key % chunks[at].astype(np.uint64)).astype(np.int64)
+    own = (key % chunks.astype(np.uint64)).astype(np.int64)
     rows = np.repeat(np.arange(len(word)), n)
     step = 1 + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-    a, b = own[rows], (own[rows] + step) % chunks[at][rows]
+    a, b = own[rows], (own[rows] + step) % chunks[rows]
     pair = (np.minimum(a, b).astype(np.uint64) << np.uint64(32)) + np.maximum(a, b).astype(np.uint64)
     return np.where(is_hot[rows], tokens.mix(word[rows] ^ tokens.mix(pair + np.uint64(1))), word[rows]), line[rows], pos[rows]
 
@@ -462,7 +484,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     n_bytes = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
     ranks = spark.sparkContext.broadcast(word_ranks(own.select("text")))
-    hot = spark.sparkContext.broadcast(hot_words(own, ranks, threshold, n_bytes))
+    hot = spark.sparkContext.broadcast(hot_chunks(own, ranks, threshold))
     sent = own.mapInArrow(_send(parts, ranks, threshold, hot), "part int, blob binary")
     found = written(sent.groupBy("part").applyInPandas(_meet(threshold), FOUND), "met-lines")
     gone = found.filter("other_id IS NULL").select(*PLACE).distinct()
