@@ -279,11 +279,11 @@ def _agreement(least: float):
     return run
 
 
-def _across(least: float, best: bool, rows: int):
+def _across(least: float, best: bool):
     """Candidates (a, b) of different classes in buckets, a among the outsiders.
 
     best: for each outsider the one that agrees with it in most samples. A pair is given
-    by the first band only in which it shares a bucket."""
+    by the first band only whose key is the same in both."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["band", "salt", "outside"], ignore_index=True)
@@ -291,7 +291,7 @@ def _across(least: float, best: bool, rows: int):
         codes = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(group), -1)
         place = group[["band", "salt"]].to_numpy()
         number = group["no"].to_numpy()
-        by_band = codes.reshape(len(codes), -1, rows)
+        keys = None if best or not len(group) else np.stack(group["bands"].to_numpy())
         starts = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(group)]])
         a, b = [], []
         for start, end in zip(starts, starts[1:]):
@@ -303,7 +303,7 @@ def _across(least: float, best: bool, rows: int):
                 if best and len(found):
                     found = np.array([agree.argmax()])
                 elif len(found):
-                    shared = (by_band[start:first][found] == by_band[i]).all(axis=2)
+                    shared = keys[start:first][found] == keys[i]
                     found = found[shared.argmax(axis=1) == number[i]]
                 a.append(np.repeat(node[i], len(found)))
                 b.append(node[start:first][found])
@@ -312,22 +312,27 @@ def _across(least: float, best: bool, rows: int):
     return run
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, least: float, best: bool, rows: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, least: float, best: bool) -> DataFrame:
     """Candidates of different classes. A bucket's members are dealt to chunks, each of
-    which meets all members outside the class of the bucket's smallest text."""
+    which meets all members outside the class of the bucket's smallest text. The keys of
+    all bands of sketches come along where every pair counts."""
     all_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     buckets = all_.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main"),
         F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"),
     )
     several = all_.join(buckets.filter("low <> high").drop("low", "high"), "band")
+    columns = ["band", "no", "salt", "node", "component", "code", "outside"]
+    if not best:
+        several = several.join(sketches.select("node", "bands"), "node")
+        columns.append("bands")
     inside = several.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("outside", F.lit(False))
     outside = several.filter("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("outside", F.lit(True))
-    both = inside.unionByName(outside).select("band", "no", "salt", "node", "component", "code", "outside")
+    both = inside.unionByName(outside).select(*columns)
     both = written(both, "buckets")
     groups = both.count() // (4 * CHUNK) + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.withColumn("to", F.pmod(F.xxhash64("band", "salt"), F.lit(groups)))
-    pairs = both.groupBy("to").applyInPandas(_across(least, best, rows), "a long, b long")
+    pairs = both.groupBy("to").applyInPandas(_across(least, best), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -370,7 +375,7 @@ def similar_texts(docs: DataFrame, text: str, threshold: float, size: int, bands
     links = _links(pairs, sketches, least, threshold)
     labels, tried = components(links), pairs
     for best in (True, False):
-        across = written(_cross_pairs(members, labels, least, best, rows), "pairs")
+        across = written(_cross_pairs(members, sketches, labels, least, best), "pairs")
         more = _links(across.join(tried, ["a", "b"], "left_anti"), sketches, least, threshold)
         tried = tried.union(across)
         if more.limit(1).count():

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailsieve.llm import minhash as M
 from tests.llm.brute import near_classes
@@ -68,3 +69,15 @@ def test_samples_agree_as_weights_do():
     a, b = rng.random(50) + 0.1, rng.random(50) + 0.1
     s = M.icws(np.concatenate([hashes, hashes]), np.concatenate([a, b]), np.array([0, 50]), 4000)
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def test_band_that_only_seems_shared_loses_no_pair(spark):
+    # Texts 2 and 3 have the same codes in band 0, which is another bucket, and share band 1.
+    code = bytes(range(8))
+    bands = {1: [10, 20], 2: [11, 20], 3: [12, 20]}
+    rows = [(node, code, keys) for node, keys in bands.items()]
+    sketches = spark.createDataFrame(rows, "node long, code binary, bands array<long>")
+    members = sketches.select("node", "code", F.posexplode("bands").alias("no", "band"))
+    labels = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "node long, component long")
+    pairs = M._cross_pairs(members, sketches, labels, 6, False)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (1, 3), (2, 3)}
