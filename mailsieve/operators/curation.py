@@ -259,9 +259,10 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
 
 
 def nearest_copy(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
-    """Per row the earlier row most like it: key, other, similarity.
+    """Per row the earlier row that first held most of its runs: key, other, similarity.
 
-    Every run is credited to its first row; the earlier row credited with most runs of a
+    Only first owners are compared: a later row that is more like it, but took its runs
+    from earlier ones, is not found. Every run is credited to its first row; the earlier row credited with most runs of a
     row (the first of several) is compared with it, and the similarity is the exact
     Jaccard of their runs. One pair per row at most, so a group of copies gives no pairs
     of pairs. Rows that share no run with an earlier one are left out.
