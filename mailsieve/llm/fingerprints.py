@@ -7,7 +7,9 @@ weighted sample of its pieces. With r and c from Gamma(2, 1) and b from U(0, 1),
 the piece's hash, t = floor(ln w / r + b), and the piece with the smallest
 ln c - r (t - b) - r is the sample. Two texts hold the same sample of a bin with the
 probability of the bin's similarity, so the share of equal samples estimates theirs; the
-pieces make the bins weigh alike, and one evaluation per piece fills all bins.
+pieces make the bins weigh alike, and one evaluation per piece fills all bins. With
+PIECE = 1 weights are expanded into occurrences: ln w and t are 0, the weighted step is
+idle, and this is one-permutation MinHash over word occurrences.
 """
 
 from __future__ import annotations
