@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, secrets, sentencepiece, substring_dedup, warc
+from mailsieve.llm import (
+    alignment, collocations, fingerprints, language_id, line_dedup, minhash, mixing, quality_rules, secrets, sentencepiece, substring_dedup, toxicity, warc,
+)
 from mailsieve.llm.common import read_table
 
 QUERIES = {}
 ORACLE = {}
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -177,3 +180,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), "decoded", (F.col("decoded") == F.col("text")).alias("same")
     )
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(read_table(spark, sf_dir, "documents"), alignment.load(BYTE_FILE, PIECE_MODEL))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+o AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM s),
+c AS (SELECT lang, w[i:i + k - 1] AS p, k, CAST(count(*) AS HUGEINT) AS a FROM o GROUP BY 1, 2, 3),
+f AS (SELECT * FROM c WHERE a >= 100),
+t AS (SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+u AS (SELECT lang, p, k, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+x AS (
+  SELECT u.*, l.a AS l, r.a AS r, t.n, 1000 * u.a * t.n // (l.a * r.a) AS score FROM u JOIN t ON u.lang = t.lang
+  JOIN f l ON l.lang = u.lang AND l.p = u.p[1:cut] JOIN f r ON r.lang = u.lang AND r.p = u.p[cut + 1:u.k]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS no FROM x),
+j AS (SELECT lang, p, k, a, unnest(range(1, k + 1)) AS i FROM f WHERE k > 2),
+e AS (SELECT lang, p, k, a, i, unnest(range(i + 1, k + 1)) AS z FROM j),
+m AS (SELECT lang, p[i:z] AS p, max(a) AS longer FROM e WHERE z - i + 1 < k GROUP BY 1, 2),
+g AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN m ON b.lang = m.lang AND b.p = m.p
+  WHERE no = 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM g)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
