@@ -4,8 +4,10 @@ Counting. Each task keeps its phrases in a HAT-trie: a shallow trie over word id
 leaves are hash containers from the rest of a phrase to its count. A container that grows
 beyond BURST entries bursts into a node with a container for each next word. When the trie
 holds MOST entries, whole subtrees (the largest first) leave it as sorted runs; the runs
-are dealt by prefix (language and the first three words) and merged there. A phrase leaves
-a task once per run however often it occurs, so a very common phrase is no hot group.
+are dealt by prefix (language and first word) and merged there. A subtree is one row, which
+holds its first word once. A phrase leaves a task once per run however often it occurs; the
+subtrees of words that are a large part of all (fewer than HEADS can be) are dealt in shares
+by the digest of their further words, so a very common word is no hot group.
 
 Levels. A phrase with a count of LEAST has only parts with at least that count, so words are
 counted first, then pairs of frequent words, then longer phrases of frequent pairs. What is
@@ -18,6 +20,7 @@ Scores are exact: products are decimals of 38 digits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +46,11 @@ PIECE = 4 << 20
 #: Bits of the table of frequent phrases, as a power of two.
 BITS = 26
 ID = 4
+#: Entries of a batch of runs; what parts the rests of a subtree (in no word).
+RUN = 50_000
+SPLIT = "\n"
+#: A head with more than one in HEADS of all words is dealt in shares.
+HEADS = 1000
 SALTS = 64
 
 KIND = np.zeros(256, np.int8)  # 0: in a word, 1: between words, 2: between pieces
@@ -130,14 +138,16 @@ class Trie:
             left -= self.sizes[first]
         return out
 
-    def drain(self, firsts: list[tuple[int, int]]) -> Iterator[tuple[int, bytes, int]]:
-        """Take whole subtrees out: language, phrase as word ids, count."""
+    def drain(self, firsts: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
+        """Take whole subtrees out: language, first word, further words, counts."""
         for first in firsts:
             held = self.root.pop(first)
             self.total -= self.sizes.pop(first)
-            head = first[1].to_bytes(ID, "big")
-            for rest, count in held.walk(b"") if isinstance(held, Node) else held.items():
-                yield first[0], head + rest, count
+            if isinstance(held, Node):
+                rests, counts = map(list, zip(*held.walk(b"")))
+            else:
+                rests, counts = list(held), list(held.values())
+            yield *first, rests, counts
 
 
 @dataclass
@@ -157,16 +167,44 @@ class Task:
                 names.append(x)
         return np.fromiter((known[x] for x in found), np.int64, len(found))
 
-    def spill(self, firsts: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        """A sorted run of whole subtrees, in batches."""
-        rows = []
-        for lang, ids, count in self.trie.drain(firsts):
-            numbers = np.frombuffer(ids, ">u4").tolist()
-            rows.append((self.langs[lang], " ".join([self.words[i] for i in numbers]), count))
-        rows.sort()
-        for i in range(0, len(rows), 50_000):
-            part = list(zip(*rows[i : i + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64())], names=["lang", "phrase", "n"])
+    def spill(self, firsts: list[tuple[int, int]], shares: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+        """Whole subtrees as sorted runs: a row for each, or for each share of a hot one."""
+        rows, held = [], 0
+        for lang, head, rests, counts in self.trie.drain(firsts):
+            name, word = self.langs[lang], self.words[head]
+            run = sorted(zip(self.strings(rests), counts))
+            n = shares.get((name, word), 1)
+            parts = [run] if n == 1 else [[] for _ in range(n)]
+            if n > 1:
+                for x in run:
+                    parts[zlib.crc32(x[0].encode()) % n].append(x)
+            for k, part in enumerate(parts):
+                if part:
+                    rows.append((name, word, k, SPLIT.join([x for x, _ in part]), [c for _, c in part]))
+            held += len(run)
+            if held > RUN:
+                yield _batch(rows)
+                rows, held = [], 0
+        yield _batch(rows)
+
+    def strings(self, rests: list[bytes]) -> list[str]:
+        """Further words as text."""
+        numbers = np.frombuffer(b"".join(rests), ">u4").tolist()
+        words = [self.words[i] for i in numbers]
+        if len(words) == len(rests):
+            return words
+        out, at = [], 0
+        for rest in rests:
+            n = len(rest) // ID
+            out.append(" ".join(words[at : at + n]))
+            at += n
+        return out
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()))
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "head", "share", "rests", "counts"])
 
 
 def lang_hashes(names: list[str]) -> np.ndarray:
@@ -233,12 +271,11 @@ def read(column: pa.Array, lang: np.ndarray) -> Runs:
     return Runs(data, starts, ends, _hashes(data, starts, ends), lang[text], run)
 
 
-def frequent_runs(r: Runs, lang: np.ndarray, words: np.ndarray | None, pairs: np.ndarray | None) -> Runs:
+def frequent_runs(r: Runs, lang: np.ndarray, words: np.ndarray, pairs: np.ndarray | None) -> Runs:
     """What can be in frequent phrases: runs of words in the table, all of whose neighbours
     are pairs in the table. lang has the hash of each language."""
-    if words is not None:
-        good = has(words, phrase_hash(lang[r.lang], [r.hashes]))
-        r = r.keep(good, _new_runs(r.run) | ~good | _after(~good))
+    good = has(words, phrase_hash(lang[r.lang], [r.hashes]))
+    r = r.keep(good, _new_runs(r.run) | ~good | _after(~good))
     if pairs is not None and len(r.run):
         joined = np.zeros(len(r.run), bool)
         joined[1:] = r.run[1:] == r.run[:-1]
@@ -260,7 +297,7 @@ def _after(mask: np.ndarray) -> np.ndarray:
 
 
 def grow(task: Task, r: Runs, shortest: int, longest: int) -> None:
-    """Add all phrases of the runs to the task's trie."""
+    """Add the phrases of shortest (2 at least) to longest words to the task's trie."""
     if not len(r.run):
         return
     coded = r.strings().dictionary_encode()
@@ -281,9 +318,9 @@ def grow(task: Task, r: Runs, shortest: int, longest: int) -> None:
         if length < shortest or not len(at):
             continue
         first = at[first]
-        rest = np.stack([word[first + k] for k in range(1, length)], axis=1).astype(">u4").tobytes() if length > 1 else b""
+        rest = np.stack([word[first + k] for k in range(1, length)], axis=1).astype(">u4").tobytes()
         step = ID * (length - 1)
-        rests = [rest[i : i + step] for i in range(0, len(first) * step, step)] if step else [b""] * len(first)
+        rests = [rest[i : i + step] for i in range(0, len(rest), step)]
         heads = r.lang[first] * width + word[first]
         cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1], [True]])).tolist()
         counts, langs, words_at = counts.tolist(), r.lang[first].tolist(), word[first].tolist()
@@ -291,42 +328,84 @@ def grow(task: Task, r: Runs, shortest: int, longest: int) -> None:
             task.trie.add((langs[i], words_at[i]), rests[i:j], counts[i:j])
 
 
+def words_of(docs: DataFrame) -> DataFrame:
+    """lang, phrase and n: counts of single words, and of all words under the empty phrase;
+    one hash container per language, spilled when they hold MOST_WORDS entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {}
+
+        def out():
+            for lang, counts in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                    names=["lang", "phrase", "n"],
+                )
+
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                coded = pc.fill_null(piece.column("lang"), NO_LANG).dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                r = read(piece.column("text"), coded.indices.to_numpy(zero_copy_only=False))
+                words = r.strings().dictionary_encode()
+                width = max(len(words.dictionary), 1)
+                keys, counts = np.unique(r.lang.astype(np.int64) * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                found = words.dictionary.take(pa.array(keys % width)).to_pylist()
+                cut = np.searchsorted(keys, np.arange(len(names) + 1) * width).tolist()
+                counts = counts.tolist()
+                for name, i, j in zip(names, cut, cut[1:]):
+                    own = held.setdefault(name, {"": 0})
+                    own[""] += sum(counts[i:j])
+                    for word, n in zip(found[i:j], counts[i:j]):
+                        own[word] = own.get(word, 0) + n
+                if sum(map(len, held.values())) > MOST_WORDS:
+                    yield from out()
+                    held.clear()
+        yield from out()
+
+    return docs.mapInArrow(run, "lang string, phrase string, n long")
+
+
 def runs_of(
-    docs: DataFrame, shortest: int, longest: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None
+    docs: DataFrame, shortest: int, longest: int, words: np.ndarray, pairs: np.ndarray | None = None, shares: dict[tuple[str, str], int] | None = None
 ) -> DataFrame:
-    """Sorted runs of lang, phrase and n; with shortest 1 the words of a language are
-    summed up under the empty phrase too. docs has lang and text."""
-    tables = shipped(docs.sparkSession, (words, pairs))
+    """Sorted runs of phrases of two words or more: lang, head (the first word), share, rests
+    (the further words, parted by SPLIT) and counts. docs has lang and text."""
+    tables = shipped(docs.sparkSession, (words, pairs, shares or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, totals = Task(), {}
+        task, (words, pairs, shares) = Task(), tables()
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 coded = pc.fill_null(piece.column("lang"), NO_LANG).dictionary_encode()
                 numbers = task.number(task.lang_numbers, task.langs, coded.dictionary.to_pylist())
                 r = read(piece.column("text"), numbers[coded.indices.to_numpy(zero_copy_only=False)])
-                if shortest == 1:
-                    for i, n in enumerate(np.bincount(r.lang, minlength=len(task.langs)).tolist()):
-                        totals[task.langs[i]] = totals.get(task.langs[i], 0) + n
-                grow(task, frequent_runs(r, lang_hashes(task.langs), *tables()), shortest, longest)
+                grow(task, frequent_runs(r, lang_hashes(task.langs), words, pairs), shortest, longest)
                 if len(task.words) > MOST_WORDS:
-                    yield from task.spill(list(task.trie.root))
+                    yield from task.spill(list(task.trie.root), shares)
                     task = Task()
                 elif task.trie.total > MOST:
-                    yield from task.spill(task.trie.largest(MOST // 2))
-        yield from task.spill(list(task.trie.root))
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "n"])
+                    yield from task.spill(task.trie.largest(MOST // 2), shares)
+        yield from task.spill(list(task.trie.root), shares)
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long")
+    return docs.mapInArrow(run, "lang string, head string, share int, rests string, counts array<long>")
 
 
 def merged(runs: DataFrame, least: int) -> DataFrame:
-    """lang, phrase and a: counts of the runs, merged per prefix; at least so many, and
-    the sums under the empty phrase."""
-    runs = runs.withColumn("prefix", F.substring_index("phrase", " ", 3)).repartition("lang", "prefix")
-    counts = runs.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("a"))
-    return counts.filter((F.col("a") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "a")
+    """lang, phrase and a of the phrases that the runs hold at least so often. Runs are dealt
+    by language, first word and share, and merged there."""
+    runs = runs.repartition("lang", "head", "share")
+    each = runs.select("lang", "head", "share", F.explode(F.arrays_zip(F.split("rests", SPLIT).alias("rest"), F.col("counts").alias("n"))).alias("x"))
+    counts = each.groupBy("lang", "head", "share", F.col("x.rest").alias("rest")).agg(F.sum("x.n").alias("a")).filter(F.col("a") >= least)
+    return counts.select("lang", F.concat_ws(" ", "head", "rest").alias("phrase"), "a")
+
+
+def shares_of(single: DataFrame) -> dict[tuple[str, str], int]:
+    """In how many shares the runs of a hot first word are dealt; fewer than HEADS words
+    can hold more than one in HEADS of all."""
+    total = single.filter("phrase = ''").agg(F.sum("a")).first()[0] or 0
+    hot = single.filter((F.col("phrase") != "") & (F.col("a") * HEADS > total))
+    return {(r["lang"], r["phrase"]): -(-r["a"] * HEADS // total) for r in hot.collect()}
 
 
 def table_of(phrases: DataFrame) -> np.ndarray:
@@ -357,13 +436,14 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     """(lang, phrase, a) of all phrases of 1 to longest words that occur at least so often,
     and (lang, n) with the number of words."""
     rows = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text")).filter("text IS NOT NULL")
-    single = written(merged(runs_of(rows, 1, 1), least), "words")
+    counts = words_of(rows).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    single = written(counts.filter((F.col("a") >= least) | (F.col("phrase") == "")), "words")
     found = [single.filter("phrase <> ''")]
     if longest > 1:
-        words = table_of(found[0])
-        found.append(written(merged(runs_of(rows, 2, 2, words), least), "pairs"))
+        words, shares = table_of(found[0]), shares_of(single)
+        found.append(written(merged(runs_of(rows, 2, 2, words, None, shares), least), "pairs"))
         if longest > 2:
-            found.append(written(merged(runs_of(rows, 3, longest, words, table_of(found[1])), least), "phrases"))
+            found.append(written(merged(runs_of(rows, 3, longest, words, table_of(found[1]), shares), least), "phrases"))
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
