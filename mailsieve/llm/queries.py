@@ -120,30 +120,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-OP4_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM d),
-n AS (
-  SELECT doc_id, i, trim(regexp_replace(lower(l[i]), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line,
-    length(l[i]) AS len, coalesce(list_sum([length(x) + 1 for x in l[1:i - 1]]), 0) AS start, l[i] AS full_line FROM u),
-r AS (
-  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 >= 20 AND line <> '' AS unit,
-    first_value(doc_id) OVER (PARTITION BY line ORDER BY doc_id, i) AS kept_in,
-    row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM n),
-g AS (
-  SELECT doc_id, coalesce(string_agg(full_line, chr(10) ORDER BY i) FILTER (WHERE NOT (unit AND k > 1)), '') AS text,
-    count(*) FILTER (WHERE unit AND k > 1) AS n_removed,
-    coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + len AS BIGINT) || ':' || kept_in, ',' ORDER BY i) FILTER (WHERE unit AND k > 1), '') AS removed
-  FROM r GROUP BY doc_id)
-SELECT documents.doc_id, g.text, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
-FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id
-"""
-
-
-@query("op4_substring_dedup", OP4_SQL)
+@query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The check SQL is by single lines.
-    return substring_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), by_runs=False)
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
 
 
 @query("op10_line_dedup")
