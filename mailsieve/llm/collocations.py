@@ -4,8 +4,8 @@ Counting. Each task keeps its phrases in a HAT-trie: a shallow trie over word id
 leaves are hash containers from the rest of a phrase to its count. A container that grows
 beyond BURST entries bursts into a node with a container for each next word. When the trie
 holds MOST entries, whole subtrees (the largest first) leave it as sorted runs; the runs
-are dealt by prefix (language and first word) and merged there. A subtree is one row, which
-holds its first word once. A phrase leaves a task once per run however often it occurs; the
+are dealt by prefix (language and first word) and merged there. A subtree holds its first
+word once, and the subtrees of a prefix partition are one row. A phrase leaves a task once per run however often it occurs; the
 subtrees of words that are a large part of all (fewer than HEADS can be) are dealt in shares
 by the digest of their further words, so a very common word is no hot group.
 
@@ -46,8 +46,8 @@ PIECE = 4 << 20
 #: Bits of the table of frequent phrases, as a power of two.
 BITS = 26
 ID = 4
-#: Entries of a batch of runs; what parts the rests of a subtree (in no word).
-RUN = 50_000
+#: Prefix partitions of the runs; what parts the rests of a subtree (in no word).
+PARTS = 1 << 14
 SPLIT = "\n"
 #: A head with more than one in HEADS of all words is dealt in shares.
 HEADS = 1000
@@ -150,6 +150,9 @@ class Trie:
             yield *first, rests, counts
 
 
+TREES = pa.list_(pa.struct([("lang", pa.string()), ("head", pa.string()), ("rests", pa.string()), ("counts", pa.list_(pa.int64()))]))
+
+
 @dataclass
 class Task:
     """What one task knows: numbers of its words and languages, and its trie."""
@@ -168,24 +171,21 @@ class Task:
         return np.fromiter((known[x] for x in found), np.int64, len(found))
 
     def spill(self, firsts: list[tuple[int, int]], shares: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
-        """Whole subtrees as sorted runs: a row for each, or for each share of a hot one."""
-        rows, held = [], 0
+        """Whole subtrees as sorted runs: a row for each prefix partition with its subtrees."""
+        parts: dict[int, list[dict]] = {}
         for lang, head, rests, counts in self.trie.drain(firsts):
             name, word = self.langs[lang], self.words[head]
             run = sorted(zip(self.strings(rests), counts))
             n = shares.get((name, word), 1)
-            parts = [run] if n == 1 else [[] for _ in range(n)]
+            split = [run] if n == 1 else [[] for _ in range(n)]
             if n > 1:
                 for x in run:
-                    parts[zlib.crc32(x[0].encode()) % n].append(x)
-            for k, part in enumerate(parts):
+                    split[zlib.crc32(x[0].encode()) % n].append(x)
+            for k, part in enumerate(split):
                 if part:
-                    rows.append((name, word, k, SPLIT.join([x for x, _ in part]), [c for _, c in part]))
-            held += len(run)
-            if held > RUN:
-                yield _batch(rows)
-                rows, held = [], 0
-        yield _batch(rows)
+                    tree = {"lang": name, "head": word, "rests": SPLIT.join([x for x, _ in part]), "counts": [c for _, c in part]}
+                    parts.setdefault(zlib.crc32(f"{k} {name} {word}".encode()) % PARTS, []).append(tree)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(list(parts.values()), TREES)], names=["part", "trees"])
 
     def strings(self, rests: list[bytes]) -> list[str]:
         """Further words as text."""
@@ -201,12 +201,6 @@ class Task:
         return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()))
-    columns = list(zip(*rows)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "head", "share", "rests", "counts"])
-
-
 def lang_hashes(names: list[str]) -> np.ndarray:
     data = [x.encode() for x in names]
     ends = np.cumsum([len(x) for x in data], dtype=np.int64)
@@ -369,8 +363,9 @@ def words_of(docs: DataFrame) -> DataFrame:
 def runs_of(
     docs: DataFrame, shortest: int, longest: int, words: np.ndarray, pairs: np.ndarray | None = None, shares: dict[tuple[str, str], int] | None = None
 ) -> DataFrame:
-    """Sorted runs of phrases of two words or more: lang, head (the first word), share, rests
-    (the further words, parted by SPLIT) and counts. docs has lang and text."""
+    """Sorted runs of phrases of two words or more: part (the prefix partition) and trees, of
+    lang, head (the first word), rests (the further words, parted by SPLIT) and counts. docs
+    has lang and text."""
     tables = shipped(docs.sparkSession, (words, pairs, shares or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,16 +383,19 @@ def runs_of(
                     yield from task.spill(task.trie.largest(MOST // 2), shares)
         yield from task.spill(list(task.trie.root), shares)
 
-    return docs.mapInArrow(run, "lang string, head string, share int, rests string, counts array<long>")
+    return docs.mapInArrow(run, "part int, trees array<struct<lang: string, head: string, rests: string, counts: array<long>>>")
 
 
 def merged(runs: DataFrame, least: int) -> DataFrame:
     """lang, phrase and a of the phrases that the runs hold at least so often. Runs are dealt
-    by language, first word and share, and merged there."""
-    runs = runs.repartition("lang", "head", "share")
-    each = runs.select("lang", "head", "share", F.explode(F.arrays_zip(F.split("rests", SPLIT).alias("rest"), F.col("counts").alias("n"))).alias("x"))
-    counts = each.groupBy("lang", "head", "share", F.col("x.rest").alias("rest")).agg(F.sum("x.n").alias("a")).filter(F.col("a") >= least)
-    return counts.select("lang", F.concat_ws(" ", "head", "rest").alias("phrase"), "a")
+    by prefix partition and merged there."""
+    entry = lambda t: F.arrays_zip(
+        F.transform(F.split(t["rests"], SPLIT), lambda x: F.struct(t["lang"].alias("lang"), F.concat(t["head"], F.lit(" "), x).alias("phrase"))).alias("key"),
+        t["counts"].alias("n"),
+    )
+    each = runs.repartition("part").select("part", F.explode(F.flatten(F.transform("trees", entry))).alias("x"))
+    counts = each.groupBy("part", F.col("x.key.lang").alias("lang"), F.col("x.key.phrase").alias("phrase")).agg(F.sum("x.n").alias("a"))
+    return counts.filter(F.col("a") >= least).select("lang", "phrase", "a")
 
 
 def shares_of(single: DataFrame) -> dict[tuple[str, str], int]:

@@ -65,7 +65,7 @@ def test_against_brute_force(spark, least):
 def test_bursts_and_spills(spark, monkeypatch):
     """Tiny containers, tries and vocabularies give the same counts; so does a table of
     few bits, in which rare phrases look frequent."""
-    for name, value in {"BURST": 3, "MOST": 40, "MOST_WORDS": 9, "PIECE": 200, "BITS": 8, "HEADS": 30, "RUN": 20}.items():
+    for name, value in {"BURST": 3, "MOST": 40, "MOST_WORDS": 9, "PIECE": 200, "BITS": 8, "HEADS": 30, "PARTS": 7}.items():
         monkeypatch.setattr(C, name, value)
     check(spark, texts(5, 80), 3)
     check(spark, texts(6, 80), 3, top=4, longest=3)
