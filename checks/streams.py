@@ -19,6 +19,7 @@ from mailsieve.streaming.jobs import (
     first_seen,
     score_stream,
     sender_sessions,
+    sender_sessions_stream,
     windowed_verdicts,
 )
 
@@ -141,24 +142,93 @@ def _window_stream(spark, sf):
     return closed.select(F.unix_seconds("window_start").alias("window_start"), "verdict", "emails")
 
 
-@query("first_seen", f"{ctes('emails')} SELECT DISTINCT sha256(text) AS text_hash FROM emails")
+# First copies by slices of a day, none in the 3 slices before.
+FIRST_SEEN = """d AS (SELECT sha256(payload) AS text_hash, event_id, epoch_us(ts) AS us, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slice
+    FROM (SELECT *, event_type || ':' || CAST(user_id % 7 AS VARCHAR) AS payload FROM events)),
+  f AS (SELECT text_hash, slice, min(us) AS us FROM d GROUP BY ALL),
+  e AS (SELECT f.*, (SELECT min(event_id) FROM d WHERE d.text_hash = f.text_hash AND d.us = f.us) AS event_id,
+    slice - lag(slice) OVER (PARTITION BY f.text_hash ORDER BY slice) AS gap FROM f)"""
+
+
+def messages(spark, sf) -> DataFrame:
+    """Events as short messages, of which many are equal."""
+    rows = load_table(spark, sf, "events").select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 7).cast("string")).alias("text"))
+    return events(spark, sf).join(rows, "event_id")
+
+
+@query("first_seen", f"{ctes('emails')} SELECT sha256(text) AS text_hash, min(email_id) AS email_id FROM emails GROUP BY ALL")
 def _first(spark, sf):
-    """Which row of a text comes first depends on arrival; that one of each comes does not."""
-    unique = first_seen(as_stream(emails(spark, sf), "first"), "1000 days")
-    return drained(unique.select("text_hash"), "seen")
+    """The first copy of each mail; all of them come at one time, so the smallest id is first."""
+    mails = emails(spark, sf).withColumn("received_at", F.lit(AS_OF).cast("timestamp"))
+    return first_seen(mails).select("text_hash", "email_id")
+
+
+@query("first_seen_slices", f"WITH {FIRST_SEEN} SELECT text_hash, event_id, us AS first_us FROM e WHERE gap IS NULL OR gap > 3")
+def _first_slices(spark, sf):
+    kept = first_seen(messages(spark, sf), "1 day", 3, key="event_id")
+    return kept.select("text_hash", "event_id", F.unix_micros("received_at").alias("first_us"))
 
 
 @query(
-    "sender_sessions",
-    """SELECT user_id, count(*) AS emails, CAST(round(epoch(min(ts)) * 1000000) AS BIGINT) AS session_start, CAST(round(epoch(max(ts)) * 1000000) AS BIGINT) + 1800000000 AS session_end
-    FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no
-      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, no""",
+    "first_seen_stream",
+    f"""WITH {FIRST_SEEN} SELECT text_hash, event_id, us AS first_us FROM e WHERE (gap IS NULL OR gap > 3)
+    AND (slice + 1) * 86400000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""",
 )
+def _first_stream(spark, sf):
+    """Slices closed by the watermark when the input ends."""
+    kept = drained(first_seen(as_stream(messages(spark, sf), "messages"), "1 day", 3, key="event_id"), "first")
+    return kept.select("text_hash", "event_id", F.unix_micros("received_at").alias("first_us"))
+
+
+# Sessions by the time to the event before.
+SESSIONS = """s AS (SELECT user_id, count(*) AS emails, CAST(round(epoch(min(ts)) * 1000000) AS BIGINT) AS session_start, CAST(round(epoch(max(ts)) * 1000000) AS BIGINT) + 1800000000 AS session_end
+    FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM e)) GROUP BY user_id, no)"""
+# Half of the events go to one sender.
+HOT = "e AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS user_id FROM events)"
+
+
+@query("sender_sessions", f"WITH e AS (SELECT * FROM events), {SESSIONS} SELECT * FROM s")
 def _sessions(spark, sf):
     out = sender_sessions(events(spark, sf), "user_id", "30 minutes")
     return out.withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
 
 
+def hot_sender(spark, sf) -> DataFrame:
+    who = F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id"))
+    return events(spark, sf).withColumn("user_id", who.cast("long"))
+
+
+@query("sender_sessions_hot", f"WITH {HOT}, {SESSIONS} SELECT * FROM s")
+def _sessions_hot(spark, sf):
+    """One sender holds half of the events."""
+    out = sender_sessions(hot_sender(spark, sf), "user_id", "30 minutes")
+    return out.withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
+
+
+@query(
+    "sender_sessions_stream",
+    f"""WITH {HOT}, {SESSIONS} SELECT * FROM s
+    WHERE (session_end + 999) // 1000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
+)
+def _sessions_stream(spark, sf):
+    """Sessions closed by the watermark when the input ends."""
+    out = drained(sender_sessions_stream(as_stream(hot_sender(spark, sf), "sessions"), "user_id", "30 minutes"), "sessions")
+    return out.withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
+
+
+@query(
+    "windowed_verdicts_sliding_stream",
+    """SELECT s AS window_start, event_type AS verdict, count(*) AS emails FROM
+    (SELECT event_type, unnest([(CAST(floor(epoch(ts) / 1200) AS BIGINT) - k) * 1200 FOR k IN range(3)]) AS s FROM events)
+    WHERE s + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events) GROUP BY ALL""",
+)
+def _sliding_stream(spark, sf):
+    """Sliding windows closed by the watermark when the input ends."""
+    counted = windowed_verdicts(as_stream(events(spark, sf), "events"), "1 hour", "20 minutes", verdict="event_type")
+    return drained(counted, "sliding").select(F.unix_seconds("window_start").alias("window_start"), "verdict", "emails")
+
+
 @query("stream_equals_batch", "SELECT 0 AS differing")
 def _same(spark, sf):
     """Rows in which the micro-batch run and the batch plan differ."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailsieve.operators.scoring import RuleScorer
 from mailsieve.plans.deep_analysis import Evidence, deep_analyze, mail_layers
@@ -88,37 +91,164 @@ def windowed_verdicts(
 
 
 def first_seen(
-    stream: DataFrame, watermark: str = "1 hour", at: str = "received_at", key: str = "email_id",
-    salts: int = 64,
+    stream: DataFrame, slice: str = "1 day", remember: int = 30, watermark: str = "1 hour",
+    at: str = "received_at", key: str = "email_id", text: str = "text",
 ) -> DataFrame:
-    """First arrival of each text within the watermark.
+    """text_hash, key and at of the first copy of each text; batch or stream.
+
+    Time is cut into slices. The earliest copy of a slice (ties go to the smallest key) is a
+    first one if the text was in none of the remember slices before. Only digests, keys and
+    times travel: copies combine before the shuffle, so a text sent to everyone is one row a
+    task and slice. A stream holds the first copy per text and open slice and one number per
+    text, which a timer drops once the text has been absent for so long; slices close with
+    the watermark, and rows behind it drop. A NULL text counts as an empty one, a row without
+    a time is left out.
+    """
+    width = _micros(slice)
+    rows = stream.filter(F.col(at).isNotNull()).select(
+        F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_hash"), F.floor(F.unix_micros(at) / F.lit(width)).cast("long").alias("slice"),
+        F.unix_micros(at).alias("us"), F.col(key).alias("key"),
+    )
+    if stream.isStreaming:
+        return _first_seen_stream(rows, width, remember, watermark, at, key)
+    found = rows.groupBy("text_hash", "slice").agg(F.min(F.struct("us", "key")).alias("first"))
+    before = F.lag("slice").over(Window.partitionBy("text_hash").orderBy("slice"))
+    kept = found.withColumn("gap", F.col("slice") - before).filter(F.col("gap").isNull() | (F.col("gap") > remember))
+    return kept.select("text_hash", F.col("first.key").alias(key), F.timestamp_micros("first.us").alias(at))
+
+
+def _first_seen_stream(rows: DataFrame, width: int, remember: int, watermark: str, at: str, key: str) -> DataFrame:
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([("us", "ascending"), ("key", "ascending")])
+            first = table.group_by(["text_hash", "slice"], use_threads=False).aggregate([("us", "first"), ("key", "first")])
+            yield from first.rename_columns({"us_first": "us", "key_first": "key"}).select(["text_hash", "slice", "us", "key"]).to_batches()
+
+    def step(hashed: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, open_slices = None, {}
+        if state.exists:
+            last, *held = state.get
+            open_slices = {s: (us, k) for s, us, k in zip(*map(list, held))}
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if row.slice not in open_slices or (row.us, row.key) < open_slices[row.slice]:
+                    open_slices[row.slice] = (row.us, row.key)
+        now, out = state.getCurrentWatermarkMs(), []
+        for s in sorted(s for s in open_slices if (s + 1) * width // 1000 < now):
+            us, k = open_slices.pop(s)
+            if last is None or s - last > remember:
+                out.append((hashed[0], k, us))
+            last = s if last is None else max(s, last)
+        # The next slice to close, or the end of the last one in which a copy would be a later one.
+        wake = (min(open_slices) + 1 if open_slices else last + remember + 1) * width // 1000
+        if not open_slices and wake < now:
+            state.remove()
+        else:
+            slices = sorted(open_slices)
+            state.update((last, slices, [open_slices[s][0] for s in slices], [open_slices[s][1] for s in slices]))
+            state.setTimeoutTimestamp(max(wake, now + 1))
+        yield pd.DataFrame(out, columns=["text_hash", key, at])
+
+    # withWatermark needs a time; a combined row has the time of its first copy.
+    cells = rows.mapInArrow(combine, f"text_hash string, slice long, us long, key {kind}").withColumn("at", F.timestamp_micros("us"))
+    found = cells.withWatermark("at", watermark).groupBy("text_hash").applyInPandasWithState(
+        step, f"text_hash string, {key} {kind}, {at} long", f"last long, slices array<long>, firsts array<long>, keys array<{kind}>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.withColumn(at, F.timestamp_micros(at))
+
+
+def _micros(duration: str) -> int:
+    """Microseconds of a duration of days or shorter units, as in '30 minutes'."""
+    n, unit = duration.split()
+    return int(n) * {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}[unit.rstrip("s")]
+
+
+def _cells(events: DataFrame, sender: str, gap: int, at: str) -> DataFrame:
+    """sender, cell, lo, hi and n: events within one stretch of the gap's length are less than
+    the gap apart, so they are always of one session and combine before the shuffle."""
+    micros = F.unix_micros(at)
+    rows = events.select(F.col(sender).alias("sender"), micros.alias("at"), F.floor(micros / F.lit(gap)).cast("long").alias("cell"))
+    return rows.filter("at IS NOT NULL").groupBy("sender", "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def _islands(rows: DataFrame, gap: int, *keys: str) -> DataFrame:
+    """Adds island: the number of the session among the rows of the keys, by time."""
+    order = Window.partitionBy(*keys).orderBy("lo")
+    apart = F.coalesce(F.col("lo") - F.lag("hi").over(order) > gap, F.lit(True))
+    return rows.withColumn("apart", apart).withColumn("island", F.sum(F.col("apart").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
 
-    Copies are dropped per salt before they are dropped per text, so a text sent to
-    everyone is spread over many tasks and reaches the last one at most once per salt.
+SLICE = 64
+
+
+def sender_sessions(events: DataFrame, sender: str, gap: str, at: str = "received_at") -> DataFrame:
+    """Bursts of activity per sender, closed after a gap: sender, session_start, session_end
+    (the last event plus the gap) and emails.
+
+    Events meet in cells of the gap's length before the shuffle, cells in slices of SLICE
+    cells, each a group of its own, and only sessions that touch a slice's edge are looked
+    at per sender: two rows a slice at most. So one sender's events are spread over as many
+    tasks as there are slices. A NULL sender is one more sender, a NULL time no event.
     """
-    hashed = stream.withColumns(
-        {"text_hash": F.sha2("text", 256), "_salt": F.pmod(F.xxhash64(key), F.lit(salts))}
-    ).withWatermark(at, watermark)
-    spread = hashed.dropDuplicatesWithinWatermark(["text_hash", "_salt"])
-    return spread.dropDuplicatesWithinWatermark(["text_hash"]).drop("_salt")
+    width = _micros(gap)
+    cells = _cells(events, sender, width, at).withColumn("slice", F.floor(F.col("cell") / SLICE))
+    parts = _islands(cells, width, "sender", "slice").groupBy("sender", "slice", "island").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.min("cell").alias("first"), F.max("cell").alias("last")
+    )
+    edge = (F.col("first") == F.col("slice") * SLICE) | (F.col("last") == F.col("slice") * SLICE + (SLICE - 1))
+    inner = parts.filter(~edge).select("sender", "lo", "hi", "n")
+    joined = _islands(parts.filter(edge).select("sender", "lo", "hi", "n"), width, "sender").groupBy("sender", "island")
+    whole = inner.unionAll(joined.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("island"))
+    return whole.select(
+        F.col("sender").alias(sender), F.timestamp_micros("lo").alias("session_start"),
+        F.timestamp_micros(F.col("hi") + width).alias("session_end"), F.col("n").alias("emails"),
+    )
 
 
-def sender_sessions(
+def sender_sessions_stream(
     events: DataFrame, sender: str, gap: str, watermark: str = "10 minutes", at: str = "received_at"
 ) -> DataFrame:
-    """Bursts of activity per sender, closed after a gap.
+    """sender_sessions of a stream; a session is given out once no event can join it.
 
-    The session settings merge the sessions of a task before the shuffle, so a busy
-    sender sends sessions, not single rows.
+    Events meet in cells before the shuffle, so a busy sender sends a row per task and cell.
+    Each sender keeps its open sessions: those that end after the watermark, so their number
+    is bounded by its delay. A timer gives them out. Rows without a time are left out.
     """
-    return (
-        events.withWatermark(at, watermark)
-        .groupBy(F.session_window(at, gap).alias("s"), F.col(sender))
-        .agg(F.count(F.lit(1)).alias("emails"))
-        .select(
-            sender,
-            F.col("s.start").alias("session_start"),
-            F.col("s.end").alias("session_end"),
-            "emails",
-        )
+    width = _micros(gap)
+    micros = F.unix_micros(at)
+    rows = events.filter(F.col(at).isNotNull()).select(F.col(sender).alias("sender"), F.floor(micros / F.lit(width)).cast("long").alias("cell"), micros.alias("us"))
+    kind = rows.schema["sender"].dataType.simpleString()
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = pa.Table.from_batches([batch]).group_by(["sender", "cell"]).aggregate([("us", "min"), ("us", "max"), ("us", "count")])
+            yield from cells.select(["sender", "us_min", "us_max", "us_count"]).rename_columns(["sender", "lo", "hi", "n"]).to_batches()
+
+    def step(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [list(x) for x in zip(*state.get)] if state.exists else []
+        for frame in frames:
+            parts += frame[["lo", "hi", "n"]].to_numpy().tolist()
+        sessions: list[list[int]] = []
+        for lo, hi, n in sorted(parts):
+            if sessions and lo - sessions[-1][1] <= width:
+                sessions[-1][1] = max(sessions[-1][1], hi)
+                sessions[-1][2] += n
+            else:
+                sessions.append([lo, hi, n])
+        now, ends = state.getCurrentWatermarkMs(), [-(-(hi + width) // 1000) for _, hi, _ in sessions]
+        done = [x for x, end in zip(sessions, ends) if end < now]
+        left = [x for x, end in zip(sessions, ends) if end >= now]
+        if left:
+            state.update(tuple(map(list, zip(*left))))
+            state.setTimeoutTimestamp(max(now + 1, min(end for end in ends if end >= now)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(who[0], lo, hi + width, n) for lo, hi, n in done], columns=[sender, "session_start", "session_end", "emails"])
+
+    cells = rows.mapInArrow(combine, f"sender {kind}, lo long, hi long, n long").withColumn("at", F.timestamp_micros("hi"))
+    out = cells.withWatermark("at", watermark).groupBy("sender").applyInPandasWithState(
+        step, f"{sender} {kind}, session_start long, session_end long, emails long", "los array<long>, his array<long>, ns array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("session_start", "session_end")})
