@@ -11,15 +11,19 @@ from checks.curation import emails
 from checks.duck import ctes, round_even
 from checks.mail import SCORED_HEADERS, SCORED_SENDERS, authored
 from checks.verdicts import LAYER_CTES, SCORES, evidence, verdict_sql
-from mailsieve.plans.deep_analysis import deep_analyze
+from checks.urls import EMAIL_URLS, PARSED, scored_urls
+from mailsieve.plans.deep_analysis import Evidence, deep_analyze
+from mailsieve.plans.facts import KEYS, FactStore
 from mailsieve.session import shared_dir
 from mailsieve.sources.derived import AS_OF, load_table
 from mailsieve.streaming.jobs import (
     deep_score_batches,
     first_seen,
+    late_url_scores,
     score_stream,
     sender_sessions,
     sender_sessions_stream,
+    timed_urls,
     windowed_verdicts,
 )
 
@@ -107,6 +111,59 @@ def _deep_batches(spark, sf):
     return spark.read.parquet(out).drop("batch")
 
 
+def stored(spark, sf) -> FactStore:
+    """All evidence in a fact store, added in two batches of which the second comes twice."""
+    store = FactStore(folder(spark, "facts"), 16)
+    tables = evidence(spark, sf)
+    for number in (0, 1, 1):
+        part = {n: getattr(tables, n).filter(F.col("page_id") % 2 == number) for n in KEYS}
+        store.add(Evidence(**{n: t.drop("page_id") if n != "pages" else t for n, t in part.items()}), number)
+    return store
+
+
+@query("deep_score_facts", ORACLE["deep_score_batches"])
+def _deep_facts(spark, sf):
+    """Micro-batches that read the facts on their own URLs; equal to the batch plan."""
+    out, store = folder(spark, "facts-out"), stored(spark, sf)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.select("email_id", "overall_verdict", "overall_risk_score").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    deep_score_batches(as_stream(emails(spark, sf), "deep"), sink, folder(spark, "facts-state"), store, as_of=AS_OF).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+# Vendor counts that come in some time after a mail with the URL.
+LATE_SQL = """seen AS (SELECT CASE page_id % 10 WHEN 0 THEN 'http://paypal-secure.xyz/login' ELSE url END AS url, page_id * 7 % 12 AS malicious, page_id % 3 AS suspicious,
+    60 - page_id % 12 AS harmless, 1767225600 - page_id * 244 + page_id % 4 * 1800 AS observed FROM pages)"""
+LATE_CTES = f"""{ctes("emails")}, {PARSED}, {EMAIL_URLS}, {LATE_SQL},
+  m AS (SELECT u.*, e.received_epoch AS received FROM email_urls u JOIN emails e USING (email_id)),
+  j AS (SELECT m.email_id, m.pos, m.url, m.received, s.observed, NULL::BIGINT AS age, NULL::BOOLEAN AS ssl_valid, NULL::BIGINT AS days_left, s.malicious, s.suspicious
+    FROM m LEFT JOIN seen s ON m.url = s.url AND s.observed BETWEEN m.received AND m.received + 3600)"""
+LATE = f"SELECT email_id, pos, observed, risk_score, is_suspicious FROM {scored_urls('SELECT * FROM j')}"
+
+
+def late_reputation(spark, sf) -> DataFrame:
+    found = spark.sql(f"WITH {LATE_SQL.replace('FROM pages', 'FROM {pages}')} SELECT * FROM seen", pages=load_table(spark, sf, "pages"))
+    return found.withColumn("observed_at", F.timestamp_seconds("observed")).drop("observed")
+
+
+def late_rows(scored: DataFrame) -> DataFrame:
+    return scored.select("email_id", F.col("pos").cast("long").alias("pos"), F.unix_seconds("observed_at").alias("observed"), "risk_score", "is_suspicious")
+
+
+@query("late_url_scores", f"{LATE_CTES} {LATE}")
+def _late(spark, sf):
+    return late_rows(late_url_scores(timed_urls(emails(spark, sf)), late_reputation(spark, sf)))
+
+
+@query("late_url_scores_stream", f"{LATE_CTES} {LATE} WHERE observed IS NOT NULL OR received < (SELECT least(max(received), (SELECT max(observed) FROM seen)) FROM m) - 600 - 3600")
+def _late_stream(spark, sf):
+    """Two streams; mails without an observation come out once none can come any more."""
+    urls = timed_urls(as_stream(emails(spark, sf), "mails"))
+    return late_rows(drained(late_url_scores(urls, as_stream(late_reputation(spark, sf), "seen")), "late"))
+
+
 _MINUTE = "CAST(floor(epoch(ts) / 60) AS BIGINT)"
 
 

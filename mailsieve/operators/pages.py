@@ -291,18 +291,26 @@ def crawl_points() -> Column:
 def page_facts(pages: DataFrame, as_of: str, max_flags: int | None = None) -> DataFrame:
     """One scored row per URL from stored page observations, newest first.
 
-    visual_flags holds all flags of the page, or the first max_flags.
-
-    The HTML is reduced to features before the shuffle by URL.
+    visual_flags holds all flags of the page, or the first max_flags. The HTML is reduced to
+    features before the shuffle by URL; pages that are page_rows already stay as they are.
     """
+    if "visual_risk" in pages.columns:
+        shown = leading(F.col("visual_flags"), max_flags).alias("visual_flags")
+        compact = pages.select(*[shown if c == "visual_flags" else c for c in pages.columns])
+    else:
+        compact = page_rows(pages, max_flags)
+    return latest(compact, "url", as_of)
+
+
+def page_rows(pages: DataFrame, max_flags: int | None = None) -> DataFrame:
+    """Stored pages as compact scored rows, without their HTML. Narrow."""
     scored = score_pages(page_features(pages)).withColumn("crawl_points", crawl_points())
-    compact = scored.select(
+    return scored.select(
         "url", "observed_at", *(["page_id"] if "page_id" in pages.columns else []),
         "error", "has_password_field", "has_login_form", "crawl_points",
         F.col("risk_score").alias("visual_risk"), "is_fake_login", "impersonated_brand",
         leading(F.col("flags"), max_flags).alias("visual_flags"),
     )
-    return latest(compact, "url", as_of)
 
 
 def rollup_pages(

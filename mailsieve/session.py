@@ -57,8 +57,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a check of the row count; beyond it the join shuffles."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint behind a check of rows and of the bytes of their strings; beyond either
+    the join shuffles."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    held = sum(wide, F.lit(16 * len(df.columns))).cast("long").alias("held")
+    rows, held_bytes = df.limit(max_rows + 1).select(held).agg(F.count(F.lit(1)), F.coalesce(F.sum("held"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held_bytes <= max_bytes else df

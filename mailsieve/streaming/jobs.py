@@ -12,9 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailsieve.operators.scoring import RuleScorer
-from mailsieve.plans.deep_analysis import Evidence, deep_analyze, mail_layers
+from mailsieve.operators.urls import score_urls
 from mailsieve.operators.verdicts import aggregate_risk
+from mailsieve.plans.deep_analysis import Evidence, deep_analyze, mail_layers, url_rows
+from mailsieve.plans.facts import FactStore, keys_of
 from mailsieve.rules.verdicts import LAYER_WEIGHTS
+from mailsieve.session import written
 
 
 def score_stream(stream: DataFrame, scorer=None, as_of: str = "") -> DataFrame:
@@ -49,25 +52,63 @@ def deep_score_batches(
     stream: DataFrame,
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
-    evidence: Evidence | None = None,
+    evidence: Evidence | FactStore | None = None,
     scorer=None,
     as_of: str = "",
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """All layers per micro-batch, for the layers that join and group.
 
+    With a FactStore a micro-batch reads the evidence on its own URLs and domains only, as
+    far as it has been added by then; with tables it looks through all of them.
+
     sink gets the rows and the number of the batch; a batch that is tried again has the
     same number, so a sink that writes under it never doubles rows. trigger holds the
     arguments of DataStreamWriter.trigger; by default what is there is read once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(deep_analyze(batch, evidence, scorer, as_of), number)
+        found = evidence
+        if isinstance(evidence, FactStore):
+            keys = written(keys_of(url_rows(batch)), "batch-keys")
+            found = evidence.evidence(batch.sparkSession, keys)
+        sink(deep_analyze(batch, found, scorer, as_of), number)
 
     writer = stream.writeStream.foreachBatch(run).trigger(**(trigger or {"availableNow": True}))
     return writer.option("checkpointLocation", checkpoint).start()
 
 
+def timed_urls(emails: DataFrame) -> DataFrame:
+    """email_id, received_at, pos and url: one row per URL. Narrow, batch or stream."""
+    keyed = emails.withColumn("email_id", F.struct("email_id", "received_at"))
+    return url_rows(keyed).select("email_id.email_id", "email_id.received_at", "pos", "url")
+
+
+def late_url_scores(
+    urls: DataFrame, reputation: DataFrame, within: str = "1 hour", watermark: str = "10 minutes", strict_brands: bool = False
+) -> DataFrame:
+    """Scores of URLs with the vendor counts that come in after the mail.
+
+    urls has email_id, received_at, pos and url, reputation has url, observed_at, malicious,
+    suspicious and harmless; both tables or both streams. A row per observation of the URL
+    from received_at until within, or one row with NULL counts if none came. A stream keeps
+    a mail until the watermark has passed its time, and an observation as long as a mail it
+    belongs to can still come; rows behind the watermark drop. NULL URLs meet nothing.
+    """
+    mails = urls.withColumnRenamed("url", "mail_url").withWatermark("received_at", watermark)
+    seen = reputation.select(
+        F.col("url").alias("seen_url"), "observed_at", F.col("malicious").alias("vt_malicious"), F.col("suspicious").alias("vt_suspicious"), F.col("harmless").alias("vt_harmless")
+    ).withWatermark("observed_at", watermark)
+    near = (
+        (F.col("mail_url") == F.col("seen_url"))
+        & (F.col("observed_at") >= F.col("received_at"))
+        & (F.col("observed_at") <= F.col("received_at") + F.expr(f"INTERVAL {within}"))
+    )
+    rows = mails.join(seen, near, "left").withColumnRenamed("mail_url", "url").drop("seen_url")
+    scored = score_urls(rows, strict_brands)
+    return scored.select("email_id", "received_at", "pos", "url", "observed_at", "vt_malicious", "vt_suspicious", "domain", "risk_score", "is_suspicious", "flags")
+
+
 def windowed_verdicts(
     scored: DataFrame, window: str, slide: str | None = None, watermark: str = "10 minutes",
     at: str = "received_at", verdict: str = "overall_verdict",

@@ -8,7 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.streams import folder
-from mailsieve.streaming.jobs import first_seen, sender_sessions, sender_sessions_stream
+from mailsieve.operators.urls import domain_facts
+from mailsieve.plans.deep_analysis import Evidence
+from mailsieve.plans.facts import FactStore, keys_of
+from mailsieve.session import small_side
+from mailsieve.streaming.jobs import first_seen, late_url_scores, sender_sessions, sender_sessions_stream
 
 ZERO = dt.datetime(2026, 1, 1)
 
@@ -95,3 +99,41 @@ def test_first_seen_keeps_the_earliest_of_late_copies(spark):
     batches = [[(1, "x", at(50)), (2, None, at(5))], [(3, "x", at(20)), (4, "", at(1))], [(9, "end", at(9000))]]
     got, _ = run(first_seen(arriving(spark, batches, schema), "1 day", 2, watermark="2 hours"))
     assert {r.email_id for r in got} == {3, 4}
+
+
+def test_late_evidence_changes_the_score(spark):
+    """An observation two batches after the mail counts; one beyond the hour does not."""
+    mails = [[(1, at(0), 0, "https://plain.example.org/a"), (2, at(1), 0, "https://plain.example.org/b")], [(3, at(30), 0, None)], [(9, at(5000), 0, "x")]]
+    seen = [[("https://plain.example.org/b", at(-1), 9, 0, 1)], [("https://plain.example.org/a", at(40), 6, 1, 1)], [("https://plain.example.org/b", at(62), 9, 0, 1), ("y", at(5000), 0, 0, 1)]]
+    kinds = "email_id int, received_at timestamp, pos int, url string", "url string, observed_at timestamp, malicious long, suspicious long, harmless long"
+    got, states = run(late_url_scores(arriving(spark, mails, kinds[0]), arriving(spark, seen, kinds[1]), "1 hour", "2 hours"))
+    rows = {r.email_id: r for r in got}
+    assert rows.keys() == {1, 2, 3} and len(got) == 3
+    assert rows[1].is_suspicious and rows[1].risk_score == 0.3 and rows[1].vt_malicious == 6
+    assert rows[2].observed_at is None and rows[2].risk_score == 0.0 and rows[3].vt_malicious is None
+    batch = late_url_scores(*[spark.createDataFrame([r for b in x for r in b], k) for x, k in zip((mails, seen), kinds)])
+    assert sorted(map(str, got)) == sorted(str(r) for r in batch.filter("email_id <> 9").collect())
+
+
+def test_fact_store_reads_the_keys_only(spark):
+    store = FactStore(folder(spark, "facts"), 8)
+    old = [(f"d{i}.org", at(0), at(-9000), f"r{i}") for i in range(200)]
+    new = [(f"d{i}.org", at(10), at(-100), "moved") for i in range(0, 200, 2)] + [(None, at(0), at(0), "nobody")]
+    kinds = "domain string, observed_at timestamp, creation_at timestamp, registrar string"
+    for number, rows in ((0, old), (1, new), (1, new)):
+        store.add(Evidence(registry=spark.createDataFrame(rows, kinds)), number)
+    keys = keys_of(spark.createDataFrame([("https://d4.org/x",), ("http://d5.org",), ("http://unknown.org",), (None,)], "url string"))
+    found = store.evidence(spark, keys)
+    assert found.tls is None and found.pages is None and found.registry.columns == kinds.replace(",", "").split(" ")[::2]
+    assert sorted((r.domain, r.registrar) for r in found.registry.collect()) == [("d4.org", "moved"), ("d4.org", "r4"), ("d5.org", "r5")]
+    plan = found.registry._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "Broadcast" in plan
+    facts = {r.domain: (r.domain_age_days, r.registrar) for r in domain_facts(found.registry, None, "2026-01-02T00:00:00Z").collect()}
+    assert facts == {"d4.org": (1, "moved"), "d5.org": (7, "r5")}
+    assert FactStore(folder(spark, "nothing")).evidence(spark, keys) == Evidence()
+
+
+def test_small_side_counts_bytes(spark):
+    few = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("s"))
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(small_side(few)) and not hint(small_side(few, max_bytes=50_000)) and not hint(small_side(few, max_rows=99))
