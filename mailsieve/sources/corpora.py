@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mailsieve.functions.text import concat_text, strip
 from mailsieve.operators.curation import by_label, clean, min_length, resolve_text, tag
@@ -24,9 +29,90 @@ CORPORA = {
 }
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header and quoted fields that may span lines; all columns are strings."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """CSV with header, whose quoted fields may span lines, read in many tasks.
+
+    A line ends a record if the quotes up to it are even. One pass counts the quotes of each
+    byte range; their running parity says in which state each range begins, so the second
+    pass parses all ranges at once. Records that lie across ranges come in pieces, at most
+    two a range, and are put together by file. Quotes inside fields are doubled; a quote
+    within an unquoted field is not allowed. Blank lines are skipped, a carriage return at
+    a record's end goes.
+
+    Each file's first record must be the header of the first file, else the job fails.
+    Without a schema all columns are strings; a schema's fields must be in the header, and
+    only they are given, in its types (what does not parse is NULL).
+    """
+    names = spark.read.csv(path, header=True, quote='"', escape='"').columns
+    missing = [f.name for f in schema or [] if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(names)}")
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    parsed = lines.mapInArrow(_records(_states(lines), names), "file string, block long, kind int, record string")
+    # In order of place: the end of a record begun before, a range inside one record, a record's beginning.
+    parts = parsed.filter(F.col("kind") != WHOLE)
+    order = Window.partitionBy("file").orderBy("block", "kind")
+    numbered = parts.withColumn("no", F.sum((F.col("kind") == TAIL).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = F.sort_array(F.collect_list(F.struct("block", "kind", "record")))
+    joined = numbered.groupBy("file", "no").agg(F.array_join(F.transform(pieces, lambda x: x["record"]), "\n").alias("record"))
+    records = parsed.filter(F.col("kind") == WHOLE).select("record").unionAll(joined.select("record"))
+    plain = F.regexp_replace("record", "\r$", "")
+    fields = StructType([StructField(n, StringType()) for n in names])
+    rows = records.select(plain.alias("record")).filter(F.col("record") != "")
+    out = rows.select(F.from_csv("record", fields.toDDL(), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
+    return out if schema is None else out.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema])
+
+
+HEAD, INSIDE, TAIL, WHOLE = 0, 1, 2, 3
+
+
+def _states(lines: DataFrame) -> dict[tuple[str, int], bool]:
+    """Which byte ranges begin inside quotes; a file, a number and a flag per range."""
+    odd = F.sum(F.length("value") - F.length(F.translate("value", '"', ""))) % 2
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("file", "block").agg(odd.alias("odd"))
+    table = counts.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside")).toArrow()
+    return {(f, b): x for f, b, x in zip(*[table.column(c).to_pylist() for c in ("file", "block", "inside")])}
+
+
+def _records(states: dict[tuple[str, int], bool], names: list[str]):
+    """Records of each range of lines, as far as they lie in it, with their kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, inside, before, first = None, [], False, False, False
+
+        def rest():
+            return [(*place, INSIDE if before else TAIL, "\n".join(held))] if held else []
+
+        for batch in batches:
+            out = []
+            for line, file, block in zip(*[batch.column(c).to_pylist() for c in ("value", "file", "block")]):
+                if (file, block) != place:
+                    out += rest()
+                    place, held, inside, first = (file, block), [], states[file, block], block == 0
+                    before = inside
+                held.append(line)
+                if line.count('"') % 2:
+                    inside = not inside
+                if not inside:
+                    record = "\n".join(held)
+                    if first and next(csv.reader([record.rstrip("\r")]), []) != names:
+                        raise ValueError(f"{file} begins with {record[:200]!r}, not with the header {','.join(names)}")
+                    if not first:
+                        out.append((*place, HEAD if before else WHOLE, record))
+                    held, before, first = [], False, False
+            yield _fragments(out)
+        if place:
+            yield _fragments(rest())
+
+    def _fragments(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "block", "kind", "record"])
+
+    return run
 
 
 def read_or_empty(spark: SparkSession, read, schema: str = CORPUS_SCHEMA) -> DataFrame:
