@@ -12,6 +12,7 @@ from mailsieve.functions import text as T
 from mailsieve.operators import curation as C
 from mailsieve.operators.verdicts import composition
 from mailsieve.session import shared_dir, written
+from mailsieve.plans.corpus_build import build_corpus
 from mailsieve.sources import corpora, sinks
 from mailsieve.sources.derived import load_derived, load_table
 
@@ -193,6 +194,72 @@ def _read_corpus(spark, sf):
     return corpora.read_corpus(spark, path, "enron")
 
 
+@query("read_quoted_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents WHERE text <> ''")
+def _read_quoted(spark, sf):
+    """Documents with line feeds, through a file of quoted fields."""
+    path = f"{shared_dir(spark)}/quoted-csv-{uuid.uuid4().hex}"
+    docs = load_table(spark, sf, "documents").filter("text <> ''").select("doc_id", "text", "lang")
+    docs.coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"')
+    return corpora.read_csv(spark, path)
+
+
+def corpus_files(spark, sf) -> dict[str, str]:
+    """A file for each of the eight kinds of corpus, in its own columns."""
+    docs = load_table(spark, sf, "documents").filter("text IS NOT NULL")
+    turns = load_table(spark, sf, "conversations").filter("text IS NOT NULL")
+    part = lambda k: docs.filter(F.col("doc_id") % 6 == k)
+    mark = F.when(F.col("doc_id") % 18 < 9, "0").otherwise("1").alias("label")
+    subject = F.concat(F.lit("No "), (F.col("doc_id") % 50).cast("string")).alias("subject")
+    tables = {
+        "enron": part(0).select(subject, F.col("text").alias("body"), mark),
+        "spamassasin": docs.filter("doc_id % 6 < 2").select("text", mark),
+        "nazario": part(2).select(subject, F.col("text").alias("body")),
+        "nigerian_fraud": docs.filter("doc_id % 6 IN (2, 3)").select(F.col("text").alias("text_combined"), F.col("lang").alias("note")),
+        "phishing_email": part(4).select(F.col("text").alias("text_combined"), mark),
+        "human_phishing": part(5).select(subject, F.col("text").alias("body")),
+        "llm_legit": turns.filter("turn % 2 = 0").select("text"),
+        "llm_phishing": turns.filter("turn % 2 = 1").select("text"),
+    }
+    paths = {}
+    for kind, table in tables.items():
+        paths[kind] = f"{shared_dir(spark)}/{kind}-csv-{uuid.uuid4().hex}"
+        table.write.csv(paths[kind], header=True, quoteAll=True, escape='"')
+    return paths
+
+
+SMALL_QUOTAS = [("enron", 0, 12), ("spamassasin", 0, 9), ("nazario", 1, 14), ("nigerian_fraud", 1, 10), ("phishing_email", 1, 8), ("human", 1, 15), ("llm", 0, 20), ("llm", 1, 1000)]
+_MARK = "CASE WHEN doc_id % 18 < 9 THEN 0 ELSE 1 END"
+_WITH_SUBJECT = "'No ' || CAST(doc_id % 50 AS VARCHAR) || ' ' || text"
+_ONCE = f"SELECT * FROM (SELECT r, label, source, type, {CLEAN % 'text'} AS text FROM raw WHERE NOT prepared) WHERE length(text) > 50"
+CORPUS_BUILD = f"""WITH raw AS (
+  SELECT 0 AS r, 0 AS label, 'enron' AS source, 'legit' AS type, false AS prepared, {_WITH_SUBJECT} AS text FROM documents WHERE doc_id % 6 = 0
+  UNION ALL SELECT 1, 0, 'spamassasin', 'legit', false, text FROM documents WHERE doc_id % 6 < 2 AND {_MARK} = 0
+  UNION ALL SELECT 2, 1, 'nazario', 'phishing', false, {_WITH_SUBJECT} FROM documents WHERE doc_id % 6 = 2
+  UNION ALL SELECT 3, 1, 'nigerian_fraud', 'phishing', false, text FROM documents WHERE doc_id % 6 IN (2, 3)
+  UNION ALL SELECT 4, 1, 'phishing_email', 'phishing', false, text FROM documents WHERE doc_id % 6 = 4 AND {_MARK} = 1
+  UNION ALL SELECT 5, 1, 'human', 'phishing', true, {_WITH_SUBJECT} FROM documents WHERE doc_id % 6 = 5
+  UNION ALL SELECT 6, 0, 'llm', 'legit', true, text FROM conversations WHERE turn % 2 = 0
+  UNION ALL SELECT 7, 1, 'llm', 'phishing', true, text FROM conversations WHERE turn % 2 = 1),
+  once AS ({_ONCE} UNION ALL SELECT r, label, source, type, text FROM raw WHERE prepared AND text IS NOT NULL),
+  cleaned AS (SELECT r, label, source, type, {CLEAN % 'text'} AS text FROM once),
+  firsts AS (SELECT text, min(r) AS r FROM cleaned WHERE length(text) > 50 GROUP BY text),
+  one AS (SELECT DISTINCT c.* FROM cleaned c JOIN firsts f ON c.text = f.text AND c.r = f.r),
+  keyed AS (SELECT *, md5('42:' || sha256(r || '|' || source || '|' || label || '|' || text)) AS k FROM one),
+  quotas(source, label, quota) AS (VALUES {", ".join(f"('{s}', {y}, {n})" for s, y, n in SMALL_QUOTAS)}),
+  taken AS (SELECT * FROM (SELECT k.*, quota, row_number() OVER (PARTITION BY k.source, k.label ORDER BY k.k) AS rn
+    FROM keyed k JOIN quotas q ON k.source = q.source AND k.label = q.label) WHERE rn <= quota),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k) AS place, count(*) OVER (PARTITION BY label) AS n FROM taken)
+  SELECT text, CAST(label AS INTEGER) AS label, source, type AS email_type,
+    CASE WHEN place <= floor(0.8::DOUBLE * n) THEN 'train' WHEN place <= floor(0.9::DOUBLE * n) THEN 'validation' ELSE 'test' END AS split FROM placed"""
+
+
+@query("corpus_build", CORPUS_BUILD)
+def _corpus_build(spark, sf):
+    """All kinds read, cleaned, united, freed of copies, sampled by quota and split."""
+    quotas = spark.createDataFrame(SMALL_QUOTAS, "source string, label int, quota int")
+    return build_corpus(spark, corpus_files(spark, sf), quotas)
+
+
 @query(
     "read_missing_corpus",
     "SELECT 'documents' AS source, count(*) AS emails, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsieve.functions.text import NOT_SPACE, SPACE, clean_corpus, concat_text, strip
-from mailsieve.rules.verdicts import MIN_TEXT_LENGTH, QUOTAS
+from mailsieve.rules.verdicts import FIRST_QUOTAS, MIN_TEXT_LENGTH, QUOTAS
 from mailsieve.session import small_side, written
 
 # Leading hex digits of a hash key used as histogram bucket.
@@ -175,9 +175,10 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str, by: list[str] | None =
     return _up_to_quota(df.withColumn("quota", F.lit(n)), seed, key, by or ["source"])
 
 
-def quota_table(spark: SparkSession) -> DataFrame:
-    """Rows wanted per source and label."""
-    return spark.createDataFrame(QUOTAS, "source string, label int, quota int")
+def quota_table(spark: SparkSession, version: int = 2) -> DataFrame:
+    """Rows wanted per source and label, as of the second or the first version."""
+    rows = {1: FIRST_QUOTAS, 2: QUOTAS}[version]
+    return spark.createDataFrame(rows, "source string, label int, quota int")
 
 
 def sample_quota(

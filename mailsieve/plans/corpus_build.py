@@ -33,14 +33,15 @@ def build_corpus(
     """Corpus with text, label, source, email_type and split from files per corpus kind.
 
     Cleaning, the length filter and the removal of copies run on all rows; the quota per
-    source and label is applied once, on what is left. The cleaned corpus is written to
-    the shared folder, so the sampling and splitting passes read their key columns only.
+    source and label is applied once, on what is left. The first source keeps a text, and
+    one of its rows. The cleaned corpus is written to the shared folder with a number per
+    row, so copies are found by digests and numbers, and the sampling and splitting passes
+    read their key columns only: texts are in no aggregate, sort or broadcast.
     """
     frames = [read_corpus(spark, paths[kind], kind) for kind in CORPORA if kind in paths]
     master = min_length(clean(union_sources(frames)))
-    # Copies inside a source are equal in all that orders them; then the first source keeps a text.
-    once = master.dropDuplicates(["source_rank", "text"])
-    master = written(with_row_id(dedup_exact(once, ["source_rank", "text"])), "corpus")
+    master = written(with_row_id(master).withColumn("row_no", F.monotonically_increasing_id()), "corpus-all")
+    master = written(dedup_exact(master, ["source_rank", "row_no"]).drop("row_no"), "corpus")
     if quotas is None:
         quotas = quota_table(spark)
     sampled = sample_quota(master, quotas, seed, "row_id")

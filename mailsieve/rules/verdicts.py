@@ -33,4 +33,9 @@ QUOTAS = [
     ("nigerian_fraud", 1, 1000), ("phishing_email", 1, 1500), ("llm", 1, 1000),
     ("human", 1, 500),
 ]
+# Rows per source and label of the corpus's first version.
+FIRST_QUOTAS = [
+    ("enron", 0, 1500), ("spamassasin", 0, 500), ("llm", 0, 1000), ("nazario", 1, 500), ("nigerian_fraud", 1, 500),
+    ("phishing_email", 1, 500), ("llm", 1, 1000), ("human", 1, 1000),
+]
 MIN_TEXT_LENGTH = 50

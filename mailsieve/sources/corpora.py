@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from mailsieve.functions.text import concat_text, strip
 from mailsieve.operators.curation import by_label, clean, min_length, resolve_text, tag
@@ -29,6 +29,15 @@ CORPORA = {
 }
 
 
+SUBJECT_AND_BODY = ("enron", "human_phishing")
+TEXT_COLUMNS = ("subject", "body", "text", "text_combined")
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV, from its first line."""
+    return spark.read.csv(path, header=True, quote='"', escape='"').columns
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """CSV with header, whose quoted fields may span lines, read in many tasks.
 
@@ -43,7 +52,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     Without a schema all columns are strings; a schema's fields must be in the header, and
     only they are given, in its types (what does not parse is NULL).
     """
-    names = spark.read.csv(path, header=True, quote='"', escape='"').columns
+    names = header_of(spark, path)
     missing = [f.name for f in schema or [] if f.name not in names]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(names)}")
@@ -134,10 +143,16 @@ def read_corpus(spark: SparkSession, path: str, kind: str) -> DataFrame:
     rule = CORPORA[kind]
 
     def load() -> DataFrame:
-        df = read_csv(spark, path)
+        names = header_of(spark, path)
+        needed = ["subject", "body"] if kind in SUBJECT_AND_BODY else []
+        needed += ["label"] if "keep" in rule else []
+        found = [n for n in TEXT_COLUMNS if n in names or n in needed]
+        fields = [StructField(n, StringType()) for n in found]
+        fields += [StructField("label", IntegerType())] if "keep" in rule else []
+        df = read_csv(spark, path, StructType(fields) if fields else None)
         if "keep" in rule:
-            df = by_label(df.withColumn("label", F.col("label").cast("int")), rule["keep"])
-        if kind == "enron" or kind == "human_phishing":
+            df = by_label(df, rule["keep"])
+        if kind in SUBJECT_AND_BODY:
             df = df.withColumn("text", concat_text(F.col("subject"), F.col("body")))
         else:
             df = resolve_text(df)
