@@ -4,11 +4,16 @@ Every document draws an exponential key divided by its quality weight, so the sm
 keys of a source are a weighted sample of any length. A source first passes whole as often
 as its target allows (complete epochs); the rest of the budget is filled in key order.
 Prefix sums run over key buckets and then inside each bucket, so a source that holds most
-of the rows is spread over many tasks. Only ids, sizes and keys move.
+of the rows is spread over many tasks. Buckets are steps of the key's logarithm: whatever
+the weights, an exponential key falls into a step of width s with a probability of s/e at
+most, so the step that keeps BUCKET_ROWS rows to a bucket follows from the source's rows
+alone. Only ids, sizes and keys move.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ from mailsieve.llm.common import words_of
 from mailsieve.session import small_side, written
 
 MAX_EPOCHS = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def letter_share(text: Column) -> Column:
@@ -26,9 +31,11 @@ def letter_share(text: Column) -> Column:
     return F.greatest(F.lit(0.05), letters / F.greatest(n, F.lit(1)))
 
 
-def key_of(doc_id: Column, weight: Column, seed: int) -> Column:
-    """Exponential key: -ln(u) / weight with u in (0, 1] from the id's digest."""
-    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def key_of(doc_id: Column, weight: Column, seed: int, text: Column, source: Column) -> Column:
+    """Exponential key: -ln(u) / weight with u in (0, 1] from the id's digest, or that of
+    source and text where the id is NULL."""
+    row = F.concat(F.lit("row:"), F.coalesce(source.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), row)))
     u = (F.conv(F.substring(digits, 1, 13), 16, 10).cast("double") + 1) / float(16**13)
     return -F.log(u) / weight
 
@@ -75,7 +82,7 @@ def mix(
         docs[doc_id].alias("doc_id"),
         F.size(words_of(docs[text])).cast("long").alias("size"),
         docs[source].alias("source"),
-        key_of(docs[doc_id], weight, seed).alias("key"),
+        key_of(docs[doc_id], weight, seed, docs[text], docs[source]).alias("key"),
     )
     sized = written(sized, "mix-sizes").withColumn("part", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     sources = sized.groupBy("part").agg(
@@ -85,9 +92,9 @@ def mix(
     size = F.greatest(F.col("source_size"), F.lit(1))
     full = F.least(F.floor(F.col("target") / size), F.lit(MAX_EPOCHS)).cast("long")
     sources = sources.withColumn("full", full).withColumn("rest", F.col("target") - full * F.col("source_size"))
-    sources = sources.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
+    sources = sources.withColumn("steps", F.col("n") / F.lit(math.e * BUCKET_ROWS))
     rows = sized.join(small_side(sources.drop("source")), "part")
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
+    rows = rows.withColumn("bucket", F.floor(F.log(F.greatest("key", F.lit(1e-300))) * F.col("steps")))
     sums = rows.groupBy("part", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("before"))
@@ -112,16 +119,42 @@ def repeat(
 ) -> DataFrame:
     """The rows of docs as often as mix() takes them, all columns unchanged.
 
-    Rows equal in id, source and text are taken equally often as a group: copies go by
-    the largest number of any of them.
+    Rows equal in id, source and size are taken as often in all as mix() takes them
+    together: the copies that are over go to the first of them by partition and place.
     """
     taken = mix(docs.withColumn("_mix_weight", F.lit(1.0) if weight is None else weight), F.col("_mix_weight"), seed, doc_id, text, source)
-    taken = taken.filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    taken = taken.toDF("m_id", "m_source", "m_size", "copies")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("m"))
+    taken = written(taken.filter("copies > 0").toDF("m_id", "m_source", "m_size", "copies", "m"), "mix-copies")
     packed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row"), docs[doc_id].alias("_mix_id"),
         docs[source].alias("_mix_source"), F.size(words_of(docs[text])).cast("long").alias("_mix_size"),
     )
     same = F.col("_mix_id").eqNullSafe(F.col("m_id")) & F.col("_mix_source").eqNullSafe(F.col("m_source")) & (F.col("_mix_size") == F.col("m_size"))
-    rows = packed.join(taken, same).select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
-    return rows.select("_mix_row.*")
+    # One key of a source at most is cut by its budget; only its equal rows differ.
+    cut = taken.filter("copies % m <> 0")
+    extra = F.lit(0)
+    if cut.limit(1).count():
+        packed = written(packed.withColumn("_mix_no", F.monotonically_increasing_id()), "mix-rows")
+        packed = packed.join(small_side(_first_rows(packed, cut, same)), ["_mix_no"], "left")
+        extra = F.coalesce(F.col("_mix_extra"), F.lit(0))
+    times = (F.floor(F.col("copies") / F.col("m")) + extra).cast("int")
+    rows = packed.join(taken, same).withColumn("times", times).filter("times > 0")
+    return rows.select("_mix_row", F.explode(F.sequence(F.lit(1), "times")).alias("n")).select("_mix_row.*")
+
+
+def _first_rows(packed: DataFrame, cut: DataFrame, same: Column) -> DataFrame:
+    """_mix_no and _mix_extra (1) of the first copies % m rows of each key that is cut.
+
+    Rows are numbered inside their partition, and partitions by the rows before them, so
+    equal rows are spread over as many tasks as they came from.
+    """
+    key = ["m_id", "m_source", "m_size"]
+    part = F.shiftright("_mix_no", 33).alias("part")
+    rows = packed.select("_mix_id", "_mix_source", "_mix_size", "_mix_no", part).join(small_side(cut), same)
+    rows = rows.select("_mix_no", "part", F.md5(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key])).alias("key"), (F.col("copies") % F.col("m")).alias("over"))
+    sums = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("_mix_no"))
+    placed = rows.withColumn("place", place).join(sums, ["key", "part"])
+    return placed.filter(F.col("before") + F.col("place") <= F.col("over")).select("_mix_no", F.lit(1).alias("_mix_extra"))

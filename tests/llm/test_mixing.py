@@ -1,5 +1,6 @@
 """Targets against the reshare loop, and what the mix takes."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -78,3 +79,30 @@ def test_repeat_gives_rows_as_often_as_the_mix_takes_them(spark):
     df = corpus(spark, {"a": 500, "b": 60, "c": 70})
     want = M.mix(df).agg(F.sum("copies")).first()[0]
     assert M.repeat(df).count() == want
+
+
+def test_repeat_of_equal_rows(spark):
+    """100 equal rows of which the mix takes a part come out as that part, spread over partitions."""
+    rows = [(7, "w w w", "a", i % 3) for i in range(100)] + [(None, "x y", "a", 1)] * 30 + [(i + 100, "w " * 50, "b", 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note int").repartition(9)
+    want = {(r.doc_id, r.source): r.n for r in M.mix(df).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    got = {(r.doc_id, r.source): r.n for r in M.repeat(df).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {k: n for k, n in want.items() if n} and 0 < want[(7, "a")] and want[(7, "a")] % 100
+
+
+def test_rows_without_id_are_a_sample(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.col("id"), F.repeat(F.lit(" w"), (F.col("id") % 20).cast("int"))).alias("text"), F.when(F.col("id") < 2900, "a").otherwise("b").alias("source"))
+    out = M.mix(df).filter("source = 'a'")
+    sizes = {r.copies: r.s for r in out.groupBy("copies").agg(F.avg("size").alias("s")).collect()}
+    assert len(sizes) == 2 and max(sizes.values()) - min(sizes.values()) < 1.5
+
+
+def test_buckets_are_bounded_for_any_weight(spark):
+    """No bucket holds far more rows than it should, whatever the weights are."""
+    n = 100_000
+    ids = spark.range(n)
+    weights = {"small": F.lit(0.05), "one": F.lit(1.0), "large": F.lit(50.0), "mixed": F.when(F.col("id") % 3 == 0, 0.05).otherwise(F.when(F.col("id") % 3 == 1, 1.0).otherwise(50.0))}
+    for weight in weights.values():
+        key = M.key_of(F.col("id"), weight, 0, F.lit(""), F.lit("s"))
+        largest = ids.select(F.floor(F.log(key) * (n / (math.e * M.BUCKET_ROWS))).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+        assert largest < 1.15 * M.BUCKET_ROWS
