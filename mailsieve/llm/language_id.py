@@ -15,12 +15,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.common import shipped
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# A word: letters and the marks on them, with a letter at least; one rule for learning
+# (Java) and prediction.
+WORD = r"\p{M}*\p{L}[\p{L}\p{M}]*"
+WORDS, PLAIN_WORDS = regex.compile(WORD), re.compile("[a-z]+")
+
+
+def words_in(text: str) -> list[str]:
+    """Words of a lower-case text."""
+    return (PLAIN_WORDS if text.isascii() else WORDS).findall(text)
 UNKNOWN = "und"
 EDGE = "\x02"
 CACHE = 300_000
@@ -58,7 +67,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Best language and its posterior; 'und' and 0 without a letter."""
-        words = Counter(LETTERS.findall((text or "").lower()))
+        words = Counter(words_in((text or "").lower()))
         if not words or not self.langs:
             return UNKNOWN, 0.0
         total = np.array(list(words.values()), dtype=float) @ np.array([self.word(w) for w in words])
@@ -115,7 +124,7 @@ def fit(
     chosen = F.lit(False)
     for name, n in sizes.items():
         chosen = chosen | ((F.col("lang") == name) & (u < docs_per_lang / n))
-    words = F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("content"), F.lit(WORD), F.lit(0))
     counted = rows.filter(chosen).select("lang", F.explode(words).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).cache()
     tables, scores = {}, {}
     tables[0], scores[0] = _table(counted, langs, max_words)

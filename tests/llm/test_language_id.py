@@ -1,5 +1,8 @@
 """Held-out accuracy, the ladder of n-grams, and what the predictions look at."""
 
+import math
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from mailsieve.llm import language_id as L
@@ -46,3 +49,51 @@ def test_only_the_text_is_looked_at(spark):
     a = L.predict(df, model).collect()
     b = L.predict(df.withColumn("lang", F.lit("xx")).withColumn("score", F.lit(9)), model).collect()
     assert a == b
+
+
+def plain_predict(model, text):
+    """Words character by character, scores language by language."""
+    found, word = [], ""
+    for c in (text or "").lower() + " ":
+        if unicodedata.category(c)[0] in "LM":
+            word += c
+        else:
+            if any(unicodedata.category(x)[0] == "L" for x in word):
+                found.append(word)
+            word = ""
+    if not found:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for w in found:
+        for k in range(len(model.langs)):
+            if w in model.tables[0]:
+                total[k] += model.scores[0][model.tables[0][w], k]
+                continue
+            for n in range(5, 0, -1):
+                padded = L.EDGE + w + L.EDGE
+                rows = [model.tables[n][padded[i : i + n]] for i in range(len(padded) - n + 1) if padded[i : i + n] in model.tables[n]]
+                if rows:
+                    total[k] += sum(model.scores[n][r, k] for r in rows) / len(rows)
+                    break
+    odds = [math.exp(t - max(total)) for t in total]
+    best = odds.index(max(odds))
+    return model.langs[best], odds[best] / sum(odds)
+
+
+def test_predict_against_plain_code(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs)
+    texts = ["½", "②Ⅷ", "１２", "́", "áb", "हिन्दी में", "naïve x² Größe", "l'été 3e", None, "", "́ ́a", "ﬀ İstanbul"]
+    texts += [r.text for r in docs.orderBy("doc_id").limit(40).collect()]
+    for text in texts:
+        lang, score = model.predict(text)
+        want = plain_predict(model, text)
+        assert lang == want[0] and math.isclose(score, want[1], rel_tol=1e-9, abs_tol=1e-12), text
+    assert [model.predict(t)[0] for t in texts[:4]] == ["und"] * 4
+
+
+def test_learning_and_prediction_part_words_alike(spark):
+    texts = ["हिन्दी में ½ x", "áb ́ ć", "l'été n°3 ﬀ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    java = df.select(F.regexp_extract_all(F.lower("t"), F.lit(L.WORD), F.lit(0)).alias("w")).collect()
+    assert [r.w for r in java] == [L.words_in(t.lower()) for t in texts]
