@@ -45,21 +45,6 @@ def running_sums(lengths: Column) -> Column:
     return F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
-def with_starts(df: DataFrame, lengths: str, starts: str) -> DataFrame:
-    """Adds the running sums before each element of an array of int, block by block."""
-    blocks, totals = f"{starts}_blocks", f"{starts}_totals"
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK)),
-        lambda b: running_sums(F.slice(F.col(lengths), b + 1, F.lit(BLOCK))),
-    )
-    df = df.withColumn(blocks, cut)
-    df = df.withColumn(totals, running_sums(F.transform(blocks, lambda x: F.element_at(x, -1))))
-    whole = F.transform(
-        blocks, lambda x, i: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + F.get(F.col(totals), i))
-    )
-    return df.withColumn(starts, F.flatten(whole)).drop(blocks, totals)
-
-
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
