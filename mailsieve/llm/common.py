@@ -49,16 +49,16 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:
+def without_lines(docs: DataFrame, removed: DataFrame, doc_id: str, text: str, digest: Column | None = None) -> DataFrame:
     """The rows of docs less some lines: all columns, text cut, with _lines and _gone added.
 
-    removed has id, digest (the text's xxhash64) and gone: an array
+    removed has id, digest (the text's xxhash64 unless given otherwise) and gone: an array
     of structs that begin with line_no, in order. _lines holds the lines of the full text.
     """
     row, no = "_cut_row", "line_no"
     packed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[doc_id].alias("_cut_id"),
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_cut_digest"),
+        (F.xxhash64(F.coalesce(docs[text], F.lit(""))) if digest is None else digest).alias("_cut_digest"),
     )
     same = F.col("_cut_id").eqNullSafe(F.col("id")) & (F.col("_cut_digest") == F.col("digest"))
     df = packed.join(removed.select("id", "digest", "gone"), same, "left")

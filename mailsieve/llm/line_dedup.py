@@ -30,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm import tokens
@@ -42,8 +42,9 @@ THRESHOLD = 0.8
 SKETCH_BITS, SLICE = 20, 1 << 16
 GROUP_BYTES = 64 << 20
 NO_ID = np.iinfo(np.int64).max
-BROADCAST_LINES = 500_000
-BROADCAST_WORDS = 500_000
+# Bits of the tables that say which words or texts are looked for; an unlucky bit costs
+# time. So many texts go to every task as rows; of more, the bits go.
+BITS, SMALL = 26, 500_000
 TINY = 1e-9
 # Words of 64 bits per line; every word of the line flips one bit, so lines differ in at
 # least as many words as bits. A candidate with so few differing bits, of the most allowed,
@@ -66,46 +67,63 @@ FOUND = "id long, digest long, line_no long, other_id long, other_digest long, o
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << SKETCH_BITS, np.uint32)
+    table, n_bytes = np.zeros(1 << SKETCH_BITS, np.uint32), 0
     for batch in batches:
         for piece in tokens.pieces(batch, "text"):
-            slots = tokens.words(piece.column("text")).hashes >> np.uint64(64 - SKETCH_BITS)
+            w = tokens.words(piece.column("text"))
+            slots = w.hashes >> np.uint64(64 - SKETCH_BITS)
             table += np.bincount(slots.astype(np.int64), minlength=len(table)).astype(np.uint32)
+            n_bytes += len(w.data)
     if table.any():
         parts = np.split(table, len(table) // SLICE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"]
-        )
+            [
+                pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()),
+                pa.array([n_bytes] + [0] * (len(parts) - 1), pa.int64()),
+            ],
+            names=["slice", "counts", "n_bytes"],
+        )
 
 
 def _add(group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SLICE, np.uint64)
     for counts in group["counts"]:
         total += np.frombuffer(counts, np.uint32)
-    return pd.DataFrame({"slice": group["slice"][:1], "counts": [total.tobytes()]})
+    return pd.DataFrame({"slice": group["slice"][:1], "counts": [total.tobytes()], "n_bytes": [group["n_bytes"].sum()]})
+
+
+TALLY = "slice int, counts binary, n_bytes long"
 
 
-def word_ranks(texts: DataFrame) -> np.ndarray:
-    """Rank (0 to 4095, rarer is smaller) per slot of the word hash; a table of fixed size."""
-    rows = texts.mapInArrow(_tally, "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.uint64).reshape(-1, SLICE)
+def word_ranks(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Rank (0 to 4095, rarer is smaller) per slot of the word hash, a table of fixed size;
+    and the bytes of all texts."""
+    rows = texts.mapInArrow(_tally, TALLY).groupBy("slice").applyInPandas(_add, TALLY)
+    counts, n_bytes = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.uint64).reshape(-1, SLICE), 0
     for row in rows.collect():
         counts[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
-    return np.minimum(np.log2(counts.ravel() + 1.0) * 100, 4095).astype(np.uint16)
+        n_bytes += row["n_bytes"]
+    return np.minimum(np.log2(counts.ravel() + 1.0) * 100, 4095).astype(np.uint16), n_bytes
 
 
 class Lines:
-    """Word sets of the lines of a piece: words in order of rarity, line by line."""
+    """Word sets of the lines of a piece, or of those that may hold a word of a bit table:
+    words in order of rarity, line by line."""
 
-    def __init__(self, column: pa.Array, ranks: np.ndarray, threshold: float):
+    def __init__(self, column: pa.Array, ranks: np.ndarray, threshold: float, bits: np.ndarray | None = None):
         w = tokens.words(column)
         # Lines before each byte, over all texts: line feeds, and the ends of texts.
         feeds = np.concatenate([[0], np.cumsum(w.data == 0x0A, dtype=np.int64)])
-        text = w.text
+        text, words = w.text, w.hashes
         line = feeds[w.starts] + text
-        rank = ranks[(w.hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        order = self._order(line, rank, w.hashes)
-        line, words, text = line[order], w.hashes[order], text[order]
+        if bits is not None and len(line):
+            wanted = np.zeros(line[-1] + 1, bool)
+            wanted[line[in_table(bits, words)]] = True
+            wanted = wanted[line]
+            line, words, text = line[wanted], words[wanted], text[wanted]
+        rank = ranks[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        order = self._order(line, rank, words)
+        line, words, text = line[order], words[order], text[order]
         fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])])[: len(line)]
         line, self.words, text = line[fresh], words[fresh], text[fresh]
         self.starts = runs(line)
@@ -131,6 +149,21 @@ class Lines:
         return np.lexsort((hashes, rank, line))
 
 
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Bits of a column of hashes; of one size whatever their number."""
+    low = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << BITS) - 1))
+    rows = hashes.select(F.shiftright(low, 6).alias("slot"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = rows.groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_table(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & np.uint64((1 << BITS) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def least_words(threshold: float) -> int:
     """Shorter lines are similar to equal ones only."""
     return math.ceil(threshold / (1 - threshold) - TINY) if threshold < 1 else np.iinfo(np.int64).max
@@ -152,7 +185,8 @@ def _tally_prefixes(ranks, threshold: float):
         if table.any():
             parts = np.split(table, len(table) // SLICE)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"]
+                [pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([0] * len(parts), pa.int64())],
+                names=["slice", "counts", "n_bytes"],
             )
 
     return run
@@ -164,9 +198,9 @@ def hot_chunks(own: DataFrame, ranks, threshold: float) -> np.ndarray | None:
     # No word has more entries than occurrences.
     if 2 ** (float(ranks.value.max()) / 100 + 0.01) <= HOT:
         return None
-    rows = own.select("text").sample(SAMPLED, seed=1).mapInArrow(_tally_prefixes(ranks, threshold), "slice int, counts binary")
+    rows = own.select("text").sample(SAMPLED, seed=1).mapInArrow(_tally_prefixes(ranks, threshold), TALLY)
     counts = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE).reshape(-1, SLICE)
-    for row in rows.groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect():
+    for row in rows.groupBy("slice").applyInPandas(_add, TALLY).collect():
         counts[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
     counts = counts.ravel() / SAMPLED
     return np.where(counts > HOT, np.ceil(2 * counts / HOT), 1).astype(np.int64) if (counts > HOT).any() else None
@@ -197,7 +231,7 @@ def _send(parts: int, ranks, threshold: float, hot):
         for batch in batches:
             for piece in tokens.pieces(batch, "text"):
                 x = Lines(piece.column("text"), ranks.value, threshold)
-                ids = piece.column("id").fill_null(NO_ID).to_numpy()[x.text]
+                ids = piece.column("id").to_numpy()[x.text]
                 digest = piece.column("digest").to_numpy()[x.text]
                 first, again = _repeats(x.a, x.b, ids, digest, x.line_no)
                 out = list(_line_rows(x, ids, digest, first, again, parts))
@@ -403,41 +437,24 @@ def _candidates(word, pos, at, lines, threshold) -> pd.DataFrame:
     return _found([ids[x], digest[x], line_no[x]], [ids[y], digest[y], line_no[y]], differ, more)
 
 
-class WordSet:
-    """A set of word hashes; a table of their first bits settles most words at once."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = np.unique(words)
-        self.first = np.zeros(1 << 20, bool)
-        self.first[(self.words >> np.uint64(44)).astype(np.int64)] = True
-
-    def holds(self, words: np.ndarray) -> np.ndarray:
-        out = self.first[(words >> np.uint64(44)).astype(np.int64)]
-        out[out] = np.isin(words[out], self.words)
-        return out
-
-
 def _rows_of_words(ranks, threshold: float, wanted):
-    """Prefix entries as plain rows, of the wanted words only if those are given."""
+    """Prefix entries as plain rows; of words in the bit table only, if one is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tokens.pieces(batch, "text"):
-                if wanted is not None:
-                    w = tokens.words(piece.column("text"))
-                    piece = piece.take(pa.array(np.unique(w.text[wanted().holds(w.hashes)])))
-                    del w
-                x = Lines(piece.column("text"), ranks.value, threshold)
+                bits = wanted and wanted()
+                x = Lines(piece.column("text"), ranks.value, threshold, bits)
                 line = np.repeat(np.arange(len(x.n)), x.prefix)
                 pos = np.arange(len(line)) - np.repeat(np.cumsum(x.prefix) - x.prefix, x.prefix)
                 word = x.words[x.starts[line] + pos] if len(line) else np.zeros(0, np.uint64)
-                if wanted is not None:
-                    held = wanted().holds(word)
+                if bits is not None:
+                    held = in_table(bits, word)
                     line, pos, word = line[held], pos[held], word[held]
                 text = x.text[line]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(word.view(np.int64)), pa.array(pos), piece.column("id").fill_null(NO_ID).take(pa.array(text)),
+                        pa.array(word.view(np.int64)), pa.array(pos), piece.column("id").take(pa.array(text)),
                         piece.column("digest").take(pa.array(text)), pa.array(x.line_no[line]), pa.array(x.n[line]),
                         *[pa.array(x.bits[line, k].view(np.int64)) for k in range(BITMAP)],
                     ],
@@ -451,16 +468,29 @@ OWN_BITS, OTHER_BITS = ([f"{x}{k}" for k in range(BITMAP)] for x in ("bits", "ot
 WORD_ROWS = ", ".join(f"{c} long" for c in ["word", "pos", *PLACE, "n", *OWN_BITS])
 
 
+def _texts_of(own: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of own whose text some place is in. Other texts never leave their task."""
+    texts = written(places.select("id", "digest").distinct(), "line-texts")
+    if texts.count() <= SMALL:
+        return own.join(F.broadcast(texts), ["id", "digest"], "left_semi")
+    bits = shipped(own.sparkSession, bit_table(texts.select("digest")))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest = batch.column("digest").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(in_table(bits(), digest)))
+
+    return own.mapInArrow(held, own.schema).join(texts, ["id", "digest"], "left_semi")
+
+
 def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Adds similar to pairs, from the words of both lines."""
+    """Adds similar to pairs, from the words (as 64-bit hashes) of both lines."""
     places = written(pairs.select(*PLACE).union(pairs.select(*OTHER).toDF(*PLACE)).distinct(), "places")
-    wanted = places.groupBy("id", "digest").agg(F.collect_list("line_no").alias("nos"))
-    if places.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    sets = own.join(wanted, ["id", "digest"]).select("id", "digest", lines_of(F.col("text")).alias("lines"), "nos").dropDuplicates(["id", "digest"])
-    sets = sets.select("id", "digest", "lines", F.explode("nos").alias("line_no"))
-    sets = sets.select(*PLACE, F.array_distinct(words_of(F.get("lines", F.col("line_no").cast("int")))).alias("words"))
-    sets = written(sets, "line-words")
+    lines = _texts_of(own, places).select("id", "digest", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
+    lines = lines.withColumn("line_no", F.col("line_no").cast("long"))
+    lines = lines.join(F.broadcast(places) if places.count() <= SMALL else places, PLACE, "left_semi")
+    words = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = written(lines.select(*PLACE, words.alias("words")).dropDuplicates(PLACE), "line-words")
     other = sets.toDF(*OTHER, "other_words")
     both = pairs.join(sets, PLACE).join(other, OTHER)
     shared = F.size(F.array_intersect("words", "other_words"))
@@ -468,22 +498,29 @@ def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("similar", similar).drop("words", "other_words")
 
 
+def text_digest(doc_id: Column, text: Column) -> Column:
+    """63 bits of the text's hash; negative where there is an id, so that rows without one,
+    which have the largest id within, come after all others."""
+    bits = F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.when(doc_id.isNull(), bits.bitwiseAND(F.lit(int(NO_ID)))).otherwise(bits.bitwiseOR(F.lit(-int(NO_ID) - 1)))
+
+
 def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The lines with an earlier similar line: id, digest (of the text), line_no
     (from 0).
 
-    doc_id is an integer; NULL comes last and is given as the largest long. The digest
-    only tells texts of the same id apart. Rows with equal id and text count as one
-    document; lines without a word are never found.
+    doc_id is an integer; NULL comes after all of them. The digest only tells texts of the
+    same id apart. Rows with equal id and text count as one document; lines without a word
+    are never found.
     """
     spark = docs.sparkSession
     own = docs.select(
         F.coalesce(docs[doc_id].cast("long"), F.lit(int(NO_ID))).alias("id"),
-        F.coalesce(docs[text], F.lit("")).alias("text"),
-    ).withColumn("digest", F.xxhash64("text"))
-    n_bytes = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
+        F.coalesce(docs[text], F.lit("")).alias("text"), text_digest(docs[doc_id], docs[text]).alias("digest"),
+    )
+    ranks, n_bytes = word_ranks(own.select("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
-    ranks = spark.sparkContext.broadcast(word_ranks(own.select("text")))
+    ranks = spark.sparkContext.broadcast(ranks)
     hot = spark.sparkContext.broadcast(hot_chunks(own, ranks, threshold))
     sent = own.mapInArrow(_send(parts, ranks, threshold, hot), "part int, blob binary")
     found = written(sent.groupBy("part").applyInPandas(_meet(threshold), FOUND), "met-lines")
@@ -503,21 +540,17 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     open_ = written(first.filter("more AND NOT similar").select(*PLACE).join(second, PLACE, "left_anti"), "open-lines")
     if open_.limit(1).count():
         similar.append(_untried(own, open_, ranks, threshold))
-    return reduce(DataFrame.union, similar).distinct()
+    lines = reduce(DataFrame.union, similar).distinct()
+    return lines.withColumn("id", F.when((F.col("id") < int(NO_ID)) | (F.col("digest") < 0), F.col("id")))
 
 
 def _untried(own: DataFrame, open_: DataFrame, ranks, threshold: float) -> DataFrame:
     """The open lines that any earlier line resembles, over all lines with a prefix word
     in common."""
-    spark = own.sparkSession
-    near = F.broadcast(open_) if open_.count() <= BROADCAST_LINES else open_
-    theirs = own.join(near.select("id", "digest").distinct(), ["id", "digest"], "left_semi")
-    words = theirs.mapInArrow(_rows_of_words(ranks, threshold, None), WORD_ROWS).join(near, PLACE, "left_semi")
+    theirs = _texts_of(own, open_)
+    words = theirs.mapInArrow(_rows_of_words(ranks, threshold, None), WORD_ROWS).join(open_, PLACE, "left_semi")
     words = written(words.distinct(), "open-words")
-    wanted = None
-    few = words.select("word").distinct().limit(BROADCAST_WORDS + 1).toPandas()["word"].to_numpy()
-    if len(few) <= BROADCAST_WORDS:
-        wanted = shipped(spark, WordSet(few.view(np.uint64)))
+    wanted = shipped(own.sparkSession, bit_table(words.select("word")))
     every = own.mapInArrow(_rows_of_words(ranks, threshold, wanted), WORD_ROWS).toDF("word", "j", *OTHER, "m", *OTHER_BITS)
     both = words.join(every, "word")
     differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(OWN_BITS, OTHER_BITS)), F.lit(0))
@@ -541,7 +574,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     """
     gone = similar_lines(docs, doc_id, text, threshold)
     each = gone.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("line_no"))).alias("gone"))
-    each = each.withColumn("id", F.when(F.col("id") != int(NO_ID), F.col("id")))
     each = each.withColumn("gone", F.transform("gone", lambda x: F.struct(x["line_no"].cast("int").alias("line_no"))))
-    df = without_lines(docs, each, doc_id, text)
+    df = without_lines(docs, each, doc_id, text, text_digest(docs[doc_id], docs[text]))
     return df.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_lines", "_gone")

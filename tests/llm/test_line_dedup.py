@@ -106,3 +106,21 @@ def test_texts_without_id_are_told_apart_by_the_whole_digest(spark):
     df = spark.createDataFrame([(1, "the line that an earlier text holds too"), (None, a), (None, b)], "doc_id long, text string")
     out = {r.text for r in D.dedup(df).filter("doc_id IS NULL").collect()}
     assert out == {a.split("\n")[0], b}
+
+
+def test_the_largest_id_comes_before_rows_without_one(spark):
+    line, most = " ".join(f"k{i}" for i in range(30)), 2**63 - 1
+    rows = [(most, line + " x", 1), (1, line, 2), (None, line + " y\nfirst of its kind", 3), (most, "first of its kind", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, no int")
+    got = {r.no: (r.doc_id, r.text, r.n_removed) for r in D.dedup(df).collect()}
+    assert got == {1: (most, "", 1), 2: (1, line, 0), 3: (None, "", 2), 4: (most, "first of its kind", 0)}
+
+
+def test_more_texts_than_go_to_every_task(spark, monkeypatch):
+    monkeypatch.setattr(D, "SMALL", 0)
+    monkeypatch.setattr(D, "BITS", 10)
+    monkeypatch.setattr(D, "STRONG", 1.0)
+    monkeypatch.setattr(D, "SLACK", 0.0)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {(r.id, r.line_no) for r in D.similar_lines(df).collect()} == near_lines(rows)
