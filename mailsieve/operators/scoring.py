@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions.text import NOT_SPACE, clean_inference, combine_subject_body, full_text
 from mailsieve.operators.explain import with_risk_categories
 from mailsieve.rules import verdicts as R
+from mailsieve.session import small_side, written
 
 
 class Scorer(Protocol):
@@ -120,54 +122,77 @@ class BatchScorer:
         return df.withColumn(out, predict(clean_inference(combined)))
 
 
-def term_hash(term: str, seed: int = 42) -> int:
-    """MurmurHash3 (32 bits) of a term, as the hashed term weights are numbered by."""
-    data, h, low = term.encode(), seed, 0xFFFFFFFF
+@dataclass(frozen=True)
+class TermModel:
+    """Weights of evidence per term and the prior, in millionths of a logit.
 
-    def scramble(k: int) -> int:
-        k = (k * 0xCC9E2D51) & low
-        return (((k << 15) | (k >> 17)) * 0x1B873593) & low
+    weights: term, with_1 and with_0 (training rows of either label that hold it), weight.
+    Whole numbers make sums the same in whatever order they are taken.
+    """
+
+    weights: DataFrame
+    prior: int
+
+
+MILLIONTHS = 1_000_000
 
-    whole = len(data) // 4 * 4
-    for i in range(0, whole, 4):
-        h ^= scramble(int.from_bytes(data[i : i + 4], "little"))
-        h = (((h << 13) | (h >> 19)) * 5 + 0xE6546B64) & low
-    if whole < len(data):
-        h ^= scramble(int.from_bytes(data[whole:], "little"))
-    h ^= len(data)
-    h = ((h ^ (h >> 16)) * 0x85EBCA6B) & low
-    h = ((h ^ (h >> 13)) * 0xC2B2AE35) & low
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
 
+def _logit(ones: Column, all_ones: int, zeros: Column, all_zeros: int) -> Column:
+    """ln of the smoothed shares' ratio in millionths."""
+    ratio = F.log((ones + 1) / F.lit(all_ones + 2.0)) - F.log((zeros + 1) / F.lit(all_zeros + 2.0))
+    return F.floor(ratio * F.lit(float(MILLIONTHS)) + F.lit(0.5)).cast("long")
 
-def portable(model: PipelineModel) -> Callable[[], Callable[[pd.Series], pd.Series]]:
-    """A fitted text model as a BatchScorer load function, without Spark in the tasks.
 
-    One weight per hashed term (frequency scale times coefficient) is all it holds, so its
-    size is that of the model whatever the texts are.
+def fit_term_model(train: DataFrame, min_rows: int = 2, max_tokens: int | None = None) -> TermModel:
+    """Naive Bayes on the presence of terms, fitted by one aggregation over (text, label) rows.
+
+    Terms in fewer than min_rows rows have no weight. Rows with a NULL label are left out;
+    counts combine before the shuffle, so a frequent term is no large group.
     """
-    hashing, idf, regression = model.stages
-    weights = idf.idf.toArray() * regression.coefficients.toArray()
-    intercept, size = float(regression.intercept), hashing.getNumFeatures()
+    subject = F.col("subject") if "subject" in train.columns else F.lit("")
+    rows = train.filter(F.col("label").isin(0, 1))
+    ones, zeros = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    tokens = F.array_distinct(model_tokens(F.col("text"), subject, max_tokens))
+    counts = (
+        rows.select("label", F.explode(tokens).alias("term"))
+        .groupBy("term")
+        .agg(F.count_if(F.col("label") == 1).alias("with_1"), F.count_if(F.col("label") == 0).alias("with_0"))
+        .filter(F.col("with_1") + F.col("with_0") >= min_rows)
+    )
+    weights = counts.withColumn("weight", _logit(F.col("with_1"), ones, F.col("with_0"), zeros))
+    prior = math.floor(math.log((ones + 1) / (zeros + 1)) * MILLIONTHS + 0.5)
+    return TermModel(written(weights, "term-weights"), prior)
 
-    def load() -> Callable[[pd.Series], pd.Series]:
-        known: dict[str, float] = {}
 
-        def weight(term: str) -> float:
-            if len(known) > 1_000_000:
-                known.clear()
-            if term not in known:
-                known[term] = float(weights[term_hash(term) % size])
-            return known[term]
+class TermScorer:
+    """Scores with the weights of a TermModel; rows are told apart by a key column.
 
-        def predict(texts: pd.Series) -> pd.Series:
-            sums = [intercept + sum(weight(t) for t in text.split(" ") if t) for text in texts]
-            return pd.Series([1 / (1 + math.exp(-x)) if x > -700 else 0.0 for x in sums], dtype="float64")
+    A row's logit is the prior plus the weights of its distinct terms. The weights go to
+    every task where they are small, and then a row's terms are summed where they are;
+    otherwise terms and weights meet by a join whose busy terms are split at run time. Only
+    keys and terms are shuffled for the sums. A NULL or repeated key gets the prior or the
+    sum over its rows' distinct terms.
+    """
+
+    def __init__(self, model: TermModel, key: str = "email_id", max_tokens: int | None = None):
+        self.model, self.key, self.max_tokens = model, key, max_tokens
 
-        return predict
+    def logits(self, df: DataFrame, text: str = "text", subject: str | None = "subject") -> DataFrame:
+        """Key and logit (millionths) of the rows that hold a weighted term."""
+        tokens = model_tokens(F.col(text), _subject(subject), self.max_tokens)
+        terms = df.select(F.col(self.key).alias("_key"), F.explode(F.array_distinct(tokens)).alias("term"))
+        held = terms.join(small_side(self.model.weights.select("term", "weight")), "term")
+        return held.groupBy("_key").agg((F.sum("weight") + self.model.prior).alias("_logit"))
 
-    return load
+    def score(
+        self, df: DataFrame, text: str = "text", subject: str | None = "subject",
+        out: str = "p_phishing",
+    ) -> DataFrame:
+        known = df.join(self.logits(df, text, subject), F.col(self.key) == F.col("_key"), "left")
+        logit = F.coalesce("_logit", F.lit(self.model.prior)) / F.lit(float(MILLIONTHS))
+        # Beyond 30 the probability is 0 or 1 in the digits that count.
+        logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))
+        return known.withColumn(out, 1 / (1 + F.exp(-logit))).drop("_key", "_logit")
 
 
 def classify(df: DataFrame, p: str = "p_phishing") -> DataFrame:

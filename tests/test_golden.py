@@ -376,14 +376,38 @@ def test_rounding_is_that_of_the_exact_value(spark):
         assert repr(round(r.x, 4)) == repr(r.a) and f"{r.x:.2f}" == r.b and f"{r.x:.1%}" == r.c + "%"
 
 
-def test_term_hash_is_the_one_the_model_uses(spark):
-    from pyspark.ml.feature import HashingTF
-
-    from mailsieve.operators.scoring import term_hash
-
-    hashing = HashingTF(numFeatures=1 << 16)
-    for term in ("", "a", "ab", "abc", "abcd", "hello-world", "été", "🎉x", "x" * 97):
-        assert hashing.indexOf(term) == term_hash(term) % (1 << 16)
+def test_term_model_against_plain_python(spark):
+    import math
+
+    from mailsieve.operators.scoring import TermScorer, fit_term_model
+
+    rows = [(1, "pay now pay", 1), (2, "pay today", 1), (3, "meet today", 0), (4, "meet us now", 0), (5, None, 0), (6, "rare", 1), (7, "x now", None)]
+    df = spark.createDataFrame(rows, "email_id long, text string, label int")
+    model = fit_term_model(df)
+    held = {}
+    for _, text, label in rows:
+        for term in set((text or "").split()) if label is not None else ():
+            held.setdefault(term, [0, 0])[label] += 1
+    weight = {
+        t: math.floor(1e6 * (math.log((n[1] + 1) / 5) - math.log((n[0] + 1) / 5)) + 0.5) for t, n in held.items() if sum(n) >= 2
+    }
+    assert {r.term: r.weight for r in model.weights.collect()} == weight and set(weight) == {"pay", "now", "today", "meet"}
+    assert model.prior == 0
+    got = {r.email_id: r.p_phishing for r in TermScorer(model).score(df, subject=None).collect()}
+    for i, text, _ in rows:
+        logit = sum(weight.get(t, 0) for t in set((text or "").split())) / 1e6
+        assert abs(got[i] - 1 / (1 + math.exp(-logit))) < 1e-12
+    none = fit_term_model(df.limit(0))
+    assert none.weights.count() == 0 and {r.p_phishing for r in TermScorer(none).score(df, subject=None).collect()} == {0.5}
+
+
+def test_fitted_pipeline_ranks_its_training_rows(spark):
+    from mailsieve.operators.scoring import ModelScorer, fit_text_model
+
+    rows = [(f"pay now {i}", 1) for i in range(20)] + [(f"meet us {i}", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    scored = ModelScorer(fit_text_model(df)).score(df.withColumnRenamed("label", "truth"), subject=None).collect()
+    assert min(r.p_phishing for r in scored if r.truth) > max(r.p_phishing for r in scored if not r.truth)
 
 
 def test_corpus_keeps_one_of_each_text(spark, tmp_path):
@@ -395,3 +419,24 @@ def test_corpus_keeps_one_of_each_text(spark, tmp_path):
     paths = {"nazario": str(tmp_path / "n.csv"), "nigerian_fraud": str(tmp_path / "f.csv")}
     rows = build_corpus(spark, paths).collect()
     assert sorted((r.source, r.text[-1]) for r in rows) == [("nazario", str(i)) for i in range(5)] + [("nigerian_fraud", str(i)) for i in range(5, 9)]
+
+
+def test_log_batches(spark, tmp_path):
+    import datetime as dt
+
+    from mailsieve.sources import sinks
+
+    start, path = dt.datetime(2026, 1, 1), str(tmp_path / "log")
+    times = {b: [start + dt.timedelta(days=b, minutes=i) for i in range(4)] for b in range(15)}
+    for b in [*range(15), 7, 14]:
+        rows = [(b * 10 + i, t) for i, t in enumerate(times[b])]
+        sinks.append_log(spark.createDataFrame(rows, "email_id long, at timestamp"), path, b)
+    sinks.append_log(spark.createDataFrame([], "email_id long, at timestamp"), path, 15)
+    every = sorted(((t, b * 10 + i) for b in times for i, t in enumerate(times[b])), reverse=True)
+    assert sinks.read_log(spark, path).count() == 60
+    for n in (1, 5, 10, 100):
+        found = sinks.latest(spark, path, n)
+        assert [(r.at, r.email_id) for r in found.collect()] == every[:n]
+    # A batch whose index row is missing was not committed.
+    spark.createDataFrame([(999, start)], "email_id long, at timestamp").write.parquet(f"{path}/entries/batch=99")
+    assert sinks.read_log(spark, path).count() == 60 and 999 not in {r.email_id for r in sinks.latest(spark, path, 100).collect()}
