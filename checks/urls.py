@@ -241,6 +241,29 @@ def _enrich(spark, sf):
     )
 
 
+@query(
+    "enrich_urls_at",
+    f"""{DERIVED}, {PARSED}, {EMAIL_URLS},
+    reg AS (SELECT domain, observed_epoch, max({{'c': creation_epoch, 'g': registrar}}) AS f FROM domain_registry GROUP BY ALL),
+    crt AS (SELECT domain, observed_epoch, max({{'v': ssl_valid, 'i': ssl_issuer, 'n': not_after_epoch}}) AS f FROM
+      (SELECT *, row_number() OVER (PARTITION BY domain, observed_epoch ORDER BY ssl_valid DESC NULLS LAST, ssl_issuer DESC NULLS LAST, not_after_epoch DESC NULLS LAST) AS no FROM tls_observations)
+      WHERE no = 1 GROUP BY ALL),
+    mail_at AS (SELECT e.email_id, pos, e.url, {domain('e.url')} AS dk, received_epoch FROM email_urls e JOIN emails USING (email_id))
+    SELECT email_id, pos, url, CAST(floor((received_epoch - reg.f.c) / 86400) AS BIGINT) AS domain_age_days, reg.f.g AS registrar,
+      crt.f.v AS ssl_valid, crt.f.i AS ssl_issuer, CAST(floor((crt.f.n - received_epoch) / 86400) AS BIGINT) AS ssl_days_left
+    FROM mail_at ASOF LEFT JOIN reg ON dk = reg.domain AND received_epoch >= reg.observed_epoch
+    ASOF LEFT JOIN crt ON dk = crt.domain AND received_epoch >= crt.observed_epoch""",
+)
+def _enrich_at(spark, sf):
+    """Domain facts at the time of each mail."""
+    mails = parsed(spark, sf)
+    rows = O.explode_urls(mails).join(emails(spark, sf).select("email_id", "received_at"), "email_id")
+    registry, tls, _ = evidence(spark, sf)
+    return O.enrich_urls_at(rows, registry, tls).select(
+        "email_id", big("pos"), "url", big("domain_age_days"), "registrar", "ssl_valid", "ssl_issuer", big("ssl_days_left")
+    )
+
+
 @query(
     "url_score_enriched",
     f"{DERIVED}, {PARSED}, {EMAIL_URLS}, {FACTS}, {ENRICHED} SELECT email_id, pos, {RESULT} FROM {scored_urls('SELECT * FROM enriched')}",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions import urls as U
+from mailsieve.operators.asof import newest_before
 from mailsieve.functions.columns import (
     Rule,
     contained,
@@ -118,6 +119,26 @@ def enrich_urls(
     return out
 
 
+def enrich_urls_at(urls: DataFrame, registry: DataFrame | None = None, tls: DataFrame | None = None, at: str = "received_at") -> DataFrame:
+    """Domain facts as they were known when each mail came: URL rows carry its time.
+
+    Ages and the days a certificate has left are measured at that time too.
+    """
+    out = urls.withColumn("_domain", U.url_domain(F.col("url")))
+    when = F.col(at)
+    if registry is not None:
+        known = registry.select(F.col("domain").alias("_domain"), "observed_at", "creation_at", "registrar")
+        out = newest_before(out, known, "_domain", at, out="_known")
+        age = days_between(when, F.col("_known.creation_at"))
+        out = out.withColumn("domain_age_days", age).withColumn("registrar", F.col("_known.registrar")).drop("_known")
+    if tls is not None:
+        known = tls.select(F.col("domain").alias("_domain"), "observed_at", "ssl_valid", "ssl_issuer", "not_after_at")
+        out = newest_before(out, known, "_domain", at, out="_known")
+        left = days_between(F.col("_known.not_after_at"), when)
+        out = out.withColumns({"ssl_valid": F.col("_known.ssl_valid"), "ssl_issuer": F.col("_known.ssl_issuer"), "ssl_days_left": left}).drop("_known")
+    return out.drop("_domain")
+
+
 def brand_in_domain(domain: Column, strict: bool = False) -> Column:
     """Alphabetically first brand inside the domain; strict spares a brand's own domains."""
     brands = sorted(R.IMPERSONATED_BRANDS)

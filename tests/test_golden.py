@@ -440,3 +440,25 @@ def test_log_batches(spark, tmp_path):
     # A batch whose index row is missing was not committed.
     spark.createDataFrame([(999, start)], "email_id long, at timestamp").write.parquet(f"{path}/entries/batch=99")
     assert sinks.read_log(spark, path).count() == 60 and 999 not in {r.email_id for r in sinks.latest(spark, path, 100).collect()}
+
+
+def test_newest_before_against_all_pairs(spark):
+    import datetime as dt
+    import random
+
+    from mailsieve.operators.asof import newest_before
+
+    rng, start = random.Random(6), dt.datetime(2026, 1, 1)
+    when = lambda: start + dt.timedelta(hours=rng.randrange(24 * 40))
+    facts = [(rng.choice(["a", "a", "b", None]), rng.choice([when(), when(), None]), rng.randrange(9)) for _ in range(150)]
+    facts += [("a", start + dt.timedelta(days=7), v) for v in (3, 8, 5)]
+    rows = [(i, rng.choice(["a", "a", "a", "b", "none", None]), rng.choice([when(), when(), when(), None])) for i in range(300)]
+    rows += [(300, "a", start + dt.timedelta(days=7)), (300, "a", start + dt.timedelta(days=7)), (301, "b", start - dt.timedelta(days=1))]
+    df = spark.createDataFrame(rows, "i int, domain string, at timestamp")
+    known = spark.createDataFrame(facts, "domain string, observed_at timestamp, v int")
+    want = sorted((i, max([(t, v) for k, t, v in facts if key and k == key and t and at and t <= at] or [()])) for i, key, at in rows)
+    for seconds in (3600, 7 * 86400, 10**9):
+        got = newest_before(df, known, "domain", "at", slice_seconds=seconds).collect()
+        assert sorted((r.i, tuple(r.fact) if r.fact else ()) for r in got) == want
+    assert newest_before(df, known.limit(0), "domain", "at").filter("fact IS NULL").count() == len(rows)
+    assert newest_before(df.limit(0), known, "domain", "at").count() == 0
