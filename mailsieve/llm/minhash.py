@@ -15,9 +15,11 @@ weighted Jaccard similarity is at least the threshold, and linked documents form
    the smallest one. Buckets that still hold several classes are looked at twice more: first
    each text outside the smallest one's class is a candidate with the one text of another
    class that agrees with it in most samples, and then with all texts of the classes that
-   are still others, if enough samples agree.
-4. Candidates with too few equal samples are dropped, the others verified by exact weighted
-   Jaccard similarity.
+   are still others.
+4. Each text carries the weight its shared shingles have in each of SLOTS ranges of hashes.
+   The smaller weights of two texts, summed over the ranges, are at least what they share,
+   so a candidate goes without a look at its terms only where it can't be similar. The
+   others are verified by exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -36,14 +38,15 @@ from mailsieve.session import small_side, written
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-# Least share of equal samples of a candidate, of the threshold: four standard deviations
-# of 96 samples below it.
-AGREE = 0.8
+# Hash ranges of a text's load; a power of two.
+SLOTS = 256
 CHUNK = 4096
 GROUP_BYTES = 128 << 20
 SAMPLES = 1 << 16
 # Weights are kept in single precision.
 TINY = 1e-6
+# For sums of loads in single precision.
+SLACK = 1e-5
 
 
 # Blobs: a few arrays behind their lengths, in one binary value.
@@ -204,6 +207,27 @@ def icws(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: i
     return out
 
 
+def slot_loads(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A text's weight per range of hashes, in half precision and never below the sum;
+    infinite where it is beyond that precision."""
+    slot = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    exact = np.bincount(slot, weights.astype(float), SLOTS)
+    with np.errstate(over="ignore"):
+        half = exact.astype(np.float16)
+        return np.where(half < exact, np.nextafter(half, np.float16(np.inf)), half)
+
+
+def may_link(loads: np.ndarray, weights: np.ndarray, load: np.ndarray, weight, threshold: float) -> np.ndarray:
+    """Which rows may reach the threshold with the text, or row by row with the texts, of
+    load and weight; never False where they do."""
+    least = (threshold - SLACK) / (1 + threshold - SLACK)
+    return np.minimum(loads, load).sum(axis=-1, dtype=np.float64) >= least * (weights + weight)
+
+
+def _loads(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float16).reshape(-1, SLOTS).astype(np.float32)
+
+
 def _sketch(n_docs: int, threshold: float, bands: int, rows: int):
     """Home side: texts with enough shared weight, their terms and band keys."""
 
@@ -211,7 +235,7 @@ def _sketch(n_docs: int, threshold: float, bands: int, rows: int):
         at, found = [], []
         for home, blob in zip(group["home"], group.pop("blob")):
             (at if home < 0 else found).append(unpack(blob, *(TOTAL if home < 0 else FOUND)))
-        empty = pd.DataFrame([], columns=["node", "weight", "hashes", "weights", "bands", "code"])
+        empty = pd.DataFrame([], columns=["node", "weight", "hashes", "weights", "bands", "code", "load"])
         if not found:
             return empty
         texts, n, copies = (np.concatenate(x) for x in zip(*at))
@@ -249,7 +273,8 @@ def _sketch(n_docs: int, threshold: float, bands: int, rows: int):
                 band = tokens.mix(band * np.uint64(tokens.BASE) + samples[:, :, r])
             for x, j in enumerate(block):
                 own = slice(starts[j], starts[j] + size[j])
-                out.append((int(node[starts[j]]), float(shared[j] + rest[j]), hashes[own].tobytes(), weights[own].tobytes(), band[x].view(np.int64), code[x].tobytes()))
+                load = slot_loads(hashes[own], weights[own]).tobytes()
+                out.append((int(node[starts[j]]), float(shared[j] + rest[j]), hashes[own].tobytes(), weights[own].tobytes(), band[x].view(np.int64), code[x].tobytes(), load))
         return pd.DataFrame(out, columns=list(empty))
 
     return run
@@ -267,28 +292,30 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _agreement(least: float):
-    """Rows whose codes agree in at least so many samples."""
+def _possible(threshold: float):
+    """Rows whose loads do not rule the threshold out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                codes = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("code", "other")]
-                yield batch.select(["a", "b"]).filter(pa.array((codes[0] == codes[1]).sum(axis=1) >= least))
+                one, other = (_loads(batch.column(c).to_pylist()) for c in ("load", "other"))
+                w, v = (batch.column(c).to_numpy() for c in ("w", "v"))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(one, w, other, v, threshold)))
 
     return run
 
 
-def _across(least: float, best: bool):
+def _across(threshold: float, best: bool):
     """Candidates (a, b) of different classes in buckets, a among the outsiders.
 
-    best: for each outsider the one that agrees with it in most samples. A pair is given
-    by the first band only whose key is the same in both."""
+    best: for each outsider the one that agrees with it in most samples, of those that
+    may be similar. A pair is given by the first band only whose key is the same in both."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["band", "salt", "outside"], ignore_index=True)
         node, part, outside = group["node"].to_numpy(), group["component"].to_numpy(), group["outside"].to_numpy()
         codes = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(group), -1)
+        loads, weight = _loads(group.pop("load")), group["weight"].to_numpy()
         place = group[["band", "salt"]].to_numpy()
         number = group["no"].to_numpy()
         keys = None if best or not len(group) else np.stack(group["bands"].to_numpy())
@@ -297,52 +324,49 @@ def _across(least: float, best: bool):
         for start, end in zip(starts, starts[1:]):
             first = start + int((~outside[start:end]).sum())
             for i in range(first, end):
-                agree = (codes[start:first] == codes[i]).sum(axis=1)
-                agree[part[start:first] == part[i]] = 0
-                found = np.flatnonzero(agree >= least)
+                w = weight[start:first]
+                alike = np.minimum(w, weight[i]) >= (threshold - TINY) * np.maximum(w, weight[i])
+                found = start + np.flatnonzero(alike & (part[start:first] != part[i]))
+                if not best and len(found):
+                    found = found[(keys[found] == keys[i]).argmax(axis=1) == number[i]]
+                found = found[may_link(loads[found], weight[found], loads[i], weight[i], threshold)]
                 if best and len(found):
-                    found = np.array([agree.argmax()])
-                elif len(found):
-                    shared = keys[start:first][found] == keys[i]
-                    found = found[shared.argmax(axis=1) == number[i]]
+                    found = found[[(codes[found] == codes[i]).sum(axis=1).argmax()]]
                 a.append(np.repeat(node[i], len(found)))
-                b.append(node[start:first][found])
+                b.append(node[found])
         return pd.DataFrame({"a": np.concatenate(a or [node[:0]]), "b": np.concatenate(b or [node[:0]])}).drop_duplicates()
 
     return run
 
 
-def _cross_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, least: float, best: bool) -> DataFrame:
+def _cross_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float, best: bool) -> DataFrame:
     """Candidates of different classes. A bucket's members are dealt to chunks, each of
-    which meets all members outside the class of the bucket's smallest text. The keys of
-    all bands of sketches come along where every pair counts."""
+    which meets all members outside the class of the bucket's smallest text. Loads come
+    along from sketches, and the keys of all bands where every pair counts."""
     all_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     buckets = all_.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main"),
         F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"),
     )
     several = all_.join(buckets.filter("low <> high").drop("low", "high"), "band")
-    columns = ["band", "no", "salt", "node", "component", "code", "outside"]
-    if not best:
-        several = several.join(sketches.select("node", "bands"), "node")
-        columns.append("bands")
+    more = ["load"] if best else ["load", "bands"]
+    several = several.join(sketches.select("node", *more), "node")
+    columns = ["band", "no", "salt", "node", "weight", "component", "code", "outside", *more]
     inside = several.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("outside", F.lit(False))
     outside = several.filter("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("outside", F.lit(True))
     both = inside.unionByName(outside).select(*columns)
     both = written(both, "buckets")
     groups = both.count() // (4 * CHUNK) + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.withColumn("to", F.pmod(F.xxhash64("band", "salt"), F.lit(groups)))
-    pairs = both.groupBy("to").applyInPandas(_across(least, best), "a long, b long")
+    pairs = both.groupBy("to").applyInPandas(_across(threshold, best), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, least: float, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are similar, written."""
-    codes = sketches.select("node", "code", F.col("weight").alias("w"))
-    rough = pairs.join(codes.toDF("a", "code", "w"), "a").join(codes.toDF("b", "other", "v"), "b")
-    # Similar texts have similar weights.
-    rough = rough.filter(F.least("w", "v") >= (threshold - TINY) * F.greatest("w", "v"))
-    rough = written(rough.mapInArrow(_agreement(least), "a long, b long"), "pairs")
+    loads = sketches.select("node", "load", "weight")
+    rough = pairs.join(loads.toDF("a", "load", "w"), "a").join(loads.toDF("b", "other", "v"), "b")
+    rough = written(rough.mapInArrow(_possible(threshold), "a long, b long"), "pairs")
     # The terms of texts without a candidate stay where they are.
     needed = small_side(rough.select(F.col("a").alias("node")).union(rough.select("b")).distinct())
     own = sketches.select("node", "hashes", "weights", "weight").join(needed, "node", "left_semi")
@@ -364,19 +388,21 @@ def similar_texts(docs: DataFrame, text: str, threshold: float, size: int, bands
     home = F.when(F.col("home") < 0, -1 - F.col("home")).otherwise(F.col("home"))
     found = counted.groupBy(home.alias("to")).applyInPandas(
         _sketch(n_docs, threshold, bands, rows),
-        "node long, weight double, hashes binary, weights binary, bands array<long>, code binary",
+        "node long, weight double, hashes binary, weights binary, bands array<long>, code binary, load binary",
     )
     sketches = written(found, "sketches")
-    members = written(sketches.select("node", "code", F.posexplode("bands").alias("no", "band")), "members")
-    least = AGREE * threshold * bands * rows
-    leaders = members.groupBy("band").agg(F.min("node").alias("b"))
-    pairs = members.join(leaders, "band").filter("node <> b").select(F.col("b").alias("a"), F.col("node").alias("b")).distinct()
+    members = written(sketches.select("node", "weight", "code", F.posexplode("bands").alias("no", "band")), "members")
+    leaders = members.groupBy("band").agg(F.min("node").alias("b"), F.min_by("weight", "node").alias("v"))
+    # Similar texts have similar weights.
+    alike = F.least("weight", "v") >= (threshold - TINY) * F.greatest("weight", "v")
+    pairs = members.join(leaders, "band").filter("node <> b").filter(alike)
+    pairs = pairs.select(F.col("b").alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    links = _links(pairs, sketches, least, threshold)
+    links = _links(pairs, sketches, threshold)
     labels, tried = components(links), pairs
     for best in (True, False):
-        across = written(_cross_pairs(members, sketches, labels, least, best), "pairs")
-        more = _links(across.join(tried, ["a", "b"], "left_anti"), sketches, least, threshold)
+        across = written(_cross_pairs(members, sketches, labels, threshold, best), "pairs")
+        more = _links(across.join(tried, ["a", "b"], "left_anti"), sketches, threshold)
         tried = tried.union(across)
         if more.limit(1).count():
             links = links.union(more)

@@ -2,12 +2,16 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.llm import minhash as M
 from tests.llm.brute import near_classes
 
+HASHES = np.array([1 << 60, 1 << 61, 1 << 62], np.uint64)
+WEIGHTS = np.array([2.0, 3.0, 5.0], np.float32)
+
 
 def corpus(seed):
     rng = random.Random(seed)
@@ -62,8 +66,6 @@ def test_equal_rows_leave_one(spark):
 
 
 def test_samples_agree_as_weights_do():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     hashes = rng.integers(1, 1 << 63, 50).astype(np.uint64)
     a, b = rng.random(50) + 0.1, rng.random(50) + 0.1
@@ -73,11 +75,34 @@ def test_samples_agree_as_weights_do():
 
 def test_band_that_only_seems_shared_loses_no_pair(spark):
     # Texts 2 and 3 have the same codes in band 0, which is another bucket, and share band 1.
-    code = bytes(range(8))
+    code, load = bytes(range(8)), M.slot_loads(HASHES, WEIGHTS).tobytes()
     bands = {1: [10, 20], 2: [11, 20], 3: [12, 20]}
-    rows = [(node, code, keys) for node, keys in bands.items()]
-    sketches = spark.createDataFrame(rows, "node long, code binary, bands array<long>")
-    members = sketches.select("node", "code", F.posexplode("bands").alias("no", "band"))
+    rows = [(node, float(WEIGHTS.sum()), code, keys, load) for node, keys in bands.items()]
+    sketches = spark.createDataFrame(rows, "node long, weight double, code binary, bands array<long>, load binary")
+    members = sketches.select("node", "weight", "code", F.posexplode("bands").alias("no", "band"))
     labels = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "node long, component long")
-    pairs = M._cross_pairs(members, sketches, labels, 6, False)
+    pairs = M._cross_pairs(members, sketches, labels, 0.8, False)
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_loads_never_rule_out_a_similar_pair():
+    # Whatever the samples say: pairs around the threshold, of few and of many terms.
+    rng = np.random.default_rng(1)
+    ruled_out = 0
+    for n in [1, 3, 40, 400, 20_000] * 40:
+        hashes = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        a = (rng.random(n) * 12 + 1e-3).astype(np.float32)
+        b = np.where(rng.random(n) < rng.uniform(0.7, 1), a, 0).astype(np.float32)
+        similarity = np.minimum(a, b).sum(dtype=float) / np.maximum(a, b).sum(dtype=float)
+        one, other = (M.slot_loads(hashes[w > 0], w[w > 0]).astype(np.float32) for w in (a, b))
+        may = M.may_link(one[None], np.array([a.sum(dtype=float)]), other, b.sum(dtype=float), 0.8)[0]
+        assert may or similarity < 0.8
+        ruled_out += not may
+    assert ruled_out
+
+
+def test_loads_beyond_half_precision_rule_nothing_out():
+    load = M.slot_loads(np.full(2, 7, np.uint64), np.array([60_000, 60_000], np.float32))
+    assert np.isinf(load[0]) and not load[1:].any()
+    wide = load.astype(np.float32)
+    assert M.may_link(wide[None], np.array([120_000.0]), wide, 120_000.0, 0.8)[0]
