@@ -215,18 +215,21 @@ def dedup_exact(df: DataFrame, order: list[str], text: str = "text") -> DataFram
 
 
 def word_runs(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
-    """key and _runs, the digests of the distinct runs of n words; NULL without words."""
+    """key and _runs, the digests of the distinct runs of n words; NULL without words.
+
+    Digests are told apart as strings, by hash: of binaries Spark compares every two elements
+    of an array, so a long text costs the square of its words.
+    """
     tokens = df.select(
         F.col(key),
         F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "").alias("_tokens"),
     )
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_tokens") - (n - 1), F.lit(1))),
-        lambda i: F.unhex(F.md5(F.array_join(F.slice("_tokens", i, n), " "))),
-    )
-    return tokens.select(
-        key, F.when(F.size("_tokens") > 0, F.array_distinct(runs)).alias("_runs")
+        lambda i: F.md5(F.array_join(F.slice("_tokens", i, n), " ")),
     )
+    distinct = F.transform(F.array_distinct(runs), lambda r: F.unhex(r))
+    return tokens.select(key, F.when(F.size("_tokens") > 0, distinct).alias("_runs"))
 
 
 def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
@@ -277,7 +280,8 @@ def nearest_copy(df: DataFrame, key: str, text: str = "text", n: int = 5) -> Dat
     pairs = best.select(key, F.col("_best.other").alias("other"))
     theirs = hashed.select(F.col(key).alias("other"), F.col("_runs").alias("_others"))
     both = pairs.join(hashed, key).join(theirs, "other")
-    common = F.size(F.array_intersect("_runs", "_others"))
+    # As strings, which meet by hash (see word_runs).
+    common = F.size(F.array_intersect(F.transform("_runs", F.hex), F.transform("_others", F.hex)))
     return both.select(
         key, "other", (common / (F.size("_runs") + F.size("_others") - common)).alias("similarity")
     )
