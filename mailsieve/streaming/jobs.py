@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -94,13 +94,25 @@ def late_url_scores(
     from received_at until within, or one row with NULL counts if none came. A stream keeps
     a mail until the watermark has passed its time, and an observation as long as a mail it
     belongs to can still come; rows behind the watermark drop. NULL URLs meet nothing.
+
+    Time is cut into slices of at least within. A mail looks into its own slice, and an
+    observation stands in its own and the one before, so they meet once, and a URL that is
+    always there is many groups instead of one in which all mails meet all observations.
     """
-    mails = urls.withColumnRenamed("url", "mail_url").withWatermark("received_at", watermark)
+    # An eighth more, as months differ in length.
+    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {within}")) * 9 / 8 + 1
+
+    def place(at: str) -> Column:
+        return F.floor(F.unix_micros(at) / F.floor(width)).cast("long")
+
+    mails = urls.withColumnRenamed("url", "mail_url").withColumn("mail_slice", place("received_at")).withWatermark("received_at", watermark)
     seen = reputation.select(
-        F.col("url").alias("seen_url"), "observed_at", F.col("malicious").alias("vt_malicious"), F.col("suspicious").alias("vt_suspicious"), F.col("harmless").alias("vt_harmless")
-    ).withWatermark("observed_at", watermark)
+        F.col("url").alias("seen_url"), "observed_at", F.col("malicious").alias("vt_malicious"), F.col("suspicious").alias("vt_suspicious"), F.col("harmless").alias("vt_harmless"),
+        F.explode(F.array(place("observed_at"), place("observed_at") - 1)).alias("seen_slice"),
+    ).withWatermark("observed_at", watermark)
     near = (
         (F.col("mail_url") == F.col("seen_url"))
+        & (F.col("mail_slice") == F.col("seen_slice"))
         & (F.col("observed_at") >= F.col("received_at"))
         & (F.col("observed_at") <= F.col("received_at") + F.expr(f"INTERVAL {within}"))
     )
