@@ -122,6 +122,50 @@ class BatchScorer:
         return df.withColumn(out, predict(clean_inference(combined)))
 
 
+def portable(model: PipelineModel) -> Callable[[], Callable[[pd.Series], pd.Series]]:
+    """A fitted text model as a BatchScorer load function, without Spark in the tasks.
+
+    One weight per hashed term (frequency scale times coefficient) is all it holds, so its
+    size is that of the model whatever the texts are. A task hashes a word it knows once.
+    """
+    hashing, idf, regression = model.stages
+    weights = idf.idf.toArray() * regression.coefficients.toArray()
+    intercept, size = float(regression.intercept), hashing.getNumFeatures()
+
+    def load() -> Callable[[pd.Series], pd.Series]:
+        known: dict[str, float] = {}
+
+        def place(term: str) -> int:
+            """MurmurHash3 (32 bits, seed 42) as HashingTF numbers terms by it."""
+            data, h, low = term.encode(), 42, 0xFFFFFFFF
+            whole = len(data) // 4 * 4
+            for i in range(0, len(data), 4):
+                k = (int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51) & low
+                h ^= (((k << 15) | (k >> 17)) * 0x1B873593) & low
+                if i < whole:
+                    h = (((h << 13) | (h >> 19)) * 5 + 0xE6546B64) & low
+            h ^= len(data)
+            h = ((h ^ (h >> 16)) * 0x85EBCA6B) & low
+            h = ((h ^ (h >> 13)) * 0xC2B2AE35) & low
+            h ^= h >> 16
+            return (h - (1 << 32) if h >> 31 else h) % size
+
+        def weight(term: str) -> float:
+            if term not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                known[term] = float(weights[place(term)])
+            return known[term]
+
+        def predict(texts: pd.Series) -> pd.Series:
+            sums = [intercept + sum(weight(t) for t in text.split(" ") if t) for text in texts]
+            return pd.Series([1 / (1 + math.exp(-x)) if x > -700 else 0.0 for x in sums], dtype="float64")
+
+        return predict
+
+    return load
+
+
 @dataclass(frozen=True)
 class TermModel:
     """Weights of evidence per term and the prior, in millionths of a logit.
