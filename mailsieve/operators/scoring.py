@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -57,7 +57,11 @@ def model_tokens(text: Column, subject: Column, max_tokens: int | None = None) -
 def fit_text_model(
     train: DataFrame, features: int = 1 << 16, max_iter: int = 20, max_tokens: int | None = None
 ) -> PipelineModel:
-    """Fit hashed term weights and logistic regression on (text, label) rows."""
+    """Fit hashed term weights and logistic regression on (text, label) rows.
+
+    The hashed terms are written once: fitting reads them again and again, and the cleaning
+    of the texts costs more than all of it.
+    """
     subject = F.col("subject") if "subject" in train.columns else F.lit("")
     rows = train.select(
         model_tokens(F.col("text"), subject, max_tokens).alias("_tokens"),
@@ -69,12 +73,10 @@ def fit_text_model(
         rawPredictionCol="_raw", predictionCol="_prediction",
         **({"weightCol": "weight"} if "weight" in train.columns else {}),
     )
-    stages = [
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_features"),
-        regression,
-    ]
-    return Pipeline(stages=stages).fit(rows)
+    hashing = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features)
+    hashed = written(hashing.transform(rows).drop("_tokens"), "hashed-terms")
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(hashed)
+    return PipelineModel([hashing, idf, regression.fit(idf.transform(hashed))])
 
 
 class ModelScorer:
