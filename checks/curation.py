@@ -196,10 +196,10 @@ def _read_corpus(spark, sf):
 
 @query("read_quoted_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents WHERE text <> ''")
 def _read_quoted(spark, sf):
-    """Documents with line feeds, through a file of quoted fields."""
+    """Documents with line feeds, through files of quoted fields."""
     path = f"{shared_dir(spark)}/quoted-csv-{uuid.uuid4().hex}"
     docs = load_table(spark, sf, "documents").filter("text <> ''").select("doc_id", "text", "lang")
-    docs.coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"')
+    docs.write.csv(path, header=True, quoteAll=True, escape='"')
     return corpora.read_csv(spark, path)
 
 
