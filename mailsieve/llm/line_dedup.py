@@ -58,7 +58,9 @@ OTHERS, ENOUGH, MOST = 16, 16, 64
 # Entries of one word that may meet in one group, and the part of the rows that is sampled.
 HOT, SAMPLED = 1 << 21, 1 / 32
 
-ENTRY = (np.uint64, np.uint16, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64)
+# An entry's word is the lower half of its hash; the range stands for most of the upper half,
+# and words taken for one cost time only. Whether an entry begins a line stands for the line.
+ENTRY = (np.uint32, np.uint16, np.uint8, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64)
 LINE = (np.uint64, np.uint64, np.int64, np.int64, np.uint32)
 GONE = (np.int64, np.int64, np.uint32)
 PLACE = ["id", "digest", "line_no"]
@@ -262,6 +264,16 @@ def _repeats(a, b, ids, digest, line_no) -> tuple[np.ndarray, np.ndarray]:
     return first, again
 
 
+def _pressed(blob: bytes) -> bytes:
+    """A blob as it travels; half of its bytes are bitmaps of mostly zeros, and places of one
+    text stand side by side, which the shuffle's own compression makes little of."""
+    return np.uint64(len(blob)).tobytes() + pa.Codec("zstd", 1).compress(blob, asbytes=True)
+
+
+def _unpressed(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob, np.uint64, 1)[0]), asbytes=True)
+
+
 def _line_rows(x: Lines, ids, digest, first, again, parts):
     # A line that repeats an earlier one of its piece is decided already.
     again = np.flatnonzero(again)
@@ -282,15 +294,15 @@ def _entry_rows(x: Lines, ids, digest, sent, parts, hot):
     word, line, pos = _dealt(word, line, pos, ids, digest, x.line_no, hot)
     part = ((word >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     for p, rows in _split(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)):
-        lines, at = np.unique(line[rows], return_inverse=True)
-        yield (
-            p,
-            pack(
-                word[rows], np.minimum(pos[rows], 65535).astype(np.uint16), at.astype(np.uint32), ids[lines], digest[lines],
-                x.line_no[lines].astype(np.uint32), x.n[lines].astype(np.uint32), (x.a[lines] >> np.uint64(32)).astype(np.uint32),
-                x.bits[lines].ravel(),
-            ),
+        # Entries of a line stand side by side.
+        begins = np.concatenate([[True], line[rows][1:] != line[rows][:-1]])
+        lines = line[rows][begins]
+        blob = pack(
+            word[rows].astype(np.uint32), np.minimum(pos[rows], 65535).astype(np.uint16), begins.astype(np.uint8), ids[lines], digest[lines],
+            x.line_no[lines].astype(np.uint32), x.n[lines].astype(np.uint32), (x.a[lines] >> np.uint64(32)).astype(np.uint32),
+            x.bits[lines].ravel(),
         )
+        yield p, _pressed(blob)
 
 
 def _found(place: list[np.ndarray], other: list[np.ndarray] | None = None, differ=None, more=None) -> pd.DataFrame:
@@ -316,10 +328,10 @@ def _meet(threshold: float):
             later = _repeats(a, b, ids, digest, line_no)[1]
             gone.append([ids[later], digest[later], line_no[later]])
             return _found([np.concatenate(x) for x in zip(*gone)])
-        parts = [unpack(x, *ENTRY) for x in blobs]
+        parts = [unpack(_unpressed(x), *ENTRY) for x in blobs]
         word, pos = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.int64)
         shift = np.concatenate([[0], np.cumsum([len(x[3]) for x in parts])])
-        at = np.concatenate([x[2].astype(np.int64) + s for x, s in zip(parts, shift)])
+        at = np.concatenate([np.cumsum(x[2], dtype=np.int64) - 1 + s for x, s in zip(parts, shift)])
         lines = [np.concatenate(x) for x in list(zip(*parts))[3:]]
         return _candidates(word, pos, at, lines, threshold)
 

@@ -124,3 +124,23 @@ def test_more_texts_than_go_to_every_task(spark, monkeypatch):
     rows = corpus(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {(r.id, r.line_no) for r in D.similar_lines(df).collect()} == near_lines(rows)
+
+
+def test_entries_travel_small():
+    """The bitmap of a line goes with its entries into each range; well under what the
+    fields take as they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(50_000)}" for _ in range(rng.choice([12, 25, 60]))) for _ in range(20)) for _ in range(60)]
+    x = D.Lines(pa.array(texts), np.zeros(1 << D.SKETCH_BITS, np.uint16), D.THRESHOLD)
+    ids, digest = x.text.astype(np.int64), x.text.astype(np.int64) * 7919
+    out = list(D._entry_rows(x, ids, digest, np.ones(len(x.n), bool), 8, None))
+    fields = [D.unpack(D._unpressed(blob), *D.ENTRY) for _, blob in out]
+    assert sum(len(f[0]) for f in fields) == x.prefix.sum()
+    whole = sum(14 * len(f[0]) + 60 * len(f[3]) for f in fields)
+    assert sum(len(blob) for _, blob in out) <= 0.6 * whole
+    for f in fields:
+        place = np.cumsum(f[2], dtype=np.int64) - 1
+        assert place[0] == 0 and place[-1] == len(f[3]) - 1
