@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,12 +217,8 @@ def dedup_exact(df: DataFrame, order: list[str], text: str = "text") -> DataFram
     return keyed.join(firsts, same, "left_semi").drop("_digest")
 
 
-def word_runs(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
-    """key and _runs, the digests of the distinct runs of n words; NULL without words.
-
-    Digests are told apart as strings, by hash: of binaries Spark compares every two elements
-    of an array, so a long text costs the square of its words.
-    """
+def _run_digests(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, _tokens and _digests: the distinct runs of n words as md5 in hex."""
     tokens = df.select(
         F.col(key),
         F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "").alias("_tokens"),
@@ -228,8 +227,119 @@ def word_runs(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFr
         F.sequence(F.lit(1), F.greatest(F.size("_tokens") - (n - 1), F.lit(1))),
         lambda i: F.md5(F.array_join(F.slice("_tokens", i, n), " ")),
     )
-    distinct = F.transform(F.array_distinct(runs), lambda r: F.unhex(r))
-    return tokens.select(key, F.when(F.size("_tokens") > 0, distinct).alias("_runs"))
+    return tokens.withColumn("_digests", F.array_distinct(runs))
+
+
+def word_runs(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
+    """key and _runs, the digests of the distinct runs of n words; NULL without words.
+
+    Digests are told apart as strings, by hash: of binaries Spark compares every two elements
+    of an array, so a long text costs the square of its words.
+    """
+    hashed = _run_digests(df, key, text, n)
+    distinct = F.transform("_digests", lambda r: F.unhex(r))
+    return hashed.select(key, F.when(F.size("_tokens") > 0, distinct).alias("_runs"))
+
+
+# Bytes of text whose runs meet in one group, and runs that a task packs at a time.
+GROUP_BYTES, PACKED_RUNS = 32 << 20, 1 << 21
+
+
+def _pack_runs(parts: int, key: str, most: int):
+    """Map side of shingle_overlap: the runs of a few rows as one blob per range of digests.
+
+    Of rows that share a run the first sends it. What a row is left with goes under a
+    negative part; there and in the blobs a row is its key and its number of runs.
+    """
+
+    def packed(batches):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        keys, runs = table.column(key).combine_chunks(), table.column("_runs").combine_chunks()
+        size = pc.binary_length(runs).to_numpy() // 16
+        digest = np.frombuffer(b"".join(runs.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+        rank = pc.rank(keys, tiebreaker="dense").to_numpy().astype(np.int64)
+        # Rows with equal key and size are one; their numbers follow the order of rows.
+        order = np.lexsort((size, rank))
+        new = np.concatenate([[True], (np.diff(rank[order]) != 0) | (np.diff(size[order]) != 0)])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        keys, size, row = keys.take(pa.array(order[new])), size[order[new]].astype(np.int32), np.repeat(number, size)
+        order = np.lexsort((row, digest[:, 1], digest[:, 0]))
+        digest, row = digest[order], row[order]
+        first = np.concatenate([[True], (digest[1:] != digest[:-1]).any(axis=1)])
+        digest, row = digest[first], row[first]
+        part = ((digest[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        left = np.bincount(row, minlength=len(size))
+        # The rows of a range stand together already; its runs go row by row.
+        order = np.lexsort((row, part))
+        digest, row, part = digest[order], row[order], part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        groups = [(-1 - int(part[0]), np.arange(len(size)), left, digest[:0])]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            held, times = np.unique(row[i:j], return_counts=True)
+            groups.append((int(part[i]), held, times, digest[i:j]))
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        blobs = []
+        for _, held, times, runs in groups:
+            rows = pa.record_batch([keys.take(pa.array(held)), pa.array(size[held]), pa.array(times.astype(np.int32))], names=["key", "runs", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_batch(rows)
+            low = (runs[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + runs[:, 1].tobytes()
+            blobs.append(np.uint32(len(runs)).tobytes() + low + sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array([g[0] for g in groups], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("_runs")))
+            begin = 0
+            ends = np.cumsum(pc.binary_length(batch.column("_runs")).to_numpy().astype(np.int64) // 16)
+            while begin < len(ends):
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + most - n, "right")))
+                held.append(batch.slice(begin, end - begin))
+                n, begin = n + ends[end - 1] - before, end
+                if n >= most or begin < len(ends):
+                    yield from packed(held)
+                    held, n = [], 0
+        if held:
+            yield from packed(held)
+
+    return run
+
+
+def _lost_runs(key: str):
+    """Reduce side: what rows were left with, and less one for each run that an earlier
+    row in the range holds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = group.column("blob").to_pylist()
+        sizes = [int(np.frombuffer(b, np.uint32, 1)[0]) for b in blobs]
+        rows = pa.concat_tables(pa.ipc.open_stream(pa.py_buffer(b)[4 + 12 * n :]).read_all() for b, n in zip(blobs, sizes))
+        keys, runs, n = (rows.column(c).combine_chunks() for c in ("key", "runs", "n"))
+        if group.column("part")[0].as_py() < 0:
+            ones = pa.array(np.ones(len(n), np.int64))
+            return pa.table([keys, runs, n.cast(pa.int64()), ones], names=[key, "runs", "kept", "times"])
+        high = np.concatenate([np.frombuffer(b, np.uint32, m, 4) for b, m in zip(blobs, sizes)])
+        low = np.concatenate([np.frombuffer(b, np.uint64, m, 4 + 4 * m) for b, m in zip(blobs, sizes)])
+        size, rank = runs.to_numpy(), pc.rank(keys, tiebreaker="dense").to_numpy().astype(np.int64)
+        place = np.lexsort((size, rank))
+        new = np.concatenate([[True], (np.diff(rank[place]) != 0) | (np.diff(size[place]) != 0)])
+        number = np.empty(len(place), np.int64)
+        number[place] = np.cumsum(new) - 1
+        first_at = place[new]
+        row = np.repeat(number, n.to_numpy())
+        order = np.lexsort((row, high, low))
+        high, low, row = high[order], low[order], row[order]
+        begins = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        owner = row[np.maximum.accumulate(np.where(begins, np.arange(len(row)), 0))]
+        lost = np.bincount(row[row != owner], minlength=len(first_at))
+        at = np.flatnonzero(lost)
+        taken = pa.array(first_at[at])
+        return pa.table([keys.take(taken), runs.take(taken), pa.array(-lost[at].astype(np.int64)), pa.array(np.zeros(len(at), np.int64))], names=[key, "runs", "kept", "times"])
+
+    return run
 
 
 def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
@@ -237,22 +347,22 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
 
     A run is n blank-separated words, lower case; shorter texts are one run, texts without
     words have none and overlap 0. Each run is credited to its first row; a row's overlap
-    is what it was not credited with. Runs are combined before the shuffle and never
-    joined with each other, so a run found in every third row is one row per task, and no
-    pairs are built.
+    is what it was not credited with. Runs travel packed, some thousand rows' runs to a blob
+    per range of digests, and are combined before: a run found in every third row goes once
+    per blob, and no pairs are built. Back come only the runs that a row loses.
     """
-    hashed = word_runs(df, key, text, n)
-    # The outer form keeps the tokens from being worked out again for a size filter.
-    exploded = hashed.select(
-        key, F.size("_runs").alias("runs"), F.explode_outer("_runs").alias("_run")
-    ).filter(F.col("_run").isNotNull())
-    # Two numbers per run, so the combining stays a hash aggregation.
-    owners = exploded.groupBy("_run").agg(
-        F.min(key).alias(key), F.min_by("runs", key).alias("runs")
-    )
-    counts = owners.groupBy(key, "runs").agg(F.count(F.lit(1)).alias("new_runs"))
+    spark = df.sparkSession
+    n_bytes = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
+    kind = dict(df.dtypes)[key]
+    hashed = _run_digests(df.filter(F.col(key).isNotNull()), key, text, n)
+    joined = F.when(F.size("_tokens") > 0, F.unhex(F.array_join("_digests", "")))
+    sent = hashed.select(key, joined.alias("_runs")).mapInArrow(_pack_runs(parts, key, PACKED_RUNS), "part int, blob binary")
+    kept = sent.groupBy("part").applyInArrow(_lost_runs(key), f"`{key}` {kind}, runs int, kept long, times long")
+    # A row that is there several times counts as often.
+    counts = kept.groupBy(key, "runs").agg(F.expr("sum(kept) div sum(times)").alias("new_runs"))
     out = df.select(key, F.rlike(text, F.lit(NOT_SPACE)).alias("_has_words")).join(
-        counts, key, "left"
+        counts.filter("new_runs > 0"), key, "left"
     )
     missing = F.when(F.col("_has_words"), F.lit(1.0)).otherwise(F.lit(0.0))
     return out.select(

@@ -176,6 +176,33 @@ def test_overlap_against_brute_force(spark):
     assert {r.id for r in C.dedup_near(df, "id").collect()} == kept
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_overlap_over_many_pieces(spark, monkeypatch, most, kind):
+    """Rows that are there several times, keys that are NULL, a run in every row, any packing."""
+    monkeypatch.setattr(C, "PACKED_RUNS", most)
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = ["to", "whom", "it", "may", "concern"] + [f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 30))]
+        rows.append((f"{i:03}" if kind == "string" else i, " ".join(words)))
+    rows += [(rows[7][0], rows[7][1]), (rows[7][0], rows[7][1]), (rows[40][0], rows[40][1])]
+    rows += [("x" if kind == "string" else 900, None), ("y" if kind == "string" else 901, " ")]
+    nobody = [(None, rows[3][1]), (None, "words of nobody that no row has")]
+    seen, expected = set(), {}
+    for key, text in sorted(set(rows), key=lambda r: r[0]):
+        w = (text or "").split()
+        runs = {" ".join(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set()
+        new = runs - seen
+        expected[key] = (len(new), 1 - len(new) / len(runs) if runs else 0.0)
+        seen |= runs
+    df = spark.createDataFrame(rows + nobody, f"id {kind}, text string").repartition(5, F.rand(3))
+    out = [(r.id, r.new_runs, r.overlap) for r in C.shingle_overlap(df, "id").collect()]
+    assert sorted(r[0] for r in out if r[0] is not None) == sorted(r[0] for r in rows)
+    for key, new, overlap in out:
+        assert (new, overlap) == pytest.approx((0, 1.0) if key is None else expected[key])
+
+
 def test_weights_balance_the_classes(skewed):
     out = C.balance_classes(skewed, 42, "id").groupBy("label").agg(F.sum("weight").alias("w")).collect()
     assert out[0].w == pytest.approx(out[1].w)

@@ -91,3 +91,11 @@ def test_overlap_has_no_self_join_on_runs(spark, small):
     joins = [n for n in nodes(physical(plan)) if "Join" in n.nodeName()]
     assert len(joins) == 1  # credited counts back to the rows, by row key
     assert not any("Cartesian" in n.nodeName() or "NestedLoop" in n.nodeName() for n in joins)
+
+
+def test_overlap_moves_no_row_per_run(spark, small):
+    from mailsieve.sources.derived import load_table
+
+    found = exchanges(C.shingle_overlap(load_table(spark, small, "documents"), "doc_id"))
+    assert not any(name.startswith("_run") for names in found for name in names)
+    assert any(set(names) == {"part", "blob"} for names in found)
