@@ -6,9 +6,13 @@ that a pattern means the same on every regex engine and for every language.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailsieve.functions.columns import with_value
+
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,31 +42,47 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACE_CHARS))
 
 
+# White space other than a blank, and a run of white space that is not one blank already.
+_ODD_SPACE = f"[[^ -~]&&[{_SPACE_SET.replace('-' + chr(92) + 'x20', '-' + chr(92) + 'x1f')}]]"
+UNEVEN_SPACE = f"[^!-~](?:(?<={_ODD_SPACE})|(?<= )(?={SPACE})){SPACE}*"
+
+
 def squeeze(text: Column) -> Column:
-    """One blank for each run of white space, none on the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """One blank for each run of white space, none on the ends.
+
+    Looking for single characters is much cheaper than a pattern, so a text in which there
+    are blanks only, one at a time, is left as it is.
+    """
+
+    def evened(t: Column) -> Column:
+        odd = [F.contains(t, F.lit(c)) for c in ["  ", *SPACE_CHARS.replace(" ", "")]]
+        return F.when(reduce(Column.__or__, odd), F.regexp_replace(t, UNEVEN_SPACE, " ")).otherwise(t)
+
+    return F.trim(with_value(text, evened))
+
+
+def _masked(text: Column, fixed: str, pattern: str, mask: str) -> Column:
+    """The pattern's matches replaced; a cheap look for its fixed part goes before it, and
+    the text is worked out once."""
+    return with_value(text, lambda t: F.when(F.contains(t, F.lit(fixed)), F.regexp_replace(t, pattern, mask)).otherwise(t))
 
 
 def clean_corpus(text: Column) -> Column:
     """Cleaning for training corpora: no tags, masked links and addresses, one line."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), HTML_TAG, "")
-    out = F.regexp_replace(out, f"http[s]?://{NOT_SPACE}+", "[URL]")
-    out = F.regexp_replace(out, rf"www\.{NOT_SPACE}+", "[URL]")
+    out = _masked(F.coalesce(text, F.lit("")), "<", HTML_TAG, "")
+    out = _masked(out, "http", f"http[s]?://{NOT_SPACE}+", "[URL]")
+    out = _masked(out, "www.", rf"www\.{NOT_SPACE}+", "[URL]")
     # An address swallows its whole run of non-blanks, so only run starts are tried.
     run_start = f"(?<!{NOT_SPACE})"
-    masked = F.regexp_replace(
-        out, rf"{run_start}{NOT_SPACE}+@{NOT_SPACE}+\.{NOT_SPACE}+", "[EMAIL]"
-    )
-    out = F.when(F.contains(out, F.lit("@")), masked).otherwise(out)
+    out = _masked(out, "@", rf"{run_start}{NOT_SPACE}+@{NOT_SPACE}+\.{NOT_SPACE}+", "[EMAIL]")
     return squeeze(F.replace(out, F.lit("Â"), F.lit("")))
 
 
 def clean_inference(text: Column) -> Column:
     """Cleaning before scoring: lower case, masked links, addresses and phones."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, INFERENCE_URL, "[URL]")
-    masked = F.regexp_replace(out, EMAIL_ADDRESS, "[EMAIL]")
-    out = F.when(F.contains(out, F.lit("@")), masked).otherwise(out)
+    out = _masked(out, "http", INFERENCE_URL, "[URL]")
+    out = _masked(out, "@", EMAIL_ADDRESS, "[EMAIL]")
     out = F.regexp_replace(out, PHONE, "[PHONE]")
     return squeeze(out)
 

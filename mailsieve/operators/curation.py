@@ -55,6 +55,13 @@ def min_length(df: DataFrame, longer_than: int = MIN_TEXT_LENGTH) -> DataFrame:
     return df.filter(F.char_length("text") > longer_than)
 
 
+def clean_long(df: DataFrame, longer_than: int = MIN_TEXT_LENGTH) -> DataFrame:
+    """min_length(clean(df)), each text cleaned once: a filter on the cleaned text goes below
+    the projection, and with it everything the text is made of, read anew at each mention."""
+    long = F.filter(F.array(clean_corpus(F.col("text"))), lambda t: F.char_length(t) > longer_than)
+    return df.select(*[F.explode(long).alias(c) if c == "text" else F.col(c) for c in df.columns])
+
+
 def flatten_strings(df: DataFrame) -> DataFrame:
     """Collapse white space in every string column; NULL stays NULL."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.operators.curation import (
-    clean,
+    clean_long,
     dedup_exact,
-    min_length,
     quota_table,
     sample_quota,
     stratified_split,
@@ -39,7 +38,7 @@ def build_corpus(
     read their key columns only: texts are in no aggregate, sort or broadcast.
     """
     frames = [read_corpus(spark, paths[kind], kind) for kind in CORPORA if kind in paths]
-    master = min_length(clean(union_sources(frames)))
+    master = clean_long(union_sources(frames))
     master = written(with_row_id(master).withColumn("row_no", F.monotonically_increasing_id()), "corpus-all")
     master = written(dedup_exact(master, ["source_rank", "row_no"]).drop("row_no"), "corpus")
     if quotas is None:

@@ -5,14 +5,16 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from mailsieve.functions.text import concat_text, strip
-from mailsieve.operators.curation import by_label, clean, min_length, resolve_text, tag
+from mailsieve.operators.curation import by_label, clean_long, resolve_text, tag
 
 CORPUS_SCHEMA = "text string, label int, source string, email_type string"
 
@@ -59,18 +61,20 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     lines = spark.read.text(path, lineSep="\n").select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    parsed = lines.mapInArrow(_records(_states(lines), names), "file string, block long, kind int, record string")
+    states, kinds = _states(lines), "file string, block long, kind int, record string"
+    whole = lines.mapInArrow(_records(states, names, [WHOLE]), kinds)
     # In order of place: the end of a record begun before, a range inside one record, a record's beginning.
-    parts = parsed.filter(F.col("kind") != WHOLE)
+    parts = lines.mapInArrow(_records(states, names, [HEAD, INSIDE, TAIL]), kinds)
     order = Window.partitionBy("file").orderBy("block", "kind")
     numbered = parts.withColumn("no", F.sum((F.col("kind") == TAIL).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = F.sort_array(F.collect_list(F.struct("block", "kind", "record")))
     joined = numbered.groupBy("file", "no").agg(F.array_join(F.transform(pieces, lambda x: x["record"]), "\n").alias("record"))
-    records = parsed.filter(F.col("kind") == WHOLE).select("record").unionAll(joined.select("record"))
-    plain = F.regexp_replace("record", "\r$", "")
+    records = whole.select("record").unionAll(joined.select("record"))
+    plain = F.when(F.contains("record", F.lit("\r")), F.regexp_replace("record", "\r$", "")).otherwise(F.col("record"))
     fields = StructType([StructField(n, StringType()) for n in names])
     rows = records.select(plain.alias("record")).filter(F.col("record") != "")
-    out = rows.select(F.from_csv("record", fields.toDDL(), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
+    # Given out as rows, so that what is asked of the fields later does not read the record again.
+    out = rows.select(F.inline(F.array(F.from_csv("record", fields.toDDL(), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}))))
     return out if schema is None else out.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema])
 
 
@@ -79,47 +83,67 @@ HEAD, INSIDE, TAIL, WHOLE = 0, 1, 2, 3
 
 def _states(lines: DataFrame) -> dict[tuple[str, int], bool]:
     """Which byte ranges begin inside quotes; a file, a number and a flag per range."""
-    odd = F.sum(F.length("value") - F.length(F.translate("value", '"', ""))) % 2
+    odd = F.sum(F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = lines.groupBy("file", "block").agg(odd.alias("odd"))
     table = counts.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside")).toArrow()
     return {(f, b): x for f, b, x in zip(*[table.column(c).to_pylist() for c in ("file", "block", "inside")])}
 
 
-def _records(states: dict[tuple[str, int], bool], names: list[str]):
-    """Records of each range of lines, as far as they lie in it, with their kind."""
+def _records(states: dict[tuple[str, int], bool], names: list[str], kinds: list[int]):
+    """Records of each range of lines, as far as they lie in it, that are of the kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, inside, before, first = None, [], False, False, False
 
         def rest():
-            return [(*place, INSIDE if before else TAIL, "\n".join(held))] if held else []
+            if held:
+                lines = [x for part in held for x in part.to_pylist()]
+                yield from _fragments(place, [INSIDE if before else TAIL], pa.array(["\n".join(lines)]))
+
+        def _fragments(at, kind, records):
+            kind = np.asarray(kind, np.int32)
+            wanted = np.isin(kind, kinds)
+            if wanted.any():
+                n = int(wanted.sum())
+                columns = [pa.array([at[0]] * n, pa.string()), pa.array([at[1]] * n, pa.int64()), pa.array(kind[wanted]), records.filter(pa.array(wanted))]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "kind", "record"])
 
         for batch in batches:
-            out = []
-            for line, file, block in zip(*[batch.column(c).to_pylist() for c in ("value", "file", "block")]):
-                if (file, block) != place:
-                    out += rest()
-                    place, held, inside, first = (file, block), [], states[file, block], block == 0
+            values, files, blocks = (batch.column(c) for c in ("value", "file", "block"))
+            if not len(values):
+                continue
+            file, block = files.dictionary_encode(), blocks.to_numpy()
+            cuts = np.flatnonzero((np.diff(file.indices.to_numpy()) != 0) | (np.diff(block) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(values)]):
+                if (files[int(i)].as_py(), int(block[i])) != place:
+                    yield from rest()
+                    place, held = (files[int(i)].as_py(), int(block[i])), []
+                    inside, first = states[place], place[1] == 0
                     before = inside
-                held.append(line)
-                if line.count('"') % 2:
-                    inside = not inside
-                if not inside:
-                    record = "\n".join(held)
-                    if first and next(csv.reader([record.rstrip("\r")]), []) != names:
-                        raise ValueError(f"{file} begins with {record[:200]!r}, not with the header {','.join(names)}")
-                    if not first:
-                        out.append((*place, HEAD if before else WHOLE, record))
-                    held, before, first = [], False, False
-            yield _fragments(out)
+                part = values.slice(i, j - i)
+                # Lines after which no quote is open end a record.
+                odd = pc.count_substring(part, '"').to_numpy().astype(np.int64)
+                after = (np.cumsum(odd) + inside) % 2
+                inside, ends = bool(after[-1]), np.flatnonzero(after == 0)
+                held.append(part)
+                if not len(ends):
+                    continue
+                ends = ends + 1 + sum(map(len, held[:-1]))
+                lines = pa.concat_arrays(held)
+                held = [lines.slice(ends[-1])] if ends[-1] < len(lines) else []
+                records = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), lines), "\n")
+                kind = np.full(len(ends), WHOLE)
+                kind[0] = HEAD if before else WHOLE
+                if first:
+                    record = records[0].as_py()
+                    if next(csv.reader([record.rstrip("\r")]), []) != names:
+                        raise ValueError(f"{place[0]} begins with {record[:200]!r}, not with the header {','.join(names)}")
+                    kind, records = kind[1:], records.slice(1)
+                before, first = False, False
+                yield from _fragments(place, kind, records)
         if place:
-            yield _fragments(rest())
-
-    def _fragments(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
-        columns = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "block", "kind", "record"])
+            yield from rest()
 
     return run
 
@@ -158,7 +182,7 @@ def read_corpus(spark: SparkSession, path: str, kind: str) -> DataFrame:
             df = resolve_text(df)
         df = tag(df, rule["label"], rule["source"], rule["type"])
         df = df.select("text", "label", "source", "email_type")
-        return df if rule.get("prepared") else min_length(clean(df))
+        return df if rule.get("prepared") else clean_long(df)
 
     return read_or_empty(spark, load)
 

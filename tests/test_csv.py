@@ -2,11 +2,15 @@
 
 import os
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from checks.streams import folder
+from mailsieve.functions.text import SPACE_CHARS, squeeze
+from mailsieve.sources import corpora as C
 from mailsieve.sources.corpora import read_csv
 
 
@@ -75,3 +79,21 @@ def test_few_rows(spark):
     with open(f"{path}/a.csv", "a") as f:
         f.write('\n\n2,"open\nend",1')
     assert sorted(r.text for r in read_csv(spark, path).collect()) == ["last without line feed", "open\nend"]
+
+
+def test_texts_are_parsed_and_cleaned_once(spark, tmp_path):
+    """Filters on a cleaned text name neither the record nor the patterns again."""
+    (tmp_path / "a.csv").write_text('subject,body,label\na,"<b>first</b>\nmail, which is long enough to be kept in the corpus",0\nb,short,0\n')
+    rows = C.read_corpus(spark, str(tmp_path / "a.csv"), "enron")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and plan.count("<[^>]+>") == 1
+    assert [r.text for r in rows.collect()] == ["a first mail, which is long enough to be kept in the corpus"]
+
+
+def test_squeezed_white_space(spark):
+    """As a plain pattern does it, whatever the white space and wherever it is."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "\u00e9", "\U0001f600", " ", " ", *SPACE_CHARS]) for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    texts += [f"a{c}b" for c in SPACE_CHARS] + [f"a {c}b" for c in SPACE_CHARS] + [f"{c} a" for c in SPACE_CHARS] + ["a b c", "", " ", "  "]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", squeeze(F.col("t")).alias("t"))
+    assert {r.i: r.t for r in out.collect()} == {i: re.sub(f"[{SPACE_CHARS}]+", " ", t).strip(" ") for i, t in enumerate(texts)}
