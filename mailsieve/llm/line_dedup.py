@@ -114,24 +114,23 @@ class Lines:
 
     def __init__(self, column: pa.Array, ranks: np.ndarray, threshold: float, bits: np.ndarray | None = None):
         w = tokens.words(column)
-        # Lines before each byte, over all texts: line feeds, and the ends of texts.
-        feeds = np.concatenate([[0], np.cumsum(w.data == 0x0A, dtype=np.int64)])
+        # Lines before each word, over all texts: line feeds, and the ends of texts.
+        feeds = np.flatnonzero(w.data == 0x0A)
         text, words = w.text, w.hashes
-        line = feeds[w.starts] + text
+        line = np.cumsum(np.bincount(np.searchsorted(w.starts, feeds), minlength=len(words) + 1))[: len(words)] + text
         if bits is not None and len(line):
             wanted = np.zeros(line[-1] + 1, bool)
             wanted[line[in_table(bits, words)]] = True
             wanted = wanted[line]
             line, words, text = line[wanted], words[wanted], text[wanted]
-        rank = ranks[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        order = self._order(line, rank, words)
-        line, words, text = line[order], words[order], text[order]
-        fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])])[: len(line)]
-        line, self.words, text = line[fresh], words[fresh], text[fresh]
+        # Words stay within their line, so line and text are in order already.
+        words = self._by_rarity(line, ranks[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], words)
+        fresh = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])])[: len(line)])
+        line, self.words = line[fresh], words[fresh]
         self.starts = runs(line)
         self.n = np.diff(np.append(self.starts, len(line)))
-        self.text = text[self.starts]
-        self.line_no = line[self.starts] - feeds[w.offsets[self.text]] - self.text
+        self.text = text[fresh[self.starts]]
+        self.line_no = line[self.starts] - np.searchsorted(feeds, w.offsets[self.text]) - self.text
         self.a = np.add.reduceat(self.words, self.starts) if len(line) else words
         self.b = np.add.reduceat(tokens.mix(self.words ^ np.uint64(tokens.BASE)), self.starts) if len(line) else words
         self.bits = np.zeros((len(self.starts), BITMAP), np.uint64)
@@ -141,14 +140,15 @@ class Lines:
         self.prefix = self.n - np.ceil(threshold * self.n - TINY).astype(np.int64) + 1
 
     @staticmethod
-    def _order(line, rank, hashes):
+    def _by_rarity(line, rank, hashes):
+        """The words of each line, rarest first."""
         if len(line) and line[-1] < 1 << 20:
             key = (line.astype(np.uint64) << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32))
             order = np.argsort(key)
             k, h = key[order], hashes[order]
             if not ((k[1:] == k[:-1]) & (h[1:] < h[:-1])).any():
-                return order
-        return np.lexsort((hashes, rank, line))
+                return h
+        return hashes[np.lexsort((hashes, rank, line))]
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
