@@ -47,6 +47,15 @@ _ODD_SPACE = f"[[^ -~]&&[{_SPACE_SET.replace('-' + chr(92) + 'x20', '-' + chr(92
 UNEVEN_SPACE = f"[^!-~](?:(?<={_ODD_SPACE})|(?<= )(?={SPACE})){SPACE}*"
 
 
+def blank_separated(text: Column) -> Column:
+    """The text cut at each white space, with empty parts where some follow each other.
+
+    Looking for single characters and cutting at one is much cheaper than a pattern.
+    """
+    blanks = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), SPACE_CHARS.replace(" ", ""), text)
+    return F.split(blanks, " ")
+
+
 def squeeze(text: Column) -> Column:
     """One blank for each run of white space, none on the ends.
 

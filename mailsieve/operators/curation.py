@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailsieve.functions.text import NOT_SPACE, SPACE, clean_corpus, concat_text, strip
+from mailsieve.functions.text import NOT_SPACE, SPACE, blank_separated, clean_corpus, concat_text, strip
 from mailsieve.rules.verdicts import FIRST_QUOTAS, MIN_TEXT_LENGTH, QUOTAS
 from mailsieve.session import small_side, written
 
@@ -224,12 +225,17 @@ def dedup_exact(df: DataFrame, order: list[str], text: str = "text") -> DataFram
     return keyed.join(firsts, same, "left_semi").drop("_digest")
 
 
+def _words_of(text: str) -> Column:
+    return F.filter(blank_separated(F.lower(text)), lambda t: t != "")
+
+
+def _word_hashes(text: str) -> Column:
+    return F.transform(_words_of(text), lambda t: F.xxhash64(t))
+
+
 def _run_digests(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """key, _tokens and _digests: the distinct runs of n words as md5 in hex."""
-    tokens = df.select(
-        F.col(key),
-        F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "").alias("_tokens"),
-    )
+    tokens = df.select(F.col(key), _words_of(text).alias("_tokens"))
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_tokens") - (n - 1), F.lit(1))),
         lambda i: F.md5(F.array_join(F.slice("_tokens", i, n), " ")),
@@ -250,6 +256,31 @@ def word_runs(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFr
 
 # Bytes of text whose runs meet in one group, and runs that a task packs at a time.
 GROUP_BYTES, PACKED_RUNS = 32 << 20, 1 << 21
+# Pairs of copies that go to every task; beyond, their texts are dealt out by row.
+MOST_PAIRS = 1_000_000
+
+
+def _some_runs(packed, most: int, sizes):
+    """packed for every so many runs of the batches, at least one row at a time."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("_runs")))
+            begin = 0
+            ends = np.cumsum(sizes(batch.column("_runs")))
+            while begin < len(ends):
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + most - n, "right")))
+                held.append(batch.slice(begin, end - begin))
+                n, begin = n + ends[end - 1] - before, end
+                if n >= most or begin < len(ends):
+                    yield from packed(held)
+                    held, n = [], 0
+        if held:
+            yield from packed(held)
+
+    return run
 
 
 def _pack_runs(parts: int, key: str, most: int):
@@ -296,24 +327,7 @@ def _pack_runs(parts: int, key: str, most: int):
             blobs.append(np.uint32(len(runs)).tobytes() + low + sink.getvalue().to_pybytes())
         yield pa.record_batch([pa.array([g[0] for g in groups], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("_runs")))
-            begin = 0
-            ends = np.cumsum(pc.binary_length(batch.column("_runs")).to_numpy().astype(np.int64) // 16)
-            while begin < len(ends):
-                before = ends[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(ends, before + most - n, "right")))
-                held.append(batch.slice(begin, end - begin))
-                n, begin = n + ends[end - 1] - before, end
-                if n >= most or begin < len(ends):
-                    yield from packed(held)
-                    held, n = [], 0
-        if held:
-            yield from packed(held)
-
-    return run
+    return _some_runs(packed, most, lambda runs: pc.binary_length(runs).to_numpy().astype(np.int64) // 16)
 
 
 def _lost_runs(key: str):
@@ -379,6 +393,134 @@ def shingle_overlap(df: DataFrame, key: str, text: str = "text", n: int = 5) ->
     )
 
 
+def _zipped(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _hashed_runs(words: np.ndarray, size: np.ndarray, n: int):
+    """Row and two hashes of every run of n words; the words, as hashes, follow each other
+    row by row, size of them in a row. Fewer than n are one run."""
+    ends = np.cumsum(size)
+    starts = np.maximum(size - n, 0) + 1
+    row = np.repeat(np.arange(len(size), dtype=np.int32), starts)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts) + (ends - size)[row]
+    end = ends[row]
+    hashes = [np.full(len(row), seed, np.uint64) for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+    for k in range(n):
+        word = np.where(at + k < end, words[np.minimum(at + k, len(words) - 1)], np.uint64(k))
+        for i, factor in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)):
+            mixed = (hashes[i] ^ word) * np.uint64(factor)
+            hashes[i] = mixed ^ (mixed >> np.uint64(29 + 3 * i))
+    return row, *hashes
+
+
+def _pack_holders(parts: int, key: str, n: int, most: int):
+    """Map side of nearest_copy: who holds which runs, as one blob per range of hashes.
+
+    A run goes once per blob, with the first of the rows that share it; the others name its
+    place in the blob, which packs well, as copies name one place after the other.
+    """
+
+    def packed(batches):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        # Rows are numbered in the order of keys.
+        table = table.sort_by(key).combine_chunks()
+        keys, words = table.column(key).combine_chunks(), table.column("_runs").combine_chunks()
+        size = pc.list_value_length(words).to_numpy().astype(np.int64)
+        row, high, digest = _hashed_runs(words.flatten().to_numpy().view(np.uint64), size, n)
+        part = (((high >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+        order = np.lexsort((row, digest, part))
+        row, part, digest = row[order], part[order], digest[order]
+        once = np.concatenate([[True], (row[1:] != row[:-1]) | (digest[1:] != digest[:-1]) | (part[1:] != part[:-1])])
+        row, part, digest = row[once], part[once], digest[once]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        numbers, blobs = [], []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            first = np.concatenate([[True], digest[i + 1 : j] != digest[i : j - 1]])
+            own, run = row[i:j][first], np.cumsum(first) - 1
+            by_row = np.argsort(own, kind="stable")
+            place = np.empty(len(own), np.int64)
+            place[by_row] = np.arange(len(own))
+            again, named = row[i:j][~first], place[run[~first]]
+            order = np.lexsort((named, again))
+            held, at = np.unique(np.concatenate([own, again]), return_inverse=True)
+            rows = pa.record_batch(
+                [keys.take(pa.array(held)), *[pa.array(np.bincount(x, minlength=len(held)).astype(np.int32)) for x in (at[: len(own)], at[len(own) :])]],
+                names=["key", "own", "again"],
+            )
+            steps = np.diff(named[order], prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            steps = pa.compress(steps, "zstd", asbytes=True)
+            head = np.array([len(own), len(again), len(steps)], np.uint32).tobytes()
+            numbers.append(int(part[i]))
+            blobs.append(head + digest[i:j][first][by_row].tobytes() + steps + _zipped(rows))
+        yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    return _some_runs(packed, most, lambda words: pc.list_value_length(words).to_numpy().astype(np.int64))
+
+
+def _credited(parts: int):
+    """Reduce side: how many runs of a range a row has from which first owner, as one blob
+    per bucket of rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, digests, named, begin = [], [], [], 0
+        for blob in group.column("blob").to_pylist():
+            own, again, packed = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
+            at = 12 + 8 * own
+            steps = np.frombuffer(pa.decompress(blob[at : at + packed], 4 * again, "zstd", asbytes=True), np.uint8)
+            digests.append(np.frombuffer(blob, np.uint64, own, 12))
+            named.append(begin + np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int64))
+            rows.append(pa.ipc.open_stream(pa.py_buffer(blob)[at + packed :]).read_all())
+            begin += own
+        rows = pa.concat_tables(rows).combine_chunks()
+        keys, own, again = (rows.column(c).combine_chunks() for c in ("key", "own", "again"))
+        _, at, number = np.unique(pc.rank(keys, tiebreaker="dense").to_numpy(), return_index=True, return_inverse=True)
+        keys, number = keys.take(pa.array(at)), number.astype(np.int64)
+        row, digest = np.repeat(number, own.to_numpy()), np.concatenate(digests)
+        order = np.lexsort((row, digest))
+        digest = digest[order]
+        begins = np.concatenate([[True], digest[1:] != digest[:-1]])
+        owner = np.empty(len(row), np.int64)
+        owner[order] = row[order][np.maximum.accumulate(np.where(begins, np.arange(len(row)), 0))]
+        row = np.concatenate([row, np.repeat(number, again.to_numpy())])
+        owner = np.concatenate([owner, owner[np.concatenate(named)]])
+        taken = row != owner
+        pair, n = np.unique(row[taken] * len(keys) + owner[taken], return_counts=True)
+        row, owner = np.divmod(pair, max(len(keys), 1))
+        held = keys.take(pa.array(np.unique(row)))
+        # All ranges must deal a key alike, so its bucket hangs on its value only.
+        bucket = (pd.util.hash_array(held.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(parts)).astype(np.int64)
+        bucket = np.repeat(bucket, np.unique(row, return_counts=True)[1])
+        order = np.argsort(bucket, kind="stable")
+        row, owner, n, bucket = row[order], owner[order], n[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else []
+        blobs = [
+            _zipped(pa.record_batch([keys.take(pa.array(row[i:j])), keys.take(pa.array(owner[i:j])), pa.array(n[i:j].astype(np.int32))], names=["key", "other", "n"]))
+            for i, j in zip(cuts[:-1], cuts[1:])
+        ]
+        return pa.table([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _most_credited(key: str):
+    """Per row the owner it has most runs from, the first of several."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = pa.concat_tables(pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in group.column("blob").to_pylist())
+        rows = rows.group_by(["key", "other"]).aggregate([("n", "sum")])
+        rows = rows.sort_by([("key", "ascending"), ("n_sum", "descending"), ("other", "ascending")]).combine_chunks()
+        keys = rows.column("key").combine_chunks()
+        new = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+        best = rows.take(pa.array(np.flatnonzero(np.concatenate([[True], new]))))
+        return pa.table([best.column("key"), best.column("other")], names=[key, "other"])
+
+    return run
+
+
 def nearest_copy(df: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
     """Per row the earlier row that first held most of its runs: key, other, similarity.
 
@@ -387,21 +529,38 @@ def nearest_copy(df: DataFrame, key: str, text: str = "text", n: int = 5) -> Dat
     row (the first of several) is compared with it, and the similarity is the exact
     Jaccard of their runs. One pair per row at most, so a group of copies gives no pairs
     of pairs. Rows that share no run with an earlier one are left out.
+
+    Runs travel packed as in shingle_overlap, told apart by 64 bits within a range of
+    hashes, and so do the counts per row and owner. The pairs are compared on their texts,
+    where 64 bits tell a word and a run apart.
     """
-    hashed = written(word_runs(df, key, text, n).filter(F.col("_runs").isNotNull()), "runs")
-    each = hashed.select(key, F.explode("_runs").alias("_run"))
-    owners = each.groupBy("_run").agg(F.min(key).alias("other"))
-    shared = each.join(owners, "_run").filter(F.col("other") < F.col(key))
-    counted = shared.groupBy(key, "other").agg(F.count(F.lit(1)).alias("_n"))
-    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), "other")).alias("_best"))
-    pairs = best.select(key, F.col("_best.other").alias("other"))
-    theirs = hashed.select(F.col(key).alias("other"), F.col("_runs").alias("_others"))
-    both = pairs.join(hashed, key).join(theirs, "other")
-    # As strings, which meet by hash (see word_runs).
-    common = F.size(F.array_intersect(F.transform("_runs", F.hex), F.transform("_others", F.hex)))
-    return both.select(
-        key, "other", (common / (F.size("_runs") + F.size("_others") - common)).alias("similarity")
-    )
+    spark = df.sparkSession
+    texts = df.filter(F.col(key).isNotNull() & F.rlike(text, F.lit(NOT_SPACE))).select(key, F.col(text).alias("_text"))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
+    kind = dict(df.dtypes)[key]
+    words = texts.select(key, _word_hashes("_text").alias("_runs"))
+    sent = words.mapInArrow(_pack_holders(parts, key, n, PACKED_RUNS), "part int, blob binary")
+    counted = sent.groupBy("part").applyInArrow(_credited(parts), "bucket int, blob binary")
+    best = counted.groupBy("bucket").applyInArrow(_most_credited(key), f"`{key}` {kind}, other {kind}")
+    pairs = written(best, "pairs")
+    others = pairs.select("other").distinct()
+
+    def runs(words: str) -> Column:
+        # Of numbers, which meet by hash; a slice per run would copy all words each time.
+        places = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        hashed = rows.withColumn("_words", _word_hashes("_text"))
+        return hashed.withColumn("_size", F.size(F.array_distinct(runs("_words")))).drop("_words")
+
+    mine = sized(texts.join(small_side(pairs, MOST_PAIRS), key))
+    theirs = texts.withColumnRenamed(key, "other").join(small_side(others, MOST_PAIRS), "other", "left_semi")
+    theirs = sized(theirs).withColumnsRenamed({"_text": "_others", "_size": "_other_size"})
+    both = mine.join(theirs, "other").withColumns({"_words": _word_hashes("_text"), "_others": _word_hashes("_others")})
+    common = F.size(F.array_intersect(runs("_words"), runs("_others")))
+    return both.select(key, "other", (common / (F.col("_size") + F.col("_other_size") - common)).alias("similarity"))
 
 
 def dedup_near(
