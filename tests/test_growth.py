@@ -132,3 +132,20 @@ def test_classes_are_the_plain_ones(spark):
     for flags in ("", "(?i)", "(?iu)"):
         differ = [(F.rlike(char, F.lit(flags + plain[k])) != F.rlike(char, F.lit(flags + quick[k]))).alias(k) for k in plain]
         assert points.select(*differ).filter("space OR not_space OR word").count() == 0
+
+
+def test_tokens_are_cut_without_a_pattern(spark):
+    """Tokens as between any white space; what is inside of a match is looked for in one text."""
+    texts = ["verify  your　account: ver -- Act now\tac! click here\nhere", "won w ... on", "plain é words", " ", None]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "email_id int, subject string, text string")
+    out = X.with_tokens(df)
+    assert "exists(" not in plan_of(out) and "[!-~[^" not in plan_of(out)
+    rules = {r.email_id: [(t.pos, t.token, t.clean, t.rule) for t in r.tokens] for r in out.collect()}
+    for i, t in enumerate(texts):
+        assert [x[:2] for x in rules[i]] == list(enumerate((t or "").split()))
+    assert [x[2:] for x in rules[0]] == [
+        ("verify", 0.85), ("your", 0.05), ("account", 0.05), ("ver", 0.75), ("", 0.75), ("act", 0.75), ("now", 0.75), ("ac", 0.75),
+        ("click", 0.75), ("here", 0.75), ("here", 0.75),
+    ]
+    assert [x[2:] for x in rules[1]] == [("won", 0.85), ("w", 0.75), ("", 0.75), ("on", 0.75)]
+    assert {x[3] for x in rules[2]} == {0.05}
